@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weft.llm import decontam, quality
+from weft.llm import decontam, neardup, quality
 from weft.session import ship
 
 
@@ -14,6 +14,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85, rows=6, bands=24)
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     return quality.judged(table(spark, sf_dir, "documents")).select(*columns)
@@ -24,7 +28,7 @@ def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_quality_rules, op7_winnowing)}
+    return {f.__name__: f for f in (op4_superminhash, op5_quality_rules, op7_winnowing)}
 
 
 def oracle_sql() -> dict[str, str]:
