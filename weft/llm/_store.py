@@ -19,11 +19,11 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(frame: DataFrame, name: str) -> DataFrame:
+def written(frame: DataFrame, name: str, **options: str) -> DataFrame:
     """The frame, materialised as Parquet in the shared folder and read again: lineage ends here."""
     spark = frame.sparkSession
     path = f"{shared_folder(spark)}/weft/{name}-{uuid.uuid4().hex}"
-    frame.write.option("compression", "zstd").parquet(path)
+    frame.write.options(compression="zstd", **options).parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
 
 
