@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weft.llm import decontam, lm, neardup, quality
+from weft.llm import decontam, lm, neardup, quality, tokens
 from weft.session import ship
 
 
@@ -14,6 +14,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.ordered(table(spark, sf_dir, "documents"), key=20240229)
+
+
 def op2_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.scored(table(spark, sf_dir, "documents"))
 
@@ -32,7 +36,7 @@ def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_ppm, op4_superminhash, op5_quality_rules, op7_winnowing)}
+    return {f.__name__: f for f in (op1_training_order, op2_ppm, op4_superminhash, op5_quality_rules, op7_winnowing)}
 
 
 def oracle_sql() -> dict[str, str]:
