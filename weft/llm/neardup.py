@@ -11,8 +11,9 @@ next j: long texts stop after one step.
 3. Pairs whose signatures agree enough are confirmed on full sets, streamed in chunks of one centre and a
    bounded number of members, so a hot centre is dealt over many tasks.
 4. Components come from rounds of large-star and small-star over the confirmed links.
-5. A bucket that still holds several components is settled: pairs of its members across components are
-   confirmed the same way, and components are taken again. No link within a bucket is left unseen.
+5. Members of a bucket outside its centre's component are compared on full sets with all members of the
+   buckets of that centre, a chunk of them at a time, and components are taken again. Only links leave the
+   comparison, one for a member and a component. No link within a bucket is left unseen.
 
 A pair of similarity s shares a bucket with probability 1 - (1 - s^rows)^bands: 0.99998 at 0.8 for 5 and 28.
 
@@ -39,7 +40,7 @@ ELEMENTS = 150_000
 ROWS, BANDS = 5, 28
 #: Signatures that agree in less are not compared on full sets: five standard errors below the threshold.
 LEAST_AGREEMENT = 0.15
-CHUNK = 500
+CHUNK = 250
 BROADCAST_ROWS = 4_000_000
 
 
@@ -136,15 +137,11 @@ def _small(frame: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(frame) if rows <= BROADCAST_ROWS else frame
 
 
-def confirmed(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets reach the threshold; nodes (node, key) says which texts the ids mean."""
-    sizes = pairs.groupBy("a").agg(F.count("*").alias("n"))
-    dealt = written(
-        pairs.join(sizes, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / CHUNK)).cast("int").alias("chunk")),
-        "neardup-pairs",
-    )
-    routes = dealt.select(F.col("b").alias("node"), "a", "chunk", F.lit(1).alias("role")).union(dealt.select("a", "a", "chunk", F.lit(0)).distinct())
-    routes = written(routes, "neardup-routes")
+def _routed(docs: DataFrame, nodes: DataFrame, routes: DataFrame, k: int) -> DataFrame:
+    """routes (node, a, chunk, role, ...) with the node's set, one (a, chunk) together and sorted by role.
+
+    nodes (node, key) says which texts the ids mean; sets are made again from the whole texts.
+    """
     n = routes.count()
     wanted = _small(routes.select("node").distinct().join(nodes, "node").select(F.col("node").alias("doc_id"), "key"), n)
 
@@ -155,6 +152,19 @@ def confirmed(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int, perce
             same = [xxhash.xxh3_128_digest(x) == key for x, key in zip(found, block.column("key").to_pylist(), strict=True)]
             yield pa.record_batch([block.column("doc_id").cast(pa.int64()), pa.array(found, pa.binary())], ["node", "members"]).filter(pa.array(same, pa.bool_()))
 
+    texts = docs.select("doc_id", "text").join(wanted, "doc_id").mapInArrow(sets, "node long, members binary")
+    return texts.join(_small(routes, n), "node").repartition("a", "chunk").sortWithinPartitions("a", "chunk", "role")
+
+
+def confirmed(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets reach the threshold: a chunk is one a and about CHUNK of its partners."""
+    sizes = pairs.groupBy("a").agg(F.count("*").alias("n"))
+    dealt = written(
+        pairs.join(sizes, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / CHUNK)).cast("int").alias("chunk")),
+        "neardup-pairs",
+    )
+    routes = dealt.select(F.col("b").alias("node"), "a", "chunk", F.lit(1).alias("role")).union(dealt.select("a", "a", "chunk", F.lit(0)).distinct())
+
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centre, mine = None, np.empty(0, np.uint64)
         for batch in batches:
@@ -176,9 +186,52 @@ def confirmed(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int, perce
                     right.append(node)
             yield pa.record_batch([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
-    texts = docs.select("doc_id", "text").join(wanted, "doc_id")
-    routed = texts.mapInArrow(sets, "node long, members binary").join(_small(routes, n), "node")
-    return routed.repartition("a", "chunk").sortWithinPartitions("a", "chunk", "role").select("a", "node", "role", "members").mapInArrow(linked, "a long, b long")
+    return _routed(docs, nodes, written(routes, "neardup-routes"), k).select("a", "node", "role", "members").mapInArrow(linked, "a long, b long")
+
+
+def settled(docs: DataFrame, nodes: DataFrame, groups: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links across components in groups (a, node, component, own): own is the component of the group's centre a.
+
+    A chunk holds about CHUNK members from other components, indexed by shingle; all members of the group
+    pass it one by one and are counted against all of the chunk at once. Of a member's links to one
+    component the first is returned, so rows grow as the group and not as its pairs.
+    """
+    outside = groups.where("component <> own")
+    chunks = outside.groupBy("a").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("n"))
+    dealt = outside.join(chunks, "a").select("node", "a", F.pmod(F.xxhash64("node"), "n").cast("int").alias("chunk"), F.lit(0).alias("role"), "component")
+    every = groups.join(chunks, "a").select("node", "a", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("chunk"), F.lit(1).alias("role"), "component")
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, index, seen = None, [], None, set()
+        for batch in batches:
+            left, right = [], []
+            for *here, node, role, component, data in zip(*(batch.column(c).to_pylist() for c in ("a", "chunk", "node", "role", "component", "members")), strict=True):
+                if here != at:
+                    at, held, index, seen = here, [], None, set()
+                mine = np.frombuffer(data, np.uint64)
+                if role == 0:
+                    held.append((node, component, mine))
+                    continue
+                if not held:
+                    continue
+                if index is None:
+                    sizes = np.array([len(x) for _, _, x in held])
+                    flat, owner = np.concatenate([x for _, _, x in held]), np.repeat(np.arange(len(held)), sizes)
+                    order = np.argsort(flat, kind="stable")
+                    index, owner, parts = flat[order], owner[order], np.array([c for _, c, _ in held])
+                low, high = np.searchsorted(index, mine, "left"), np.searchsorted(index, mine, "right")
+                n = high - low
+                rows = owner[np.repeat(low - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+                shared = np.bincount(rows, minlength=len(held))
+                for i in np.flatnonzero((100 * shared >= percent * (sizes + len(mine) - shared)) & (parts != component)).tolist():
+                    if (i, component) not in seen:
+                        seen.add((i, component))
+                        left.append(held[i][0])
+                        right.append(node)
+            yield pa.record_batch([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
+
+    routed = _routed(docs, nodes, written(dealt.union(every), "neardup-routes"), k)
+    return routed.select("a", "chunk", "node", "role", "component", "members").mapInArrow(linked, "a long, b long")
 
 
 def agreeing(pairs: DataFrame, signatures: DataFrame, least: float) -> DataFrame:
@@ -236,12 +289,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int =
     links = written(confirmed(docs, nodes, agreeing(pairs, signatures, least), k, percent), "neardup-links")
     labels = components(links)
 
-    named = members.select("band", "node").join(labels, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
-    mixed = named.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("band")
-    open_ = written(named.join(mixed, "band", "left_semi"), "neardup-mixed")
-    left, right = open_.toDF("band", "a", "x"), open_.toDF("band", "b", "y")
-    across = left.join(right, "band").where("x < y").select("a", "b").distinct()
-    more = written(confirmed(docs, nodes, agreeing(across, signatures, least), k, percent), "neardup-links")
+    own = labels.toDF("a", "own")
+    groups = members.select("band", "node").join(centres, "band").select("a", "node").distinct()
+    groups = groups.join(labels, "node", "left").join(own, "a", "left").select("a", "node", F.coalesce("component", "node").alias("component"), F.coalesce("own", "a").alias("own"))
+    groups = written(groups, "neardup-groups")
+    more = written(settled(docs, nodes, groups, k, percent), "neardup-links")
     labels = components(links.union(more))
 
     classes = nodes.join(labels, "node", "left").select("key", F.coalesce("component", "node").alias("component"))

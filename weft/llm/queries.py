@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weft.llm import decontam, lm, neardup, quality, tokens
+from weft.llm import decontam, lm, mix, neardup, quality, shard, tokens
 from weft.session import ship
 
 
@@ -35,8 +35,16 @@ def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op8_flow_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix.report(table(spark, sf_dir, "documents"))
+
+
+def op9_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard.sharded(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_training_order, op2_ppm, op4_superminhash, op5_quality_rules, op7_winnowing)}
+    return {f.__name__: f for f in (op1_training_order, op2_ppm, op4_superminhash, op5_quality_rules, op7_winnowing, op8_flow_mix, op9_kd_shards)}
 
 
 def oracle_sql() -> dict[str, str]:
