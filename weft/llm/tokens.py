@@ -17,6 +17,7 @@ as often as they occur; an empty table gives no sequence; other columns are igno
 
 from __future__ import annotations
 
+import array
 import base64
 from collections.abc import Iterator
 
@@ -38,10 +39,13 @@ _WHITE = r"[\s\x0b\x{85}\p{Z}]"
 #: A space within or at the end of a run of white space: the pattern may not cut before it.
 INSIDE_WHITE = rf"{_WHITE} (?:{_WHITE}|\z)"
 LENGTH, LANES, PER_SHARD, ROUNDS = 2048, 256, 1024, 6
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 SCHEMA = "slot long, shard long, offset long, lane int, number long, n_tokens int, tokens binary"
 
 _encodings: dict[int, object] = {}
+#: One vocabulary a process is in use at a time; ``encoding`` empties this when it makes another.
+_pieces: dict[str, bytes] = {}
+MOST_PIECES = 200_000
 
 
 def encoding(ranks: bytes):
@@ -50,11 +54,25 @@ def encoding(ranks: bytes):
 
     key = hash(ranks)
     if key not in _encodings:
+        _pieces.clear()
+        _encodings.clear()
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
         _encodings[key] = tiktoken.Encoding("given", pat_str=PATTERN, mergeable_ranks=table, special_tokens={})
     return _encodings[key]
 
 
+def _cached(piece: str, bpe) -> bytes:
+    """The ids of a piece; the pieces met are kept while they are few."""
+    known = _pieces.get(piece)
+    if known is None:
+        known = array.array("I", bpe.encode_ordinary(piece)).tobytes()
+        if len(piece) < 32:
+            if len(_pieces) >= MOST_PIECES:
+                _pieces.clear()
+            _pieces[piece] = known
+    return known
+
+
 def encode(texts: pa.Array, bpe) -> tuple[np.ndarray, np.ndarray]:
     """(ids, starts): the ids of text i are ids[starts[i]:starts[i + 1]], the same as of encoding it whole."""
     texts = strings(texts)
@@ -67,9 +85,9 @@ def encode(texts: pa.Array, bpe) -> tuple[np.ndarray, np.ndarray]:
     opens[offsets[:-1]] = 1
     codes, where = np.unique(coded.indices.to_numpy().astype(np.int64) * 2 + opens, return_inverse=True)
     names = coded.dictionary.take(pa.array(codes >> 1)).to_pylist()
-    found = bpe.encode_ordinary_batch([x if c & 1 else " " + x for x, c in zip(names, codes.tolist(), strict=True)], num_threads=1)
-    sizes = np.fromiter(map(len, found), np.int64, len(found))
-    flat = np.fromiter((t for x in found for t in x), np.int64, int(sizes.sum()))
+    found = [_cached(x if c & 1 else " " + x, bpe) for x, c in zip(names, codes.tolist(), strict=True)]
+    sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+    flat = np.frombuffer(b"".join(found), "<u4")
     first, each = np.cumsum(sizes) - sizes, sizes[where]
     ends = np.cumsum(each)
     ids = flat[np.repeat(first[where] - (ends - each), each) + np.arange(int(each.sum()))]
@@ -77,7 +95,7 @@ def encode(texts: pa.Array, bpe) -> tuple[np.ndarray, np.ndarray]:
     if pc.any(odd).as_py():
         parts = [ids[a:b] for a, b in zip(starts[:-1], starts[1:], strict=True)]
         for i in np.flatnonzero(odd.to_numpy(zero_copy_only=False)):
-            parts[i] = np.array(bpe.encode_ordinary(texts[int(i)].as_py()), np.int64)
+            parts[i] = np.array(bpe.encode_ordinary(texts[int(i)].as_py()), np.uint32)
         starts = np.concatenate(([0], np.cumsum([len(x) for x in parts])))
         ids = np.concatenate(parts)
     return ids, starts
