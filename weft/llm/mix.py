@@ -130,15 +130,17 @@ def mixed(docs: DataFrame, sources: Column, size: Column, weights: Mapping | Non
     """
     order = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"), size), 1)
     rows = docs.withColumns({"mix_sources": F.array_sort(F.array_distinct(sources)), "mix_size": size, "mix_order": order})
-    sums = rows.groupBy("mix_sources").agg(F.sum("mix_size").alias("n")).limit(PATTERNS + 1).collect()
+    sums = rows.groupBy("mix_sources").agg(F.sum("mix_size").alias("n"), F.count("*").alias("c")).limit(PATTERNS + 1).collect()
     if len(sums) > PATTERNS:
         raise ValueError(f"more than {PATTERNS} sets of sources; group them first")
     spark = docs.sparkSession
-    sums = sorted(((tuple(r[0]), r[1]) for r in sums), key=lambda x: [(s is None, s or "") for s in x[0]])
+    sums = sorted(((tuple(r[0]), r[1], r[2]) for r in sums), key=lambda x: [(s is None, s or "") for s in x[0]])
+    counts, sums = [c for *_, c in sums], [x[:2] for x in sums]
     names, sizes, aims, taken = plan(sums, weights, copies)
+    bits = lambda count: min(BITS, max(1, (count // FEW).bit_length()))
     # each pattern: whole copies of all, and words still wanted of a seeded choice
-    state = [{"p": i, "pattern": list(pattern), "whole": min(copies, taken[i] // n) if n else 0, "rest": taken[i] - n * min(copies, taken[i] // n) if n else 0, "low": 0, "shift": 63, "few": False} for i, (pattern, n) in enumerate(sums)]
-    schema = "p int, pattern array<string>, whole int, rest long, low long, shift int, few boolean"
+    state = [{"p": i, "pattern": list(pattern), "whole": min(copies, taken[i] // n) if n else 0, "rest": taken[i] - n * min(copies, taken[i] // n) if n else 0, "low": 0, "shift": 63, "few": counts[i] <= FEW, "bits": bits(counts[i])} for i, (pattern, n) in enumerate(sums)]
+    schema = "p int, pattern array<string>, whole int, rest long, low long, shift int, few boolean, bits int"
 
     def stated() -> DataFrame:
         """At most PATTERNS rows, so broadcast."""
@@ -151,37 +153,45 @@ def mixed(docs: DataFrame, sources: Column, size: Column, weights: Mapping | Non
     at = lambda shift: F.expr(f"shiftright(mix_order, {shift})")
     while any(not s["few"] and s["rest"] > 0 and s["shift"] > 0 for s in state):
         inside = placed().where((F.col("rest") > 0) & ~F.col("few") & (F.col("shift") > 0) & (at("shift") == F.expr("shiftright(low, shift)")))
-        bins = inside.groupBy("p", "rest", at(f"greatest(shift - {BITS}, 0)").alias("bin")).agg(F.sum("mix_size").alias("n"), F.count("*").alias("c"))
+        bins = inside.groupBy("p", "rest", at("greatest(shift - bits, 0)").alias("bin")).agg(F.sum("mix_size").alias("n"), F.count("*").alias("c"))
         ran = bins.withColumn("upto", F.sum("n").over(W.partitionBy("p").orderBy("bin")))  # at most 2^BITS rows a pattern
         ends = ran.where("upto > rest").groupBy("p").agg(F.min(F.struct("bin", "upto", "n", "c")).alias("x")).collect()
         found = {r["p"]: r["x"] for r in ends}
         for s in state:
             if s["rest"] > 0 and not s["few"] and s["shift"] > 0:
                 x = found[s["p"]]
-                s["shift"] = max(s["shift"] - BITS, 0)
+                s["shift"] = max(s["shift"] - s["bits"], 0)
                 s["low"], s["rest"], s["few"] = x["bin"] << s["shift"], s["rest"] - (x["upto"] - x["n"]), x["c"] <= FEW
+                s["bits"] = bits(x["c"])
         state = [s | {"few": True} if s["shift"] == 0 else s for s in state]
     here = (F.col("rest") > 0) & (at("shift") == F.expr("shiftright(low, shift)"))
     before = F.col("low") > F.col("mix_order")
     away = placed().where(~here).withColumn("mix_times", F.col("whole") + before.cast("int"))
     near = placed().where(here).withColumn("mix_times", F.col("whole"))
     near = near.groupBy("p").applyInArrow(_filled, near.schema)  # FEW rows a pattern, or rows of one hash
-    result = away.unionByName(near).drop("p", "pattern", "whole", "rest", "low", "shift", "few", "mix_order")
+    result = away.unionByName(near).drop("p", "pattern", "whole", "rest", "low", "shift", "few", "bits", "mix_order")
     result.__dict__["mix_plan"] = dict(zip(names, zip(sizes, aims, strict=True), strict=True))
     return result
 
 
 def _filled(rows: pa.Table) -> pa.Table:
-    """One pattern's rows at the end of its quota: each in order that still fits is taken once more, then the least one if that comes nearer."""
+    """One pattern's rows at the end of its quota: each in order that still fits is taken once more, then exchanges come nearer."""
     sizes, left = rows.column("mix_size").to_numpy(), rows.column("rest")[0].as_py()
     keys = list(zip(rows.column("mix_order").to_pylist(), rows.column("doc_id").to_pylist(), strict=True))
     more = np.zeros(rows.num_rows, np.int32)
     for i in sorted(range(rows.num_rows), key=lambda i: (keys[i][0], keys[i][1] is not None, keys[i][1] or 0)):
         if sizes[i] <= left:
             more[i], left = 1, left - sizes[i]
-    others = np.flatnonzero(more == 0)
-    if len(others) and sizes[i := others[sizes[others].argmin()]] < 2 * left:
-        more[i] = 1
+    while left:  # exchange a taken document, or none, for another while that comes nearer
+        inside, others = np.append(np.flatnonzero(more), -1), np.flatnonzero(more == 0)
+        change = sizes[others][:, None] - np.append(sizes[inside[:-1]], 0)[None, :] if len(others) else np.zeros((0, 1))
+        if not change.size or (miss := np.abs(left - change)).min() >= abs(left):
+            break
+        i, j = np.unravel_index(miss.argmin(), miss.shape)
+        left -= int(change[i, j])
+        more[others[i]] = 1
+        if inside[j] >= 0:
+            more[inside[j]] = 0
     times = rows.column("whole").to_numpy() + more
     return rows.set_column(rows.schema.get_field_index("mix_times"), "mix_times", pa.array(times.astype(np.int32)))
 

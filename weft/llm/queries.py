@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weft.llm import decontam, lm, mix, neardup, quality, shard, tokens
+from weft.llm import decontam, license, lm, mix, neardup, quality, shard, tokens
 from weft.session import ship
 
 
@@ -43,8 +43,12 @@ def op9_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard.sharded(table(spark, sf_dir, "documents"))
 
 
+def op10_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license.scanned(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_training_order, op2_ppm, op4_superminhash, op5_quality_rules, op7_winnowing, op8_flow_mix, op9_kd_shards)}
+    return {f.__name__: f for f in (op1_training_order, op2_ppm, op4_superminhash, op5_quality_rules, op7_winnowing, op8_flow_mix, op9_kd_shards, op10_license_digests)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -22,15 +22,14 @@ from weft.llm._store import written
 
 SHARDS = 40
 BINS = 512
+#: Keys lie between.
+MOST = (1 << 63) - 1
+LEAST = -1
 #: A cut may miss its place by this share of a shard.
 TOLERANCE = 0.002
 SLOT_PARTS = 256
 
 
-MOST = (1 << 63) - 1
-LEAST = -(1 << 63)
-
-
 class Cuts:
     """The cuts of a k-d tree in heap order: node n has the children 2n and 2n + 1.
 
@@ -52,7 +51,8 @@ class Cuts:
                 self.first |= {2 * n: self.first[n], 2 * n + 1: self.first[n] + half}
 
     def table(self, values: dict[int, int], otherwise: int | None) -> Column:
-        return F.array(*(F.lit(values.get(n, otherwise)).cast("long") for n in range(self.size)))
+        each = (values.get(n, otherwise) for n in range(self.size))
+        return F.expr(f"array({', '.join('null' if x is None else f'{x}L' for x in each)})").cast("array<long>")
 
     def key(self, dimension: Column, k: int) -> Column:
         """Key k of a row: the node's dimension, then the ties."""
@@ -80,8 +80,9 @@ class Cuts:
 class _Search:
     """Where a node's cut lies: the key looked at, the values of those before it, and a range of BINS bins."""
 
-    def __init__(self, dimension: int, need: int, ranges: list[tuple[int, int]]):
-        self.dimension, self.need, self.ranges = dimension, need, ranges
+    def __init__(self, dimension: int, twice: bool, need: int, ranges: list[tuple[int, int]]):
+        """twice: the dimension is the first tie too."""
+        self.dimension, self.twice, self.need, self.ranges = dimension, twice, need, ranges
         self.fixed: list[int] = []
         self.cut: list[int] | None = None
         self._begin()
@@ -90,21 +91,21 @@ class _Search:
         self.low, high = self.ranges[len(self.fixed)]
         self.width = max(1, -(-(high - self.low + 1) // BINS))
 
-    def narrow(self, bins: list[tuple[int, int]], allowed: float) -> None:
-        """bins: (number, weight) in order; the cut lies in the one in which the needed weight is reached."""
+    def narrow(self, bins: list[tuple[int, int, int]], allowed: float) -> None:
+        """bins: (number, weight, rows) in order; the cut lies in the one in which the needed weight is reached."""
         ran = 0
-        for b, n in bins:
+        for b, n, rows in bins:
             if ran + n > self.need or b == bins[-1][0]:
                 break
             ran += n
         start, last = self.low + b * self.width, len(self.fixed) == len(self.ranges) - 1
-        if n <= allowed or (self.width == 1 and last):
+        if n <= allowed or rows == 1 or (self.width == 1 and last):
             end = start + self.width if ran + n - self.need < self.need - ran else start
             self.cut = [self.dimension, *self.fixed, min(end, MOST), *[LEAST] * (len(self.ranges) - 1 - len(self.fixed))]
             return
         self.need -= ran
         if self.width == 1:
-            self.fixed.append(start)
+            self.fixed += [start, start] if self.twice and not self.fixed else [start]
             self._begin()
         else:
             self.low, self.width = start, max(1, -(-self.width // BINS))
@@ -126,7 +127,7 @@ def tree(rows: DataFrame, dimensions: Sequence[str], ties: Sequence[str], weight
             if cuts.shards[n] > 1:
                 spread = lambda k: (ranges[k][1] - ranges[k][0]) / max(whole[k][1] - whole[k][0], 1)  # noqa: E731, B023
                 wide = max(range(len(dimensions)), key=lambda i: spread(dimensions[i]))  # noqa: B023
-                searches[n] = _Search(wide, r["_sum"] * cuts.shards[2 * n] // cuts.shards[n], [ranges[k] for k in (dimensions[wide], *ties)])
+                searches[n] = _Search(wide, dimensions[wide] == ties[0], r["_sum"] * cuts.shards[2 * n] // cuts.shards[n], [ranges[k] for k in (dimensions[wide], *ties)])
         allowed = TOLERANCE * total / shards
         while busy := {n: s for n, s in searches.items() if s.cut is None}:
             get = lambda values: F.get(cuts.table(values, None), F.col("node"))  # noqa: E731, B023
@@ -138,10 +139,10 @@ def tree(rows: DataFrame, dimensions: Sequence[str], ties: Sequence[str], weight
                 inside &= (looked <= k) | (cuts.key(dimension, k) == fixed)
                 mine = F.when(looked == k + 1, cuts.key(dimension, k + 1)).otherwise(mine)
             seen = at.where(inside).select("node", mine.alias("v"), get({n: s.low for n, s in busy.items()}).alias("low"), get({n: s.width for n, s in busy.items()}).alias("width"), weight)
-            counted = seen.where(f"v >= low and (v - low) div width < {BINS}").groupBy("node", F.expr("(v - low) div width").alias("b")).agg(F.sum(weight).alias("n"))
+            counted = seen.where(f"v >= low and (v - low) div width < {BINS}").groupBy("node", F.expr("(v - low) div width").alias("b")).agg(F.sum(weight).alias("n"), F.count("*").alias("rows"))
             bins: dict[int, list] = {}
             for r in counted.collect():  # at most BINS for each of fewer nodes than shards
-                bins.setdefault(r["node"], []).append((r["b"], r["n"]))
+                bins.setdefault(r["node"], []).append((r["b"], r["n"], r["rows"]))
             for n, s in busy.items():
                 s.narrow(sorted(bins[n]), allowed)
         cuts.found = {n: s.cut for n, s in searches.items()}
