@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weft.llm import decontam, license, lm, mix, neardup, quality, shard, tokens
+from weft.llm import decontam, license, lm, mix, neardup, pii, quality, shard, tokens
 from weft.session import ship
 
 
@@ -31,6 +31,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(table(spark, sf_dir, "documents")).select(*columns)
 
 
+def op6_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
@@ -48,7 +52,7 @@ def op10_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_training_order, op2_ppm, op4_superminhash, op5_quality_rules, op7_winnowing, op8_flow_mix, op9_kd_shards, op10_license_digests)}
+    return {f.__name__: f for f in (op1_training_order, op2_ppm, op4_superminhash, op5_quality_rules, op6_bootstrapped_pii, op7_winnowing, op8_flow_mix, op9_kd_shards, op10_license_digests)}
 
 
 def oracle_sql() -> dict[str, str]:
