@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weft.llm import decontam, license, lm, mix, neardup, pii, quality, shard, tokens
+from weft.llm import decontam, html, license, lm, mix, neardup, pii, quality, shard, tokens
 from weft.session import ship
 
 
@@ -22,6 +22,10 @@ def op2_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.scored(table(spark, sf_dir, "documents"))
 
 
+def op3_dom_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extracted(table(spark, sf_dir, "pages"))
+
+
 def op4_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85, rows=6, bands=24)
 
@@ -52,7 +56,7 @@ def op10_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_training_order, op2_ppm, op4_superminhash, op5_quality_rules, op6_bootstrapped_pii, op7_winnowing, op8_flow_mix, op9_kd_shards, op10_license_digests)}
+    return {f.__name__: f for f in (op1_training_order, op2_ppm, op3_dom_boosting, op4_superminhash, op5_quality_rules, op6_bootstrapped_pii, op7_winnowing, op8_flow_mix, op9_kd_shards, op10_license_digests)}
 
 
 def oracle_sql() -> dict[str, str]:
