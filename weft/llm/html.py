@@ -1,7 +1,7 @@
 """Main text of web pages: gradient-boosted trees score the nodes of the DOM, a tree decoding picks them.
 
 1. A page is parsed leniently: unknown and unclosed tags, stray end tags and pages that break off are usual.
-2. Each element has features: tag class, attribute tokens, depth, place among its siblings, and the length,
+2. Each element has features: tag class and those around it, attribute tokens, depth, place among its siblings, and the length,
    link density, paragraph count and punctuation of its subtree, absolute and relative to its parent.
 3. Boosted trees, trained here with a fixed seed on ``PAGES`` generated pages of many layouts whose parts are
    known, give each element the chance to be main text.
@@ -43,6 +43,8 @@ SCOPES = frozenset("ul ol dl table body html article section div main".split())
 AGAINST = frozenset("ad ads advert advertisement banner breadcrumb breadcrumbs comment comments consent contentinfo cookie cookies copyright disqus footer foot form header legal login masthead menu modal nav navbar navigation newsletter notice pager pagination popup promo promoted reply replies related share sharing sidebar signup social sponsor sponsored subscribe tags toolbar widget".split())
 FOR = frozenset("article articlebody body content entry main post prose story text".split())
 TAGS = ("a", "article", "aside", "blockquote", "div", "footer", "form", "header", "h", "li", "main", "nav", "p", "pre", "section", "table", "ul", "b")
+#: Elements that say something of all that is in them.
+ROOMS = ("article", "aside", "footer", "form", "header", "main", "nav")
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</([A-Za-z][A-Za-z0-9:-]*)[^>]*(?:>|\Z)|<([A-Za-z][A-Za-z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([A-Za-z_:][\w:.-]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
@@ -143,7 +145,7 @@ def features(page: Page) -> np.ndarray:
         paragraphs[i] += tag == "p"
         for x in (length, links, stops, paragraphs, elements):
             x[p] += x[i]
-    out = np.zeros((n, 20 + 2 * len(TAGS) + 4), np.float32)
+    out = np.zeros((n, 20 + 2 * len(TAGS) + 4 + len(ROOMS)), np.float32)
     at = {t: k for k, t in enumerate(TAGS)}
     words: list[tuple[int, int]] = []
     for i in range(n):
@@ -171,7 +173,11 @@ def features(page: Page) -> np.ndarray:
         p = page.parents[i]
         near = above[p] if p >= 0 else (0, 0)
         above.append((near[0] + words[i][0], near[1] + words[i][1]))
-        out[i, last:] = (*words[i], *near)
+        out[i, last : last + 4] = (*words[i], *near)
+        if i:
+            out[i, last + 4 :] = out[p, last + 4 :]
+        if page.tags[i] in ROOMS:
+            out[i, last + 4 + ROOMS.index(page.tags[i])] = 1.0
     return out
 
 
@@ -254,7 +260,7 @@ def generated(rng: random.Random) -> str:
     line = lambda a, b: " ".join(word() for _ in range(rng.randint(a, b))).capitalize() + "."
     prose = lambda: " ".join(line(3, 25) for _ in range(rng.randint(1, 6)))
     pick = rng.choice
-    items = lambda k: "".join(f'<li><a href="/{word()}">{word()}</a></li>' for _ in range(k))
+    items = lambda k: "".join(f'<li><a href="/{word()}">{word()}{pick(("", "", ",", "."))}</a></li>' for _ in range(k))
     name = lambda tags, words: (lambda t, w: f"<{t}{pick((' class', ' id', ' role'))}=\"{w}\" data-y=\"0\">|</{t}>")(pick(tags), pick(words))
 
     def waste() -> str:
