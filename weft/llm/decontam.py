@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from weft.llm._text import LOWER_ALNUM, Words, blocks, grams, scrambled, translated
 
 BLOCK_BYTES = 8 << 20
+BROADCAST_BYTES = 64 << 20
 RESULT = "doc_id long, n_words long, n_hit long, n_items long, items array<string>"
 
 
@@ -108,7 +109,7 @@ class Index:
         return sorted({self.ids[i] for i in items})
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, gram: int = 6, broadcast_bytes: int = 64 << 20) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, gram: int = 6, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """doc_id, n_words, n_hit, n_items and the sorted ``items`` for each row of docs (doc_id, text).
 
     ``gram`` is the length of the hashed runs; any shared run of ``window`` words is found whatever it is.
@@ -116,15 +117,23 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, gram:
     if not 0 < gram <= window:
         raise ValueError("gram must be between 1 and window")
     items = benchmark.select("item_id", "text")
-    size = items.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 32)).first()[0] or 0
-    if size <= broadcast_bytes:
+    if _bytes(items) <= broadcast_bytes:
         return _against_all(docs, items, window, gram)
     return _by_join(docs, items, window, gram)
 
 
-def _against_all(docs: DataFrame, items: DataFrame, window: int, gram: int) -> DataFrame:
+def _bytes(items: DataFrame) -> int:
+    return items.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 32)).first()[0] or 0
+
+
+def _index(items: DataFrame, window: int, gram: int):
+    """The items, of checked size, for the executors."""
     rows = items.toArrow()
-    index = docs.sparkSession.sparkContext.broadcast(Index(rows["item_id"].to_pylist(), rows["text"].to_pylist(), window, gram))
+    return items.sparkSession.sparkContext.broadcast(Index(rows["item_id"].to_pylist(), rows["text"].to_pylist(), window, gram))
+
+
+def _against_all(docs: DataFrame, items: DataFrame, window: int, gram: int) -> DataFrame:
+    index = _index(items, window, gram)
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "text", BLOCK_BYTES):
@@ -211,11 +220,21 @@ def digest(names: DataFrame) -> DataFrame:
     return names.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-def kept(docs: DataFrame, benchmark: DataFrame, share: float = 0.0, **options) -> DataFrame:
-    """The rows of docs of whose words no more than ``share`` are hit, with all their columns."""
-    marked = decontaminate(docs, benchmark, **options)
-    bad = marked.where(F.col("n_hit") > share * F.col("n_words")).select("doc_id").distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti")
+def kept(docs: DataFrame, benchmark: DataFrame, window: int = 10, gram: int = 6, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """The rows of docs without a hit, with all their columns; one pass while the benchmark is broadcast."""
+    items = benchmark.select("item_id", "text")
+    if _bytes(items) > broadcast_bytes:
+        bad = _by_join(docs, items, window, gram).where("n_hit > 0").select(F.col("doc_id").alias("bad_id")).distinct()
+        return docs.join(bad, docs["doc_id"].eqNullSafe(bad["bad_id"]), "left_anti")
+    index = _index(items, window, gram)
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches, "text", BLOCK_BYTES):
+            words = Words(translated(block.column("text"), LOWER_ALNUM))
+            _, found = index.value.matches(words.hashes(), words.starts)
+            yield block.filter(pa.array([not x for x in found]))
+
+    return docs.mapInArrow(clean, docs.schema)
 
 
 def brute_force(texts: dict, items: dict, window: int = 10) -> dict:

@@ -126,11 +126,12 @@ def plan(sums: Sequence[tuple[tuple, int]], weights: Mapping | None = None, copi
 def mixed(docs: DataFrame, sources: Column, size: Column, weights: Mapping | None = None, copies: int = COPIES, seed: int = SEED) -> DataFrame:
     """All columns of docs and ``mix_sources``, ``mix_size``, ``mix_times`` (whole copies to take).
 
-    sources is an array; the frame is read several times, so it should be a stored table.
+    sources is an array; the frame is read three times, so it should be a stored table.
     """
     order = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"), size), 1)
     rows = docs.withColumns({"mix_sources": F.array_sort(F.array_distinct(sources)), "mix_size": size, "mix_order": order})
-    sums = rows.groupBy("mix_sources").agg(F.sum("mix_size").alias("n"), F.count("*").alias("c")).limit(PATTERNS + 1).collect()
+    slim = written(rows.select("mix_sources", "mix_size", "mix_order"), "mix-slim")
+    sums = slim.groupBy("mix_sources").agg(F.sum("mix_size").alias("n"), F.count("*").alias("c")).limit(PATTERNS + 1).collect()
     if len(sums) > PATTERNS:
         raise ValueError(f"more than {PATTERNS} sets of sources; group them first")
     spark = docs.sparkSession
@@ -146,13 +147,13 @@ def mixed(docs: DataFrame, sources: Column, size: Column, weights: Mapping | Non
         """At most PATTERNS rows, so broadcast."""
         return F.broadcast(spark.createDataFrame([tuple(s.values()) for s in state], schema))
 
-    def placed() -> DataFrame:
+    def placed(rows: DataFrame) -> DataFrame:
         table = stated()
         return rows.join(table, rows["mix_sources"].eqNullSafe(table["pattern"]))
 
     at = lambda shift: F.expr(f"shiftright(mix_order, {shift})")
     while any(not s["few"] and s["rest"] > 0 and s["shift"] > 0 for s in state):
-        inside = placed().where((F.col("rest") > 0) & ~F.col("few") & (F.col("shift") > 0) & (at("shift") == F.expr("shiftright(low, shift)")))
+        inside = placed(slim).where((F.col("rest") > 0) & ~F.col("few") & (F.col("shift") > 0) & (at("shift") == F.expr("shiftright(low, shift)")))
         bins = inside.groupBy("p", "rest", at("greatest(shift - bits, 0)").alias("bin")).agg(F.sum("mix_size").alias("n"), F.count("*").alias("c"))
         ran = bins.withColumn("upto", F.sum("n").over(W.partitionBy("p").orderBy("bin")))  # at most 2^BITS rows a pattern
         ends = ran.where("upto > rest").groupBy("p").agg(F.min(F.struct("bin", "upto", "n", "c")).alias("x")).collect()
@@ -166,8 +167,8 @@ def mixed(docs: DataFrame, sources: Column, size: Column, weights: Mapping | Non
         state = [s | {"few": True} if s["shift"] == 0 else s for s in state]
     here = (F.col("rest") > 0) & (at("shift") == F.expr("shiftright(low, shift)"))
     before = F.col("low") > F.col("mix_order")
-    away = placed().where(~here).withColumn("mix_times", F.col("whole") + before.cast("int"))
-    near = placed().where(here).withColumn("mix_times", F.col("whole"))
+    away = placed(rows).where(~here).withColumn("mix_times", F.col("whole") + before.cast("int"))
+    near = placed(rows).where(here).withColumn("mix_times", F.col("whole"))
     near = near.groupBy("p").applyInArrow(_filled, near.schema)  # FEW rows a pattern, or rows of one hash
     result = away.unionByName(near).drop("p", "pattern", "whole", "rest", "low", "shift", "few", "bits", "mix_order")
     result.__dict__["mix_plan"] = dict(zip(names, zip(sizes, aims, strict=True), strict=True))

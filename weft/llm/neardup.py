@@ -303,9 +303,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int =
 
 
 def kept(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each group, with all its columns: the rows whose id is the least of their component."""
-    found = near_duplicates(docs, k, percent).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti")
+    """One document of each group, with all its columns: a row whose id is the least of its component."""
+    found = near_duplicates(docs, k, percent)
+    others = written(found.where(~F.col("kept")).select("doc_id").distinct(), "neardup-others")
+    one = docs.join(_small(others, others.count()), "doc_id", "left_anti")
+    # rows of the same id and text: one of them, found among the few ids that occur twice
+    twice = written(found.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"), "neardup-twice")
+    if not (n := twice.count()):
+        return one.select(docs.columns)
+    rest = one.join(_small(twice, n), "doc_id", "left_semi")
+    return one.join(_small(twice, n), "doc_id", "left_anti").select(docs.columns).union(rest.dropDuplicates(["doc_id"]).select(docs.columns))
 
 
 def brute_force(texts: dict[int, str | None], k: int, percent: int) -> dict[int, tuple[int, int, bool]]:

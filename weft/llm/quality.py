@@ -47,8 +47,8 @@ def _repeated(grams: str, ordered: str) -> Column:
     return F.when(F.col(ordered).isNotNull(), F.aggregate(places, start, step, lambda a: a["n"])).otherwise(0)
 
 
-def measured(docs: DataFrame, stop_words: Sequence[str] = tuple(STOP_WORDS), keep: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """The columns in ``keep`` and the counts of each whole text, all native expressions.
+def measured(docs: DataFrame, stop_words: Sequence[str] = tuple(STOP_WORDS), keep: Sequence[str] = ("doc_id",), extra: Sequence[Column] = ()) -> DataFrame:
+    """The columns in ``keep``, ``extra`` and the counts of each whole text, all native expressions.
 
     n_repeat_words: words in windows of five that the text has twice or more, found by the windows' 64-bit
     hashes; only texts with an equal pair are sorted.
@@ -68,6 +68,7 @@ def measured(docs: DataFrame, stop_words: Sequence[str] = tuple(STOP_WORDS), kee
     long = lambda x, name: x.cast("long").alias(name)
     return sorted_.select(
         "_own.*",
+        *extra,
         long(F.size("_words"), "n_words"),
         long(F.length(F.array_join("_words", "")), "word_chars"),
         long(F.coalesce(F.length("text") - F.length(F.translate("text", SYMBOLS, "")), F.lit(0)), "n_symbols"),
@@ -101,7 +102,10 @@ def judged(docs: DataFrame, thresholds: Sequence[tuple] = THRESHOLDS, keep: Sequ
 def kept(docs: DataFrame, thresholds: Sequence[tuple] = THRESHOLDS) -> DataFrame:
     """The rows of docs that pass every rule, with all their columns."""
     whole = docs.select(F.struct(*docs.columns).alias("row"), "text")
-    return judged(whole, thresholds, keep=("row",)).where("kept").select("row.*")
+    # A filter would be moved below the counts, and each use of a count would work it out anew; it isn't
+    # moved below a column that numbers rows.
+    counted = measured(whole, keep=("row",), extra=(F.monotonically_increasing_id().alias("number"),))
+    return counted.where(verdict(thresholds) & (F.col("number") >= 0)).select("row.*")
 
 
 #: The stop words as a DuckDB list, both spellings.
