@@ -8,7 +8,7 @@ flow fills, and a seeded choice of documents once more: documents are ordered by
 the place where the quota is reached down to a few documents, of which those that still fit are taken.
 A flow of three times a pattern's size takes every document three times.
 
-Edge cases: a null or empty text has size 0 and is taken zero words; a null source is a source of its own,
+Edge cases: a null, empty or blank text has size 0 and isn't drawn; a null source is a source of its own,
 last in order; repeated rows are documents of their own, and any of them may be taken; an empty table
 gives an empty result; other columns are kept by ``mixed``.
 """
@@ -170,7 +170,8 @@ def mixed(docs: DataFrame, sources: Column, size: Column, weights: Mapping | Non
     away = placed(rows).where(~here).withColumn("mix_times", F.col("whole") + before.cast("int"))
     near = placed(rows).where(here).withColumn("mix_times", F.col("whole"))
     near = near.groupBy("p").applyInArrow(_filled, near.schema)  # FEW rows a pattern, or rows of one hash
-    result = away.unionByName(near).drop("p", "pattern", "whole", "rest", "low", "shift", "few", "bits", "mix_order")
+    every = away.unionByName(near).withColumn("mix_times", F.when(F.col("mix_size") > 0, F.col("mix_times")).otherwise(0))
+    result = every.drop("p", "pattern", "whole", "rest", "low", "shift", "few", "bits", "mix_order")
     result.__dict__["mix_plan"] = dict(zip(names, zip(sizes, aims, strict=True), strict=True))
     return result
 
