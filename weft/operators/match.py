@@ -27,25 +27,26 @@ def biatomic_score(left: Column, right: Column, tolerance: float = 0.1) -> Colum
     return F.coalesce(F.when(gap <= tolerance, 1 - gap).otherwise(-1.0), F.lit(-1.0))
 
 
-def scored_pairs(targets: DataFrame, population: DataFrame, block: Sequence[str], how: str = "inner", score: Column | None = None) -> DataFrame:
+def scored_pairs(targets: DataFrame, population: DataFrame, block: Sequence[str], score: Column | None = None, others: bool = False) -> DataFrame:
     """Pairs (id, fp) x (id, fp) within a block, with score; the population isn't shuffled while the targets are few.
 
+    others: a target isn't its own partner.
+
     A population row that repeats counts once in any best match; a semi-join on ids before keeps it to a population.
     """
     left = targets.select(*block, F.col("id").alias("target"), F.col("fp").alias("target_fp"), *[c for c in targets.columns if c.startswith("t_")])
     right = population.select(*block, F.col("id").alias("partner"), F.col("fp").alias("partner_fp"), *[c for c in population.columns if c.startswith("p_")])
     found = l1_similarity(F.col("target_fp"), F.col("partner_fp")) if score is None else score
-    if how == "inner":
-        return right.join(checked(left), list(block)).withColumn("score", found)
-    return left.join(right, list(block), how).withColumn("score", found)
+    pairs = right.join(checked(left), list(block))
+    return (pairs.where("target <> partner") if others else pairs).withColumn("score", found)
 
 
-def best_match(targets: DataFrame, population: DataFrame, block: Sequence[str], threshold: float, score: Column | None = None) -> DataFrame:
+def best_match(targets: DataFrame, population: DataFrame, block: Sequence[str], threshold: float, score: Column | None = None, others: bool = False) -> DataFrame:
     """target, partner, score and class: matched, distorted or no_match. Ties go to the least partner.
 
     A score of -1 is a distorted match without a partner; a target whose block has none is no_match.
     """
-    pairs = scored_pairs(targets, population, block, score=score)
+    pairs = scored_pairs(targets, population, block, score, others)
     best = pairs.groupBy("target").agg(F.max(F.struct("score", (-F.col("partner")).alias("low"))).alias("x"))
     found = targets.select(F.col("id").alias("target")).join(best, "target", "left")
     value = F.col("x.score")
@@ -53,10 +54,10 @@ def best_match(targets: DataFrame, population: DataFrame, block: Sequence[str],
     return found.select("target", F.when(value > -1, -F.col("x.low")).alias("partner"), F.coalesce(value, F.lit(-1.0)).alias("score"), kind.alias("class"))
 
 
-def top_matches(targets: DataFrame, population: DataFrame, block: Sequence[str], k: int = 3) -> DataFrame:
+def top_matches(targets: DataFrame, population: DataFrame, block: Sequence[str], k: int = 3, score: Column | None = None, others: bool = False) -> DataFrame:
     """The k best partners of each target, ranked; ties by the least partner."""
     order = W.partitionBy("target").orderBy(F.desc("score"), "partner")
-    return scored_pairs(targets, population, block).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("target", "rank", "partner", "score")
+    return scored_pairs(targets, population, block, score, others).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("target", "rank", "partner", "score")
 
 
 def exact_matches(targets: DataFrame, population: DataFrame, block: Sequence[str]) -> DataFrame:
@@ -64,16 +65,17 @@ def exact_matches(targets: DataFrame, population: DataFrame, block: Sequence[str
     return targets.join(population.select(*block, "fp").distinct(), [*block, "fp"], "left_semi")
 
 
-def below(targets: DataFrame, population: DataFrame, threshold: float, block: Sequence[str] = ()) -> DataFrame:
+def below(targets: DataFrame, population: DataFrame, threshold: float, block: Sequence[str] = (), others: bool = False) -> DataFrame:
     """A starting population: partners less similar than the threshold, the most similar first by (score, partner).
 
     Every target meets every entry, or those of its block: the targets are a stated, small set.
     """
     if block:
-        pairs = scored_pairs(targets, population, block)
+        pairs = scored_pairs(targets, population, block, others=others)
     else:
         left = checked(targets.select(F.col("id").alias("target"), F.col("fp").alias("target_fp")))
         pairs = population.select(F.col("id").alias("partner"), F.col("fp").alias("partner_fp")).join(left).withColumn("score", l1_similarity(F.col("target_fp"), F.col("partner_fp")))
+    pairs = pairs.where("target <> partner") if others else pairs
     return pairs.where(F.col("score") < threshold).select("target", "partner", "score").orderBy("target", F.desc("score"), "partner")
 
 

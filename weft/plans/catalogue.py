@@ -36,19 +36,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 MATCH, BELOW, UNIQUE = 0.895, 0.88, 0.90
 _SIM = "1.0 / (1.0 + list_sum(list_transform(list_zip(t.fp, p.fp), lambda z: abs(z[1] - z[2]))) / len(t.fp))"
-_VECTORS = "v AS (SELECT vec_id AS id, CASE WHEN vec_id % 100 = 0 THEN -1 ELSE label END AS label, CAST(embedding AS DOUBLE[]) AS fp FROM embeddings)"
-_SIDES = f"{_VECTORS}, t AS (SELECT * FROM v WHERE id % 25 = 0), p AS (SELECT * FROM v WHERE id % 25 <> 0)"
+_SIDES = "p AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS fp FROM embeddings), t AS (SELECT id, CASE WHEN id % 100 = 0 THEN -1 ELSE label END AS label, fp FROM p WHERE id % 20 = 0)"
 
 
 def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Targets and population; every fourth target is put in a block without population."""
-    label = F.when(F.col("vec_id") % 100 == 0, -1).otherwise(F.col("label")).alias("label")
-    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), label, F.col("embedding").cast("array<double>").alias("fp"))
-    return rows.where("id % 25 = 0"), rows.where("id % 25 <> 0")
+    """Targets (ids divisible by 20) and all rows; every fifth target is put in a block without population."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label", F.col("embedding").cast("array<double>").alias("fp"))
+    return rows.where("id % 20 = 0").withColumn("label", F.when(F.col("id") % 100 == 0, -1).otherwise(F.col("label"))), rows
 
 
 _BEST = f"""WITH {_SIDES},
- s AS (SELECT t.id AS target, p.id AS partner, {_SIM} AS score FROM t JOIN p USING (label)),
+ s AS (SELECT t.id AS target, p.id AS partner, {_SIM} AS score FROM t JOIN p ON t.label = p.label AND t.id <> p.id),
  b AS (SELECT target, max(score) AS score, arg_max(partner, struct_pack(s := score, l := -partner)) AS partner FROM s GROUP BY target),
  m AS (SELECT t.id AS target, partner, round(coalesce(score, -1.0), 9) AS score, CASE WHEN score IS NULL THEN 'no_match' WHEN score >= {MATCH} THEN 'matched' ELSE 'distorted' END AS class FROM t LEFT JOIN b ON t.id = b.target)"""
 
@@ -56,7 +54,7 @@ _BEST = f"""WITH {_SIDES},
 @query(f"{_BEST} SELECT target, partner, score, class FROM m")
 def best_match_in_block(spark, sf_dir):
     targets, population = _sides(spark, sf_dir)
-    return match.best_match(targets, population, ["label"], MATCH).withColumn("score", F.round("score", 9))
+    return match.best_match(targets, population, ["label"], MATCH, others=True).withColumn("score", F.round("score", 9))
 
 
 @query(f"{_BEST} SELECT count(*) FILTER (class = 'matched') AS matched, count(*) FILTER (class = 'distorted') AS distorted, count(*) FILTER (class = 'no_match') AS no_match, count(*) AS total FROM m")
@@ -70,28 +68,28 @@ def match_coverage(spark, sf_dir):
     return out.select(*(F.round(c, 6).alias(c) for c in out.columns if c != "total"), "total")
 
 
-@query(f"WITH {_SIDES}, s AS (SELECT t.id AS target, p.id AS partner, {_SIM} AS score FROM t JOIN p USING (label)) SELECT target, CAST(row_number() OVER w AS INTEGER) AS rank, partner, round(score, 9) AS score FROM s WINDOW w AS (PARTITION BY target ORDER BY score DESC, partner) QUALIFY row_number() OVER w <= 3")
+@query(f"WITH {_SIDES}, s AS (SELECT t.id AS target, p.id AS partner, {_SIM} AS score FROM t JOIN p ON t.label = p.label AND t.id <> p.id) SELECT target, CAST(row_number() OVER w AS INTEGER) AS rank, partner, round(score, 9) AS score FROM s WINDOW w AS (PARTITION BY target ORDER BY score DESC, partner) QUALIFY row_number() OVER w <= 3")
 def top3_neighbours(spark, sf_dir):
     targets, population = _sides(spark, sf_dir)
-    return match.top_matches(targets, population, ["label"]).withColumn("score", F.round("score", 9))
+    return match.top_matches(targets, population, ["label"], others=True).withColumn("score", F.round("score", 9))
 
 
-@query(f"WITH {_VECTORS} SELECT t.id AS id, t.label AS label FROM (SELECT * FROM v WHERE id % 25 = 0) t SEMI JOIN (SELECT label, fp FROM v WHERE id % 25 <> 0) p ON t.label = p.label AND t.fp = p.fp")
+@query(f"WITH {_SIDES} SELECT t.id AS id, t.label AS label FROM t SEMI JOIN p ON t.label = p.label AND t.fp = p.fp")
 def exact_fingerprints(spark, sf_dir):
     targets, population = _sides(spark, sf_dir)
     return match.exact_matches(targets, population, ["label"]).select("id", "label")
 
 
-@query(f"WITH {_SIDES} SELECT t.id AS target, p.id AS partner, round({_SIM}, 9) AS score FROM t JOIN p USING (label) WHERE {_SIM} < {BELOW}")
+@query(f"WITH {_SIDES} SELECT t.id AS target, p.id AS partner, round({_SIM}, 9) AS score FROM t JOIN p ON t.label = p.label AND t.id <> p.id WHERE {_SIM} < {BELOW}")
 def population_below_threshold(spark, sf_dir):
     targets, population = _sides(spark, sf_dir)
-    return match.below(targets, population, BELOW, ["label"]).withColumn("score", F.round("score", 9))
+    return match.below(targets, population, BELOW, ["label"], others=True).withColumn("score", F.round("score", 9))
 
 
-@query(f"WITH {_SIDES} SELECT t.id AS target, p.id AS partner, round({_SIM}, 9) AS score FROM (SELECT * FROM t WHERE id % 100 = 0) t, p WHERE {_SIM} < 0.87")
+@query(f"WITH {_SIDES} SELECT t.id AS target, p.id AS partner, round({_SIM}, 9) AS score FROM t, p WHERE t.id <> p.id AND {_SIM} < 0.87")
 def population_all_pairs(spark, sf_dir):
     targets, population = _sides(spark, sf_dir)
-    return match.below(targets.where("id % 100 = 0"), population, 0.87).withColumn("score", F.round("score", 9))
+    return match.below(targets, population, 0.87, others=True).withColumn("score", F.round("score", 9))
 
 
 @query(f"""WITH v AS (SELECT label, list(struct_pack(id := vec_id, fp := CAST(embedding AS DOUBLE[])) ORDER BY vec_id) AS rows FROM embeddings GROUP BY label),
@@ -114,10 +112,10 @@ def overlap_pairs(spark, sf_dir):
     return match.close_pairs(rows, ["label"], "id", vectors.l1_similarity(F.col("fp_i"), F.col("fp_j")) >= 0.893).select("label", "i", "j")
 
 
-@query(f"WITH {_SIDES}, s AS (SELECT t.id AS target, {_SIM} AS score FROM t JOIN p USING (label)) SELECT target, count(*) FILTER (score < 0.87) AS t_0_87, count(*) FILTER (score < 0.88) AS t_0_88, count(*) FILTER (score < 0.89) AS t_0_89 FROM s GROUP BY target")
+@query(f"WITH {_SIDES}, s AS (SELECT t.id AS target, {_SIM} AS score FROM t JOIN p ON t.label = p.label AND t.id <> p.id) SELECT target, count(*) FILTER (score < 0.87) AS t_0_87, count(*) FILTER (score < 0.88) AS t_0_88, count(*) FILTER (score < 0.89) AS t_0_89 FROM s GROUP BY target")
 def threshold_pivot(spark, sf_dir):
     targets, population = _sides(spark, sf_dir)
-    pairs = match.scored_pairs(targets, population, ["label"]).select("target", F.explode(F.array(*map(F.lit, ("0_87", "0_88", "0_89")))).alias("t"), "score")
+    pairs = match.scored_pairs(targets, population, ["label"], others=True).select("target", F.explode(F.array(*map(F.lit, ("0_87", "0_88", "0_89")))).alias("t"), "score")
     hit = F.count_if(F.col("score") < texts.threshold_value(F.col("t")))
     wide = results.wide(pairs, "target", "t", ["0_87", "0_88", "0_89"], hit)
     return wide.select("target", *(F.col(f"`{t}`").alias(f"t_{t}") for t in ("0_87", "0_88", "0_89")))
@@ -290,13 +288,13 @@ def histogram_15(spark, sf_dir):
     return stats.histogram(table(spark, sf_dir, "lineitem"), "l_extendedprice")
 
 
-@query("""WITH d AS (SELECT doc_id, lang, list_distinct(string_split(text, ' ')) AS w FROM documents WHERE doc_id % 40 = 0)
- SELECT a.doc_id AS i, b.doc_id AS j, round(len(list_intersect(a.w, b.w)) / CAST(len(list_distinct(list_concat(a.w, b.w))) AS DOUBLE), 9) AS tanimoto FROM d a JOIN d b ON a.lang = b.lang AND a.doc_id < b.doc_id""")
+@query("""WITH d AS (SELECT doc_id AS id, lang, list_distinct(string_split(text, ' ')) AS w FROM documents),
+ s AS (SELECT t.id AS target, p.id AS partner, len(list_intersect(t.w, p.w)) / CAST(len(list_distinct(list_concat(t.w, p.w))) AS DOUBLE) AS score FROM d t JOIN d p ON t.lang = p.lang AND t.id <> p.id WHERE t.id % 20 = 0)
+ SELECT target, CAST(row_number() OVER w AS INTEGER) AS rank, partner, round(score, 9) AS score FROM s WINDOW w AS (PARTITION BY target ORDER BY score DESC, partner) QUALIFY row_number() OVER w <= 3""")
 def tanimoto_tokens(spark, sf_dir):
-    """A stated query set of documents, in blocks of a language."""
-    rows = table(spark, sf_dir, "documents").where("doc_id % 40 = 0").select(F.col("doc_id").alias("id"), "lang", F.array_distinct(F.split("text", " ")).alias("fp"))
-    pairs = match.close_pairs(rows, ["lang"], "id", F.lit(True))
-    return pairs.select("i", "j", F.round(vectors.tanimoto(F.col("fp_i"), F.col("fp_j")), 9).alias("tanimoto"))
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang", F.array_distinct(F.split("text", " ")).alias("fp"))
+    found = match.top_matches(rows.where("id % 20 = 0"), rows, ["lang"], 3, vectors.tanimoto(F.col("target_fp"), F.col("partner_fp")), others=True)
+    return found.withColumn("score", F.round("score", 9))
 
 
 @query("SELECT p_partkey, p_retailprice, round(abs(p_retailprice - 1400), 6) AS gap FROM part ORDER BY abs(p_retailprice - 1400), p_partkey LIMIT 10")
