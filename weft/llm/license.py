@@ -108,3 +108,27 @@ def scanned(docs: DataFrame, licenses: DataFrame | None = None) -> DataFrame:
     table = F.broadcast(known(docs.sparkSession)) if licenses is None else licenses
     found = digested(docs.select("doc_id", "text"), "doc_id").join(table.select("digest", "license"), "digest", "left")
     return found.select("doc_id", "n_canonical", "digest", "license", F.col("license").isNotNull().alias("is_license"))
+
+
+def _oracle() -> str:
+    """The same steps in DuckDB, whose patterns know no lookaround: spellings go by padded words, twice for neighbours."""
+    out = "plain"
+    for one, other in SPELLINGS:
+        for end in ("", "s"):
+            for _ in range(2):
+                out = f"replace({out}, ' {one}{end} ', ' {other}{end} ')"
+    line = r"(?m)^[^\p{L}\p{N}\n©]*((copyright|\(c\)|©)([^\p{L}\p{N}\n][^\n]*)?(\n|\z)|all rights reserved[^\p{L}\p{N}\n]*(\n|\z))"
+    steps = f"""lined AS (SELECT *, regexp_replace(lower(coalesce(text, '')), '{line}', '', 'g') AS l FROM given),
+spaced AS (SELECT *, ' ' || trim(regexp_replace(l, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) || ' ' AS plain FROM lined),
+spelt AS (SELECT *, trim({out}) AS c FROM spaced)"""
+    texts = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in sorted(LICENSES.items()))
+    return f"""
+WITH given AS (SELECT doc_id, text, NULL AS name FROM documents UNION ALL SELECT NULL, text, name FROM (VALUES {texts}) AS t(name, text)),
+{steps},
+known AS (SELECT sha256(c) AS digest, min(name) AS license FROM spelt WHERE name IS NOT NULL GROUP BY 1),
+found AS (SELECT doc_id, length(c) AS n_canonical, CASE WHEN c <> '' THEN sha256(c) END AS digest FROM spelt WHERE name IS NULL)
+SELECT doc_id, n_canonical, digest, license, license IS NOT NULL AS is_license FROM found LEFT JOIN known USING (digest)
+"""
+
+
+ORACLE_SQL = _oracle()

@@ -60,4 +60,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_quality_rules": quality.ORACLE_SQL, "op7_winnowing": decontam.ORACLE_SQL}
+    return {
+        "op4_superminhash": neardup.ORACLE_SQL,
+        "op5_quality_rules": quality.ORACLE_SQL,
+        "op7_winnowing": decontam.ORACLE_SQL,
+        "op10_license_digests": license.ORACLE_SQL,
+    }
