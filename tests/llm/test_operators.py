@@ -150,6 +150,22 @@ def test_lm_bounds_its_trie(spark, docs):
     assert 0 < total < 1
 
 
+def test_lm_keeps_rare_contexts(spark, monkeypatch):
+    """The whole trie prices every word, however few nodes a capped one would keep and however many pieces there are."""
+    monkeypatch.setattr(lm, "NODES", 100)
+    monkeypatch.setattr(lm.scored, "__defaults__", tuple(100 if x == 1_500_000 else x for x in lm.scored.__defaults__))
+    rng = random.Random(12)
+    made = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(1, 9))) for _ in range(400)]
+    docs = spark.createDataFrame([(i, " ".join(rng.choices(made, k=30))) for i in range(60)], "doc_id long, text string").repartition(3)
+    counts = Counter()
+    for r in docs.collect():
+        if zlib.crc32(str(r["doc_id"]).encode()) % 5 != 1:
+            counts.update([*words(r["text"]), ""])
+    model = ppm(counts, 6)
+    found = {r["doc_id"]: r["score"] for r in lm.scored(docs).collect()}
+    assert found == pytest.approx({r["doc_id"]: sum(map(model, [*words(r["text"]), ""])) for r in docs.collect()})
+
+
 def test_near_duplicates_equal_brute_force(docs, none, rows):
     for k, percent in ((3, 85), (5, 80)):
         want = neardup.brute_force({i: t for i, t, _ in rows}, k, percent)

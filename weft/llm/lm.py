@@ -7,10 +7,13 @@ the texts, never once for each byte. Escapes are of method D (each of a context'
 a count to the escape), and symbols of the contexts escaped from are excluded from the shorter ones.
 
 1. Blocks of texts become word numbers and the block's vocabulary, written to the shared folder.
-2. The vocabularies are summed by word; the counts of training words give the trie's (context, symbol) counts.
-3. The trie goes to the executors whole. Its size is bounded: contexts seen less than 2^b times are left
-   out, where b is the least number that keeps at most ``nodes`` pairs. Every count covers all training texts.
-4. Each distinct word is scored; scores return to the blocks by word, then to the texts by block.
+2. The vocabularies are summed by word and written in pieces of words; the counts of training words give the
+   trie's (context, symbol) counts.
+3. The trie is dealt over buckets by the last two bytes of the context, and so are the distinct (context,
+   symbol) places of each piece: all contexts that a place falls back to end in the same bytes. Contexts of
+   order 0 and 1 (at most 257 * 257 pairs) go to every bucket. No pair is left out, at any size.
+4. Prices return to the pieces, so each distinct word is scored; scores return to the blocks by word, then to
+   the texts by block.
 
 Edge cases: a null or empty text is one end token; a null doc_id is the empty text for the fold and is
 kept; repeated rows give repeated rows; without training texts every symbol has probability 1/257; other
@@ -39,6 +42,7 @@ ORDER = 6
 #: A context's key holds its bytes, the last lowest, and above them its order; with a symbol it is 60 bits.
 ORDER_AT = 48
 NODES = 1_500_000
+BUCKETS, PIECE_WORDS = 256, 50_000
 SYMBOLS = 257
 SPACE, END = 0x20, 256
 FOLDS, HELD_OUT = 5, 1
@@ -97,6 +101,14 @@ class Spelt:
         """Whether the context of order j lies within the word and the space before it."""
         return self.place + 1 >= j
 
+    def places(self) -> np.ndarray:
+        """The longest context of each symbol, with the symbol: all that its price depends on."""
+        longest = np.minimum(self.place + 1, len(self.keys) - 1)
+        keys = np.zeros(len(self.symbols), np.int64)
+        for j, key in enumerate(self.keys):
+            keys = np.where(longest == j, key, keys)
+        return keys << 9 | self.symbols
+
 
 def _counted(order: int):
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,19 +174,25 @@ class Trie:
     def log10(self, words: pa.Array) -> np.ndarray:
         """The log10 probability of each word with its closing space; of "", that of the end of the text."""
         spelt = Spelt(words, self.order)
-        size = len(spelt.symbols)
+        return np.add.reduceat(self.priced(spelt.places()), spelt.ends - spelt.sizes) if len(spelt.symbols) else np.empty(0)
+
+    def priced(self, places: np.ndarray) -> np.ndarray:
+        """The log10 probability of each place's symbol after its context."""
+        held, symbols = places >> 9, places & 511
+        longest, size = held >> ORDER_AT, len(places)
         out, before = np.zeros(size), np.full(size, -1, np.int64)  # before: the context escaped from
         todo = np.arange(size)
         for j in range(self.order, -1, -1):
-            some = todo[spelt.has(j)[todo]]
-            node, there = self._find(self.contexts, spelt.keys[j][some])
-            some, node = some[there], node[there]
+            some = todo[longest[todo] >= j]
+            key = held[some] & ((np.int64(1) << 8 * j) - 1) | np.int64(j) << ORDER_AT
+            node, there = self._find(self.contexts, key)
+            some, node, key = some[there], node[there], key[there]
             if not len(some):
                 continue
             last = before[some]
             total = np.where(last >= 0, self.left[last], self.total[node])
             kinds = np.where(last >= 0, self.left_q[last], self.q[node])
-            pair, coded = self._find(self.pairs, spelt.keys[j][some] << 9 | spelt.symbols[some])
+            pair, coded = self._find(self.pairs, key << 9 | symbols[some])
             with np.errstate(divide="ignore", invalid="ignore"):
                 chance = np.where(coded, self.n[pair] - 0.5, 0.5 * kinds) / total
             out[some] += np.log10(np.where(kinds > 0, chance, 1.0))
@@ -184,11 +202,13 @@ class Trie:
             todo = todo[~done[todo]]
         last = before[todo]
         out[todo] -= np.log10(SYMBOLS - np.where(last >= 0, self.q[last] if len(self.q) else 0, 0))
-        return np.add.reduceat(out, spelt.ends - spelt.sizes) if size else out
+        return out
 
 
 def trained(vocabulary: DataFrame, order: int = ORDER, nodes: int = NODES) -> Trie:
-    """The trie of the words' counts (word, c); see the module's head for its bound."""
+    """One trie of the words' counts (word, c), for callers that want it small: contexts seen less than 2^b times are
+    left out, where b is the least number that keeps at most ``nodes`` pairs. ``scored`` takes no part in this.
+    """
     pairs = written(
         vocabulary.where("c > 0").mapInArrow(_counted(order), "context long, symbol int, n long").groupBy("context", "symbol").agg(F.sum("n").alias("n")),
         "lm-pairs",
@@ -204,28 +224,129 @@ def trained(vocabulary: DataFrame, order: int = ORDER, nodes: int = NODES) -> Tr
     return Trie(*(found[c].to_numpy().astype(np.int64) for c in ("context", "symbol", "n")), order)
 
 
-def scored(docs: DataFrame, order: int = ORDER, nodes: int = NODES) -> DataFrame:
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(piece, words, counts): the vocabulary's words, PIECE_WORDS to a row."""
+    part, n = TaskContext.get().partitionId(), 0
+    held: list[pa.RecordBatch] = []
+
+    def row() -> pa.RecordBatch:
+        table = pa.Table.from_batches(held)
+        held.clear()
+        return pa.record_batch([pa.array([part << 20 | n]), pa.array([table.column("word").to_pylist()], pa.list_(pa.string())), pa.array([table.column("c").to_numpy()], pa.list_(pa.int64()))], ["piece", "words", "counts"])
+
+    for batch in batches:
+        held.append(batch)
+        if sum(x.num_rows for x in held) >= PIECE_WORDS:
+            yield row()
+            n += 1
+    if sum(x.num_rows for x in held):
+        yield row()
+
+
+def _bucket(contexts: np.ndarray) -> np.ndarray:
+    """By the last two bytes of the context: an odd factor spreads them, the high bits count."""
+    return ((contexts & 0xFFFF) * 40503 & 0xFFFF) * BUCKETS >> 16
+
+
+def _dealt(order: int):
+    """The counts of training words, as ``_counted`` has them, with their bucket; orders 0 and 1 are left to ``_top``."""
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found in _counted(order)(_trained_words(batches)):
+            found = found.filter(pa.array(found.column("context").to_numpy() >> ORDER_AT > 1))
+            yield found.append_column("bucket", pa.array(_bucket(found.column("context").to_numpy()).astype(np.int32)))
+
+    return dealt
+
+
+def _top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return _counted(1)(_trained_words(batches))
+
+
+def _trained_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for words, counts in zip(batch.column("words"), batch.column("counts"), strict=True):
+            found = pa.record_batch([words.values, counts.values], ["word", "c"])
+            yield found.filter(pc.greater(found.column("c"), 0))
+
+
+def _distinct(words: pa.Array, order: int) -> tuple[Spelt, np.ndarray, np.ndarray, np.ndarray]:
+    """The words' distinct places by bucket, where each symbol's is among them, and the buckets' ends."""
+    spelt = Spelt(words, order)
+    places, where = np.unique(spelt.places(), return_inverse=True)
+    bucket = _bucket(places >> 9)
+    by = np.argsort(bucket, kind="stable")
+    rank = np.empty(len(by), np.int64)
+    rank[by] = np.arange(len(by))
+    return spelt, places[by], rank[where], np.searchsorted(bucket[by], np.arange(BUCKETS + 1))
+
+
+def _asked(order: int):
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=1).compress
+        for batch in batches:
+            for piece, words in zip(batch.column("piece").to_pylist(), batch.column("words"), strict=True):
+                _, places, _, ends = _distinct(words.values, order)
+                full = np.flatnonzero(np.diff(ends)).tolist()
+                packed = [pack(np.diff(places[ends[b] : ends[b + 1]], prepend=0).tobytes()) for b in full]
+                yield pa.record_batch([pa.array([piece] * len(full), pa.int64()), pa.array(full, pa.int32()), pa.array(packed, pa.binary())], ["piece", "bucket", "places"])
+
+    return asked
+
+
+def _summed(contexts: np.ndarray, symbols: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts of the same pair made one."""
+    pairs, n = contexts << 9 | symbols, n.astype(np.int64)
+    by = np.argsort(pairs, kind="stable")
+    pairs = pairs[by]
+    first = np.flatnonzero(np.concatenate((np.ones(min(len(pairs), 1), bool), pairs[1:] != pairs[:-1])))
+    return pairs[first] >> 9, pairs[first] & 511, np.add.reduceat(n[by], first) if len(first) else n
+
+
+def word_prices(pieces: DataFrame, order: int = ORDER) -> DataFrame:
+    """(word, c, p) for the words of all pieces: their log10 probability by the whole trie of the training words."""
+    spark = pieces.sparkSession
+    top = pieces.mapInArrow(_top, "context long, symbol int, n long").groupBy("context", "symbol").agg(F.sum("n").alias("n")).toArrow()
+    short = spark.sparkContext.broadcast([top.column(c).to_numpy().astype(np.int64) for c in ("context", "symbol", "n")])
+    counts = pieces.mapInArrow(_dealt(order), "context long, symbol int, n long, bucket int")
+    asked = pieces.mapInArrow(_asked(order), "piece long, bucket int, places binary")
+
+    def answered(pairs: pa.Table, places: pa.Table) -> pa.Table:
+        own = _summed(*(pairs.column(c).to_numpy().astype(np.int64) for c in ("context", "symbol", "n")))
+        trie = Trie(*(np.concatenate(x) for x in zip(short.value, own, strict=True)), order)
+        unpack = zstandard.ZstdDecompressor().decompress
+        prices = [trie.priced(np.cumsum(np.frombuffer(unpack(x), np.int64))).tobytes() for x in places.column("places").to_pylist()]
+        return pa.table([places.column("piece"), places.column("bucket"), pa.array(prices, pa.binary())], ["piece", "bucket", "prices"])
+
+    def spelt(words: pa.Table, prices: pa.Table) -> pa.Table:
+        out = []
+        for row, counts in zip(words.column("words"), words.column("counts"), strict=True):
+            spelt, places, where, _ = _distinct(row.values, order)
+            parts = [x for _, x in sorted(zip(prices.column("bucket").to_pylist(), prices.column("prices").to_pylist(), strict=True))]
+            each = np.frombuffer(b"".join(parts), np.float64)
+            assert len(each) == len(places)
+            out.append(pa.table([row.values, counts.values, np.add.reduceat(each[where], spelt.ends - spelt.sizes)], schema=word_schema))
+        return pa.concat_tables(out) if out else word_schema.empty_table()
+
+    word_schema = pa.schema([("word", pa.string()), ("c", pa.int64()), ("p", pa.float64())])
+    prices = counts.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(answered, "piece long, bucket int, prices binary")
+    return pieces.groupBy("piece").cogroup(prices.groupBy("piece")).applyInArrow(spelt, "word string, c long, p double")
+
+
+def scored(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """For each row of docs (doc_id, text): fold, counts, the unigram base and the model's log10 probability.
 
     bits is the code length of the text in bits.
     """
-    spark = docs.sparkSession
     schema = "block long, doc_ids array<long>, sizes array<long>, ids binary, words array<string>, counts array<long>"
     encoded = written(docs.select("doc_id", "text").mapInArrow(_encoded, schema), "lm-blocks", maxRecordsPerFile="8")
     uses = encoded.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("pos", "x")).select("block", "pos", F.col("x.words").alias("word"), F.col("x.counts").alias("c"))
-    vocabulary = written(uses.groupBy("word").agg(F.sum("c").alias("c")), "lm-words")
-    n, v = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
-    model = spark.sparkContext.broadcast(trained(vocabulary, order, nodes).__dict__)
+    pieces = written(uses.groupBy("word").agg(F.sum("c").alias("c")).mapInArrow(_pieces, "piece long, words array<string>, counts array<long>"), "lm-words")
+    sums = pieces.select(F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x).alias("n"), F.size(F.filter("counts", lambda x: x > 0)).alias("v"))
+    n, v = sums.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     below = n + 0.5 * (v + 1)
 
-    def weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = Trie.__new__(Trie)
-        trie.__dict__.update(model.value)
-        for batch in batches:
-            if batch.num_rows:
-                yield pa.record_batch([batch.column("word"), batch.column("c"), pa.array(trie.log10(batch.column("word")))], ["word", "c", "p"])
-
-    prices = uses.select("block", "pos", "word").join(vocabulary.mapInArrow(weighed, "word string, c long, p double"), "word").select("block", "pos", "c", "p")
+    prices = uses.select("block", "pos", "word").join(word_prices(pieces, order), "word").select("block", "pos", "c", "p")
 
     def summed(block: pa.Table, words: pa.Table) -> pa.Table:
         if not block.num_rows:
