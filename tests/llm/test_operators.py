@@ -241,6 +241,16 @@ def test_pii_bootstrap(spark, docs, none):
     assert pii.report(docs).count() == docs.count() and pii.report(none).count() == 0
 
 
+def test_pii_counts_every_occurrence_in_every_round(spark):
+    """Ten seeds among a thousand other numbers after the same word make no trusted pattern in any round."""
+    seeds = [(i, f"word{i} ref {10**13 * (i + 1) + next(k for k in range(10) if pii.luhn(str(10**13 * (i + 1) + k)))} end{i}") for i in range(9)]
+    other = [(100 + i, f"word{i} ref {20000000 + i} end{i}") for i in range(1000)]
+    table = spark.createDataFrame(seeds + other, "doc_id long, text string")
+    found = {r["doc_id"]: r["spans"] for r in pii.report(table).collect()}
+    assert all(found[i].startswith("card:") for i in range(9)) and not any(found[100 + i] for i in range(1000))
+
+
+
 def test_decontamination_equals_brute_force(spark, docs, none, rows):
     texts = {i: t for i, t, _ in rows}
     cut = texts[0].split()

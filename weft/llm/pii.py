@@ -8,7 +8,8 @@ Base spans come from fixed patterns (e-mail, IP address, card, phone). The boots
 2. Patterns and instances make a weighted graph. Instances that base spans cover are seeds with score 1.
    A round gives each pattern the share of its occurrences held by scored instances, smoothed, and each
    instance the chance that not all of its patterns are wrong. Rounds are Spark aggregations over counts of
-   (pattern, instance); the table is written between rounds.
+   (pattern, instance); the table is written between rounds. Every occurrence counts in every round, those of
+   instances without a score as 0.
 3. Occurrences of a pattern above the confidence become spans of kind "id", unless a base span touches them.
    The patterns trusted go to the executors whole: the least number of distinct seeds is raised, by powers of
    two, until at most ``patterns`` are left, so their size is bounded.
@@ -150,11 +151,11 @@ def confident(docs: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDE
     graph = written(pairs.groupBy("pattern", "instance").agg(F.sum("n").alias("n"), F.max("seed").alias("seed")), "pii-graph")
     score = graph.select("instance", F.col("seed").cast("double").alias("s")).groupBy("instance").agg(F.max("s").alias("s"))
     for _ in range(rounds):
-        held = graph.join(score, "instance")
+        held = graph.join(score, "instance", "left").fillna(0.0, ["s"])
         patterns = held.groupBy("pattern").agg(F.sum(F.col("n") * F.col("s")).alias("good"), F.sum("n").alias("all"), F.sum((F.col("s") > 0.5).cast("int")).alias("kinds"))
         patterns = written(patterns.select("pattern", (F.col("good") / (F.col("all") + SMOOTHING)).alias("score"), "kinds"), "pii-patterns")
         chance = 1 - F.exp(F.sum(F.log(F.lit(1.0) - F.least(F.col("score"), F.lit(0.999)))))
-        score = written(graph.join(patterns.where(f"kinds >= {LEAST_SEEDS}"), "pattern").groupBy("instance").agg(F.greatest(chance, F.max("seed").cast("double")).alias("s")).where("s > 0.05"), "pii-instances")
+        score = written(graph.join(patterns.where(f"kinds >= {LEAST_SEEDS}"), "pattern", "left").fillna(0.0, ["score"]).groupBy("instance").agg(F.greatest(chance, F.max("seed").cast("double")).alias("s")).where("s > 0.05"), "pii-instances")
     return patterns.where((F.col("score") >= confidence) & (F.col("kinds") >= LEAST_SEEDS)).select("pattern", "score", "kinds")
 
 
