@@ -251,6 +251,19 @@ def test_pii_counts_every_occurrence_in_every_round(spark):
 
 
 
+def test_pii_finds_unseen_shapes(spark):
+    """Identifiers whose shape no seed has come back as spans, by the words around them alone."""
+    known = [(i, f"please write to the person named a{i}@b{i}.org now") for i in range(40)]
+    unseen = [(100 + i, f"please write to the person named {x} now") for i, x in enumerate(["u1@host", "u2@host", "u3@host", "fe80::1:22", "AB-12/77", "77-x-99"])]
+    clean = [(200 + i, f"room {i} has 12 chairs") for i in range(40)]
+    found = {r["doc_id"]: r["spans"] for r in pii.report(spark.createDataFrame(known + unseen + clean, "doc_id long, text string")).collect()}
+    for i, x in unseen:
+        at = len("please write to the person named ")
+        assert found[i] == f"id:{at}:{len(x) - len(' now')}"
+    assert not any(found[200 + i] for i in range(40))
+
+
+
 def test_decontamination_equals_brute_force(spark, docs, none, rows):
     texts = {i: t for i, t, _ in rows}
     cut = texts[0].split()

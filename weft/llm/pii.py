@@ -3,11 +3,11 @@
 Base spans come from fixed patterns (e-mail, IP address, card, phone). The bootstrap finds further tokens:
 
 1. Every token that has a shape of an identifier (a digit, or "@" inside) is an occurrence. Its lexical
-   patterns are the word before it, the word after it and the name it is assigned to, each with its form
-   (letters and digits made classes). Tokens that a base pattern met but its test turned down take no part.
+   patterns are the word before it, the word after it and the name it is assigned to; the words both alone, so
+   that other shapes are found by them, and with the token's form (letters and digits made classes). Tokens that a base pattern met but its test turned down take no part.
 2. Patterns and instances make a weighted graph. Instances that base spans cover are seeds with score 1.
    A round gives each pattern the share of its occurrences held by scored instances, smoothed, and each
-   instance the chance that not all of its patterns are wrong. Rounds are Spark aggregations over counts of
+   instance the chance that not all of its contexts are wrong, a context having its best pattern's score. Rounds are Spark aggregations over counts of
    (pattern, instance); the table is written between rounds. Every occurrence counts in every round, those of
    instances without a score as 0.
 3. Occurrences of a pattern above the confidence become spans of kind "id", unless a base span touches them.
@@ -81,8 +81,8 @@ def form(token: str) -> str:
     return re.sub(r"[0-9A-Za-z]+", lambda m: ("9" if m.group().isdigit() else "a" if m.group().isalpha() else "x") + ("+" if len(m.group()) > 7 else ""), token)
 
 
-def occurrences(text: str) -> Iterator[tuple[int, int, str, list[str], bool]]:
-    """(start, end, instance, patterns, seed) of each shaped token, punctuation around it left off."""
+def occurrences(text: str) -> Iterator[tuple[int, int, str, list[tuple[str, str]], bool]]:
+    """(start, end, instance, (pattern, context) of each pattern, seed) of each shaped token, punctuation around it left off."""
     spans, at, passed, failed, over = None, 0, 0, 0, 0
     for m in SHAPED.finditer(text):
         if m.start() < over:
@@ -103,12 +103,16 @@ def occurrences(text: str) -> Iterator[tuple[int, int, str, list[str], bool]]:
         if passed <= start < failed:
             continue
         shape = form(core)
-        patterns = [f"l {_last(text, first).lower()}|{shape}"]
+        left = _last(text, first).lower()
+        patterns = [(f"l {left}|{shape}", f"l {left}")]
+        if left:
+            patterns.append((f"L {left}", f"l {left}"))
         if right := TOKEN.match(text, _skip(text, over)):
-            patterns.append(f"r {shape}|{right.group().lower()}")
+            word = right.group().lower()
+            patterns += [(f"r {shape}|{word}", f"r {word}"), (f"R {word}", f"r {word}")]
         name, equals, value = core.partition("=")
         if equals and name and value:
-            patterns.append(f"k {name.lower()}=")
+            patterns.append((f"k {name.lower()}=", f"k {name.lower()}="))
         yield start, end, core, patterns, passed > start
 
 
@@ -134,28 +138,28 @@ def _last(text: str, end: int) -> str:
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for block in blocks(batches, "text", BLOCK_BYTES):
-        found: dict[tuple[str, bytes, bool], int] = {}
+        found: dict[tuple[str, str, bytes, bool], int] = {}
         for text in block.column("text").to_pylist():
             if text:
                 for _, _, token, patterns, seed in occurrences(text):
                     mark = hashlib.blake2b(token.encode("utf-8", "surrogatepass"), digest_size=12).digest()
-                    for p in patterns:
-                        found[p, mark, seed] = found.get((p, mark, seed), 0) + 1
-        columns = list(zip(*found, strict=True)) if found else [[], [], []]
-        yield pa.record_batch([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.bool_()), pa.array(list(found.values()), pa.int64())], ["pattern", "instance", "seed", "n"])
+                    for p, context in patterns:
+                        found[p, context, mark, seed] = found.get((p, context, mark, seed), 0) + 1
+        columns = list(zip(*found, strict=True)) if found else [[], [], [], []]
+        yield pa.record_batch([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.binary()), pa.array(columns[3], pa.bool_()), pa.array(list(found.values()), pa.int64())], ["pattern", "context", "instance", "seed", "n"])
 
 
 def confident(docs: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDENCE) -> DataFrame:
     """The patterns (pattern, score) that the bootstrap trusts."""
-    pairs = docs.select("text").mapInArrow(_counted, "pattern string, instance binary, seed boolean, n long")
-    graph = written(pairs.groupBy("pattern", "instance").agg(F.sum("n").alias("n"), F.max("seed").alias("seed")), "pii-graph")
+    pairs = docs.select("text").mapInArrow(_counted, "pattern string, context string, instance binary, seed boolean, n long")
+    graph = written(pairs.groupBy("pattern", "context", "instance").agg(F.sum("n").alias("n"), F.max("seed").alias("seed")), "pii-graph")
     score = graph.select("instance", F.col("seed").cast("double").alias("s")).groupBy("instance").agg(F.max("s").alias("s"))
     for _ in range(rounds):
         held = graph.join(score, "instance", "left").fillna(0.0, ["s"])
         patterns = held.groupBy("pattern").agg(F.sum(F.col("n") * F.col("s")).alias("good"), F.sum("n").alias("all"), F.sum((F.col("s") > 0.5).cast("int")).alias("kinds"))
         patterns = written(patterns.select("pattern", (F.col("good") / (F.col("all") + SMOOTHING)).alias("score"), "kinds"), "pii-patterns")
         chance = 1 - F.exp(F.sum(F.log(F.lit(1.0) - F.least(F.col("score"), F.lit(0.999)))))
-        score = written(graph.join(patterns.where(f"kinds >= {LEAST_SEEDS}"), "pattern", "left").fillna(0.0, ["score"]).groupBy("instance").agg(F.greatest(chance, F.max("seed").cast("double")).alias("s")).where("s > 0.05"), "pii-instances")
+        score = written(graph.join(patterns.where(f"kinds >= {LEAST_SEEDS}"), "pattern", "left").fillna(0.0, ["score"]).groupBy("instance", "context").agg(F.max("score").alias("score"), F.max("seed").alias("seed")).groupBy("instance").agg(F.greatest(chance, F.max("seed").cast("double")).alias("s")).where("s > 0.05"), "pii-instances")
     return patterns.where((F.col("score") >= confidence) & (F.col("kinds") >= LEAST_SEEDS)).select("pattern", "score", "kinds")
 
 
@@ -178,7 +182,7 @@ def located(docs: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDENC
                 own = base_spans(text or "")
                 counts.append([sum(k == kind for *_, k in own) for kind in KINDS])
                 base.append([f"{k}:{a}:{b}" for a, b, k in own])
-                more = [(a, b, "id") for a, b, _, p, seed in occurrences(text or "") if not seed and any(x in trusted.value for x in p)]
+                more = [(a, b, "id") for a, b, _, p, seed in occurrences(text or "") if not seed and any(x in trusted.value for x, _ in p)]
                 order = (*KINDS, "id")
                 every.append([f"{k}:{a}:{b}" for a, b, k in sorted(own + more, key=lambda x: (x[0], order.index(x[2])))])
             yield pa.record_batch(
