@@ -264,6 +264,15 @@ def test_pii_finds_unseen_shapes(spark):
 
 
 
+def test_pii_is_the_same_for_any_number_of_patterns(spark, docs):
+    """Trusted patterns beyond the broadcast limit still give their spans; repeated rows stay."""
+    texts = [f"word{j} named {x} after{j}" for j in range(3) for x in [*(f"a{i}@b{i}.org" for i in range(5 + 20 * (j == 2))), f"u{j}@host", f"{j}-77-x"]]
+    table = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(0, texts[5]), (None, texts[5]), (900, None)], "doc_id long, text string").union(docs.select("doc_id", "text"))
+    some, none, whole = (sorted(map(str, pii.report(table, patterns=n).collect())) for n in (1, 0, 200_000))
+    assert some == whole and none == whole and any("id:" in x for x in whole)
+
+
+
 def test_decontamination_equals_brute_force(spark, docs, none, rows):
     texts = {i: t for i, t, _ in rows}
     cut = texts[0].split()

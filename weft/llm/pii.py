@@ -11,8 +11,8 @@ Base spans come from fixed patterns (e-mail, IP address, card, phone). The boots
    (pattern, instance); the table is written between rounds. Every occurrence counts in every round, those of
    instances without a score as 0.
 3. Occurrences of a pattern above the confidence become spans of kind "id", unless a base span touches them.
-   The patterns trusted go to the executors whole: the least number of distinct seeds is raised, by powers of
-   two, until at most ``patterns`` are left, so their size is bounded.
+   Up to ``patterns`` trusted patterns go to the executors whole; more are joined to the occurrences by shuffle,
+   with the same result.
 
 Offsets are code points, ends exclusive. Base spans always stay.
 
@@ -27,6 +27,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -166,31 +167,64 @@ def confident(docs: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDE
 def located(docs: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDENCE, patterns: int = 200_000) -> DataFrame:
     """doc_id, counts of base spans, base spans and all spans (arrays of kind:start:end) for each row of docs."""
     trust = confident(docs, rounds, confidence)
-    least, held = 0, 0
-    for b, n in sorted(((r["b"], r["n"]) for r in trust.groupBy(F.floor(F.log2("kinds")).cast("int").alias("b")).agg(F.count("*").alias("n")).collect()), reverse=True):
-        held += n
-        if held > patterns:
-            least = 2 ** (b + 1)
-            break
-    known = trust.where(F.col("kinds") >= least).toArrow()
-    trusted = docs.sparkSession.sparkContext.broadcast(frozenset(known["pattern"].to_pylist()))
+    if trust.count() > patterns:
+        return _joined(docs, trust)
+    trusted = docs.sparkSession.sparkContext.broadcast(frozenset(trust.toArrow()["pattern"].to_pylist()))
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "text", BLOCK_BYTES):
-            counts, base, every = [], [], []
-            for text in block.column("text").to_pylist():
-                own = base_spans(text or "")
-                counts.append([sum(k == kind for *_, k in own) for kind in KINDS])
-                base.append([f"{k}:{a}:{b}" for a, b, k in own])
-                more = [(a, b, "id") for a, b, _, p, seed in occurrences(text or "") if not seed and any(x in trusted.value for x, _ in p)]
-                order = (*KINDS, "id")
-                every.append([f"{k}:{a}:{b}" for a, b, k in sorted(own + more, key=lambda x: (x[0], order.index(x[2])))])
-            yield pa.record_batch(
-                [block.column("doc_id").cast(pa.int64()), *(pa.array([c[i] for c in counts], pa.int64()) for i in range(4)), pa.array(base, pa.list_(pa.string())), pa.array(every, pa.list_(pa.string()))],
-                ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base", "every"],
-            )
-
-    return docs.select("doc_id", "text").mapInArrow(spans, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base array<string>, every array<string>")
+            based, every = _based(block), []
+            for text, own in zip(block.column("text").to_pylist(), based.column("base").to_pylist(), strict=True):
+                every.append(_every(own, [(a, b) for a, b, _, p, seed in occurrences(text or "") if not seed and any(x in trusted.value for x, _ in p)]))
+            yield based.append_column("every", pa.array(every, pa.list_(pa.string())))
+
+    return docs.select("doc_id", "text").mapInArrow(spans, f"{BASED}, every array<string>")
+
+
+BASED = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base array<string>"
+
+
+def _based(block: pa.RecordBatch) -> pa.RecordBatch:
+    """doc_id, counts of base spans and the base spans of each row."""
+    counts, base = [], []
+    for text in block.column("text").to_pylist():
+        own = base_spans(text or "")
+        counts.append([sum(k == kind for *_, k in own) for kind in KINDS])
+        base.append([f"{k}:{a}:{b}" for a, b, k in own])
+    return pa.record_batch([block.column("doc_id").cast(pa.int64()), *(pa.array([c[i] for c in counts], pa.int64()) for i in range(4)), pa.array(base, pa.list_(pa.string()))], ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base"])
+
+
+def _every(base: list[str], more: list[tuple[int, int]]) -> list[str]:
+    """Base spans and spans of kind id, by start and then by kind."""
+    order = (*KINDS, "id")
+
+    def at(span: str) -> tuple[int, int]:
+        kind, start, _ = span.split(":")
+        return int(start), order.index(kind)
+
+    return sorted(base + [f"id:{a}:{b}" for a, b in more], key=at)
+
+
+def _joined(docs: DataFrame, trust: DataFrame) -> DataFrame:
+    """As ``located`` for trusted patterns of any number: each row's occurrences are written and meet them by shuffle."""
+
+    def looked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = TaskContext.get().partitionId() << 40
+        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("pattern", pa.string())]))
+        for block in blocks(batches, "text", BLOCK_BYTES):
+            seen = [[(a, b, x) for a, b, _, p, seed in occurrences(text or "") if not seed for x, _ in p] for text in block.column("text").to_pylist()]
+            yield _based(block).append_column("seen", pa.array(seen, kind)).append_column("row", pa.array(range(n, n + block.num_rows), pa.int64()))
+            n += block.num_rows
+
+    def ended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            every = [_every(own, [(x["start"], x["end"]) for x in more or []]) for own, more in zip(batch.column("base").to_pylist(), batch.column("more").to_pylist(), strict=True)]
+            yield batch.drop_columns(["more"]).append_column("every", pa.array(every, pa.list_(pa.string())))
+
+    rows = written(docs.select("doc_id", "text").mapInArrow(looked, f"{BASED}, seen array<struct<start:long,end:long,pattern:string>>, row long"), "pii-rows")
+    seen = rows.select("row", F.inline("seen")).join(trust.select("pattern"), "pattern", "left_semi")
+    more = seen.groupBy("row").agg(F.collect_set(F.struct("start", "end")).alias("more"))
+    return rows.drop("seen").join(more, "row", "left").drop("row").mapInArrow(ended, f"{BASED}, every array<string>")
 
 
 def report(docs: DataFrame, **options) -> DataFrame:
