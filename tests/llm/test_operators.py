@@ -360,3 +360,12 @@ def test_html_pages(spark, model):
     assert [r["text"] for r in found if r["page_id"] == 1] == ["Head & line\n\nOne two three four, five six. Seven\n\nEight nine ten &am"] * 2
     assert all(r["text"] == "" and r["n_chars"] == 0 for r in found if r["page_id"] != 1) and len(found) == 5
     assert html.extracted(rows.limit(0), model).count() == 0
+
+
+def test_html_implied_ends_do_not_silence():
+    """Ends that markup may leave out: of option, of head before body or its first element, of p over a silent element."""
+    article = "<article><p>Whole text.</p></article>"
+    for before in ("<body><select><option>A<option>B</select>", "<html><head><title>T</title><body>", "<head><meta charset=x><title>T</title>", "<head><title>T</title><br>", "<body><p><button>B<div>x</div>"):
+        pieces = [piece for _, _, piece in html.Page(before + article).pieces]
+        assert "Whole text." in pieces and "A" not in pieces and "B" not in pieces and "T" not in pieces
+    assert [piece for _, _, piece in html.Page("<head><title>T</title>Bare text").pieces] == ["Bare text"]

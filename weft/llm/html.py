@@ -38,6 +38,8 @@ SILENT = frozenset("script style noscript template iframe object svg math head t
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+#: What may stand in a head; anything else ends it.
+HEAD = frozenset("base link meta noscript script style template title".split())
 SCOPES = frozenset("ul ol dl table body html article section div main".split())
 #: Words in class, id and role that sites use for what is, and is not, the article.
 AGAINST = frozenset("ad ads advert advertisement banner breadcrumb breadcrumbs comment comments consent contentinfo cookie cookies copyright disqus footer foot form header legal login masthead menu modal nav navbar navigation newsletter notice pager pagination popup promo promoted reply replies related share sharing sidebar signup social sponsor sponsored subscribe tags toolbar widget".split())
@@ -59,9 +61,18 @@ class Page:
         self.pieces: list[tuple[int, int, str]] = []  # element, block, text
         stack, at, block = [0], 0, 0
         silent = 0
+
+        def cut(i: int) -> None:
+            """Ends the open elements from the i-th on."""
+            nonlocal silent
+            silent -= sum(self.tags[x] in SILENT for x in stack[i:])
+            del stack[i:]
+
         for m in _TOKEN.finditer(source):
             if m.start() < at:
                 continue
+            if self.tags[stack[-1]] == "head" and source[at : m.start()].strip():
+                cut(len(stack) - 1)
             if m.start() > at and not silent:
                 self.pieces.append((stack[-1], block, source[at : m.start()]))
             at = m.end()
@@ -70,14 +81,20 @@ class Page:
                 tag = closed.lower()
                 for i in range(len(stack) - 1, 0, -1):
                     if self.tags[stack[i]] == tag:
-                        silent -= sum(self.tags[x] in SILENT for x in stack[i:])
-                        del stack[i:]
+                        cut(i)
                         break
                 block += tag not in INLINE
             elif opened and m.group(4) == "":
                 at = len(source)  # it breaks off within a tag
             elif opened:
                 tag = opened.lower()
+                if self.tags[stack[-1]] == "head" and tag not in HEAD:
+                    cut(len(stack) - 1)
+                elif tag == "body":
+                    for i in range(len(stack) - 1, 0, -1):
+                        if self.tags[stack[i]] == "head":
+                            cut(i)
+                            break
                 if tag == "br":
                     if not silent:
                         self.pieces.append((stack[-1], block, " "))
@@ -86,7 +103,7 @@ class Page:
                     ends = SAME.get(tag, ("p",))
                     for i in range(len(stack) - 1, 0, -1):
                         if self.tags[stack[i]] in ends:
-                            del stack[i:]
+                            cut(i)
                             break
                         if self.tags[stack[i]] in SCOPES:
                             break
@@ -103,6 +120,8 @@ class Page:
                         end = _RAW[tag].search(source, at)
                         at = end.start() if end else len(source)
         rest = source[at:]
+        if self.tags[stack[-1]] == "head" and rest.partition("<")[0].strip():
+            cut(len(stack) - 1)
         if rest and not silent:
             self.pieces.append((stack[-1], block, rest.partition("<")[0] if re.match(r"[^<]*<[/!?A-Za-z]?[^>]*\Z", rest, re.S) else rest))
 
