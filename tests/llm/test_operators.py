@@ -92,20 +92,21 @@ def test_permutation(size):
     assert sorted(slots.tolist()) == list(range(size)) and (order.numbers(slots) == np.arange(size)).all()
 
 
-def ppm(counts, order):
-    trie, symbols = defaultdict(Counter), lambda w: [256] if not w else [*w.encode(), 32]
-    for w, c in counts.items():
-        seen = [32]
-        for s in symbols(w):
-            for j in range(min(order, len(seen)) + 1):
-                trie[tuple(seen[len(seen) - j :])][s] += c
+def ppm(texts, order):
+    """The log10 probability of a text (a list of words) by a trie of the given texts, symbol by symbol."""
+    trie, symbols = defaultdict(Counter), lambda ws: [*"".join(f"{w} " for w in ws).encode(), 256]
+    for ws in texts:
+        seen = [256] * order
+        for s in symbols(ws):
+            for j in range(order + 1):
+                trie[tuple(seen[len(seen) - j :])][s] += 1
             seen.append(s)
 
-    def log10(w):
-        seen, out = [32], 0.0
-        for s in symbols(w):
+    def log10(ws):
+        seen, out = [256] * order, 0.0
+        for s in symbols(ws):
             gone = set()
-            for j in range(min(order, len(seen)), -1, -1):
+            for j in range(order, -1, -1):
                 here = trie.get(tuple(seen[len(seen) - j :]))
                 if not here:
                     continue
@@ -124,46 +125,54 @@ def ppm(counts, order):
     return log10
 
 
-def test_lm_equals_brute_force(docs, none):
-    found = lm.scored(docs, order=4).collect()
+def lm_brute_force(docs, order):
     rows, counts = docs.collect(), Counter()
-    held = lambda r: zlib.crc32(str(r["doc_id"]).encode()) % 5 == 1
-    for r in rows:
-        if not held(r):
-            counts.update([*words(r["text"]), ""])
-    n, v, model = sum(counts.values()), len(counts), ppm(counts, 4)
-    want = []
+    held = lambda r: zlib.crc32(str(r["doc_id"]).encode() if r["doc_id"] is not None else b"") % 5 == 1
+    training = [words(r["text"]) for r in rows if not held(r)]
+    for t in training:
+        counts.update([*t, ""])
+    n, v, model, want = sum(counts.values()), len(counts), ppm(training, order), []
     for r in rows:
         t = [*words(r["text"]), ""]
-        want.append((r["doc_id"], held(r), len(t), sum(counts[w] > 0 for w in t), n, sum(math.log10((counts[w] + 0.5) / (n + 0.5 * (v + 1))) for w in t), sum(map(model, t))))
-    assert any(map(held, rows)) and len(found) == len(want)
-    for got, real in zip(sorted(tuple(r)[:7] for r in found), sorted(want), strict=True):
+        want.append((r["doc_id"], held(r), len(t), sum(counts[w] > 0 for w in t), n, sum(math.log10((counts[w] + 0.5) / (n + 0.5 * (v + 1))) for w in t), model(t[:-1])))
+    return want
+
+
+def lm_equal(docs, order):
+    found, want = lm.scored(docs, order=order).collect(), lm_brute_force(docs, order)
+    assert any(x[1] for x in want) and len(found) == len(want)
+    for got, real in zip(sorted((tuple(r)[:7] for r in found), key=str), sorted(want, key=str), strict=True):
         assert got[:5] == real[:5] and got[5:] == pytest.approx(real[5:])
-    assert lm.scored(none).count() == 0
 
 
-def test_lm_bounds_its_trie(spark, docs):
-    vocabulary = docs.select(F.explode(F.split("text", " ")).alias("word")).groupBy("word").agg(F.count("*").alias("c"))
-    small, whole = lm.trained(vocabulary, 4, 300), lm.trained(vocabulary, 4)
-    assert len(small.pairs) <= 300 < len(whole.pairs)
-    total = sum(10 ** small.log10(pa.array([w]))[0] for w in vocabulary.toPandas().word)
-    assert 0 < total < 1
+def test_lm_equals_brute_force(docs, none):
+    lm_equal(docs, 4)
+    lm_equal(docs, 2)
+    assert lm.scored(none).count() == 0
 
 
-def test_lm_keeps_rare_contexts(spark, monkeypatch):
-    """The whole trie prices every word, however few nodes a capped one would keep and however many pieces there are."""
-    monkeypatch.setattr(lm, "NODES", 100)
-    monkeypatch.setattr(lm.scored, "__defaults__", tuple(100 if x == 1_500_000 else x for x in lm.scored.__defaults__))
+def test_lm_over_many_blocks_chunks_and_parts(spark, monkeypatch):
+    """Small blocks, chunks and parts, so that texts, buckets and counts are cut everywhere; null ids; no cap on the trie."""
+    for name, value in (("BLOCK_BYTES", 300), ("CHUNK", 37), ("FAN", 2)):
+        monkeypatch.setattr(lm, name, value)
     rng = random.Random(12)
-    made = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(1, 9))) for _ in range(400)]
-    docs = spark.createDataFrame([(i, " ".join(rng.choices(made, k=30))) for i in range(60)], "doc_id long, text string").repartition(3)
-    counts = Counter()
-    for r in docs.collect():
-        if zlib.crc32(str(r["doc_id"]).encode()) % 5 != 1:
-            counts.update([*words(r["text"]), ""])
-    model = ppm(counts, 6)
-    found = {r["doc_id"]: r["score"] for r in lm.scored(docs).collect()}
-    assert found == pytest.approx({r["doc_id"]: sum(map(model, [*words(r["text"]), ""])) for r in docs.collect()})
+    made = ["".join(rng.choice("abcdéfghij中") for _ in range(rng.randint(1, 9))) for _ in range(100)]
+    docs = spark.createDataFrame([(i if i % 9 else None, " ".join(rng.choices(made, k=rng.randint(0, 30)))) for i in range(60)], "doc_id long, text string").repartition(3)
+    lm_equal(docs, 5)
+
+
+def test_lm_knows_word_order(spark):
+    """Contexts reach into the word before: a phrase of the training texts costs less than its words shuffled."""
+    phrase = "seven green houses under a river stone"
+    docs = spark.createDataFrame([(i, f"{phrase} {phrase}") for i in range(20)] + [(100, phrase), (101, "river stone a seven under houses green")], "doc_id long, text string")
+    found = {r["doc_id"]: (r["score"], r["base_score"]) for r in lm.scored(docs).collect()}
+    assert found[100][0] > found[101][0] + 3 and found[100][1] == pytest.approx(found[101][1])
+
+
+def test_lm_without_training_texts(spark):
+    held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 5 == 1)
+    found = lm.scored(spark.createDataFrame([(held, "ab")], "doc_id long, text string")).first()
+    assert found["score"] == pytest.approx(-4 * math.log10(257)) and found["train_tokens"] == 0
 
 
 def test_near_duplicates_equal_brute_force(docs, none, rows):

@@ -1,23 +1,24 @@
 """Language-model scores by prediction by partial matching (PPM) over bytes.
 
-A text is its lower-cased words, each spelt in bytes and closed by a space, then one end symbol. Contexts
-are the last 0 to ``order`` bytes, back to the space that opens the word and no further. So a word's code
-length depends on the word alone: it is worked out once for each distinct word of the corpus and joined to
-the texts, never once for each byte. Escapes are of method D (each of a context's q distinct symbols gives half
-a count to the escape), and symbols of the contexts escaped from are excluded from the shorter ones.
-
-1. Blocks of texts become word numbers and the block's vocabulary, written to the shared folder.
-2. The vocabularies are summed by word and written in pieces of words; the counts of training words give the
-   trie's (context, symbol) counts.
-3. The trie is dealt over buckets by the last two bytes of the context, and so are the distinct (context,
-   symbol) places of each piece: all contexts that a place falls back to end in the same bytes. Contexts of
-   order 0 and 1 (at most 257 * 257 pairs) go to every bucket. No pair is left out, at any size.
-4. Prices return to the pieces, so each distinct word is scored; scores return to the blocks by word, then to
-   the texts by block.
+A text is its lower-cased words, each closed by a space, then one end symbol. A symbol's context is the ``order``
+bytes before it, whatever words they belong to; before a text stand end symbols. Counts of the training texts make
+the trie. A symbol is coded in the longest context that has it; escapes are of method D (each of a context's q
+distinct symbols gives half a count to the escape), and symbols of the contexts escaped from are excluded from the
+shorter ones.
+
+1. Blocks of texts become word numbers, the block's vocabulary, and the block's distinct places (a place is a context
+   of full order and a symbol: all that a price depends on) with their counts in training texts; written to the
+   shared folder. A block holds far fewer distinct places than bytes.
+2. Places are dealt over buckets by the last two bytes of the context: all contexts that a place falls back to end
+   in the same bytes. Counts of a bucket are summed as a stream, ``FAN`` blocks at a time, into the trie's table.
+   Contexts of order 0 and 1 (at most 257 * 257 pairs) go to every bucket. No pair is left out, at any size.
+3. A bucket's trie prices the places of the blocks, as a stream again; a bucket is dealt to one task for each ``FAN``
+   blocks, with its trie copied, so that hot contexts are priced by many tasks.
+4. Prices and word counts return to the blocks, which are spelt again and summed by text.
 
 Edge cases: a null or empty text is one end token; a null doc_id is the empty text for the fold and is
 kept; repeated rows give repeated rows; without training texts every symbol has probability 1/257; other
-columns are ignored.
+columns are ignored; a very long text is a block alone, spelt ``CHUNK`` symbols at a time.
 """
 
 from __future__ import annotations
@@ -35,16 +36,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weft.llm._store import written
-from weft.llm._text import LOWER_SPACE, Words, blocks, translated
+from weft.llm._text import LOWER_SPACE, MIX, Words, blocks, strings, translated
 
 BLOCK_BYTES = 16 << 20
-ORDER = 6
+ORDER = 5
 #: A context's key holds its bytes, the last lowest, and above them its order; with a symbol it is 60 bits.
 ORDER_AT = 48
-NODES = 1_500_000
-BUCKETS, PIECE_WORDS = 256, 50_000
+BUCKETS, FAN, CHUNK = 256, 64, 4 << 20
 SYMBOLS = 257
-SPACE, END = 0x20, 256
+#: The end symbol; as a byte of a context it is one that no text has left.
+END, END_BYTE = 256, 0x0A
 FOLDS, HELD_OUT = 5, 1
 
 
@@ -53,98 +54,151 @@ def fold(doc_ids: pa.Array) -> np.ndarray:
     return np.fromiter((zlib.crc32(b"" if i is None else str(i).encode()) % FOLDS for i in doc_ids.to_pylist()), np.int64, len(doc_ids))
 
 
-def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each block: its texts as word numbers, its vocabulary, and each word's count in training texts."""
-    part, n = TaskContext.get().partitionId(), 0
-    pack = zstandard.ZstdCompressor(level=1).compress
-    for block in blocks(batches, "text", BLOCK_BYTES):
-        words = Words(translated(block.column("text"), LOWER_SPACE))
-        training = fold(block.column("doc_id")) != HELD_OUT
-        sizes = np.diff(words.starts)
-        counts = np.bincount(words.ids[np.repeat(training, sizes)], minlength=len(words.vocabulary))
-        yield pa.record_batch(
-            [
-                pa.array([part << 20 | n]),
-                pa.array([block.column("doc_id").cast(pa.int64())], pa.list_(pa.int64())),
-                pa.array([sizes], pa.list_(pa.int64())),
-                pa.array([pack(words.ids.astype(np.int32).tobytes())], pa.binary()),
-                pa.array([[*words.vocabulary.to_pylist(), ""]], pa.list_(pa.string())),
-                pa.array([np.append(counts, training.sum())], pa.list_(pa.int64())),
-            ],
-            ["block", "doc_ids", "sizes", "ids", "words", "counts"],
-        )
-        n += 1
+def _packed(values: np.ndarray) -> bytes:
+    """Whole numbers or floats, their bytes of one rank together, compressed."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes()) if len(values) else b""
+
+
+def _unpacked(data: bytes, dtype: type) -> np.ndarray:
+    if not data:
+        return np.empty(0, dtype)
+    flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.ascontiguousarray(flat.reshape(np.dtype(dtype).itemsize, -1).T).view(dtype).ravel()
 
 
 class Spelt:
-    """The symbols of some words, one after another, and the key of the context of each order before each."""
-
-    def __init__(self, words: pa.Array, order: int):
-        words = words.cast(pa.large_string())
-        lengths = pc.binary_length(words).to_numpy().astype(np.int64)
-        self.sizes = lengths + 1
-        self.ends = np.cumsum(self.sizes)
-        self.symbols = np.full(int(self.ends[-1]) if len(words) else 0, -1, np.int64)
-        self.symbols[self.ends - 1] = np.where(lengths == 0, END, SPACE)
-        data = "".join(words.to_pylist()).encode()
-        self.symbols[self.symbols < 0] = np.frombuffer(data, np.uint8)
-        self.place = np.arange(len(self.symbols)) - np.repeat(self.ends - self.sizes, self.sizes)
-        self.keys = [np.zeros(len(self.symbols), np.int64)]
-        held = np.zeros(len(self.symbols), np.int64)
-        for j in range(1, order + 1):
-            byte = np.full(len(self.symbols), SPACE, np.int64)
-            byte[j:] = np.where(self.place[j:] >= j, self.symbols[:-j], SPACE)
-            held = held | byte << 8 * (j - 1)
-            self.keys.append(held | np.int64(j) << ORDER_AT)
-
-    def has(self, j: int) -> np.ndarray:
-        """Whether the context of order j lies within the word and the space before it."""
-        return self.place + 1 >= j
-
-    def places(self) -> np.ndarray:
-        """The longest context of each symbol, with the symbol: all that its price depends on."""
-        longest = np.minimum(self.place + 1, len(self.keys) - 1)
-        keys = np.zeros(len(self.symbols), np.int64)
-        for j, key in enumerate(self.keys):
-            keys = np.where(longest == j, key, keys)
-        return keys << 9 | self.symbols
-
-
-def _counted(order: int):
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def summed() -> pa.RecordBatch:
-            keys, n = (np.concatenate(x) for x in zip(*held, strict=True))
-            by = np.argsort(keys, kind="stable")
-            keys = keys[by]
-            first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.empty(0, np.int64)
-            n = np.add.reduceat(n[by], first) if len(keys) else n
-            held.clear()
-            return pa.record_batch([pa.array(keys[first] >> 9), pa.array((keys[first] & 511).astype(np.int32)), pa.array(n)], ["context", "symbol", "n"])
+    """The symbols of a block's texts, each text after ``order`` end symbols that only serve as contexts."""
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            spelt = Spelt(batch.column("word"), order)
-            times = np.repeat(batch.column("c").to_numpy(), spelt.sizes)
-            for j in range(order + 1):
-                there = spelt.has(j)
-                held.append((spelt.keys[j][there] << 9 | spelt.symbols[there], times[there]))
-            if sum(len(x) for x, _ in held) > 2_000_000:
-                yield summed()
-        if held:
-            yield summed()
+    def __init__(self, ids: np.ndarray, sizes: np.ndarray, vocabulary: pa.Array, order: int):
+        """ids: of the texts' words; sizes: words of each text; vocabulary: without the end."""
+        self.order = order
+        closed = strings(pc.binary_join_element_wise(pa.concat_arrays([strings(vocabulary), pa.array([""], pa.large_string())]), *(pa.scalar(x, pa.large_string()) for x in (" ", ""))))
+        _, offsets, data = closed.buffers()
+        # the last spelling, a space alone, is no word's: it gives way to what stands before and after a text
+        first = np.frombuffer(offsets, np.int64)[: len(closed) + 1]
+        letters = np.concatenate((np.frombuffer(data, np.uint8)[: first[-2]], np.full(order + 1, END_BYTE, np.uint8)))
+        words, n, ends = len(vocabulary), len(sizes), np.cumsum(sizes)
+        lengths, first = np.append(np.diff(first[:-1]), (order, 1)), np.append(first[:-1], first[-2] + order)
+        at = np.arange(n)
+        tokens = np.empty(len(ids) + 2 * n, np.int32)
+        edge = np.zeros(len(tokens), bool)
+        edge[ends - sizes + 2 * at] = edge[ends + 2 * at + 1] = True
+        tokens[~edge] = ids
+        tokens[ends - sizes + 2 * at], tokens[ends + 2 * at + 1] = words, words + 1
+        each = lengths[tokens]
+        over = np.cumsum(each)
+        total = int(over[-1]) if n else 0
+        kind = np.int32 if max(total, len(letters)) < 2**31 else np.int64
+        self.symbols = letters[np.repeat((first[tokens] - (over - each)).astype(kind), each) + np.arange(total, dtype=kind)]
+        self.starts = over[ends - sizes + 2 * at]  # of each text's symbols, after its end symbols
+        self.stops = over[ends + 2 * at + 1]
+
+    def chunks(self) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(from, to, the place of each symbol between)."""
+        for low in range(0, len(self.symbols), CHUNK):
+            high = min(low + CHUNK, len(self.symbols))
+            keys = np.full(high - low, self.order << ORDER_AT, np.int64)
+            for j in range(1, self.order + 1):
+                skip = max(j - low, 0)
+                keys[skip:] |= self.symbols[low + skip - j : high - j].astype(np.int64) << 8 * (j - 1)
+            own = self.symbols[low:high].astype(np.int64)
+            own[own == END_BYTE] = END
+            yield low, high, keys << 9 | own
+
+    def marked(self, of_texts: np.ndarray) -> np.ndarray:
+        """For each symbol whether its text has the mark; the end symbols before a text have none."""
+        out = np.zeros(len(self.symbols) + 1, np.int8)
+        np.add.at(out, self.starts[of_texts], 1)
+        np.add.at(out, self.stops[of_texts], -1)
+        return np.cumsum(out[:-1], dtype=np.int8)
+
+
+def _summed(pairs: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs in order, with the sums of their counts."""
+    by = np.argsort(pairs, kind="stable")
+    pairs = pairs[by]
+    first = np.flatnonzero(np.concatenate((np.ones(min(len(pairs), 1), bool), pairs[1:] != pairs[:-1])))
+    return pairs[first], np.add.reduceat(n[by], first) if len(first) else n
+
+
+def _bucket(contexts: np.ndarray) -> np.ndarray:
+    """By the last two bytes of the context: an odd factor spreads them, the high bits count."""
+    return ((contexts & 0xFFFF) * 40503 & 0xFFFF) * BUCKETS >> 16
 
-    return counted
+
+def _distinct(spelt: Spelt, training: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The block's distinct places by bucket and in order, their counts in training texts, and the buckets' ends."""
+    marks, parts = spelt.marked(training), [(np.empty(0, np.int64), np.empty(0, np.int64))]
+    for low, high, places in spelt.chunks():
+        places = places << 1 | marks[low:high]
+        places.sort()
+        own = places >> 1
+        first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+        parts.append((own[first], np.add.reduceat(places & 1, first)))
+    places, n = _summed(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+    bucket = _bucket(places >> 9)
+    by = np.argsort(bucket, kind="stable")
+    return places[by], n[by], np.searchsorted(bucket[by], np.arange(BUCKETS + 1))
+
+
+class Lookup:
+    """Where keys stand among distinct keys that hold them all: a table by hash, a search for those that share a slot."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+        self.shift = np.uint64(64 - min(26, len(keys).bit_length() + 4))
+        self.table = np.zeros(1 << int(64 - self.shift), np.int32)
+        self.table[self._slots(keys)] = np.arange(len(keys), dtype=np.int32)
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return (keys.view(np.uint64) * MIX >> self.shift).astype(np.int32)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        at = self.table[self._slots(keys)]
+        other = np.flatnonzero(self.keys[at] != keys)
+        at[other] = np.searchsorted(self.keys, keys[other])
+        return at
+
+
+ENCODED = "block long, doc_ids array<long>, sizes array<long>, ids binary, words array<string>, counts array<long>, asked array<struct<bucket:int,places:binary,n:binary>>"
+
+
+def _encoded(order: int):
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One row for each block: its texts as word numbers, its vocabulary with each word's count in training texts, its places."""
+        part, block_number = TaskContext.get().partitionId(), 0
+        asked = pa.struct([("bucket", pa.int32()), ("places", pa.binary()), ("n", pa.binary())])
+        for block in blocks(batches, "text", BLOCK_BYTES):
+            words = Words(translated(block.column("text"), LOWER_SPACE))
+            training = fold(block.column("doc_id")) != HELD_OUT
+            sizes = np.diff(words.starts)
+            counts = np.bincount(words.ids[np.repeat(training, sizes)], minlength=len(words.vocabulary))
+            places, n, ends = _distinct(Spelt(words.ids, sizes, words.vocabulary, order), training)
+            full = np.flatnonzero(np.diff(ends)).tolist()
+            found = [{"bucket": b, "places": _packed(np.diff(places[ends[b] : ends[b + 1]], prepend=0)), "n": _packed(n[ends[b] : ends[b + 1]])} for b in full]
+            yield pa.record_batch(
+                [
+                    pa.array([part << 20 | block_number]),
+                    pa.array([block.column("doc_id").cast(pa.int64())], pa.list_(pa.int64())),
+                    pa.array([sizes], pa.list_(pa.int64())),
+                    pa.array([_packed(words.ids.astype(np.int32))], pa.binary()),
+                    pa.array([[*words.vocabulary.to_pylist(), ""]], pa.list_(pa.string())),
+                    pa.array([np.append(counts, training.sum())], pa.list_(pa.int64())),
+                    pa.array([found], pa.list_(asked)),
+                ],
+                ["block", "doc_ids", "sizes", "ids", "words", "counts", "asked"],
+            )
+            block_number += 1
+
+    return encoded
 
 
 class Trie:
     """Sorted contexts and (context, symbol) pairs, with what coding needs of each."""
 
-    def __init__(self, contexts: np.ndarray, symbols: np.ndarray, n: np.ndarray, order: int):
+    def __init__(self, pairs: np.ndarray, n: np.ndarray, order: int):
         self.order = order
-        pairs = contexts << 9 | symbols
         by = np.argsort(pairs)
         self.pairs, self.n = pairs[by], n[by].astype(np.float64)
         owner = self.pairs >> 9
@@ -171,22 +225,15 @@ class Trie:
         at = np.minimum(np.searchsorted(index, keys), max(len(index) - 1, 0))
         return at, index[at] == keys if len(index) else np.zeros(len(keys), bool)
 
-    def log10(self, words: pa.Array) -> np.ndarray:
-        """The log10 probability of each word with its closing space; of "", that of the end of the text."""
-        spelt = Spelt(words, self.order)
-        return np.add.reduceat(self.priced(spelt.places()), spelt.ends - spelt.sizes) if len(spelt.symbols) else np.empty(0)
-
     def priced(self, places: np.ndarray) -> np.ndarray:
         """The log10 probability of each place's symbol after its context."""
-        held, symbols = places >> 9, places & 511
-        longest, size = held >> ORDER_AT, len(places)
+        held, symbols, size = places >> 9, places & 511, len(places)
         out, before = np.zeros(size), np.full(size, -1, np.int64)  # before: the context escaped from
         todo = np.arange(size)
         for j in range(self.order, -1, -1):
-            some = todo[longest[todo] >= j]
-            key = held[some] & ((np.int64(1) << 8 * j) - 1) | np.int64(j) << ORDER_AT
+            key = held[todo] & ((np.int64(1) << 8 * j) - 1) | np.int64(j) << ORDER_AT
             node, there = self._find(self.contexts, key)
-            some, node, key = some[there], node[there], key[there]
+            some, node, key = todo[there], node[there], key[there]
             if not len(some):
                 continue
             last = before[some]
@@ -205,132 +252,121 @@ class Trie:
         return out
 
 
-def trained(vocabulary: DataFrame, order: int = ORDER, nodes: int = NODES) -> Trie:
-    """One trie of the words' counts (word, c), for callers that want it small: contexts seen less than 2^b times are
-    left out, where b is the least number that keeps at most ``nodes`` pairs. ``scored`` takes no part in this.
-    """
-    pairs = written(
-        vocabulary.where("c > 0").mapInArrow(_counted(order), "context long, symbol int, n long").groupBy("context", "symbol").agg(F.sum("n").alias("n")),
-        "lm-pairs",
-    )
-    contexts = pairs.groupBy("context").agg(F.floor(F.log2(F.sum("n"))).cast("int").alias("b"), F.count("*").alias("q"))
-    least, held = 0, 0
-    for b, q in sorted(((r["b"], r["q"]) for r in contexts.groupBy("b").agg(F.sum("q").alias("q")).collect()), reverse=True):
-        held += q
-        if held > nodes:
-            least = b + 1
-            break
-    found = pairs.join(contexts.where(F.col("b") >= least).select("context"), "context").toArrow() if least else pairs.toArrow()
-    return Trie(*(found[c].to_numpy().astype(np.int64) for c in ("context", "symbol", "n")), order)
-
-
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(piece, words, counts): the vocabulary's words, PIECE_WORDS to a row."""
-    part, n = TaskContext.get().partitionId(), 0
-    held: list[pa.RecordBatch] = []
+class Priced:
+    """A trie's prices, worked out once for each distinct place that the blocks of a task ask for."""
 
-    def row() -> pa.RecordBatch:
-        table = pa.Table.from_batches(held)
-        held.clear()
-        return pa.record_batch([pa.array([part << 20 | n]), pa.array([table.column("word").to_pylist()], pa.list_(pa.string())), pa.array([table.column("c").to_numpy()], pa.list_(pa.int64()))], ["piece", "words", "counts"])
+    def __init__(self, trie: Trie):
+        self.trie, self.places, self.prices = trie, np.empty(0, np.int64), np.empty(0, np.float32)
 
-    for batch in batches:
-        held.append(batch)
-        if sum(x.num_rows for x in held) >= PIECE_WORDS:
-            yield row()
-            n += 1
-    if sum(x.num_rows for x in held):
-        yield row()
-
-
-def _bucket(contexts: np.ndarray) -> np.ndarray:
-    """By the last two bytes of the context: an odd factor spreads them, the high bits count."""
-    return ((contexts & 0xFFFF) * 40503 & 0xFFFF) * BUCKETS >> 16
+    def __call__(self, places: np.ndarray) -> np.ndarray:
+        """places: in order and distinct."""
+        at, known = Trie._find(self.places, places)
+        if not known.all():
+            new = places[~known]
+            where = np.searchsorted(self.places, new)
+            self.places = np.insert(self.places, where, new)
+            self.prices = np.insert(self.prices, where, self.trie.priced(new).astype(np.float32))
+            at = np.searchsorted(self.places, places)
+        return self.prices[at]
 
 
-def _dealt(order: int):
-    """The counts of training words, as ``_counted`` has them, with their bucket; orders 0 and 1 are left to ``_top``."""
+def _levels(places: np.ndarray, n: np.ndarray, orders: range) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of the contexts of the given orders, longest first, and their counts."""
+    pairs, counts = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for j in orders:
+        contexts = places >> 9 & ((np.int64(1) << 8 * j) - 1) | np.int64(j) << ORDER_AT
+        places, n = _summed(contexts << 9 | places & 511, n)
+        pairs.append(places)
+        counts.append(n)
+    return np.concatenate(pairs), np.concatenate(counts)
 
-    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for found in _counted(order)(_trained_words(batches)):
-            found = found.filter(pa.array(found.column("context").to_numpy() >> ORDER_AT > 1))
-            yield found.append_column("bucket", pa.array(_bucket(found.column("context").to_numpy()).astype(np.int32)))
 
-    return dealt
-
-
-def _top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    return _counted(1)(_trained_words(batches))
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(bucket, part, places, n) rows in order of bucket and part: one row for each, its counts summed; counts of 0 go."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    own = None
 
+    def row() -> pa.RecordBatch:
+        places, n = _summed(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        held.clear()
+        return pa.record_batch([pa.array([own[0]], pa.int32()), pa.array([own[1]], pa.int64()), pa.array([_packed(np.diff(places, prepend=0))], pa.binary()), pa.array([_packed(n)], pa.binary())], ["bucket", "part", "places", "n"])
 
-def _trained_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for words, counts in zip(batch.column("words"), batch.column("counts"), strict=True):
-            found = pa.record_batch([words.values, counts.values], ["word", "c"])
-            yield found.filter(pc.greater(found.column("c"), 0))
+        for bucket, part, places, n in zip(*(batch.column(c).to_pylist() for c in ("bucket", "part", "places", "n")), strict=True):
+            if own != (bucket, part):
+                if held:
+                    yield row()
+                own = (bucket, part)
+            places, n = np.cumsum(_unpacked(places, np.int64)), _unpacked(n, np.int64)
+            held.append((places[n > 0], n[n > 0]))
+            if len(held) > 1 and sum(len(x) for x, _ in held[1:]) > max(1 << 20, len(held[0][0])):
+                held[:] = [_summed(*(np.concatenate(x) for x in zip(*held, strict=True)))]
+    if held:
+        yield row()
 
 
-def _distinct(words: pa.Array, order: int) -> tuple[Spelt, np.ndarray, np.ndarray, np.ndarray]:
-    """The words' distinct places by bucket, where each symbol's is among them, and the buckets' ends."""
-    spelt = Spelt(words, order)
-    places, where = np.unique(spelt.places(), return_inverse=True)
-    bucket = _bucket(places >> 9)
-    by = np.argsort(bucket, kind="stable")
-    rank = np.empty(len(by), np.int64)
-    rank[by] = np.arange(len(by))
-    return spelt, places[by], rank[where], np.searchsorted(bucket[by], np.arange(BUCKETS + 1))
+def trie_table(encoded: DataFrame, blocks_: int) -> DataFrame:
+    """(bucket, places, n): the places of full order that training texts have, and their counts."""
+    parts = -(-blocks_ // FAN)
+    rows = encoded.select((F.pmod(F.xxhash64("block"), F.lit(max(parts, 1)))).alias("part"), F.inline("asked"))
+    while True:
+        dealt = rows.repartition("bucket", "part").sortWithinPartitions("bucket", "part").select("bucket", "part", "places", "n")
+        merged = dealt.mapInArrow(_merged, "bucket int, part long, places binary, n binary")
+        if parts <= 1:
+            return written(merged.select("bucket", "places", "n"), "lm-trie")
+        parts = -(-parts // FAN)
+        rows = merged.withColumn("part", F.pmod("part", F.lit(parts)))
 
 
-def _asked(order: int):
-    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=1).compress
+def _short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs of order 0 and 1 of each bucket."""
+    for batch in batches:
+        for places, n in zip(batch.column("places").to_pylist(), batch.column("n").to_pylist(), strict=True):
+            pairs, n = _levels(np.cumsum(_unpacked(places, np.int64)), _unpacked(n, np.int64), range(1, -1, -1))
+            yield pa.record_batch([pa.array(pairs), pa.array(n)], ["pair", "n"])
+
+
+def prices(encoded: DataFrame, order: int = ORDER) -> DataFrame:
+    """(block, bucket, prices): the log10 probabilities of the block's places of the bucket, in their order."""
+    spark, count = encoded.sparkSession, encoded.count()
+    trie = trie_table(encoded, count)
+    top = trie.mapInArrow(_short, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()  # 257 * 258 rows at most
+    short = spark.sparkContext.broadcast([top.column(c).to_numpy() for c in ("pair", "n")])
+    parts = max(1, -(-count // FAN))
+    part = F.pmod(F.xxhash64("block"), F.lit(parts)).alias("part")
+    asked = encoded.select("block", part, F.inline("asked")).select("bucket", "part", "block", "places", F.lit(None).cast("binary").alias("n"))
+    copies = trie.select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"), F.lit(-1).cast("long").alias("block"), "places", "n")
+
+    def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, held = None, None
         for batch in batches:
-            for piece, words in zip(batch.column("piece").to_pylist(), batch.column("words"), strict=True):
-                _, places, _, ends = _distinct(words.values, order)
-                full = np.flatnonzero(np.diff(ends)).tolist()
-                packed = [pack(np.diff(places[ends[b] : ends[b + 1]], prepend=0).tobytes()) for b in full]
-                yield pa.record_batch([pa.array([piece] * len(full), pa.int64()), pa.array(full, pa.int32()), pa.array(packed, pa.binary())], ["piece", "bucket", "places"])
-
-    return asked
-
-
-def _summed(contexts: np.ndarray, symbols: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Counts of the same pair made one."""
-    pairs, n = contexts << 9 | symbols, n.astype(np.int64)
-    by = np.argsort(pairs, kind="stable")
-    pairs = pairs[by]
-    first = np.flatnonzero(np.concatenate((np.ones(min(len(pairs), 1), bool), pairs[1:] != pairs[:-1])))
-    return pairs[first] >> 9, pairs[first] & 511, np.add.reduceat(n[by], first) if len(first) else n
-
-
-def word_prices(pieces: DataFrame, order: int = ORDER) -> DataFrame:
-    """(word, c, p) for the words of all pieces: their log10 probability by the whole trie of the training words."""
-    spark = pieces.sparkSession
-    top = pieces.mapInArrow(_top, "context long, symbol int, n long").groupBy("context", "symbol").agg(F.sum("n").alias("n")).toArrow()
-    short = spark.sparkContext.broadcast([top.column(c).to_numpy().astype(np.int64) for c in ("context", "symbol", "n")])
-    counts = pieces.mapInArrow(_dealt(order), "context long, symbol int, n long, bucket int")
-    asked = pieces.mapInArrow(_asked(order), "piece long, bucket int, places binary")
-
-    def answered(pairs: pa.Table, places: pa.Table) -> pa.Table:
-        own = _summed(*(pairs.column(c).to_numpy().astype(np.int64) for c in ("context", "symbol", "n")))
-        trie = Trie(*(np.concatenate(x) for x in zip(short.value, own, strict=True)), order)
-        unpack = zstandard.ZstdDecompressor().decompress
-        prices = [trie.priced(np.cumsum(np.frombuffer(unpack(x), np.int64))).tobytes() for x in places.column("places").to_pylist()]
-        return pa.table([places.column("piece"), places.column("bucket"), pa.array(prices, pa.binary())], ["piece", "bucket", "prices"])
-
-    def spelt(words: pa.Table, prices: pa.Table) -> pa.Table:
-        out = []
-        for row, counts in zip(words.column("words"), words.column("counts"), strict=True):
-            spelt, places, where, _ = _distinct(row.values, order)
-            parts = [x for _, x in sorted(zip(prices.column("bucket").to_pylist(), prices.column("prices").to_pylist(), strict=True))]
-            each = np.frombuffer(b"".join(parts), np.float64)
-            assert len(each) == len(places)
-            out.append(pa.table([row.values, counts.values, np.add.reduceat(each[where], spelt.ends - spelt.sizes)], schema=word_schema))
-        return pa.concat_tables(out) if out else word_schema.empty_table()
-
-    word_schema = pa.schema([("word", pa.string()), ("c", pa.int64()), ("p", pa.float64())])
-    prices = counts.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(answered, "piece long, bucket int, prices binary")
-    return pieces.groupBy("piece").cogroup(prices.groupBy("piece")).applyInArrow(spelt, "word string, c long, p double")
+            out = []
+            for bucket, part, block, places, n in zip(*(batch.column(c).to_pylist() for c in ("bucket", "part", "block", "places", "n")), strict=True):
+                places = np.cumsum(_unpacked(places, np.int64))
+                if own != (bucket, part):
+                    own = (bucket, part)
+                    pairs, counts = _levels(places, _unpacked(n, np.int64), range(order, 1, -1)) if block < 0 else (np.empty(0, np.int64), np.empty(0, np.int64))
+                    held = Priced(Trie(np.concatenate((short.value[0], pairs)), np.concatenate((short.value[1], counts)), order))
+                if block >= 0:
+                    out.append((block, bucket, _packed(held(places))))
+            columns = list(zip(*out, strict=True)) if out else [[], [], []]
+            yield pa.record_batch([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.binary())], ["block", "bucket", "prices"])
+
+    dealt = copies.union(asked).repartition("bucket", "part").sortWithinPartitions("bucket", "part", "block")
+    return dealt.mapInArrow(answered, "block long, bucket int, prices binary")
+
+
+def _text_sums(spelt: Spelt, places: np.ndarray, price: np.ndarray) -> np.ndarray:
+    """The sum of the prices of each text's symbols; places in any order, the end symbols before texts left out."""
+    by = np.argsort(places)
+    find, price = Lookup(places[by]), price[by].astype(np.float64)
+    out = np.zeros(len(spelt.starts))
+    for low, high, own in spelt.chunks():
+        ran = np.concatenate(([0.0], np.cumsum(price[find(own)])))
+        first, last = np.searchsorted(spelt.stops, low, "right"), np.searchsorted(spelt.starts, high, "left")
+        a, b = (np.clip(x[first:last] - low, 0, high - low) for x in (spelt.starts, spelt.stops))
+        out[first:last] += ran[b] - ran[a]
+    return out
 
 
 def scored(docs: DataFrame, order: int = ORDER) -> DataFrame:
@@ -338,25 +374,26 @@ def scored(docs: DataFrame, order: int = ORDER) -> DataFrame:
 
     bits is the code length of the text in bits.
     """
-    schema = "block long, doc_ids array<long>, sizes array<long>, ids binary, words array<string>, counts array<long>"
-    encoded = written(docs.select("doc_id", "text").mapInArrow(_encoded, schema), "lm-blocks", maxRecordsPerFile="8")
+    if not 2 <= order <= ORDER_AT // 8:
+        raise ValueError(f"order must be between 2 and {ORDER_AT // 8}")
+    encoded = written(docs.select("doc_id", "text").mapInArrow(_encoded(order), ENCODED), "lm-blocks", maxRecordsPerFile="8")
     uses = encoded.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("pos", "x")).select("block", "pos", F.col("x.words").alias("word"), F.col("x.counts").alias("c"))
-    pieces = written(uses.groupBy("word").agg(F.sum("c").alias("c")).mapInArrow(_pieces, "piece long, words array<string>, counts array<long>"), "lm-words")
-    sums = pieces.select(F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x).alias("n"), F.size(F.filter("counts", lambda x: x > 0)).alias("v"))
-    n, v = sums.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
+    words = written(uses.groupBy("word").agg(F.sum("c").alias("c")), "lm-words")
+    n, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
     below = n + 0.5 * (v + 1)
+    known = uses.select("block", "pos", "word").join(words, "word").select("block", "pos", "c", F.lit(None).cast("binary").alias("prices"))
+    facts = known.union(prices(encoded, order).select("block", F.col("bucket").alias("pos"), F.lit(None).cast("long").alias("c"), "prices"))
 
-    prices = uses.select("block", "pos", "word").join(word_prices(pieces, order), "word").select("block", "pos", "c", "p")
-
-    def summed(block: pa.Table, words: pa.Table) -> pa.Table:
+    def summed(block: pa.Table, facts: pa.Table) -> pa.Table:
         if not block.num_rows:
             return out_schema.empty_table()
-        row = {c: block.column(c)[0] for c in ("doc_ids", "sizes", "ids")}
-        count, price = np.zeros(words.num_rows, np.int64), np.zeros(words.num_rows)
-        pos = words.column("pos").to_numpy()
-        count[pos], price[pos] = words.column("c").to_numpy(), words.column("p").to_numpy()
-        ids = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["ids"].as_py()), np.int32)
-        sizes = row["sizes"].values.to_numpy()
+        row = {c: block.column(c)[0] for c in ("doc_ids", "sizes", "ids", "words", "asked")}
+        vocabulary = row["words"].values
+        priced = facts.filter(facts.column("prices").is_valid())
+        counted = facts.filter(facts.column("c").is_valid())
+        count = np.zeros(len(vocabulary), np.int64)
+        count[counted.column("pos").to_numpy()] = counted.column("c").to_numpy()
+        ids, sizes = _unpacked(row["ids"].as_py(), np.int32), row["sizes"].values.to_numpy()
         ends = np.concatenate(([0], np.cumsum(sizes)))
         base = np.log10((count + 0.5) / below)
 
@@ -365,14 +402,20 @@ def scored(docs: DataFrame, order: int = ORDER) -> DataFrame:
             each = np.add.reduceat(np.append(x[ids], x.dtype.type(0)), ends[:-1])
             return np.where(sizes > 0, each, 0) + x[-1]
 
-        known, first, second = sums((count > 0).astype(np.int64)), sums(base), sums(price)
+        spelt = Spelt(ids, sizes, vocabulary.slice(0, len(vocabulary) - 1), order)
+        asked = row["asked"].values
+        places = np.concatenate([np.cumsum(_unpacked(x, np.int64)) for x in asked.field("places").to_pylist()])
+        found = dict(zip(priced.column("pos").to_pylist(), priced.column("prices").to_pylist(), strict=True))
+        each = np.concatenate([_unpacked(found[b], np.float32) for b in asked.field("bucket").to_pylist()])
+        score = _text_sums(spelt, places, each)
+        known, first = sums((count > 0).astype(np.int64)), sums(base)
         held = fold(row["doc_ids"].values) == HELD_OUT
         return pa.table(
-            [row["doc_ids"].values, pa.array(held), pa.array(sizes + 1), pa.array(known), pa.array(np.full(len(sizes), n, np.int64)), pa.array(first), pa.array(second), pa.array(second * -math.log2(10))],
+            [row["doc_ids"].values, pa.array(held), pa.array(sizes + 1), pa.array(known), pa.array(np.full(len(sizes), n, np.int64)), pa.array(first), pa.array(score), pa.array(score * -math.log2(10))],
             schema=out_schema,
         )
 
     out_schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("bits", pa.float64())])
-    left = encoded.select(F.col("block").alias("owner"), "doc_ids", "sizes", "ids").groupBy("owner")
+    left = encoded.select(F.col("block").alias("owner"), "doc_ids", "sizes", "ids", "words", F.transform("asked", lambda x: F.struct(x["bucket"].alias("bucket"), x["places"].alias("places"))).alias("asked")).groupBy("owner")
     result = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits double"
-    return left.cogroup(prices.groupBy("block")).applyInArrow(summed, result)
+    return left.cogroup(facts.groupBy("block")).applyInArrow(summed, result)
