@@ -9,8 +9,8 @@ length and is looked up by the hash of all its words.
 The benchmark goes to the executors whole while its texts hold at most ``broadcast_bytes``; beyond that,
 fingerprints are joined by shuffle and only the pairs that share one are compared.
 
-Edge cases: null and empty texts have no words and no hits; repeated rows give repeated rows; an empty
-benchmark hits nothing; a null item id counts as the empty string; other columns are ignored.
+Edge cases: null and empty texts have no words and no hits; a null doc_id is kept; rows are told
+apart by row, never by id, so repeated rows give repeated rows; an empty benchmark hits nothing; a null item id counts as the empty string; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weft.llm._store import written
 from weft.llm._text import LOWER_ALNUM, Words, blocks, grams, scrambled, translated
 
 BLOCK_BYTES = 8 << 20
@@ -150,9 +151,13 @@ def _against_all(docs: DataFrame, items: DataFrame, window: int, gram: int) -> D
 
 
 def _by_join(docs: DataFrame, items: DataFrame, window: int, gram: int) -> DataFrame:
-    """As ``_against_all`` for a benchmark of any size; texts are compared in pairs that share a fingerprint."""
-    from weft.llm._store import written
+    """As ``_against_all`` for a benchmark of any size."""
+    rows = written(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "decontam-docs")
+    return _hits_of_rows(rows, items, window, gram).drop("row")
+
 
+def _hits_of_rows(rows: DataFrame, items: DataFrame, window: int, gram: int) -> DataFrame:
+    """row and the columns of ``_against_all`` for stored rows (row, doc_id, text); texts are compared in pairs that share a fingerprint."""
     short = [r[0] for r in items.mapInArrow(_sizes, "n long").where((F.col("n") > 0) & (F.col("n") < window)).distinct().collect()]
 
     def marks_of(key: str, whole: bool):
@@ -177,7 +182,6 @@ def _by_join(docs: DataFrame, items: DataFrame, window: int, gram: int) -> DataF
 
         return marks
 
-    rows = written(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "decontam-docs")
     named = items.withColumn("item_id", F.coalesce(F.col("item_id").cast("string"), F.lit("")))
     pairs = (
         rows.select("row", "text").mapInArrow(marks_of("row", False), "mark long, row long")
@@ -200,7 +204,7 @@ def _by_join(docs: DataFrame, items: DataFrame, window: int, gram: int) -> DataF
     per_row = hits.groupBy("row").agg(F.array_sort(F.collect_set("item_id")).alias("items"), F.size(F.array_distinct(F.flatten(F.collect_list("hits")))).cast("long").alias("n_hit"))
     sizes = rows.select("row", "doc_id", "text").mapInArrow(_sized, "row long, doc_id long, n_words long")
     return sizes.join(per_row, "row", "left").select(
-        "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"), F.coalesce("items", F.array().cast("array<string>")).alias("items")
+        "row", "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"), F.coalesce("items", F.array().cast("array<string>")).alias("items")
     )
 
 
@@ -221,11 +225,13 @@ def digest(names: DataFrame) -> DataFrame:
 
 
 def kept(docs: DataFrame, benchmark: DataFrame, window: int = 10, gram: int = 6, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """The rows of docs without a hit, with all their columns; one pass while the benchmark is broadcast."""
+    """The rows of docs without a hit, with all their columns; one pass while the benchmark is broadcast, the same rows beyond."""
     items = benchmark.select("item_id", "text")
     if _bytes(items) > broadcast_bytes:
-        bad = _by_join(docs, items, window, gram).where("n_hit > 0").select(F.col("doc_id").alias("bad_id")).distinct()
-        return docs.join(bad, docs["doc_id"].eqNullSafe(bad["bad_id"]), "left_anti")
+        stored = written(docs.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("whole")), "decontam-rows")
+        rows = stored.select("row", F.col("whole.doc_id").alias("doc_id"), F.col("whole.text").alias("text"))
+        bad = _hits_of_rows(rows, items, window, gram).where("n_hit > 0").select("row")
+        return stored.join(bad, "row", "left_anti").select("whole.*")
     index = _index(items, window, gram)
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
