@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -234,6 +235,25 @@ def test_pii_base_spans():
     assert pii.base_spans(x) == want and pii.base_spans("") == []
 
 
+def test_pii_base_spans_equal_the_patterns():
+    """The linear search finds what the patterns find, leftmost and without overlap."""
+    kinds = [re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), re.compile(r"[0-9]([\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")]
+    rng = random.Random(5)
+    for alphabet in ("a@.b ", "1.2 ", "12.3@a-+( ", "1+-. )", "é@a.1"):
+        for _ in range(4000):
+            x = "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 24)))
+            want = sorted((m.start(), m.end(), k) for k, p in enumerate(kinds) for m in p.finditer(x))
+            assert sorted((a, b, k) for a, b, k, _ in pii._matches(x)) == want, x
+
+
+def test_pii_long_texts_take_linear_time():
+    for x in ("1" * 1_000_000, "a" * 1_000_000, "1." * 500_000, "a.b-" * 250_000, "a@" * 500_000, "1-" * 500_000, "+1(" * 330_000, "a1@b." * 200_000):
+        began = time.time()
+        pii.base_spans(x)
+        found = list(pii.occurrences(x))
+        assert time.time() - began < 5 and all(len(p) < 200 for *_, patterns, _ in found for p, _ in patterns)
+
+
 def test_pii_bootstrap(spark, docs, none):
     known = [(i, f"please write to the person named a{i}@b{i}.org now") for i in range(40)]
     unseen = [(100 + i, f"please write to the person named u{i}@host now") for i in range(9)]
@@ -243,6 +263,8 @@ def test_pii_bootstrap(spark, docs, none):
     found = {r["doc_id"]: r for r in pii.report(table).collect()}
     assert all(found[i]["n_email"] == 1 and found[i]["base_sha256"] == hashlib.sha256(found[i]["spans"].encode()).hexdigest() for i in range(40))
     assert all(not found[200 + i]["spans"] for i in range(40))
+    at = len("please write to the person named ")
+    assert all(found[100 + i]["spans"] == f"id:{at}:{at + len(f'u{i}@host')}" for i in range(9))
     trusted = {r["pattern"] for r in pii.confident(table).collect()}
     assert any(p.startswith("l named|x@x.a") for p in trusted)
     number = spark.createDataFrame([(i, f"ref card no {4111111111111111} ok") for i in range(9)] + [(50, "ref card no 4111111111111112 ok")], "doc_id long, text string")
@@ -297,6 +319,17 @@ def test_decontamination_equals_brute_force(spark, docs, none, rows):
     assert {r["n_hit"] for r in decontam.decontaminate(docs, benchmark.limit(0)).collect()} == {0}
 
 
+def test_decontamination_keeps_rows_not_ids(spark):
+    """Ids that are shared or null: a clean row stays beside a dirty one of its id, whatever the benchmark's size."""
+    dirty, clean = "one two three four five six seven eight nine ten eleven", "nothing of it"
+    docs = spark.createDataFrame([(1, dirty, 7), (1, clean, 7), (None, dirty, 7), (None, clean, 7), (2, None, 7)], "doc_id long, text string, row int")
+    benchmark = spark.createDataFrame([(1, dirty)], "item_id long, text string")
+    for size in (64 << 20, 0):
+        found = decontam.kept(docs, benchmark, broadcast_bytes=size)
+        assert found.columns == docs.columns and sorted(map(str, found.collect())) == sorted(map(str, docs.where("text is null or text <> '" + dirty + "'").collect()))
+        assert sorted((str(r["doc_id"]), r["n_hit"]) for r in decontam.decontaminate(docs, benchmark, broadcast_bytes=size).collect()) == [("1", 0), ("1", 11), ("2", 0), ("None", 0), ("None", 11)]
+
+
 def test_targets_and_flow():
     assert mix.targets([100, 100, 10], [1, 2, 3]) == [60.0, 120.0, 30.0]
     # 0 can only serve source 0; 1 may serve both: fresh words first

@@ -16,6 +16,8 @@ Base spans come from fixed patterns (e-mail, IP address, card, phone). The boots
 
 Offsets are code points, ends exclusive. Base spans always stay.
 
+Every step reads a text once, so that a long text or a long run without white space takes time in proportion.
+
 Edge cases: null and empty texts have no spans; a null doc_id is kept; repeated rows give repeated rows
 and count as often; an empty table gives an empty result; other columns are ignored.
 """
@@ -35,8 +37,11 @@ from weft.llm._store import written
 from weft.llm._text import blocks
 
 KINDS = ("email", "ip", "card", "phone")
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+#: An e-mail is looked for from its "@" to both sides: no other place can be its middle, and no run is read twice.
+LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+HOST = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+#: A run of digits that fails from its first digit fails from all others, so only its first is tried.
+IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
@@ -44,7 +49,7 @@ TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 SHAPED = re.compile(r"[0-9@]")
 WHITE = re.compile(r"[\x20\x09-\x0D]|\Z")
 EDGES = "\"'`()[]{}<>,;:.!?"
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES, LONG = 8 << 20, 64
 ROUNDS, CONFIDENCE, LEAST_SEEDS, SMOOTHING = 3, 0.8, 4, 2.0
 
 
@@ -64,8 +69,15 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 def _matches(text: str) -> list[tuple[int, int, int, bool]]:
     """(start, end, kind, whether its test passed) of every match of a base pattern."""
     out = []
-    if "@" in text:
-        out += [(*m.span(), 0, True) for m in EMAIL.finditer(text)]
+    at, done = text.find("@"), 0
+    while at >= 0:
+        first = at
+        while first > done and text[first - 1] in LOCAL:
+            first -= 1
+        if first < at and (host := HOST.match(text, at + 1)):
+            out.append((first, host.end(), 0, True))
+        done = out[-1][1] if first < at and host else at + 1
+        at = text.find("@", max(done, at + 1))
     for m in IP.finditer(text):
         out.append((*m.span(), 1, all(len(p.lstrip("0")) < 4 and int(p.lstrip("0") or 0) <= 255 for p in m.group().split("."))))
     for m in CARD.finditer(text):
@@ -77,6 +89,11 @@ def _matches(text: str) -> list[tuple[int, int, int, bool]]:
     return sorted(out, key=lambda x: (x[0], x[2]))
 
 
+def _brief(part: str) -> str:
+    """A long part of a pattern by its digest, so that patterns are short whatever the text."""
+    return part if len(part) <= LONG else "#" + hashlib.blake2b(part.encode("utf-8", "surrogatepass"), digest_size=12).hexdigest()
+
+
 def form(token: str) -> str:
     """The token with runs of letters and digits made classes, long runs alike."""
     return re.sub(r"[0-9A-Za-z]+", lambda m: ("9" if m.group().isdigit() else "a" if m.group().isalpha() else "x") + ("+" if len(m.group()) > 7 else ""), token)
@@ -103,17 +120,18 @@ def occurrences(text: str) -> Iterator[tuple[int, int, str, list[tuple[str, str]
             at += 1
         if passed <= start < failed:
             continue
-        shape = form(core)
-        left = _last(text, first).lower()
+        shape = _brief(form(core))
+        left = _brief(_last(text, first).lower())
         patterns = [(f"l {left}|{shape}", f"l {left}")]
         if left:
             patterns.append((f"L {left}", f"l {left}"))
         if right := TOKEN.match(text, _skip(text, over)):
-            word = right.group().lower()
+            word = _brief(right.group().lower())
             patterns += [(f"r {shape}|{word}", f"r {word}"), (f"R {word}", f"r {word}")]
         name, equals, value = core.partition("=")
         if equals and name and value:
-            patterns.append((f"k {name.lower()}=", f"k {name.lower()}="))
+            name = _brief(name.lower())
+            patterns.append((f"k {name}=", f"k {name}="))
         yield start, end, core, patterns, passed > start
 
 
@@ -160,7 +178,7 @@ def confident(docs: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDE
         patterns = held.groupBy("pattern").agg(F.sum(F.col("n") * F.col("s")).alias("good"), F.sum("n").alias("all"), F.sum((F.col("s") > 0.5).cast("int")).alias("kinds"))
         patterns = written(patterns.select("pattern", (F.col("good") / (F.col("all") + SMOOTHING)).alias("score"), "kinds"), "pii-patterns")
         chance = 1 - F.exp(F.sum(F.log(F.lit(1.0) - F.least(F.col("score"), F.lit(0.999)))))
-        score = written(graph.join(patterns.where(f"kinds >= {LEAST_SEEDS}"), "pattern", "left").fillna(0.0, ["score"]).groupBy("instance", "context").agg(F.max("score").alias("score"), F.max("seed").alias("seed")).groupBy("instance").agg(F.greatest(chance, F.max("seed").cast("double")).alias("s")).where("s > 0.05"), "pii-instances")
+        score = written(graph.join(patterns.where(f"kinds >= {LEAST_SEEDS}"), "pattern", "left").fillna(0.0, ["score"]).groupBy("instance", "context").agg(F.max("score").alias("score"), F.max("seed").alias("seed")).groupBy("instance").agg(F.greatest(chance, F.max("seed").cast("double")).alias("s")), "pii-instances")
     return patterns.where((F.col("score") >= confidence) & (F.col("kinds") >= LEAST_SEEDS)).select("pattern", "score", "kinds")
 
 
