@@ -338,6 +338,110 @@ def test_targets_and_flow():
     assert sum(sum(x.values()) for x in mix.flow({0: 10}, {0: [0]}, [25]).values()) == 25
 
 
+def cheapest(supply, members, quota, copies=3):
+    """The largest flow's size and least cost, by shortest paths unit by unit."""
+    used, sent = dict.fromkeys(supply, 0), {}
+    room = list(quota)
+    total = cost = 0
+    while True:
+        best = None
+        for start in sorted(supply, key=lambda p: used[p] // supply[p] if supply[p] else 9):
+            if supply[start] == 0 or used[start] >= copies * supply[start]:
+                continue
+            seen, todo = {start: None}, [start]
+            while todo and best is None:
+                p = todo.pop()
+                for s in members[p]:
+                    if ("s", s) in seen:
+                        continue
+                    seen["s", s] = p
+                    if room[s] > 0:
+                        best = ("s", s)
+                        break
+                    for q, n in list(sent.items()):
+                        if n > 0 and q[1] == s and q[0] not in seen:
+                            seen[q[0]] = ("s", s)
+                            todo.append(q[0])
+            if best:
+                break
+        if best is None:
+            return total, cost
+        room[best[1]] -= 1
+        total, cost = total + 1, cost + used[start] // supply[start]
+        used[start] += 1
+        x = best
+        while x != start:
+            p = seen[x]
+            sent[p, x[1]] = sent.get((p, x[1]), 0) + 1
+            if p == start:
+                break
+            back = seen[p]
+            sent[p, back[1]] -= 1
+            x = back
+
+
+def test_flow_is_cheapest_among_largest():
+    rng = random.Random(11)
+    for _ in range(150):
+        n, m = rng.randint(1, 6), rng.randint(1, 4)
+        supply = {i: rng.randint(0, 5) for i in range(n)}
+        members = {i: rng.sample(range(m), rng.randint(1, m)) for i in range(n)}
+        quota = [rng.randint(0, 12) for _ in range(m)]
+        routed = mix.flow(supply, members, quota)
+        taken = {p: sum(x.values()) for p, x in routed.items()}
+        assert all(0 < v and s in members[p] for p, x in routed.items() for s, v in x.items())
+        assert all(taken[p] <= 3 * supply[p] for p in supply) and all(sum(x.get(s, 0) for x in routed.values()) <= q for s, q in enumerate(quota))
+        cost = sum(sum(range(t // supply[p])) * supply[p] + t % supply[p] * (t // supply[p]) for p, t in taken.items() if supply[p])
+        assert (sum(taken.values()), cost) == cheapest(supply, members, quota)
+
+
+def test_flow_of_many_patterns():
+    rng = random.Random(1)
+    supply = {i: rng.randint(1, 1000) for i in range(100_000)}
+    members = {i: rng.sample(range(60), rng.randint(1, 4)) for i in supply}
+    quota = [int(sum(supply.values()) / 60 * rng.uniform(0.2, 2.5)) for _ in range(60)]
+    began = time.time()
+    routed = mix.flow(supply, members, quota)
+    assert time.time() - began < 120 and all(sum(x.values()) <= 3 * supply[p] for p, x in routed.items())
+
+
+def test_mix_of_overlapping_sources(spark):
+    """Documents in two sources: fresh words go where they are short, and each source comes near its target."""
+    rng = random.Random(9)
+    kinds = [["a"], ["b"], ["a", "b"], ["b", "c"], ["c", "a"], [None]]
+    rows = [(i, rng.choice(kinds), rng.randint(1, 40)) for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, of array<string>, words long")
+    found = mix.mixed(docs, F.col("of"), F.col("words"), weights={"a": 1.0, "b": 1.0, "c": 2.0, None: 1.0})
+    plan, taken = found.mix_plan, Counter()
+    got = found.select("row.doc_id", "sources", "size", "times").collect()
+    for r in got:
+        assert r["times"] <= 3
+        taken[tuple(r["sources"])] += r["size"] * r["times"]
+    sums = Counter()
+    for _, of, n in rows:
+        sums[tuple(sorted(of, key=lambda s: (s is None, s or "")))] += n
+    *_, want = mix.plan(sorted(sums.items(), key=lambda x: [(s is None, s or "") for s in x[0]]), {"a": 1.0, "b": 1.0, "c": 2.0, None: 1.0})
+    for i, pattern in enumerate(sorted(sums, key=lambda x: [(s is None, s or "") for s in x])):
+        assert abs(taken[pattern] - want[i]) <= 3
+    assert set(plan) == {"a", "b", "c", None} and len(got) == 4000
+
+
+def test_mix_clashing_names_null_ids_and_repeated_rows(spark):
+    """Columns named as the operator's own, a third of all rows one repeated row without an id, and ids that are all null."""
+    rows = [(None, f"w{i} " * (i % 7 + 1), "a") for i in range(1200)] + [(None, "the same four words", "a")] * 900 + [(None, f"x{i}", "b") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    clash = docs.withColumns({c: F.lit(1) for c in ("p", "low", "rest", "pattern", "whole", "shift", "few", "bits", "size", "times", "sources", "row", "copy", "mark", "place", "lot", "name", "x.y")})
+    one, two = mix.drawn(clash), mix.drawn(clash.repartition(7))
+    assert one.columns == clash.columns
+    count = lambda f: Counter(r["text"] for r in f.select("text").collect())
+    assert count(one) == count(two) and max(count(one).values()) <= 3 * 900
+    for r in mix.report(docs).groupBy("source_size", "target").agg(F.sum("taken").alias("n")).collect():
+        assert abs(r["n"] - r["target"]) <= 4
+    tied = spark.createDataFrame([(None, "the same four words", "a")] * 1500 + [(None, f"x{i}", "b") for i in range(3000)], "doc_id long, text string, source string")
+    for r in mix.report(tied).groupBy("source_size", "target").agg(F.sum("taken").alias("n")).collect():
+        assert abs(r["n"] - r["target"]) <= 4
+
+
 def test_mix(spark, docs, none):
     found = mix.report(docs).collect()
     assert len(found) == docs.count() and all(r["taken"] <= 3 * r["size"] for r in found)

@@ -6,16 +6,18 @@ so a document is repeated only where fresh words run out. Only the patterns' sum
 their number is checked. Within a pattern every document is then taken the whole number of times that the
 flow fills, and a seeded choice of documents once more: documents are ordered by a hash; histograms narrow
 the place where the quota is reached down to a few documents, of which those that still fit are taken.
-A flow of three times a pattern's size takes every document three times.
+A flow of three times a pattern's size takes every document three times. The flow's time grows with patterns and their
+sources, not with documents: 100,000 patterns take seconds to minutes on the driver.
 
 Edge cases: a null, empty or blank text has size 0 and isn't drawn; a null source is a source of its own,
 last in order; repeated rows are documents of their own, and any of them may be taken; an empty table
-gives an empty result; other columns are kept by ``mixed``.
+gives an empty result; a null doc_id is kept, and the text tells such rows apart; other columns are kept by ``drawn``
+whatever their names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +29,8 @@ from weft.llm._store import written
 
 COPIES, SEED = 3, 17
 PATTERNS = 100_000
-#: Documents among which the end of a quota is settled one by one.
-FEW = 500
+#: Documents among which the end of a quota is settled one by one; lots that repeated rows beyond that are counted in.
+FEW, LOTS = 500, 997
 BITS = 10
 
 
@@ -58,51 +60,92 @@ def targets(sizes: Sequence[int], weights: Sequence[float], copies: int = COPIES
 def flow(supply: Mapping[int, int], members: Mapping[int, Sequence[int]], quota: Sequence[int], copies: int = COPIES) -> dict[int, dict[int, int]]:
     """Words of each pattern to each source: a cheapest flow among the largest, level l of a repeat costing l - 1.
 
-    Successive shortest paths; arcs are few (patterns times copies, and memberships).
+    Costs lie on the patterns' levels alone, so shortest paths come in rounds: all of cost 0, then all of cost 1, and so
+    on; a pattern that can't reach a source with room in its round never can again. A round is a largest flow, found by
+    blocking flows (Dinic) over layered patterns and sources.
     """
-    start, end = ("start",), ("end",)
-    arcs: list[list] = []  # [from, to, capacity, cost]; the reverse of arc i is i ^ 1
-    out: dict[tuple, list[int]] = {}
-
-    def arc(a: tuple, b: tuple, capacity: int, cost: int) -> None:
-        for x, y, c, w in ((a, b, capacity, cost), (b, a, 0, -cost)):
-            out.setdefault(x, []).append(len(arcs))
-            arcs.append([x, y, c, w])
-
-    for p in sorted(supply):
-        for level in range(copies):
-            arc(start, ("p", p), supply[p], level)
-        for s in members[p]:
-            arc(("p", p), ("s", s), copies * supply[p], 0)
-    for s, q in enumerate(quota):
-        arc(("s", s), end, q, 0)
-    while True:
-        cost, by, todo = {start: 0}, {}, [start]
-        while todo:
-            later = []
-            for x in todo:
-                for i in out.get(x, ()):
-                    _, y, capacity, w = arcs[i]
-                    if capacity > 0 and cost[x] + w < cost.get(y, 1 << 60):
-                        cost[y], by[y] = cost[x] + w, i
-                        later.append(y)
-            todo = list(dict.fromkeys(later))
-        if end not in by:
-            break
-        path, at = [], end
-        while at != start:
-            path.append(by[at])
-            at = arcs[by[at]][0]
-        most = min(arcs[i][2] for i in path)
-        for i in path:
-            arcs[i][2] -= most
-            arcs[i ^ 1][2] += most
-    routed: dict[int, dict[int, int]] = {p: {} for p in supply}
-    for i in range(0, len(arcs), 2):
-        (a, b), used = arcs[i][:2], arcs[i ^ 1][2]
-        if a[0] == "p" and used:
-            routed[a[1]][b[1]] = used
-    return routed
+    patterns = sorted(supply)
+    at = {p: i for i, p in enumerate(patterns)}
+    to = [list(dict.fromkeys(members[p])) for p in patterns]
+    inflow: list[dict[int, int]] = [{} for _ in quota]  # of each source: what each pattern sends it
+    room, left = list(quota), [0] * len(patterns)
+    for _ in range(copies):
+        for i, p in enumerate(patterns):
+            left[i] += supply[p]
+        while _blocked(to, inflow, room, left):
+            pass
+    out: dict[int, dict[int, int]] = {p: {} for p in patterns}
+    for s, by in enumerate(inflow):
+        for i, n in by.items():
+            if n:
+                out[patterns[i]][s] = n
+    assert all(at[p] == i for i, p in enumerate(patterns))
+    return out
+
+
+def _blocked(to: list[list[int]], inflow: list[dict[int, int]], room: list[int], left: list[int]) -> int:
+    """Adds one blocking flow along shortest paths; its size. A path goes pattern, source, pattern (taking back), ..., source with room."""
+    far_p, far_s = [-1] * len(to), [-1] * len(room)
+    layer, depth, ends = [i for i, n in enumerate(left) if n > 0], 0, False
+    for i in layer:
+        far_p[i] = 0
+    while layer and not ends:
+        sources = []
+        for i in layer:
+            for s in to[i]:
+                if far_s[s] < 0:
+                    far_s[s] = depth
+                    sources.append(s)
+                    ends = ends or room[s] > 0
+        layer, depth = [], depth + 1
+        if not ends:
+            for s in sources:
+                for i, n in inflow[s].items():
+                    if n > 0 and far_p[i] < 0:
+                        far_p[i] = depth
+                        layer.append(i)
+    if not ends:
+        return 0
+    next_p, next_s, total = [0] * len(to), [iter(list(x)) for x in inflow], 0
+    held_s: list[int | None] = [next(x, None) for x in next_s]
+    for start in [i for i, n in enumerate(left) if n > 0]:
+        while left[start] > 0:
+            path, i, found = [], start, -1  # (pattern, source) steps; between them the pattern that takes back
+            while True:
+                moved = False
+                while next_p[i] < len(to[i]):
+                    s = to[i][next_p[i]]
+                    if far_s[s] == far_p[i]:
+                        if room[s] > 0:
+                            found, moved = s, True
+                            break
+                        while held_s[s] is not None and not (inflow[s].get(held_s[s], 0) > 0 and far_p[held_s[s]] == far_s[s] + 1):
+                            held_s[s] = next(next_s[s], None)
+                        if held_s[s] is not None:
+                            path.append((i, s))
+                            i, moved = held_s[s], True
+                            break
+                    next_p[i] += 1
+                if found >= 0:
+                    break
+                if not moved:
+                    if not path:
+                        break
+                    i, s = path.pop()
+                    held_s[s] = next(next_s[s], None)
+            if found < 0:
+                break
+            path.append((i, found))
+            takers = [x for x, _ in path[1:]]
+            n = min([left[start], room[found], *(inflow[s][x] for (_, s), x in zip(path[:-1], takers, strict=True))])
+            for k, (x, s) in enumerate(path):
+                inflow[s][x] = inflow[s].get(x, 0) + n
+                if k < len(takers):
+                    inflow[s][takers[k]] -= n
+            left[start] -= n
+            room[found] -= n
+            total += n
+    return total
 
 
 def plan(sums: Sequence[tuple[tuple, int]], weights: Mapping | None = None, copies: int = COPIES) -> tuple[list, list[int], list[float], dict[int, int]]:
@@ -124,14 +167,16 @@ def plan(sums: Sequence[tuple[tuple, int]], weights: Mapping | None = None, copi
 
 
 def mixed(docs: DataFrame, sources: Column, size: Column, weights: Mapping | None = None, copies: int = COPIES, seed: int = SEED) -> DataFrame:
-    """All columns of docs and ``mix_sources``, ``mix_size``, ``mix_times`` (whole copies to take).
+    """``row`` (all columns of docs), ``sources``, ``size`` and ``times`` (whole copies to take) for each row of docs.
 
-    sources is an array; the frame is read three times, so it should be a stored table.
+    sources is an array of names over docs' columns, size a number of words. The frame is read up to five times, so it
+    should be a stored table. The order in which documents are chosen is a hash of all their columns: rows of one hash are
+    repeated rows, and any of them may be taken.
     """
-    order = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"), size), 1)
-    rows = docs.withColumns({"mix_sources": F.array_sort(F.array_distinct(sources)), "mix_size": size, "mix_order": order})
-    slim = written(rows.select("mix_sources", "mix_size", "mix_order"), "mix-slim")
-    sums = slim.groupBy("mix_sources").agg(F.sum("mix_size").alias("n"), F.count("*").alias("c")).limit(PATTERNS + 1).collect()
+    order = F.shiftrightunsigned(F.xxhash64(F.lit(seed), *(F.col(f"`{c}`") for c in docs.columns)), 1)
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.array_sort(F.array_distinct(sources)).alias("sources"), size.alias("size"), order.alias("place"))
+    slim = written(rows.select("sources", "size", "place"), "mix-slim")
+    sums = slim.groupBy("sources").agg(F.sum("size").alias("n"), F.count("*").alias("c")).limit(PATTERNS + 1).collect()
     if len(sums) > PATTERNS:
         raise ValueError(f"more than {PATTERNS} sets of sources; group them first")
     spark = docs.sparkSession
@@ -143,45 +188,78 @@ def mixed(docs: DataFrame, sources: Column, size: Column, weights: Mapping | Non
     state = [{"p": i, "pattern": list(pattern), "whole": min(copies, taken[i] // n) if n else 0, "rest": taken[i] - n * min(copies, taken[i] // n) if n else 0, "low": 0, "shift": 63, "few": counts[i] <= FEW, "bits": bits(counts[i])} for i, (pattern, n) in enumerate(sums)]
     schema = "p int, pattern array<string>, whole int, rest long, low long, shift int, few boolean, bits int"
 
-    def stated() -> DataFrame:
-        """At most PATTERNS rows, so broadcast."""
-        return F.broadcast(spark.createDataFrame([tuple(s.values()) for s in state], schema))
-
     def placed(rows: DataFrame) -> DataFrame:
-        table = stated()
-        return rows.join(table, rows["mix_sources"].eqNullSafe(table["pattern"]))
+        table = F.broadcast(spark.createDataFrame([tuple(s.values()) for s in state], schema))  # at most PATTERNS rows
+        return rows.join(table, rows["sources"].eqNullSafe(table["pattern"])).drop("pattern")
 
-    at = lambda shift: F.expr(f"shiftright(mix_order, {shift})")
+    at = lambda shift: F.expr(f"shiftright(place, {shift})")
+    here = (F.col("rest") > 0) & (at("shift") == F.expr("shiftright(low, shift)"))
     while any(not s["few"] and s["rest"] > 0 and s["shift"] > 0 for s in state):
-        inside = placed(slim).where((F.col("rest") > 0) & ~F.col("few") & (F.col("shift") > 0) & (at("shift") == F.expr("shiftright(low, shift)")))
-        bins = inside.groupBy("p", "rest", at("greatest(shift - bits, 0)").alias("bin")).agg(F.sum("mix_size").alias("n"), F.count("*").alias("c"))
+        inside = placed(slim).where(here & ~F.col("few") & (F.col("shift") > 0))
+        bins = inside.groupBy("p", "rest", at("greatest(shift - bits, 0)").alias("bin")).agg(F.sum("size").alias("n"), F.count("*").alias("c"), F.min("place").alias("least"), F.max("place").alias("most"))
         ran = bins.withColumn("upto", F.sum("n").over(W.partitionBy("p").orderBy("bin")))  # at most 2^BITS rows a pattern
-        ends = ran.where("upto > rest").groupBy("p").agg(F.min(F.struct("bin", "upto", "n", "c")).alias("x")).collect()
+        ends = ran.where("upto > rest").groupBy("p").agg(F.min(F.struct("bin", "upto", "n", "c", "least", "most")).alias("x")).collect()
         found = {r["p"]: r["x"] for r in ends}
         for s in state:
             if s["rest"] > 0 and not s["few"] and s["shift"] > 0:
                 x = found[s["p"]]
-                s["shift"] = max(s["shift"] - s["bits"], 0)
-                s["low"], s["rest"], s["few"] = x["bin"] << s["shift"], s["rest"] - (x["upto"] - x["n"]), x["c"] <= FEW
+                one = x["least"] == x["most"]  # repeated rows: no shift parts them
+                s["shift"] = 0 if one else max(s["shift"] - s["bits"], 0)
+                s["low"], s["rest"], s["few"] = x["least"] if one else x["bin"] << s["shift"], s["rest"] - (x["upto"] - x["n"]), x["c"] <= FEW
                 s["bits"] = bits(x["c"])
-        state = [s | {"few": True} if s["shift"] == 0 else s for s in state]
-    here = (F.col("rest") > 0) & (at("shift") == F.expr("shiftright(low, shift)"))
-    before = F.col("low") > F.col("mix_order")
-    away = placed(rows).where(~here).withColumn("mix_times", F.col("whole") + before.cast("int"))
-    near = placed(rows).where(here).withColumn("mix_times", F.col("whole"))
-    near = near.groupBy("p").applyInArrow(_filled, near.schema)  # FEW rows a pattern, or rows of one hash
-    every = away.unionByName(near).withColumn("mix_times", F.when(F.col("mix_size") > 0, F.col("mix_times")).otherwise(0))
-    result = every.drop("p", "pattern", "whole", "rest", "low", "shift", "few", "bits", "mix_order")
+    done = placed(rows)
+    times = F.col("whole") + (F.col("low") > F.col("place")).cast("int")
+    away = done.where(~here).withColumn("times", times)
+    near = done.where(here & F.col("few")).withColumn("times", F.col("whole")).repartition("p").sortWithinPartitions("p", "place", "size").mapInArrow(_filled, _schema(done))
+    every = away.unionByName(near)
+    if any(not s["few"] and s["rest"] > 0 for s in state):
+        every = every.unionByName(_tied(done.where(here & ~F.col("few"))))
+    result = every.select("row", "sources", "size", F.when(F.col("size") > 0, F.col("times")).otherwise(0).alias("times"))
     result.__dict__["mix_plan"] = dict(zip(names, zip(sizes, aims, strict=True), strict=True))
     return result
 
 
-def _filled(rows: pa.Table) -> pa.Table:
-    """One pattern's rows at the end of its quota: each in order that still fits is taken once more, then exchanges come nearer."""
-    sizes, left = rows.column("mix_size").to_numpy(), rows.column("rest")[0].as_py()
-    keys = list(zip(rows.column("mix_order").to_pylist(), rows.column("doc_id").to_pylist(), strict=True))
-    more = np.zeros(rows.num_rows, np.int32)
-    for i in sorted(range(rows.num_rows), key=lambda i: (keys[i][0], keys[i][1] is not None, keys[i][1] or 0)):
+def _schema(done: DataFrame):
+    return done.withColumn("times", F.col("whole")).schema
+
+
+def _tied(rows: DataFrame) -> DataFrame:
+    """Repeated rows of one hash, more than FEW: as many as their quota has room for, counted by lot so that no task holds all."""
+    lots = rows.withColumn("lot", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(LOTS)))
+    lots = lots.withColumn("room", F.floor(F.col("rest") / F.greatest("size", F.lit(1))))
+    counts = lots.groupBy("p", "lot").agg(F.count("*").alias("n"))
+    before = counts.select("p", "lot", (F.sum("n").over(W.partitionBy("p").orderBy("lot")) - F.col("n")).alias("before"))  # LOTS rows a pattern
+    ranked = lots.join(F.broadcast(before), ["p", "lot"]).withColumn("rank", F.row_number().over(W.partitionBy("p", "lot").orderBy("place")) + F.col("before"))
+    return ranked.withColumn("times", F.col("whole") + (F.col("rank") <= F.col("room")).cast("int")).drop("lot", "room", "before", "rank")
+
+
+def _filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows at the end of each pattern's quota, FEW at most: each in order that still fits is taken once more, then exchanges come nearer."""
+
+    def settled(rows: pa.Table) -> list[pa.RecordBatch]:
+        more = _exchanged(rows.column("size").to_numpy(), rows.column("rest")[0].as_py())
+        times = (rows.column("whole").to_numpy() + more).astype(np.int32)
+        return rows.set_column(rows.schema.get_field_index("times"), "times", pa.array(times)).combine_chunks().to_batches()
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        p = batch.column("p").to_numpy()
+        cuts = [0, *(np.flatnonzero(p[1:] != p[:-1]) + 1).tolist(), len(p)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            part = batch.slice(a, b - a)
+            if held and part.num_rows and held[0].column("p")[0] != part.column("p")[0]:
+                yield from settled(pa.Table.from_batches(held))
+                held.clear()
+            if part.num_rows:
+                held.append(part)
+    if held:
+        yield from settled(pa.Table.from_batches(held))
+
+
+def _exchanged(sizes: np.ndarray, left: int) -> np.ndarray:
+    """Which rows are taken once more."""
+    more = np.zeros(len(sizes), np.int32)
+    for i in range(len(sizes)):
         if sizes[i] <= left:
             more[i], left = 1, left - sizes[i]
     while left:  # exchange a taken document, or none, for another while that comes nearer
@@ -194,20 +272,19 @@ def _filled(rows: pa.Table) -> pa.Table:
         more[others[i]] = 1
         if inside[j] >= 0:
             more[inside[j]] = 0
-    times = rows.column("whole").to_numpy() + more
-    return rows.set_column(rows.schema.get_field_index("mix_times"), "mix_times", pa.array(times.astype(np.int32)))
+    return more
 
 
 def report(docs: DataFrame, **options) -> DataFrame:
     """doc_id, size, source_size, target and taken for each row of docs (doc_id, text, source)."""
-    slim = written(docs.select("doc_id", "source", words().alias("size")), "mix-sizes")
+    slim = written(docs.select("doc_id", "source", words().alias("size"), F.xxhash64("text").alias("mark")), "mix-sizes")
     found = mixed(slim, F.array("source"), F.col("size"), **options)
     known = docs.sparkSession.createDataFrame([(name, size, aim) for name, (size, aim) in found.mix_plan.items()], "name string, source_size long, target double")
-    named = found.join(F.broadcast(known), F.col("source").eqNullSafe(F.col("name")))  # a row a source, at most PATTERNS
-    return named.select("doc_id", "size", "source_size", "target", (F.col("mix_times") * F.col("size")).cast("long").alias("taken"))
+    named = found.join(F.broadcast(known), found["row"]["source"].eqNullSafe(F.col("name")))  # a row a source, at most PATTERNS
+    return named.select("row.doc_id", "size", "source_size", "target", (F.col("times") * F.col("size")).cast("long").alias("taken"))
 
 
 def drawn(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: each row of docs as many times as it is taken, with its columns."""
+    """The mix itself: each row of docs as many times as it is taken, with its columns, whatever their names."""
     found = mixed(docs, F.array("source"), words(), **options)
-    return found.where("mix_times > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_times")))).select(*docs.columns)
+    return found.where("times > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy")).select("row.*")
