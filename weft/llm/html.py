@@ -1,7 +1,8 @@
 """Main text of web pages: gradient-boosted trees score the nodes of the DOM, a tree decoding picks them.
 
-1. A page is parsed leniently: unknown and unclosed tags, stray end tags and pages that break off are usual.
-2. Each element has features: tag class and those around it, attribute tokens, depth, place among its siblings, and the length,
+1. A page is parsed leniently: unknown and unclosed tags, stray end tags and pages that break off are usual. It is
+   read once, forwards, so that hostile markup takes time in proportion to its length too.
+2. Each element has features: tag class and those around it, learned weights of its hashed attribute tokens, depth, place among its siblings, and the length,
    link density, paragraph count and punctuation of its subtree, absolute and relative to its parent.
 3. Boosted trees, trained here with a fixed seed on ``PAGES`` generated pages of many layouts whose parts are
    known, give each element the chance to be main text.
@@ -10,15 +11,17 @@
 5. Text is joined by block. Scripts, styles, comments and the like never count as text.
 
 Edge cases: null, empty and textless pages give an empty text; markup that breaks off is dropped from the
-last "<"; repeated rows give repeated rows; null ids and urls are kept; other columns are ignored.
+last "<" that opens a tag; only void elements close themselves; repeated rows give repeated rows; null ids and urls are kept; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import functools
 import html
 import math
 import random
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,8 +32,10 @@ from weft.llm._text import blocks
 
 BLOCK_BYTES = 2 << 20
 #: Documented bound of the training sample.
-PAGES, SEED = 500, 7
-TREES, DEPTH, RATE, BINS = 60, 3, 0.25, 16
+PAGES, SEED = 1600, 7
+TREES, DEPTH, RATE, BINS, HASHES = 80, 4, 0.25, 16, 4096
+#: Attributes whose words are looked at.
+NAMED = frozenset(("class", "id", "role", "itemprop", "aria-label"))
 
 #: Elements by their role in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -41,89 +46,133 @@ SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td"
 #: What may stand in a head; anything else ends it.
 HEAD = frozenset("base link meta noscript script style template title".split())
 SCOPES = frozenset("ul ol dl table body html article section div main".split())
-#: Words in class, id and role that sites use for what is, and is not, the article.
-AGAINST = frozenset("ad ads advert advertisement banner breadcrumb breadcrumbs comment comments consent contentinfo cookie cookies copyright disqus footer foot form header legal login masthead menu modal nav navbar navigation newsletter notice pager pagination popup promo promoted reply replies related share sharing sidebar signup social sponsor sponsored subscribe tags toolbar widget".split())
-FOR = frozenset("article articlebody body content entry main post prose story text".split())
 TAGS = ("a", "article", "aside", "blockquote", "div", "footer", "form", "header", "h", "li", "main", "nav", "p", "pre", "section", "table", "ul", "b")
 #: Elements that say something of all that is in them.
 ROOMS = ("article", "aside", "footer", "form", "header", "main", "nav")
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</([A-Za-z][A-Za-z0-9:-]*)[^>]*(?:>|\Z)|<([A-Za-z][A-Za-z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"([A-Za-z_:][\w:.-]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
+_NAME = re.compile(r"[A-Za-z][A-Za-z0-9:-]*")
+_STOP = re.compile(r"[>\"']")
+_VALUE = re.compile(r"=\s*\Z")
+_ATTRIBUTE = re.compile(r"([A-Za-z_:][\w:.-]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))")
 _RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "textarea", "title", "noscript", "iframe")}
 
 
+class _Scanner:
+    """Reads a page once, forwards: tags and the text between them."""
+
+    def __init__(self, source: str):
+        self.source, self.at = source, 0
+        self.gone: set[str] = set()  # quotes that don't occur any more
+
+    def __iter__(self) -> Iterator[tuple[str, str, str]]:
+        """(kind, tag, rest): ("text", "", the text), ("open", tag, attributes), ("close", tag, "")."""
+        source, text = self.source, 0
+        look = 0
+        while (low := source.find("<", look)) >= 0:
+            mark = source[low + 1 : low + 2]
+            found = _NAME.match(source, low + 1 + (mark == "/"))
+            if mark in ("!", "?"):
+                comment = source.startswith("<!--", low)
+                end = source.find("-->" if comment else ">", low + (4 if comment else 2))
+                self.at = len(source) if end < 0 else end + (3 if comment else 1)
+                token = None
+            elif found and mark == "/":
+                end = source.find(">", found.end())
+                self.at = len(source) if end < 0 else end + 1
+                token = ("close", found.group().lower(), "")
+            elif found:
+                end = self._end(found.end())
+                self.at = len(source) if end < 0 else end + 1
+                token = ("open", found.group().lower(), source[found.end() : end]) if end >= 0 else None
+            elif mark:
+                look = low + 1  # a bare "<" is text
+                continue
+            else:
+                self.at, token = len(source), None
+            if low > text:
+                yield "text", "", source[text:low]
+            if token:
+                yield token  # whoever reads may skip
+            look = text = self.at
+        if text < len(source):
+            yield "text", "", source[text:]
+
+    def skip(self, to: int) -> None:
+        self.at = to
+
+    def _end(self, at: int) -> int:
+        """The ">" that ends the tag, -1 if none does; a quote counts after "=" and if it is closed."""
+        while found := _STOP.search(self.source, at):
+            quote, at = found.group(), found.end()
+            if quote == ">":
+                return found.start()
+            if quote not in self.gone and _VALUE.search(self.source, max(0, found.start() - 8), found.start()):
+                closing = self.source.find(quote, at)
+                if closing < 0:
+                    self.gone.add(quote)
+                else:
+                    at = closing + 1
+        return -1
+
+
 class Page:
     """Elements in page order: tag, parent, attributes; and pieces of text with their element."""
 
     def __init__(self, source: str):
         self.tags, self.parents, self.attributes = ["#"], [-1], [""]
         self.pieces: list[tuple[int, int, str]] = []  # element, block, text
-        stack, at, block = [0], 0, 0
-        silent = 0
+        stack, block, silent = [0], 0, 0
+        where: dict[str, list[int]] = {}  # for each tag the places of its open elements in the stack
+        scopes = [0]
 
         def cut(i: int) -> None:
             """Ends the open elements from the i-th on."""
             nonlocal silent
-            silent -= sum(self.tags[x] in SILENT for x in stack[i:])
-            del stack[i:]
-
-        for m in _TOKEN.finditer(source):
-            if m.start() < at:
-                continue
-            if self.tags[stack[-1]] == "head" and source[at : m.start()].strip():
-                cut(len(stack) - 1)
-            if m.start() > at and not silent:
-                self.pieces.append((stack[-1], block, source[at : m.start()]))
-            at = m.end()
-            closed, opened = m.group(1), m.group(2)
-            if closed:
-                tag = closed.lower()
-                for i in range(len(stack) - 1, 0, -1):
-                    if self.tags[stack[i]] == tag:
-                        cut(i)
-                        break
+            while len(stack) > i:
+                tag = self.tags[stack.pop()]
+                where[tag].pop()
+                silent -= tag in SILENT
+                if tag in SCOPES:
+                    scopes.pop()
+
+        scanner = _Scanner(source)
+        for kind, tag, rest in scanner:
+            if kind == "text":
+                if self.tags[stack[-1]] == "head" and not rest.isspace():
+                    cut(len(stack) - 1)
+                if not silent:
+                    self.pieces.append((stack[-1], block, rest))
+            elif kind == "close":
+                if where.get(tag):
+                    cut(where[tag][-1])
                 block += tag not in INLINE
-            elif opened and m.group(4) == "":
-                at = len(source)  # it breaks off within a tag
-            elif opened:
-                tag = opened.lower()
+            else:
                 if self.tags[stack[-1]] == "head" and tag not in HEAD:
                     cut(len(stack) - 1)
-                elif tag == "body":
-                    for i in range(len(stack) - 1, 0, -1):
-                        if self.tags[stack[i]] == "head":
-                            cut(i)
-                            break
+                elif tag == "body" and where.get("head"):
+                    cut(where["head"][-1])
                 if tag == "br":
                     if not silent:
                         self.pieces.append((stack[-1], block, " "))
                     continue
                 if tag in CLOSES_P or tag in SAME:
-                    ends = SAME.get(tag, ("p",))
-                    for i in range(len(stack) - 1, 0, -1):
-                        if self.tags[stack[i]] in ends:
-                            cut(i)
-                            break
-                        if self.tags[stack[i]] in SCOPES:
-                            break
+                    last = max((where[t][-1] for t in SAME.get(tag, ("p",)) if where.get(t)), default=0)
+                    if last > scopes[-1]:
+                        cut(last)
                 block += tag not in INLINE
                 if tag in VOID:
                     continue
+                where.setdefault(tag, []).append(len(stack))
+                if tag in SCOPES:
+                    scopes.append(len(stack))
+                stack.append(len(self.tags))
                 self.tags.append(tag)
-                self.parents.append(stack[-1])
-                self.attributes.append(m.group(3))
-                if not m.group(3).endswith("/"):
-                    stack.append(len(self.tags) - 1)
-                    silent += tag in SILENT
-                    if tag in _RAW:
-                        end = _RAW[tag].search(source, at)
-                        at = end.start() if end else len(source)
-        rest = source[at:]
-        if self.tags[stack[-1]] == "head" and rest.partition("<")[0].strip():
-            cut(len(stack) - 1)
-        if rest and not silent:
-            self.pieces.append((stack[-1], block, rest.partition("<")[0] if re.match(r"[^<]*<[/!?A-Za-z]?[^>]*\Z", rest, re.S) else rest))
+                self.parents.append(stack[-2])
+                self.attributes.append(rest)
+                silent += tag in SILENT
+                if tag in _RAW:
+                    end = _RAW[tag].search(source, scanner.at)
+                    scanner.skip(end.start() if end else len(source))
 
     def text(self, chosen: list[bool]) -> str:
         out: dict[int, list[str]] = {}
@@ -134,8 +183,29 @@ class Page:
         return "\n\n".join(x for x in found if x)
 
 
-def features(page: Page) -> np.ndarray:
-    """A row of numbers for each element."""
+def tokens(attributes: str) -> list[int]:
+    """The words of class, id, role, itemprop and aria-label values, hashed; camel case and signs part words."""
+    if "=" not in attributes:
+        return []
+    found = ["".join(v) for name, *v in _ATTRIBUTE.findall(attributes) if name.lower() in NAMED]
+    words = (w for x in found for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", x).lower()))
+    return [zlib.crc32(w.encode()) % HASHES for w in words if w]
+
+
+def token_weights(pages: list[Page], labels: list[list[int]]) -> np.ndarray:
+    """For each hashed attribute word how much more often it stands on main text than on the rest: smoothed log odds."""
+    yes, no = np.zeros(HASHES), np.zeros(HASHES)
+    for page, label in zip(pages, labels, strict=True):
+        for a, y in zip(page.attributes, label, strict=True):
+            if y >= 0:
+                np.add.at(yes if y else no, tokens(a), 1)
+    seen = yes + no > 0
+    odds = np.log((yes + 0.5) / (yes.sum() + 1)) - np.log((no + 0.5) / (no.sum() + 1))
+    return np.where(seen, odds, 0.0)
+
+
+def features(page: Page, weights: np.ndarray) -> np.ndarray:
+    """A row of numbers for each element; weights: of attribute words."""
     n = len(page.tags)
     length, links, stops, own = ([0.0] * n for _ in range(4))
     paragraphs, elements, children, depth = [0.0] * n, [1.0] * n, [0] * n, [0] * n
@@ -166,14 +236,10 @@ def features(page: Page) -> np.ndarray:
             x[p] += x[i]
     out = np.zeros((n, 20 + 2 * len(TAGS) + 4 + len(ROOMS)), np.float32)
     at = {t: k for k, t in enumerate(TAGS)}
-    words: list[tuple[int, int]] = []
+    words: list[tuple[float, float]] = []  # the least and the greatest weight of the element's own words
     for i in range(n):
-        a = page.attributes[i]
-        mine = (0, 0)
-        if a and ("class" in a or "id" in a or "role" in a or "CLASS" in a or "ID" in a):
-            found = [w for name, *v in _ATTRIBUTE.findall(a) if name.lower() in ("class", "id", "role") for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", "".join(v)).lower())]
-            mine = (sum(w in FOR for w in found), sum(w in AGAINST for w in found))
-        words.append(mine)
+        own_words = weights[tokens(page.attributes[i])]
+        words.append((min(0.0, own_words.min()), max(0.0, own_words.max())) if len(own_words) else (0.0, 0.0))
         p = max(page.parents[i], 0)
         total = max(length[0], 1.0)
         size = length[i]
@@ -187,11 +253,11 @@ def features(page: Page) -> np.ndarray:
             if k is not None:
                 out[i, base + k] = 1.0
     last = 20 + 2 * len(TAGS)
-    above: list[tuple[int, int]] = []
+    above: list[tuple[float, float]] = []  # the same over the element and all that it stands in
     for i in range(n):
         p = page.parents[i]
-        near = above[p] if p >= 0 else (0, 0)
-        above.append((near[0] + words[i][0], near[1] + words[i][1]))
+        near = above[p] if p >= 0 else (0.0, 0.0)
+        above.append((min(near[0], words[i][0]), max(near[1], words[i][1])))
         out[i, last : last + 4] = (*words[i], *near)
         if i:
             out[i, last + 4 :] = out[p, last + 4 :]
@@ -205,7 +271,9 @@ def boosted(x: np.ndarray, y: np.ndarray) -> dict:
     edges = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, BINS + 1)[1:-1])) for f in range(x.shape[1])]
     binned = np.stack([np.searchsorted(e, x[:, f], "left") for f, e in enumerate(edges)], 1)
     start = math.log(y.mean() / (1 - y.mean()))
-    score, inner = np.full(len(y), start), (1 << DEPTH) - 1
+    score, inner, width = np.full(len(y), start), (1 << DEPTH) - 1, x.shape[1]
+    cells = binned + np.arange(width) * BINS  # each feature's bins one after another
+    open_bins = np.arange(BINS - 1) < np.array([len(e) for e in edges])[:, None]
     feature, threshold, value = np.zeros((TREES, inner), np.int32), np.full((TREES, inner), np.inf, np.float32), np.zeros((TREES, 1 << DEPTH))
     for t in range(TREES):
         p = 1 / (1 + np.exp(-score))
@@ -216,15 +284,13 @@ def boosted(x: np.ndarray, y: np.ndarray) -> dict:
                 inside = np.flatnonzero(node == leaf)
                 best = (1e-6, 0, np.inf, BINS)
                 if len(inside) > 20:
-                    base = g[inside].sum() ** 2 / (h[inside].sum() + 1)
-                    for f, e in enumerate(edges):
-                        if not len(e):
-                            continue
-                        gs, hs = (np.cumsum(np.bincount(binned[inside, f], w[inside], len(e) + 1))[:-1] for w in (g, h))
-                        gain = gs**2 / (hs + 1) + (g[inside].sum() - gs) ** 2 / (h[inside].sum() - hs + 1) - base
-                        k = int(gain.argmax())
-                        if gain[k] > best[0]:
-                            best = (gain[k], f, e[k], k)
+                    at = cells[inside].ravel()
+                    gs, hs = (np.cumsum(np.bincount(at, np.repeat(w[inside], width), width * BINS).reshape(width, BINS), 1)[:, :-1] for w in (g, h))
+                    all_g, all_h = g[inside].sum(), h[inside].sum()
+                    gain = np.where(open_bins, gs**2 / (hs + 1) + (all_g - gs) ** 2 / (all_h - hs + 1) - all_g**2 / (all_h + 1), -np.inf)
+                    f, k = np.unravel_index(int(gain.argmax()), gain.shape)
+                    if gain[f, k] > best[0]:
+                        best = (gain[f, k], int(f), edges[f][k], int(k))
                 feature[t, leaf], threshold[t, leaf] = best[1], best[2]
                 node[inside] = 2 * leaf + 1 + (binned[inside, best[1]] > best[3])
         for leaf in range(1 << DEPTH):
@@ -280,10 +346,20 @@ def generated(rng: random.Random) -> str:
     prose = lambda: " ".join(line(3, 25) for _ in range(rng.randint(1, 6)))
     pick = rng.choice
     items = lambda k: "".join(f'<li><a href="/{word()}">{word()}{pick(("", "", ",", "."))}</a></li>' for _ in range(k))
-    name = lambda tags, words: (lambda t, w: f"<{t}{pick((' class', ' id', ' role'))}=\"{w}\" data-y=\"0\">|</{t}>")(pick(tags), pick(words))
+    noise = ("box", "col", "container", "inner", "js", "left", "module", "row", "section", "top", "wrap", "wrapper")
+
+    def called(words: tuple[str, ...]) -> str:
+        """A name in one of the ways that sites write them."""
+        w = pick(words)
+        if rng.random() < 0.5:
+            other = pick(noise)
+            w = pick((f"{w}-{other}", f"{other} {w}", f"{other}_{w}", f"{w}{other.capitalize()}", f"{w}-{rng.randint(1, 9)}"))
+        return w
+
+    name = lambda tags, words: (lambda t, w: f"<{t}{pick((' class', ' id', ' role'))}=\"{w}\" data-y=\"0\">|</{t}>")(pick(tags), called(words))
 
     def waste() -> str:
-        kind = rng.randint(0, 8)
+        kind = rng.randint(0, 9)
         if kind == 0:
             return f"<nav data-y=\"0\"><ul>{items(rng.randint(2, 9))}</ul></nav>"
         if kind == 1:
@@ -291,15 +367,17 @@ def generated(rng: random.Random) -> str:
         if kind == 2:
             return f"<aside data-y=\"0\">{pick((f'<p>{prose()}</p>', f'<ul>{items(4)}</ul>', line(3, 9)))}</aside>"
         if kind == 3:
-            return name(("div", "section", "p"), ("ad", "ads", "advert", "ad-banner", "promo", "sponsored")).replace("|", pick((line(1, 20), f"<p>{prose()}</p>", f"<a href='/x'>{line(2, 8)}</a>")))
+            return name(("div", "section", "p"), ("ad", "ads", "advert", "advertisement", "banner", "promo", "promoted", "sponsor", "sponsored")).replace("|", pick((line(1, 20), f"<p>{prose()}</p>", f"<a href='/x'>{line(2, 8)}</a>")))
         if kind == 4:
-            return name(("div", "section"), ("cookie-notice", "notice", "consent", "popup", "newsletter signup")).replace("|", pick((line(3, 20), f"<p>{line(4, 30)}</p><button>ok</button>")))
+            return name(("div", "section"), ("cookie", "cookies", "notice", "consent", "legal", "popup", "modal", "newsletter", "signup", "subscribe", "login")).replace("|", pick((line(3, 20), f"<p>{line(4, 30)}</p><button>ok</button>")))
         if kind == 5:
             return f"<form action='/s' data-y=\"0\"><label>{line(1, 4)}</label><input name=q><p>{line(2, 9)}</p></form>"
         if kind == 6:
-            return name(("div", "section", "ol"), ("comments", "comment-list", "replies", "disqus_thread")).replace("|", "".join(f'<div class="comment"><b>{word()}</b><p>{prose()}</p></div>' for _ in range(rng.randint(1, 6))))
+            return name(("div", "section", "ol"), ("comments", "comment", "reply", "replies", "respond", "disqus", "discussion")).replace("|", "".join(f'<div class="comment"><b>{word()}</b><p>{prose()}</p></div>' for _ in range(rng.randint(1, 6))))
         if kind == 7:
-            return name(("div", "ul", "section"), ("menu", "sidebar", "navbar", "breadcrumbs", "related", "share social", "tags", "widget")).replace("|", pick((f"<ul>{items(5)}</ul>", f"<h3>{line(1, 4)}</h3><ul>{items(3)}</ul>", f"<p>{line(3, 12)}</p>", line(2, 9))))
+            return name(("div", "ul", "section"), ("menu", "nav", "navbar", "navigation", "sidebar", "breadcrumb", "breadcrumbs", "related", "share", "sharing", "social", "tags", "toolbar", "widget", "pager", "pagination")).replace("|", pick((f"<ul>{items(5)}</ul>", f"<h3>{line(1, 4)}</h3><ul>{items(3)}</ul>", f"<p>{line(3, 12)}</p>", line(2, 9))))
+        if kind == 8:
+            return name(("div", "section"), ("foot", "footer", "copyright", "contentinfo", "header", "masthead")).replace("|", pick((f"<p>{line(2, 12)}</p>", line(2, 9), f"<ul>{items(3)}</ul><p>{line(2, 6)}</p>")))
         return f"<header data-y=\"0\">{pick((line(1, 4), f'<h2>{word()}</h2><ul>{items(3)}</ul>', f'<p>{line(2, 9)}</p>'))}</header>"
 
     def block() -> str:
@@ -319,35 +397,55 @@ def generated(rng: random.Random) -> str:
         return f"<p>{pick((prose, lambda: line(1, 30)))()}</p>"
 
     body = [f"<h1>{line(2, 9)}</h1>" if rng.random() < 0.8 else ""] + [block() for _ in range(rng.randint(1, 12))]
+    bare = rng.random() < 0.1  # no element of its own: the article's blocks stand beside the rest
+    if bare:
+        body = [re.sub(r"<(\w+)", r'<\1 data-y="1"', x, count=1) for x in body]
     inner = "".join(x if not x or rng.random() > 0.06 else f"{x}{waste()}" for x in body)
-    opened, closed = pick((("<article>", "</article>"), ("<article>", "</article>"), ("<main>", "</main>"), ('<div class="content">', "</div>"), ('<div id="main-content">', "</div>"), ('<div class="post-body">', "</div>"), ('<section class="story">', "</section>"), ("<div>", "</div>"), ('<div class="entry text">', "</div>"), ('<main><article class="post">', "</article></main>")))
+    main = called(("article", "articleBody", "body", "content", "entry", "main", "post", "prose", "story", "text"))
+    opened, closed = pick((("<article>", "</article>"), ("<article>", "</article>"), (f'<article class="{main}">', "</article>"), ("<main>", "</main>"), (f'<div class="{main}">', "</div>"), (f'<div id="{main}">', "</div>"), (f'<section class="{main}">', "</section>"), ("<div>", "</div>"), (f'<div itemprop="{main}">', "</div>"), (f'<main><article class="{main}">', "</article></main>")))
     before, after = ("".join(waste() for _ in range(rng.randint(0, 4))) for _ in range(2))
-    page = f"<!DOCTYPE html><html><head><title>{line(2, 6)}</title><style>p{{}}</style></head><body>{before}{opened.replace('>', ' data-y=\"1\">', 1)}{inner}{closed}{after}</body></html>"
+    held = inner if bare else f"{opened.replace('>', ' data-y=\"1\">', 1)}{inner}{closed}"
+    if bare or rng.random() < 0.3:
+        after = f"{pick(('<hr>', ''))}<p data-y=\"0\">{' | '.join(f'<a href=/{word()}>{word()}</a>' for _ in range(rng.randint(1, 4)))}</p>{after}" if rng.random() < 0.3 else after
+    body_class = pick(("", "", f' class="{pick(("home", "page", "single", "blog", "post-template", "article-page"))} {pick(noise)}"'))
+    outer = pick((("", ""), ("", ""), ('<div id="page">', "</div>"), ('<div class="wrapper">', "</div>"), ('<div class="container"><div class="row">', "</div></div>"), ("<div><div>", "</div></div>")))
+    page = f"<!DOCTYPE html><html><head><title>{line(2, 6)}</title><style>p{{}}</style></head><body{body_class}>{outer[0]}{before}{held}{after}{outer[1]}</body></html>"
     return page if rng.random() < 0.8 else page[: rng.randint(len(page) // 2, len(page))]
 
 
+def _labels(page: Page) -> tuple[list[int], list[bool]]:
+    """1 (main text), 0 or -1 (unmarked) for each element of a marked page, and whether it holds both kinds."""
+    label, mixed = [-1] * len(page.tags), [False] * len(page.tags)
+    for i in range(1, len(page.tags)):
+        mark = re.search(r'data-y="([01])"', page.attributes[i])
+        up = page.parents[i]
+        label[i] = int(mark[1]) if mark else label[up]
+        x = up
+        while mark and x > 0 and label[x] >= 0 and label[x] != label[i]:
+            mixed[x], x = True, page.parents[x]
+    return label, mixed
+
+
+@functools.lru_cache(maxsize=1)
 def trained(pages: int = PAGES, seed: int = SEED) -> dict:
-    """The trees, from elements of generated pages that are all main text or all not."""
+    """The model, from generated pages: attribute words' weights from one half, the trees from the other, whose
+    elements are all main text or all not.
+    """
     rng, xs, ys = random.Random(seed), [], []
-    for _ in range(pages):
+    first = [Page(generated(rng)) for _ in range(pages // 2)]
+    weights = token_weights(first, [_labels(page)[0] for page in first])
+    for _ in range(pages - pages // 2):
         page = Page(generated(rng))
-        label, mixed = [-1] * len(page.tags), [False] * len(page.tags)
-        for i in range(1, len(page.tags)):
-            mark = re.search(r'data-y="([01])"', page.attributes[i])
-            up = page.parents[i]
-            label[i] = int(mark[1]) if mark else label[up]
-            x = up
-            while mark and x > 0 and label[x] >= 0 and label[x] != label[i]:
-                mixed[x], x = True, page.parents[x]
+        label, mixed = _labels(page)
         use = [i for i in range(1, len(page.tags)) if label[i] >= 0 and not mixed[i]]
-        xs.append(features(page)[use])
+        xs.append(features(page, weights)[use])
         ys += [label[i] for i in use]
-    return boosted(np.concatenate(xs), np.array(ys, float))
+    return boosted(np.concatenate(xs), np.array(ys, float)) | {"weights": weights}
 
 
 def main_text(sources: list[str | None], model: dict) -> list[str]:
     pages = [Page(x or "") for x in sources]
-    rows = [features(p) for p in pages]
+    rows = [features(p, model["weights"]) for p in pages]
     p = chances(model, np.concatenate(rows)) if rows else np.empty(0)
     ends = np.cumsum([len(x) for x in rows])
     return [page.text(decoded(page, p[b - len(x) : b])) for page, x, b in zip(pages, rows, ends, strict=True)]
