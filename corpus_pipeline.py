@@ -34,9 +34,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def training_order(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Fixed-length token sequences at their slots."""
+    """Fixed-length token sequences at their slots, from the shards that are written."""
     ship(spark)
-    return tokens.ordered(docs, key=20240229)
+    return tokens.materialised(docs, key=20240229)
 
 
 STAGES = [

@@ -15,7 +15,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.ordered(table(spark, sf_dir, "documents"), key=20240229)
+    return tokens.materialised(table(spark, sf_dir, "documents"), key=20240229)
 
 
 def op2_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,10 +6,12 @@
    closed by the end token, cut into sequences of ``length`` ids. The last of a lane is filled with end tokens.
 3. The sequences are numbered lane by lane. A Feistel network over the next power of four, walked until it
    falls below their number, permutes the numbers; the result is the slot. Nothing is kept for it but the key.
-4. Partitions hold ranges of slots, sorted, so a reader of slots a, a + 1, ... reads straight on, and slot s is
-   at s // per_shard and (s % per_shard) * stride whatever was read before.
+4. Partitions hold ranges of slots, sorted, and write one file a shard: its sequences end to end, each closed by a
+   newline, so that slot s is at byte (s % per_shard) * stride of shard s // per_shard, whatever was read before.
+   A reader that stopped at slot s opens that file, goes to that byte, and reads straight on; no other file is read.
 
-``lanes`` sets the parallelism of step 2 and costs half a sequence each; raise it with the cluster.
+The number of lanes follows the texts' bytes (one for each ``LANE_BYTES``, at least ``LANES``), so that the largest
+task doesn't grow with the corpus; a lane costs half a sequence.
 
 Edge cases: a null or empty text is one end token; a null doc_id sorts first; repeated rows are tokenised
 as often as they occur; an empty table gives no sequence; other columns are ignored.
@@ -19,6 +21,7 @@ from __future__ import annotations
 
 import array
 import base64
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from weft.llm._store import written
+from weft.llm._store import shared_folder, written
 from weft.llm._text import MIX, blocks, scrambled, strings
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -38,7 +41,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 _WHITE = r"[\s\x0b\x{85}\p{Z}]"
 #: A space within or at the end of a run of white space: the pattern may not cut before it.
 INSIDE_WHITE = rf"{_WHITE} (?:{_WHITE}|\z)"
-LENGTH, LANES, PER_SHARD, ROUNDS = 2048, 256, 1024, 6
+LENGTH, LANES, LANE_BYTES, PER_SHARD, ROUNDS = 2048, 256, 128 << 20, 8192, 6
 BLOCK_BYTES = 4 << 20
 SCHEMA = "slot long, shard long, offset long, lane int, number long, n_tokens int, tokens binary"
 
@@ -134,6 +137,11 @@ class Permutation:
         return self._walked(slots, True)
 
 
+def lanes_of(docs: DataFrame) -> int:
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(LANES, -(-total // LANE_BYTES))
+
+
 def tokenised(docs: DataFrame, vocabulary: str, lanes: int) -> tuple[DataFrame, int, np.dtype]:
     """lane, doc_id, mark (of the text) and packed ids, end token included; the end token and the ids' type."""
     with open(vocabulary, "rb") as f:
@@ -155,8 +163,9 @@ def tokenised(docs: DataFrame, vocabulary: str, lanes: int) -> tuple[DataFrame,
     return marked.select(F.pmod(F.xxhash64("doc_id", "mark"), F.lit(lanes)).cast("int").alias("lane"), "doc_id", "mark", "ids"), end, dtype
 
 
-def sequences(docs: DataFrame, vocabulary: str = VOCABULARY, length: int = LENGTH, lanes: int = LANES) -> DataFrame:
+def sequences(docs: DataFrame, vocabulary: str = VOCABULARY, length: int = LENGTH, lanes: int | None = None) -> DataFrame:
     """lane, number within it, n_tokens (without filling) and ``length`` ids of every sequence; materialised."""
+    lanes = lanes or lanes_of(docs)
     rows, end, dtype = tokenised(docs, vocabulary, lanes)
     width = length * dtype.itemsize
 
@@ -194,8 +203,9 @@ def sequences(docs: DataFrame, vocabulary: str = VOCABULARY, length: int = LENGT
     return written(laned.mapInArrow(packed, "lane int, number long, n_tokens int, tokens binary"), "tokens-sequences")
 
 
-def ordered(docs: DataFrame, key: int = 0, vocabulary: str = VOCABULARY, length: int = LENGTH, lanes: int = LANES, per_shard: int = PER_SHARD) -> DataFrame:
+def ordered(docs: DataFrame, key: int = 0, vocabulary: str = VOCABULARY, length: int = LENGTH, lanes: int | None = None, per_shard: int = PER_SHARD) -> DataFrame:
     """The sequences of docs (doc_id, text) with slot, shard and byte offset, in partitions of slot ranges."""
+    lanes = lanes or lanes_of(docs)
     made = sequences(docs, vocabulary, length, lanes)
     counts = made.groupBy("lane").agg(F.count("*").alias("n"))  # at most ``lanes`` rows
     firsts = counts.select("lane", (F.sum("n").over(W.orderBy("lane")) - F.col("n")).alias("first"), F.sum("n").over(W.partitionBy()).alias("total")).collect()
@@ -211,42 +221,56 @@ def ordered(docs: DataFrame, key: int = 0, vocabulary: str = VOCABULARY, length:
                 continue
             slot = order.slots(first[batch.column("lane").to_numpy()] + batch.column("number").to_numpy())
             width = len(batch.column("tokens")[0].as_py())
-            yield pa.record_batch([pa.array(slot), pa.array(slot // per_shard), pa.array(slot % per_shard * width), *batch.columns], ["slot", "shard", "offset", *batch.schema.names])
+            yield pa.record_batch([pa.array(slot), pa.array(slot // per_shard), pa.array(slot % per_shard * (width + 1)), *batch.columns], ["slot", "shard", "offset", *batch.schema.names])
 
     shards = -(-total // per_shard)
     parts = max(1, min(shards, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     rows = made.mapInArrow(placed, SCHEMA)
-    return rows.repartitionById(parts, (F.col("shard") * parts / max(shards, 1)).cast("int")).sortWithinPartitions("slot")
+    return rows.repartitionById(parts, (F.col("shard") * parts / max(shards, 1)).cast("int")).sortWithinPartitions("shard", "slot")
 
 
 def write_shards(rows: DataFrame, path: str) -> None:
-    """One row a shard: its ids end to end, so that slot s lies at ``offset``; a failed write can be repeated whole."""
-
-    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zlib
-
-        shard, first, parts = None, 0, []
-
-        def row() -> pa.RecordBatch:
-            data = b"".join(parts)
-            return pa.record_batch([pa.array([shard]), pa.array([first]), pa.array([len(parts)], pa.int32()), pa.array([len(parts[0])], pa.int32()), pa.array([zlib.crc32(data)], pa.int64()), pa.array([data], pa.binary())], ["shard", "first_slot", "n", "stride", "crc32", "data"])
-
-        for batch in batches:
-            for own, slot, data in zip(*(batch.column(c).to_pylist() for c in ("shard", "slot", "tokens")), strict=True):
-                if own != shard:
-                    if parts:
-                        yield row()
-                    shard, first, parts = own, slot, []
-                parts.append(data)
-        if parts:
-            yield row()
-
-    rows.select("shard", "slot", "tokens").mapInArrow(joined, "shard long, first_slot long, n int, stride int, crc32 long, data binary").write.mode("overwrite").parquet(path)
-
-
-def read_from(spark, path: str, slot: int, dtype: str = "<u2") -> Iterator[tuple[int, np.ndarray]]:
-    """(slot, ids) from the given slot on, shard by shard: what a trainer calls to go on where it stopped."""
-    shards = spark.read.parquet(path)
-    for r in shards.where(F.col("first_slot") + F.col("n") > slot).orderBy("shard").toLocalIterator():
-        for i in range(max(slot - r["first_slot"], 0), r["n"]):
-            yield r["first_slot"] + i, np.frombuffer(r["data"], dtype, r["stride"] // np.dtype(dtype).itemsize, i * r["stride"])
+    """Files of fixed stride, one for each shard in a folder named by it; rows: of ``ordered``. A failed write can be repeated whole."""
+    raw = rows.select("shard", F.col("tokens").cast("string").alias("value"))  # the bytes as they are
+    raw.write.mode("overwrite").partitionBy("shard").option("compression", "none").option("lineSep", "\n").text(path)
+
+
+def shards_from(spark, path: str, slot: int = 0, per_shard: int = PER_SHARD) -> DataFrame:
+    """shard and content of the files from the given slot's on; the folders before are not opened."""
+    files = spark.read.format("binaryFile").load(path)
+    shard = F.col("shard") if "shard" in files.columns else F.lit(None)  # nothing was written
+    return files.where(shard >= slot // per_shard).select(shard.cast("long").alias("shard"), "content")
+
+
+def sequences_from(spark, path: str, slot: int = 0, length: int = LENGTH, width: int = 2, per_shard: int = PER_SHARD) -> DataFrame:
+    """slot, shard, offset and tokens from the given slot on, read from the files; within a partition in order, without a shuffle."""
+    size = length * width
+    each = F.transform(F.sequence(F.lit(0).cast("long"), F.floor(F.length("content") / (size + 1)) - 1), lambda i: F.struct((F.col("shard") * per_shard + i).alias("slot"), (i * (size + 1)).alias("offset")))
+    rows = shards_from(spark, path, slot, per_shard).select("shard", "content", F.explode(each).alias("x"))
+    found = rows.select("x.slot", "shard", "x.offset", F.substring("content", (F.col("x.offset") + 1).cast("int"), F.lit(size)).alias("tokens"))
+    return found.where(F.col("slot") >= slot) if slot % per_shard else found
+
+
+def read_from(spark, path: str, slot: int, length: int = LENGTH, dtype: str = "<u2", per_shard: int = PER_SHARD) -> Iterator[tuple[int, np.ndarray]]:
+    """(slot, ids) from the given slot on, one file at a time: what a trainer calls to go on where it stopped."""
+    size = length * np.dtype(dtype).itemsize
+    shard, at = divmod(slot, per_shard)
+    while True:
+        found = shards_from(spark, path, shard * per_shard, per_shard).where(F.col("shard") == shard).select("content").take(1)
+        if not found:
+            return
+        content = found[0]["content"]
+        for i in range(at, len(content) // (size + 1)):
+            yield shard * per_shard + i, np.frombuffer(content, dtype, length, i * (size + 1))
+        shard, at = shard + 1, 0
+
+
+def materialised(docs: DataFrame, key: int = 0, vocabulary: str = VOCABULARY, length: int = LENGTH, lanes: int | None = None, per_shard: int = PER_SHARD, path: str | None = None) -> DataFrame:
+    """Writes the shards of docs (doc_id, text), below the shared folder if no path is given, and reads them: slot, shard, offset, tokens."""
+    spark = docs.sparkSession
+    rows = ordered(docs, key, vocabulary, length, lanes, per_shard)
+    path = path or f"{shared_folder(spark)}/weft/shards-{uuid.uuid4().hex}"
+    write_shards(rows, path)
+    with open(vocabulary, "rb") as f:
+        width = 2 if len(f.read().splitlines()) < 2**16 else 4
+    return sequences_from(spark, path, 0, length, width, per_shard)
