@@ -2,12 +2,15 @@
 
 import hashlib
 import math
+import os
 import random
 import re
+import textwrap
 import time
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -53,7 +56,7 @@ def words(x, pattern=WHITE):
 def test_tokens_round_trip(docs, none):
     found = tokens.ordered(docs, key=5, length=64, lanes=3, per_shard=4).collect()
     assert sorted(r["slot"] for r in found) == list(range(len(found)))
-    assert all(r["shard"] == r["slot"] // 4 and r["offset"] == r["slot"] % 4 * 128 and len(r["tokens"]) == 128 for r in found)
+    assert all(r["shard"] == r["slot"] // 4 and r["offset"] == r["slot"] % 4 * 129 and len(r["tokens"]) == 128 for r in found)
     with open(tokens.VOCABULARY, "rb") as f:
         bpe = tokens.encoding(f.read())
     got, lanes = Counter(), defaultdict(list)
@@ -69,12 +72,35 @@ def test_tokens_round_trip(docs, none):
     assert tokens.ordered(none, length=64, lanes=3).count() == 0
 
 
-def test_shards_resume(spark, docs, tmp_path):
+def test_shards_are_files_of_fixed_stride(spark, docs, none, tmp_path):
+    """Every slot lies at its offset in its shard's file; a reader that goes on at a slot opens no file before it."""
+    docs = docs.where("doc_id <> 19")
     rows = tokens.ordered(docs, length=32, lanes=2, per_shard=4)
-    tokens.write_shards(rows, f"file://{tmp_path}/shards")
     want = {r["slot"]: bytes(r["tokens"]) for r in rows.collect()}
-    read = list(tokens.read_from(spark, f"file://{tmp_path}/shards", 6))
+    path = tmp_path / "shards"
+    tokens.write_shards(rows, f"file://{path}")
+    files = {int(f.parent.name.partition("=")[2]): f for f in path.glob("shard=*/part-*")}
+    assert sorted(files) == list(range(-(-len(want) // 4)))
+    for slot, ids in want.items():
+        with open(files[slot // 4], "rb") as f:
+            f.seek(slot % 4 * 65)
+            assert f.read(65) == ids + b"\n"
+    for shard in range(6 // 4):
+        files[shard].write_bytes(b"never read")
+    read = list(tokens.read_from(spark, f"file://{path}", 6, 32, per_shard=4))
     assert [s for s, _ in read] == list(range(6, len(want))) and all(ids.tobytes() == want[s] for s, ids in read)
+    found = tokens.sequences_from(spark, f"file://{path}", 6, 32, per_shard=4)
+    assert {r["slot"]: bytes(r["tokens"]) for r in found.collect()} == {s: x for s, x in want.items() if s >= 6}
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    every = tokens.materialised(docs, length=32, lanes=2, per_shard=4).collect()
+    assert {r["slot"]: (r["shard"], r["offset"], bytes(r["tokens"])) for r in every} == {s: (s // 4, s % 4 * 65, x) for s, x in want.items()}
+    assert tokens.materialised(none, length=32).count() == 0
+
+
+def test_lanes_follow_the_texts(docs, monkeypatch):
+    assert tokens.lanes_of(docs) == tokens.LANES
+    monkeypatch.setattr(tokens, "LANE_BYTES", 10)
+    assert tokens.lanes_of(docs) == -(-sum(len((r["text"] or "").encode()) for r in docs.collect()) // 10)
 
 
 def test_pieces_encode_as_whole_texts():
@@ -473,14 +499,56 @@ def test_shards(spark, docs, none):
     assert shard.sharded(none).count() == 0
 
 
-def test_licences(spark, docs, none):
-    mit = license.LICENSES["MIT"].replace("sublicense", "sub-licence").upper()
-    table = spark.createDataFrame([(1, f"Copyright (c) 2020 Me\n\n{mit}"), (2, "(c) me\n"), (3, f"{mit} and more"), (4, "copyrighted works")], "doc_id long, text string")
-    found = {r["doc_id"]: (r["license"], r["digest"] is not None) for r in license.scanned(table).collect()}
-    assert found == {1: ("MIT", True), 2: (None, False), 3: (None, True), 4: (None, True)}
+def wrapped(x, n=70, lead=""):
+    return "\n".join(lead + y for line in x.split("\n") for y in textwrap.wrap(line, n))
+
+
+def published():
+    """(text as published, its licence)."""
+    x = license.LICENSES
+    out = [
+        (f"MIT License\n\nCopyright (c) 2020 Some One\n\n{wrapped(x['MIT'])}\n", "MIT"),
+        (f"The MIT License (MIT)\n\nCopyright © 2011-2020 Some One <a@b.org>\nCopyright 2021 Other\n\n{wrapped(x['MIT'], 50)}", "MIT"),
+        (f"Copyright (c) 2020 Me\n\n{x['MIT'].replace('sublicense', 'sub-licence').upper()}", "MIT"),
+        (f"ISC License\n\nCopyright (c) 2004-2010, Some Consortium\n\n{wrapped(x['ISC'], 64)}", "ISC"),
+        ("/*\n" + wrapped("Copyright (c) 2004 Someone\n" + x["ISC"].replace("provided that the above ", "provided that the above\n"), 75, " * ") + "\n */", "ISC"),
+        (f"BSD 3-Clause License\n\nCopyright (c) 2020, Some One\nAll rights reserved.\n\n{wrapped(x['BSD-3-Clause'])}", "BSD-3-Clause"),
+        (f"Copyright 2020 Some One. All rights reserved.\n\n{wrapped(x['BSD-2-Clause'].replace('1. ', '* ').replace('2. ', '* '))}", "BSD-2-Clause"),
+        (f"zlib License\n\n(C) 1995 Some One\n\n{wrapped(x['Zlib'], 60)}", "Zlib"),
+        (wrapped(x["Unlicense"]), "Unlicense"),
+        (f"BSD Zero Clause License\n\nCopyright (C) 2006 by Some One\n\n{wrapped(x['0BSD'])}", "0BSD"),
+        (f"{x['MIT']} and more", None), ("copyrighted works", None), ("Copyright notice and this permission", None), ("(c) me\n", None), ("MIT License\n", None), (None, None), ("", None),
+    ]
+    return out
+
+
+def test_licences_as_published(spark, docs, none):
+    """Texts with titles, notices and wraps as they are published match, here and in the SQL; whole long licences match where the machine has them."""
+    rows = [(i, x) for i, (x, _) in enumerate(published())]
+    found = {r["doc_id"]: (r["license"], r["digest"] is not None) for r in license.scanned(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: x for i, (x, _) in found.items()} == {i: x for i, (_, x) in enumerate(published())}
+    assert [i for i, (_, d) in found.items() if not d] == [len(rows) - 4, len(rows) - 3, len(rows) - 2, len(rows) - 1]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    order = [d[0] for d in con.execute(license.ORACLE_SQL).description]
+    want = {r[order.index("doc_id")]: tuple(r[order.index(c)] for c in ("n_canonical", "digest", "license", "is_license")) for r in con.execute(license.ORACLE_SQL).fetchall()}
+    assert {r["doc_id"]: tuple(r)[1:] for r in license.scanned(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want
     assert license.scanned(docs).count() == docs.count() and license.scanned(none).count() == 0
 
 
+@pytest.mark.skipif(not os.path.isdir("/usr/share/common-licenses"), reason="no licence files on this machine")
+def test_long_licences(spark):
+    files = license.folder(spark, "file:///usr/share/common-licenses")
+    by = {r["digest"]: r["license"] for r in files.collect()}
+    known = {r["digest"]: r["license"] for r in license.known(spark).collect()}
+    assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "MPL-2.0", "CC0-1.0"} <= {known.get(d) for d in by}
+    text = open("/usr/share/common-licenses/MPL-2.0").read()
+    rows = spark.createDataFrame([(1, text), (2, " ".join(text.split())), (3, text[:-200])], "doc_id long, text string")
+    assert [r["license"] for r in license.scanned(rows).orderBy("doc_id").collect()][::2] == ["MPL-2.0", None]
+    assert license.scanned(rows, files).where("doc_id = 1").first()["license"] == "MPL-2.0"
+
+
 @pytest.fixture(scope="module")
 def model():
     return html.trained()
@@ -491,14 +559,35 @@ def test_html_held_out(model):
     for _ in range(150):
         source = html.generated(rng)
         page = html.Page(source)
-        label = [-1] * len(page.tags)
-        for i in range(1, len(page.tags)):
-            mark = re.search(r'data-y="([01])"', page.attributes[i])
-            label[i] = int(mark[1]) if mark else label[page.parents[i]]
-        same += page.text([x == 1 for x in label]) == html.main_text([source], model)[0]
+        same += page.text([x == 1 for x in html._labels(page)[0]]) == html.main_text([source], model)[0]
     assert same >= 0.9 * 150
 
 
+def test_html_marked_by_hand(model):
+    """Pages written and marked by hand, none from the generator: at least nine tenths of the blocks of text are told right."""
+    right = total = exact = 0
+    for source, want in MARKED:
+        found = html.main_text([source], model)[0].split("\n\n")
+        every = [b for b in html.Page(source).text([True] * 10_000).split("\n\n") if b]
+        total += len(every)
+        right += sum((b in found) == (b in want) for b in every)
+        exact += found == want
+    assert right >= 0.9 * total and exact >= 0.6 * len(MARKED), (right, total, exact)
+
+
+def test_html_reads_hostile_pages_once(model):
+    for x in ('<p a="x ' * 250_000, "<b>" * 100_000 + "</i>" * 400_000, "<p><html>" + "<b>" * 50_000 + "<h2>" * 50_000, "<" * 1_000_000, "<a href='" * 220_000, "<!--" * 500_000, "<script>" * 250_000, "</x " * 500_000, "<a b=' c=\" " * 150_000):
+        began = time.time()
+        html.Page(x)
+        assert time.time() - began < 4
+
+
+def test_html_only_void_elements_close_themselves():
+    page = html.Page("<div data-u=http://x/>inside</div><br/><img src=a />after")
+    assert [(page.tags[n], x) for n, _, x in page.pieces] == [("div", "inside"), ("#", " "), ("#", "after")]
+    assert html.Page("a < b and <b title='x > y' c=\"d'\">c</b> d <").text([True] * 9) == "a < b and c d"
+
+
 def test_html_pages(spark, model):
     page = "<html><head><title>T</title><script>var a='<p>';</script></head><body><nav><ul><li><a href=/>x,</a></li></ul></nav><article><h1>Head &amp; line</h1><p><b>One two three four,\n five six.<br>Seven<p>Eight nine ten &am</article><div class=\"comments\"><p>me too</p></div><footer>(c) x</footer></body"
     rows = spark.createDataFrame([(1, "u", page), (2, None, None), (3, "v", ""), (None, "w", "<p"), (1, "u", page)], "page_id long, url string, html string").withColumn("text", F.lit("clash"))
@@ -515,3 +604,36 @@ def test_html_implied_ends_do_not_silence():
         pieces = [piece for _, _, piece in html.Page(before + article).pieces]
         assert "Whole text." in pieces and "A" not in pieces and "B" not in pieces and "T" not in pieces
     assert [piece for _, _, piece in html.Page("<head><title>T</title>Bare text").pieces] == ["Bare text"]
+
+
+#: Pages made and marked by hand: source, blocks of the main text.
+MARKED = [
+    (
+        """<html><body class="home blog"><div id="page"><header class="site-header"><a href="/">The Daily Loaf</a><p class="tagline">Bread, slowly</p></header>
+<div class="entry-content"><h1>Why I proof overnight</h1><p>Most recipes rush. I put the dough in the fridge at ten and forget it.</p><p>In the morning it has doubled, and it smells of apples.</p><h2>What you need</h2><ul><li>500 g of strong flour</li><li>Salt, water, patience</li></ul></div>
+<div id="comments"><h3>2 thoughts</h3><div class="comment-body"><p>I tried this with rye and it worked very well for me, thank you for it.</p></div></div>
+<div class="widget"><h3>Archives</h3><ul><li><a href="/a">May</a></li><li><a href="/b">June</a></li></ul></div><footer>Powered by a kitchen</footer></div></body></html>""",
+        ["Why I proof overnight", "Most recipes rush. I put the dough in the fridge at ten and forget it.", "In the morning it has doubled, and it smells of apples.", "What you need", "500 g of strong flour", "Salt, water, patience"],
+    ),
+    (
+        """<!doctype html><title>Harbour</title><nav><a href=/>Home</a> <a href=/n>News</a> <a href=/s>Sport</a></nav><main><article><h1>Harbour reopens after storm</h1><p class=byline>By a reporter</p><p>The harbour reopened on Tuesday, three weeks after the storm that sank nine boats and closed the fish market.</p><aside class="related-links"><h2>More</h2><ul><li><a href=/1>Storm in pictures</a><li><a href=/2>Nine boats lost</a></ul></aside><p>Fishermen said that the damage would take months to mend. &ldquo;We go out anyway,&rdquo; said one.</p></article></main><section class="newsletter-signup"><p>Get our news by mail every morning.</p><form><input name=mail><button>Join</button></form></section>""",
+        ["Harbour reopens after storm", "By a reporter", "The harbour reopened on Tuesday, three weeks after the storm that sank nine boats and closed the fish market.", "Fishermen said that the damage would take months to mend. \u201cWe go out anyway,\u201d said one."],
+    ),
+    (
+        """<body><div class="sidebar"><ul><li><a href="i.html">Install</a></li><li><a href="u.html">Use</a></li><li><a href="a.html">API</a></li></ul></div><div role="main" class="document"><h1>Install</h1><p>Unpack the archive and run the script. It needs no rights of an administrator.</p><pre>tar xf tool.tar
+./install --here</pre><p>If it fails, read the log. The last line says what is missing, and the one before says where it was looked for.</p></div><div class="footer">Made with a generator of manuals</div></body>""",
+        ["Install", "Unpack the archive and run the script. It needs no rights of an administrator.", "tar xf tool.tar ./install --here", "If it fails, read the log. The last line says what is missing, and the one before says where it was looked for."],
+    ),
+    (
+        """<html><head><title>Birds</title></head><body><h1>Notes on birds</h1><p>Crows keep accounts. A crow that was cheated once will not trade with the same hand again, and it tells its friends.</p><p>Wrens do not. They sing at anyone who passes, in rain and in sun, from the same post.</p><p>I have watched both from my window for eleven years.</p><hr><p><a href="index.html">Back</a> | <a href="next.html">Next</a></p></body></html>""",
+        ["Notes on birds", "Crows keep accounts. A crow that was cheated once will not trade with the same hand again, and it tells its friends.", "Wrens do not. They sing at anyone who passes, in rain and in sun, from the same post.", "I have watched both from my window for eleven years."],
+    ),
+    (
+        """<body><div class="cookie-banner"><p>We use cookies to make this site better. <button>Fine</button></p></div><div class="navbar-top"><a href="/">Start</a><a href="/preise">Preise</a></div><div class="story-body"><h1>Der lange Weg nach Hause</h1><p>Am Abend gingen sie los, &uuml;ber die Br&uuml;cke und dann am Fluss entlang.</p><p>Niemand sprach. Erst als das Dorf zu sehen war, lachte einer.</p><blockquote>Wir sind fast da.</blockquote></div><div class="share-buttons"><a href="#">Teilen</a></div><div class="advert-box">Neue Schuhe zum halben Preis, nur heute und nur hier!</div><div class="site-footer"><p>Impressum</p></div></body>""",
+        ["Der lange Weg nach Hause", "Am Abend gingen sie los, \u00fcber die Br\u00fccke und dann am Fluss entlang.", "Niemand sprach. Erst als das Dorf zu sehen war, lachte einer.", "Wir sind fast da."],
+    ),
+    (
+        """<body><header><h2>Town library</h2><ul><li><a href=/h>Hours</a></li><li><a href=/c>Catalogue</a></li></ul></header><div><div class="content-wrap"><article itemprop="articleBody"><p>The library lends tools now: drills, ladders, a press for apples. Bring your card and bring them back dry.</p><p>A saw may be kept for two weeks. <a href="/rules">The rules</a> say what happens after that.</p></article><aside><p>Children read on Mondays at four.</p></aside></div></div><div class="comments-area"><p class="comment">Finally! I have needed a ladder for years, and the shop is far away.</p></div></body>""",
+        ["The library lends tools now: drills, ladders, a press for apples. Bring your card and bring them back dry.", "A saw may be kept for two weeks. The rules say what happens after that."],
+    ),
+]
