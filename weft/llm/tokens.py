@@ -216,17 +216,25 @@ def ordered(docs: DataFrame, key: int = 0, vocabulary: str = VOCABULARY, length:
     order = Permutation(total, key)
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
             if not batch.num_rows:
                 continue
             slot = order.slots(first[batch.column("lane").to_numpy()] + batch.column("number").to_numpy())
             width = len(batch.column("tokens")[0].as_py())
-            yield pa.record_batch([pa.array(slot), pa.array(slot // per_shard), pa.array(slot % per_shard * (width + 1)), *batch.columns], ["slot", "shard", "offset", *batch.schema.names])
+            packed = pa.array(map(pack, batch.column("tokens").to_pylist()), pa.binary())
+            yield pa.record_batch([pa.array(slot), pa.array(slot // per_shard), pa.array(slot % per_shard * (width + 1)), *batch.columns[:-1], packed], ["slot", "shard", "offset", *batch.schema.names])
+
+    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            yield pa.record_batch([*batch.columns[:-1], pa.array(map(unpack, batch.column("tokens").to_pylist()), pa.binary())], batch.schema.names)
 
     shards = -(-total // per_shard)
     parts = max(1, min(shards, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     rows = made.mapInArrow(placed, SCHEMA)
-    return rows.repartitionById(parts, (F.col("shard") * parts / max(shards, 1)).cast("int")).sortWithinPartitions("shard", "slot")
+    dealt = rows.repartitionById(parts, (F.col("shard") * parts / max(shards, 1)).cast("int"))
+    return dealt.mapInArrow(unpacked, SCHEMA).sortWithinPartitions("shard", "slot")
 
 
 def write_shards(rows: DataFrame, path: str) -> None:
@@ -245,9 +253,12 @@ def shards_from(spark, path: str, slot: int = 0, per_shard: int = PER_SHARD) ->
 def sequences_from(spark, path: str, slot: int = 0, length: int = LENGTH, width: int = 2, per_shard: int = PER_SHARD) -> DataFrame:
     """slot, shard, offset and tokens from the given slot on, read from the files; within a partition in order, without a shuffle."""
     size = length * width
-    each = F.transform(F.sequence(F.lit(0).cast("long"), F.floor(F.length("content") / (size + 1)) - 1), lambda i: F.struct((F.col("shard") * per_shard + i).alias("slot"), (i * (size + 1)).alias("offset")))
-    rows = shards_from(spark, path, slot, per_shard).select("shard", "content", F.explode(each).alias("x"))
-    found = rows.select("x.slot", "shard", "x.offset", F.substring("content", (F.col("x.offset") + 1).cast("int"), F.lit(size)).alias("tokens"))
+    at = lambda i: (i * (size + 1)).alias("offset")
+    each = F.transform(  # cut before it is exploded: a row must not carry its whole file
+        F.sequence(F.lit(0).cast("long"), F.floor(F.length("content") / (size + 1)) - 1),
+        lambda i: F.struct((F.col("shard") * per_shard + i).alias("slot"), at(i), F.substring("content", (at(i) + 1).cast("int"), F.lit(size)).alias("tokens")),
+    )
+    found = shards_from(spark, path, slot, per_shard).select("shard", F.explode(each).alias("x")).select("x.slot", "shard", "x.offset", "x.tokens")
     return found.where(F.col("slot") >= slot) if slot % per_shard else found
 
 
