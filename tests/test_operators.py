@@ -1,8 +1,11 @@
 """Small fixtures for ties, missing values, class edges and greedy order."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from weft import schemas
 from weft.functions import texts, vectors
 from weft.operators import logs, match, molecules, patterns, results, sets, stats
 from weft.sources import files
@@ -129,8 +132,11 @@ def test_sections_and_runs(spark, tmp_path):
 def test_rings_and_chains(spark):
     atoms = spark.createDataFrame([("m", i, s, s == "Fe", s != "Fe", True) for i, s in enumerate(["Fe", "C", "C", "O"])], "entry string, ord int, symbol string, metal boolean, nonmetal boolean, cyclic boolean")
     bonds = spark.createDataFrame([("m", 0, 1, "pi"), ("m", 0, 2, "pi"), ("m", 1, 2, "aromatic"), ("m", 2, 3, "double")], "entry string, a int, b int, bond string")
+    row = patterns.found(atoms, bonds, patterns.library()).first().asDict()
     links = patterns.edges(atoms, bonds)
-    hit = {n: patterns.hits(atoms, links, p[:3]).count() for n, p in patterns.library().items() if n in ("cyclic_multihapto_ligands", "dative_bonds", "linear_ligands", "aromatic_rings", "saturated_rings", "allenes", "chelating_ligands")}
+    for name, paths in patterns.library().items():  # the joins list the matches that the search only tells of
+        assert row[name] == any(patterns.matches(atoms, links, p).count() > 0 for p in paths if len(p.steps) < 4), name
+    hit = {n: int(row[n]) for n in ("cyclic_multihapto_ligands", "dative_bonds", "linear_ligands", "aromatic_rings", "saturated_rings", "allenes", "chelating_ligands")}
     assert hit == {"cyclic_multihapto_ligands": 1, "dative_bonds": 1, "linear_ligands": 0, "aromatic_rings": 1, "saturated_rings": 0, "allenes": 0, "chelating_ligands": 1}
     assert len(patterns.library()) == 20
 
@@ -153,3 +159,118 @@ def test_stream_upserts(spark, tmp_path):
         ingest.keep_table(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/ck", ["k"], ["fp"], "t").awaitTermination()
         assert ingest.latest(spark, f"{tmp_path}/out").count() == i + 1
     assert {tuple(r)[:3] for r in ingest.latest(spark, f"{tmp_path}/out").collect()} == {(1, "a", "y"), (2, None, "z")}
+
+
+def test_fingerprints_keep_under_turns(spark):
+    """Shifted and turned points have the same fingerprint, other points another; charges add a dimension."""
+    rng = np.random.default_rng(3)
+    points = rng.normal(size=(9, 4))
+    turn, _ = np.linalg.qr(rng.normal(size=(3, 3)))
+    moved = points.copy()
+    moved[:, :3] = points[:, :3] @ turn + 5
+    one, two = vectors.shape(points), vectors.shape(moved)
+    assert len(one) == 15 and one == pytest.approx(two, abs=1e-8) and one != pytest.approx(vectors.shape(points * 1.5), abs=1e-3)
+    rows = spark.createDataFrame([(1, points.tolist()), (2, moved.tolist()), (3, [])], "i int, p array<array<double>>").withColumn("fp", vectors.fingerprint(F.col("p")))
+    a, b, c = rows.orderBy("i").collect()
+    assert a["fp"] == pytest.approx(one) and b["fp"] == pytest.approx(one, abs=1e-8) and c["fp"] is None
+
+
+def test_environment_table_from_atoms_to_files(spark, tmp_path):
+    """Atoms and bonds to the stored table: fingerprints, the columns of the schema, older values kept, blocks pruned."""
+    atoms = spark.createDataFrame([(e, i, s, float(i), float(i * i), 0.5 * i, n, 0.0, f"sdf{e}{i}") for e in ("m1", "m2") for i, (s, n) in enumerate([("Fe", 26), ("C", 6), ("O", 8)])], "entry string, ord int, symbol string, x double, y double, z double, number int, charge double, sdf string")
+    bonds = spark.createDataFrame([(e, 0, k, "single") for e in ("m1", "m2") for k in (1, 2)], "entry string, a int, b int, bond string")
+    made = molecules.environment_table(atoms, bonds)
+    assert made.schema.simpleString() == StructType.fromDDL(schemas.CAES).simpleString()
+    rows = {(r["entry_id"], r["cae_idx"]): r for r in made.collect()}
+    assert len(rows) == 6 and rows["m1", 0]["formula_str"] == "C1Fe1O1" and rows["m1", 0]["n_atoms"] == 3 and rows["m1", 0]["sdf"] == "sdfm10"
+    assert len(rows["m1", 0]["fp_p"]) == 15 and len(rows["m1", 0]["fp_pq"]) == 18 and rows["m1", 0]["fp_p"] == pytest.approx(rows["m2", 0]["fp_p"])
+    old = spark.createDataFrame([("m1", 0, [1.0])], "entry_id string, cae_idx int, fp_p array<double>")
+    again = {(r["entry_id"], r["cae_idx"]): r for r in molecules.environment_table(atoms, bonds, old).collect()}
+    assert again["m1", 0]["fp_p"] == [1.0] and len(again["m1", 0]["fp_pq"]) == 18 and len(again) == 6
+    files.write_environments(made, f"{tmp_path}/caes")
+    back = files.read_environments(spark, f"{tmp_path}/caes")
+    assert sorted(map(str, back.select(made.columns).collect())) == sorted(map(str, made.collect()))
+    plan = back.where("central_atom = 'Fe' AND n_atoms = 3")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(central_atom" in plan and "GreaterThan" not in plan and "EqualTo(n_atoms,3)" in plan
+
+
+def test_a_run_with_its_sdf_files(spark, tmp_path):
+    """Targets against a population: classes, counters by owner, and one SDF folder a target with tags, read back."""
+    t = spark.createDataFrame([(1, "a", [0.0], "T1"), (2, "b", [0.0], "T2"), (3, "c", [0.0], "T2")], "id int, block string, fp array<double>, owner string")
+    p = spark.createDataFrame([(11, "a", [0.0], "name\n p\n\n  2  1\nM  END"), (12, "b", [1.0], "name\n p\n\n  3  1\nM  END")], "id int, block string, fp array<double>, sdf string")
+    best = match.with_payload(match.best_match(t, p, ["block"], 0.98), p, ["sdf"]).join(t.select(F.col("id").alias("target"), "owner"), "target")
+    assert {r["owner"]: (r["matched"], r["distorted"], r["no_match"], r["total"]) for r in results.class_counts(best, "owner").collect()} == {"T1": (1, 0, 0, 1), "T2": (0, 1, 1, 2)}
+    tagged = best.where("partner IS NOT NULL").withColumn("distorted", F.initcap((F.col("class") == "distorted").cast("string")))
+    files.write_sdf(tagged, f"{tmp_path}/out", "sdf", {"Similarity": "score", "DistortedMatch": "distorted"}, "target", "partner")
+    found = {r["path"].split("target=")[1][0]: r for r in logs.sdf_files(files.sdf_records(spark, f"{tmp_path}/out/*")).collect()}
+    assert (found["1"]["similarities"], found["1"]["n_atoms"], found["1"]["first_flag"]) == ([1.0], 2, "False") and (found["2"]["similarities"], found["2"]["first_flag"]) == ([0.5], "True")
+
+
+def test_more_files(spark, tmp_path):
+    """Readers and writers of CSV, targets, tasks, scores, generator runs, listings, structures, fragments and metrics."""
+    viable = spark.createDataFrame([("A", True, 3, "Complete", False, False, "C"), ("A", True, 3, "Complete", False, False, "C"), (None, True, 3, "None", False, False, None)], schemas.VIABLE)
+    files.write_csv(viable, f"{tmp_path}/v")
+    assert [r[0] for r in files.viable_ids(spark, f"{tmp_path}/v").collect()] == ["A"]
+    files.write_csv(viable.select("Identifier", "N_Atoms"), f"{tmp_path}/tsv", "\t")
+    assert files.fragments(spark, f"{tmp_path}/tsv", "x string").count() == 3
+    targets = spark.createDataFrame([("T", "CC", [0.5, 1.0])], "entry_id string, smiles string, fp array<double>")
+    files.write_targets(targets, f"{tmp_path}/t")
+    assert [r[0] for r in spark.read.text(f"{tmp_path}/t").collect()] == ["T CC [0.5,1.0]"]
+    configs = results.task_configs(spark.createDataFrame([(1, "ABC")], "index int, target string"), "demo")
+    files.write_tasks(configs.drop("file"), f"{tmp_path}/tasks")
+    read = files.tasks(spark, f"{tmp_path}/tasks").first()
+    assert read["task"] == "1_ABC" and read["scoring_functions"][0]["parameters"]["n_jobs"] == 8 and read["starting_population"][1] == "1_ABC_init_pop.txt" and read["scoring"]["metrics"][0]["weight"] == 1.0
+    (tmp_path / "s.csv").write_text("a,X_HSR_score\n1,0.5\n2,N.A.\n")
+    assert [tuple(r) for r in files.scores(spark, f"{tmp_path}/s.csv").collect()] == [(0.5, "X"), (None, "X")]
+    assert files.scores(spark, f"{tmp_path}/tsv").count() == 0 and files.has_columns(viable, "SMILES") and not files.has_columns(viable, "no")
+    (tmp_path / "scores_and_times_7.csv").write_text(",".join(c.split()[0] for c in schemas.GENERATOR_RUN.split(", ")) + "\nT,0.5,1,x,N.A.,2,y,0.1,3,z\n")
+    r = files.generator_runs(spark, f"{tmp_path}/scores_and_times_7.csv").first()
+    assert (r["Target"], r["rdkit_sim"], r["run"]) == ("T", "N.A.", "7") or r["run"].endswith("7")
+    for name in ("x/AAA.cif", "x/y/BBB.cif", "x/z.txt"):
+        (tmp_path / "cif" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "cif" / name).write_text(f"data_{name}")
+    assert {r["name"]: r["text"] for r in files.structure_texts(spark, f"{tmp_path}/cif").collect()} == {"AAA": "data_x/AAA.cif", "BBB": "data_x/y/BBB.cif"}
+    listed = files.listing(spark, f"{tmp_path}/cif", "*.cif")
+    assert [r["name"] for r in files.stale(listed, spark.createDataFrame([("AAA",)], "name string"), "name").collect()] == ["BBB"]
+    for run, depth in (("r1", "x"), ("r2", "x/y/z")):
+        (tmp_path / "deep" / run / depth).mkdir(parents=True)
+        (tmp_path / "deep" / run / depth / "results.csv").write_text("task,s\n1_A,0.5\n")
+    found = files.results_below(spark, f"{tmp_path}/deep", schema="task string, s double").collect()
+    assert len(found) == 2 and {r["run"] for r in found} == {"r1", "y"}
+    for n in (1, 2):
+        files.append_metrics(results.metrics(spark, seconds=n, rows=10), f"{tmp_path}/metrics")
+    assert spark.read.parquet(f"{tmp_path}/metrics").count() == 4
+    assert files.entries(spark, f"{tmp_path}/metrics", 3).count() == 3 and files.registered(viable, "v_test") is viable and spark.sql("SELECT count(*) FROM v_test").first()[0] == 3
+
+
+def test_greedy_unique_of_many_rows(spark):
+    """The same as one row after another, for more rows than are kept at once at first."""
+    rng = np.random.default_rng(2)
+    rows = [(i, 0, v.tolist()) for i, v in enumerate(rng.normal(size=(400, 6)))]
+    kept: list[np.ndarray] = []
+    want = []
+    for i, _, v in rows:
+        if all(1 / (1 + np.abs(k - v).mean()) < 0.62 for k in kept):
+            kept.append(np.array(v))
+            want.append(i)
+    found = match.unique(spark.createDataFrame(rows, "id int, b int, fp array<double>"), ["b"], "id", 0.62)
+    assert sorted(r["id"] for r in found.collect()) == want and len(want) > 64
+
+
+def test_targets_in_chunks(spark, monkeypatch):
+    """Many targets meet every entry in parts, with the same result and no Cartesian product."""
+    rows = spark.createDataFrame([(i, [float(i % 7)]) for i in range(40)], "id int, fp array<double>")
+    whole = sorted(map(tuple, match.below(rows, rows, 0.5).collect()))
+    monkeypatch.setattr(match, "BROADCAST_ROWS", 8)
+    parts = match.below(rows, rows, 0.5)
+    assert sorted(map(tuple, parts.collect())) == whole and "CartesianProduct" not in parts._jdf.queryExecution().executedPlan().toString()
+
+
+def test_first_seen_over_many_keys(spark):
+    rows = spark.createDataFrame([(f"k{i % 300}", i) for i in range(2000)], "k string, line long")
+    assert {r["k"]: r["order"] for r in results.first_seen(rows, "k", "line").collect()} == {f"k{i}": i + 1 for i in range(300)}
+
+
+def test_windowed_counts(spark):
+    rows = spark.createDataFrame([(i, f"2024-01-01 0{i % 3}:10:00", "a", 1.0) for i in range(6)], "id int, t string, event_type string, value double").withColumn("ts", F.to_timestamp("t"))
+    assert sorted((r["n"], r["v"]) for r in ingest.windowed_counts(rows).collect()) == [(2, 2.0)] * 3

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 import numpy as np
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from weft.functions.vectors import l1_similarity
+from weft.functions.vectors import l1_similarity, l2_distance
 
 #: Rows of a side that is sent to all executors at most; beyond, the join shuffles on the block.
 BROADCAST_ROWS = 100_000
@@ -32,10 +33,12 @@ def scored_pairs(targets: DataFrame, population: DataFrame, block: Sequence[str]
 
     others: a target isn't its own partner.
 
-    A population row that repeats counts once in any best match; a semi-join on ids before keeps it to a population.
+    A population row that repeats counts once in any best match; ``of_population`` keeps it to a population. Rows
+    without a fingerprint (NULL or empty) meet nothing.
     """
-    left = targets.select(*block, F.col("id").alias("target"), F.col("fp").alias("target_fp"), *[c for c in targets.columns if c.startswith("t_")])
-    right = population.select(*block, F.col("id").alias("partner"), F.col("fp").alias("partner_fp"), *[c for c in population.columns if c.startswith("p_")])
+    there = F.size("fp") > 0  # texts that were no vectors have none
+    left = targets.where(there).select(*block, F.col("id").alias("target"), F.col("fp").alias("target_fp"), *[c for c in targets.columns if c.startswith("t_")])
+    right = population.where(there).select(*block, F.col("id").alias("partner"), F.col("fp").alias("partner_fp"), *[c for c in population.columns if c.startswith("p_")])
     found = l1_similarity(F.col("target_fp"), F.col("partner_fp")) if score is None else score
     pairs = right.join(checked(left), list(block))
     return (pairs.where("target <> partner") if others else pairs).withColumn("score", found)
@@ -73,12 +76,56 @@ def below(targets: DataFrame, population: DataFrame, threshold: float, block: Se
     if block:
         pairs = scored_pairs(targets, population, block, others=others)
     else:
-        left = checked(targets.select(F.col("id").alias("target"), F.col("fp").alias("target_fp")))
-        pairs = population.select(F.col("id").alias("partner"), F.col("fp").alias("partner_fp")).join(left).withColumn("score", l1_similarity(F.col("target_fp"), F.col("partner_fp")))
+        right = population.select(F.col("id").alias("partner"), F.col("fp").alias("partner_fp"))
+        parts = [right.join(F.broadcast(left)) for left in _chunks(targets.select(F.col("id").alias("target"), F.col("fp").alias("target_fp")), "target")]
+        pairs = functools.reduce(DataFrame.unionByName, parts).withColumn("score", l1_similarity(F.col("target_fp"), F.col("partner_fp")))
     pairs = pairs.where("target <> partner") if others else pairs
     return pairs.where(F.col("score") < threshold).select("target", "partner", "score").orderBy("target", F.desc("score"), "partner")
 
 
+def _chunks(targets: DataFrame, key: str) -> list[DataFrame]:
+    """The targets in parts of at most about BROADCAST_ROWS rows, counted."""
+    n = -(-targets.count() // (BROADCAST_ROWS // 2))
+    return [targets] if n <= 2 else [targets.where(F.pmod(F.xxhash64(key), F.lit(n)) == i) for i in range(n)]
+
+
+def of_population(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of a population given by its ids."""
+    return rows.join(checked(ids.select("id").distinct()), "id", "left_semi")
+
+
+def with_payload(matches: DataFrame, rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Matches with columns of their partners, fetched only now that the best are known."""
+    payload = rows.select(F.col("id").alias("partner"), *columns)
+    return payload.join(checked(matches), "partner", "right").select(*matches.columns, *columns)
+
+
+def first_matches(targets: DataFrame, population: DataFrame, block: Sequence[str], threshold: float, k: int = 3, others: bool = False) -> DataFrame:
+    """Up to k partners of each target at or above the threshold, the least ids first; targets with none have no row."""
+    pairs = scored_pairs(targets, population, block, others=others).where(F.col("score") >= threshold)
+    found = pairs.withColumn("rank", F.row_number().over(W.partitionBy("target").orderBy("partner")))
+    return found.where(F.col("rank") <= k).select("target", "rank", "partner", "score")
+
+
+def nearest_rescored(targets: DataFrame, population: DataFrame, block: Sequence[str], k: int = 3, others: bool = False) -> DataFrame:
+    """The k nearest by Euclidean distance, then ranked by similarity: not always the k most similar."""
+    gap = l2_distance(F.col("target_fp"), F.col("partner_fp"))
+    near = scored_pairs(targets, population, block, others=others).withColumn("gap", gap)
+    near = near.withColumn("n", F.row_number().over(W.partitionBy("target").orderBy("gap", "partner"))).where(F.col("n") <= k)
+    return near.withColumn("rank", F.row_number().over(W.partitionBy("target").orderBy(F.desc("score"), "partner"))).select("target", "rank", "partner", "score", "gap")
+
+
+def wide_top(top: DataFrame, threshold: float, k: int = 3) -> DataFrame:
+    """A row a target from ``top_matches``: its scores as columns, and whether the best reaches the threshold."""
+    scores = [F.max(F.when(F.col("rank") == i, F.col("score"))).alias(f"score_{i}") for i in range(1, k + 1)]
+    return top.groupBy("target").agg(*scores, F.max(F.col("score") >= threshold).alias("matched"))
+
+
+def distinct_matched(targets: DataFrame, wide: DataFrame) -> DataFrame:
+    """How many different fingerprints the matched targets have."""
+    return targets.join(wide.where("matched").select(F.col("target").alias("id")), "id", "left_semi").select("fp").distinct().agg(F.count("*").alias("n_matched_fp"))
+
+
 def similar(pairs: DataFrame, low: float, high: float) -> DataFrame:
     return pairs.where((F.col("score") > low) & (F.col("score") <= high))
 
@@ -87,28 +134,39 @@ def unique(rows: DataFrame, block: Sequence[str], order: str, threshold: float)
     """Greedy unique set: in order, a row stays if its similarity to every row kept of its block is below the threshold.
 
     Rows with an equal vector are cut to the first before, which changes nothing and takes copies out of
-    the sequential part. A block is one task's work, its kept rows in memory.
+    the sequential part. A block is one task's work: its vectors and those kept are in memory, 16 bytes a number.
     """
     first = rows.groupBy(*block, "fp").agg(F.min(order).alias(order))
 
     def kept(table: pa.Table) -> pa.Table:
-        table = table.sort_by(order)
-        vectors = [np.asarray(v, np.float64) for v in table.column("fp").to_pylist()]
-        stay: list[int] = []
-        held = np.empty((0, len(vectors[0])))
+        table = table.sort_by(order).combine_chunks()
+        rows = table.column("fp").combine_chunks()
+        vectors = rows.flatten().to_numpy().reshape(len(rows), -1)  # a view of the block, no copy of each row
+        held, n, stay = np.empty((64, vectors.shape[1])), 0, []
         for i, v in enumerate(vectors):
-            if not len(held) or (1 / (1 + np.abs(held - v).mean(axis=1)) < threshold).all():
+            if not n or (1 / (1 + np.abs(held[:n] - v).mean(axis=1)) < threshold).all():
+                if n == len(held):
+                    held = np.concatenate((held, np.empty_like(held)))
+                held[n], n = v, n + 1
                 stay.append(i)
-                held = np.vstack([held, v])
         return table.take(pa.array(stay)).select([*block, order])
 
     return first.groupBy(*block).applyInArrow(kept, first.select(*block, order).schema)
 
 
-def close_pairs(rows: DataFrame, block: Sequence[str], key: str, nearer: Column) -> DataFrame:
-    """Pairs i < j of a block for which the predicate over fp_i and fp_j holds."""
-    left, right = (rows.select(*block, F.col(key).alias(k), F.col("fp").alias(v)) for k, v in (("i", "fp_i"), ("j", "fp_j")))
-    return left.join(right, list(block)).where((F.col("i") < F.col("j")) & nearer)
+def close_pairs(rows: DataFrame, block: Sequence[str], key: str, least: float) -> DataFrame:
+    """Pairs i < j of a block whose similarity is at least ``least``.
+
+    Vectors so similar have means that differ by at most 1 / least - 1, so only rows of the same or the next band of
+    means meet; the exact test follows.
+    """
+    reach = 1.0 / least - 1.0 + 1e-9
+    mean = F.aggregate(F.col("fp").cast("array<double>"), F.lit(0.0), lambda a, v: a + v) / F.size("fp")
+    banded = rows.withColumn("_band", F.floor(mean / reach)) if reach > 1e-6 else rows.withColumn("_band", F.xxhash64(F.col("fp")))
+    left = banded.select(*block, "_band", F.col(key).alias("i"), F.col("fp").alias("fp_i"))
+    near = F.explode(F.array(F.col("_band") - 1, F.col("_band"), F.col("_band") + 1)) if reach > 1e-6 else F.col("_band")
+    right = banded.select(*block, near.alias("_band"), F.col(key).alias("j"), F.col("fp").alias("fp_j"))
+    return left.join(right, [*block, "_band"]).where((F.col("i") < F.col("j")) & (l1_similarity(F.col("fp_i"), F.col("fp_j")) >= least)).drop("_band")
 
 
 def centroid(rows: DataFrame, block: Sequence[str], vector: str = "fp") -> DataFrame:

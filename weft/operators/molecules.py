@@ -7,6 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from weft import schemas
+from weft.functions import vectors
 
 
 def connectivity(bonds: Column, atoms: Column) -> Column:
@@ -44,19 +48,77 @@ def heaviest(components: DataFrame, measure: str, entry: str = "entry", order: s
     return components.withColumn(f"top_{measure}", F.row_number().over(top) == 1)
 
 
+def graphs(atoms: DataFrame, bonds: DataFrame, *facts: str) -> DataFrame:
+    """One row an entry: its atoms (ord, symbol and the facts) and its bonds (a, b, bond) as arrays; a molecule is small."""
+    held = atoms.groupBy("entry").agg(F.array_sort(F.collect_list(F.struct("ord", "symbol", *facts))).alias("atoms"))
+    tied = bonds.groupBy("entry").agg(F.collect_list(F.struct("a", "b", "bond")).alias("bonds"))
+    return held.join(tied, "entry", "left").withColumn("bonds", F.coalesce("bonds", F.array()))
+
+
 def environments(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
     """One row an atom: itself, its neighbours and its bonds; formula and number of atoms.
 
-    atoms (entry, ord, symbol), bonds (entry, a, b, bond).
+    atoms (entry, ord, symbol), bonds (entry, a, b, bond). Both are dealt by entry once; the rest stays within a row.
     """
-    ends = bonds.select("entry", F.col("a").alias("ord"), F.col("b").alias("other"), "bond").union(bonds.select("entry", "b", "a", "bond"))
-    near = ends.join(atoms.select("entry", F.col("ord").alias("other"), F.col("symbol").alias("near")), ["entry", "other"])
-    grouped = near.groupBy("entry", "ord").agg(F.array_sort(F.collect_list(F.struct("other", "near", "bond"))).alias("neighbours"))
-    rows = atoms.join(grouped, ["entry", "ord"], "left").withColumn("neighbours", F.coalesce("neighbours", F.array()))
+    symbol = F.map_from_arrays(F.col("atoms.ord"), F.col("atoms.symbol"))
+    ends = F.concat(F.transform("bonds", lambda x: F.struct(x["a"].alias("at"), x["b"].alias("other"), x["bond"].alias("bond"))), F.transform("bonds", lambda x: F.struct(x["b"].alias("at"), x["a"].alias("other"), x["bond"].alias("bond"))))
+    known = F.filter("ends", lambda x: F.map_contains_key("symbols", x["other"]))
+    near = lambda a: F.array_sort(F.transform(F.filter(known, lambda x: x["at"] == a["ord"]), lambda x: F.struct(x["other"].alias("other"), F.element_at("symbols", x["other"]).alias("near"), x["bond"].alias("bond"))))
+    whole = graphs(atoms, bonds).select("entry", "atoms", ends.alias("ends"), symbol.alias("symbols"))
+    rows = whole.select("entry", F.explode(F.transform("atoms", lambda a: F.struct(a["ord"].alias("ord"), a["symbol"].alias("symbol"), near(a).alias("neighbours")))).alias("x")).select("entry", "x.*")
     symbols = F.array_append(F.transform("neighbours", lambda n: n["near"]), F.col("symbol"))
     return rows.select("entry", F.col("ord").alias("cae_idx"), F.col("symbol").alias("central_atom"), (F.size("neighbours") + 1).alias("n_atoms"), signature(symbols).alias("formula_str"), "neighbours")
 
 
+def environment_table(atoms: DataFrame, bonds: DataFrame, old: DataFrame | None = None) -> DataFrame:
+    """The table of atom environments in the columns of ``schemas.CAES``, built in one job and merged with an older one.
+
+    atoms (entry, ord, symbol, x, y, z, number, charge, sdf). A fingerprint is of the atom and its neighbours; those that
+    an older table holds are kept.
+    """
+    facts = atoms.select("entry", F.col("ord").alias("at"), F.struct("x", "y", "z", "number", "charge").alias("atom"))
+    members = environments(atoms, bonds).withColumn("at", F.explode(F.array_append(F.transform("neighbours", lambda n: n["other"]), F.col("cae_idx"))))
+    grouped = members.join(facts, ["entry", "at"]).groupBy("entry", "cae_idx", "central_atom", "n_atoms", "formula_str").agg(F.array_sort(F.collect_list(F.struct("at", "atom"))).alias("members"))
+    points = grouped.withColumn("members", F.col("members.atom"))
+    made = points.select(
+        F.col("entry").alias("entry_id"), "cae_idx", vectors.fingerprint(vectors.atom_rows(F.col("members"))).alias("fp_p"),
+        vectors.fingerprint(vectors.atom_rows(F.col("members"), charged=True)).alias("fp_pq"), "central_atom", "n_atoms", "formula_str",
+    ).join(atoms.select(F.col("entry").alias("entry_id"), F.col("ord").alias("cae_idx"), "sdf"), ["entry_id", "cae_idx"])
+    whole = conformed(made, schemas.CAES)
+    return whole if old is None else upsert(conformed(old, schemas.CAES), whole, ["entry_id", "cae_idx"], ["fp_p", "fp_pq"])
+
+
+def conformed(rows: DataFrame, schema: str) -> DataFrame:
+    """The columns of the schema, in its order and types; those that are missing are NULL."""
+    want = StructType.fromDDL(schema)
+    there = set(rows.columns)
+    return rows.select(*((F.col(f"`{f.name}`") if f.name in there else F.lit(None)).cast(f.dataType).alias(f.name) for f in want))
+
+
+#: Standard atomic weights.
+WEIGHTS = {
+    "H": 1.008, "He": 4.0026, "Li": 6.94, "Be": 9.0122, "B": 10.81, "C": 12.011, "N": 14.007, "O": 15.999, "F": 18.998, "Ne": 20.180,
+    "Na": 22.990, "Mg": 24.305, "Al": 26.982, "Si": 28.085, "P": 30.974, "S": 32.06, "Cl": 35.45, "Ar": 39.95, "K": 39.098, "Ca": 40.078,
+    "Sc": 44.956, "Ti": 47.867, "V": 50.942, "Cr": 51.996, "Mn": 54.938, "Fe": 55.845, "Co": 58.933, "Ni": 58.693, "Cu": 63.546, "Zn": 65.38,
+    "Ga": 69.723, "Ge": 72.630, "As": 74.922, "Se": 78.971, "Br": 79.904, "Kr": 83.798, "Rb": 85.468, "Sr": 87.62, "Y": 88.906, "Zr": 91.224,
+    "Nb": 92.906, "Mo": 95.95, "Ru": 101.07, "Rh": 102.91, "Pd": 106.42, "Ag": 107.87, "Cd": 112.41, "In": 114.82, "Sn": 118.71, "Sb": 121.76,
+    "Te": 127.60, "I": 126.90, "Xe": 131.29, "Cs": 132.91, "Ba": 137.33, "La": 138.91, "Hf": 178.49, "Ta": 180.95, "W": 183.84, "Re": 186.21,
+    "Os": 190.23, "Ir": 192.22, "Pt": 195.08, "Au": 196.97, "Hg": 200.59, "Tl": 204.38, "Pb": 207.2, "Bi": 208.98,
+}
+
+
+def component_facts(components: DataFrame) -> DataFrame:
+    """weight and n_atoms of components (entry, ord, symbols); an unknown element makes the weight NULL."""
+    weights = F.create_map(*(F.lit(x) for pair in sorted(WEIGHTS.items()) for x in pair))
+    weight = F.aggregate(F.transform("symbols", lambda e: F.try_element_at(weights, e)), F.lit(0.0), lambda a, w: a + w)
+    return components.select("entry", "ord", weight.alias("weight"), F.size("symbols").alias("n_atoms"))
+
+
+def mineral_filter(entries: DataFrame) -> DataFrame:
+    """Entries with coordinates and a metal that are neither polymeric nor disordered."""
+    return entries.where(F.col("is_3d") & (F.size("metals") > 0) & ~F.col("polymeric") & ~F.col("disorder"))
+
+
 def signature(symbols: Column) -> Column:
     """Element counts as text, elements in order: C2H3."""
     kinds = F.array_sort(F.array_distinct(symbols))

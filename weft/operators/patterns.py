@@ -1,17 +1,23 @@
-"""Path and ring patterns over bonds as bounded joins.
+"""Path and ring patterns over bonds.
 
 A pattern is a first atom and steps, each a bond test and an atom test; a ring ends with a bond back to the
-first atom. Atoms of a match are distinct. Each step keeps the entry and the path only, and a step joins on
-(entry, atom), so the work stays within entries.
+first atom. Atoms of a match are distinct. ``found`` tells for each entry which patterns it has: atoms and bonds are
+dealt by entry once, all patterns are searched in each small graph, depth first, and a search ends with its first
+match. A ring's path goes no further from its first atom than the steps that are left lead back. ``matches`` lists
+every match of one pattern by joins.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
+
+from weft.operators.molecules import graphs
 
 MULTIPLE = ("double", "triple", "quadruple")
 
@@ -67,18 +73,86 @@ def matches(atoms: DataFrame, links: DataFrame, path: Path) -> DataFrame:
     return out
 
 
-def hits(atoms: DataFrame, links: DataFrame, paths: Sequence[Path]) -> DataFrame:
-    """Entries with a match of any of the paths; entries found are not searched again."""
-    found = None
-    for path in paths:
-        left = atoms if found is None else atoms.join(found, "entry", "left_anti")
-        more = matches(left, links, path).select("entry").distinct()
-        found = more if found is None else found.union(more)
-    return found
+def found(atoms: DataFrame, bonds: DataFrame, named: dict[str, Sequence[Path]]) -> DataFrame:
+    """entry, and for each named pattern whether the entry has a match of any of its paths.
+
+    atoms (entry, ord, symbol, metal, nonmetal, cyclic), bonds (entry, a, b, bond).
+    """
+    whole = graphs(atoms, bonds, "metal", "nonmetal", "cyclic")
+    names = list(named)
+
+    def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [_patterns_of(a, b, named) for a, b in zip(batch.column("atoms").to_pylist(), batch.column("bonds").to_pylist(), strict=True)]
+            yield pa.record_batch([batch.column("entry"), *(pa.array([r[n] for r in rows], pa.bool_()) for n in names)], ["entry", *names])
+
+    schema = StructType([whole.schema["entry"], *(StructField(n, BooleanType()) for n in names)])
+    return whole.mapInArrow(searched, schema)
+
+
+def hits(atoms: DataFrame, bonds: DataFrame, paths: Sequence[Path]) -> DataFrame:
+    """Entries with a match of any of the paths."""
+    return found(atoms, bonds, {"hit": paths}).where("hit").select("entry")
+
+
+def _patterns_of(atoms: list[dict], bonds: list[dict], named: dict[str, Sequence[Path]]) -> dict[str, bool]:
+    known = {a["ord"]: a for a in atoms}
+    near: dict[int, list[tuple[int, str]]] = {o: [] for o in known}
+    for x in bonds:
+        if x["a"] in known and x["b"] in known:
+            near[x["a"]].append((x["b"], x["bond"]))
+            near[x["b"]].append((x["a"], x["bond"]))
+    far: dict[int, dict[int, int]] = {}
+    return {name: any(_has(p, known, near, far) for p in paths) for name, paths in named.items()}
+
+
+def _fits(test: Atom, atom: dict) -> bool:
+    if test.cyclic is not None and atom["cyclic"] != test.cyclic:
+        return False
+    return bool(test.kind is None or (atom[test.kind] if test.kind in ("metal", "nonmetal") else atom["symbol"] == test.kind))
+
+
+def _bonded(test: tuple[str, ...] | str | None, bond: str | None) -> bool:
+    if test is None:
+        return True
+    if bond is None:
+        return False
+    if isinstance(test, tuple):
+        return bond in test
+    return bond != test[1:] if test[0] == "!" else bond == test
+
+
+def _distances(start: int, near: dict[int, list[tuple[int, str]]]) -> dict[int, int]:
+    out, layer = {start: 0}, [start]
+    while layer:
+        layer = [y for x in layer for y, _ in near[x] if y not in out and not out.update({y: out[x] + 1})]
+    return out
+
+
+def _has(path: Path, known: dict[int, dict], near: dict[int, list[tuple[int, str]]], far: dict[int, dict[int, int]]) -> bool:
+    steps, ring = path.steps, path.ring is not False
+    if len(steps) >= len(known):
+        return False
+    for start, atom in known.items():
+        if not _fits(path.first, atom):
+            continue
+        back = far.setdefault(start, _distances(start, near)) if ring else {}
+        todo = [(start, 0, (start,))]
+        while todo:
+            at, n, seen = todo.pop()
+            if n == len(steps):
+                if not ring or len(seen) > 2 and any(y == start and _bonded(path.ring, bond) for y, bond in near[at]):
+                    return True
+                continue
+            bonds, test = steps[n]
+            for y, bond in near[at]:
+                if y not in seen and _bonded(bonds, bond) and _fits(test, known[y]) and (not ring or back[y] <= len(steps) - n):
+                    todo.append((y, n + 1, (*seen, y)))
+    return False
 
 
 def library(bridge: int = 6, dative: int = 6, saturated: int = 8, unsaturated: int = 12) -> dict[str, list[Path]]:
-    """The twenty named patterns; the numbers bound chains and rings."""
+    """The twenty named patterns; the numbers bound chains and rings. Names, bonds, atoms and bounds."""
     m, x, any_ = Atom("metal"), Atom("nonmetal"), Atom()
     open_, ring = Atom("nonmetal", False), Atom("nonmetal", True)
     chain = lambda n, bond, atom: tuple((bond, atom) for _ in range(n))

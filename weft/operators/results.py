@@ -108,9 +108,45 @@ def added(tables: Sequence[DataFrame], key: str, value: str) -> DataFrame:
 def first_seen(rows: DataFrame, key: str, line: str) -> DataFrame:
     """Keys numbered by where they first occur."""
     first = rows.groupBy(key).agg(F.min(line).alias("line"))
-    return first.withColumn("order", F.row_number().over(W.orderBy("line")))
+    lots = first.withColumn("lot", F.floor(F.log2(F.greatest(F.col("line"), F.lit(1))) * 64))  # grows with line, few values
+    before = lots.groupBy("lot").agg(F.count("*").alias("n")).withColumn("before", F.sum("n").over(W.orderBy("lot")) - F.col("n"))  # some thousand rows at most
+    ranked = lots.join(F.broadcast(before.select("lot", "before")), "lot")
+    return ranked.select(key, "line", (F.row_number().over(W.partitionBy("lot").orderBy("line")) + F.col("before")).cast("int").alias("order"))
 
 
 def pairwise(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Methods side by side by key, never by position."""
     return left.join(right, list(keys))
+
+
+def measures(rows: DataFrame, key: str, group: str, measure: str, value: str, names: Sequence[str]) -> DataFrame:
+    """A row a group and key with a column a measure (its greatest value, NULL without one), of keys that every group has.
+
+    Values of 0 alone count as none.
+    """
+    best = rows.groupBy(group, key, measure).agg(F.max(value).alias("v"), F.max(F.abs(F.col(value))).alias("any")).where(F.col("any") > 0)
+    wide_ = best.groupBy(group, key).pivot(measure, list(names)).agg(F.first("v"))
+    groups = best.select(group).distinct().agg(F.count("*").alias("groups"))  # one row
+    shared = wide_.groupBy(key).agg(F.count("*").alias("n")).join(F.broadcast(groups)).where("n = groups").select(key)
+    return wide_.join(shared, key, "left_semi").select(group, key, *names)
+
+
+def task_configs(targets: DataFrame, benchmark: str) -> DataFrame:
+    """A task file's content for each target (index, target), as ``schemas.TASK`` has it, with the file's name.
+
+    Fixed values: names, defaults and paths of the task files.
+    """
+    label = F.concat_ws("_", "index", "target")
+    parameters = F.struct(F.lit("rdkit").alias("generator"), F.lit(8).cast("long").alias("n_jobs"), F.col("target").alias("prefix"), F.concat(F.lit(f"configs/{benchmark}/targets/"), label, F.lit(".txt")).alias("ref_molecule"), F.lit(True).alias("save_files"), F.lit(10).cast("long").alias("timeout"))
+    metric = F.struct(F.lit(False).alias("filter"), F.lit("raw").alias("modifier"), F.concat("target", F.lit("_HSR_score")).alias("name"), F.lit(1.0).alias("weight"), F.create_map().cast("map<string,string>").alias("parameters"))
+    return targets.select(
+        label.alias("task"), F.lit("./").alias("output_dir"), *(F.lit(False).alias(c) for c in ("load_from_previous", "logging", "monitor_app", "termination_exit")),
+        F.struct(F.lit(False).alias("run")).alias("diversity_filter"), F.struct(F.lit("single").alias("method"), F.array(metric).alias("metrics")).alias("scoring"),
+        F.array(F.struct(F.lit("HSR").alias("name"), F.lit(True).alias("run"), parameters.alias("parameters"))).alias("scoring_functions"),
+        F.array(F.lit(f"molscore.configs.{benchmark}.starting_populations"), F.concat(label, F.lit("_init_pop.txt"))).alias("starting_population"), F.concat(label, F.lit(".json")).alias("file"),
+    )
+
+
+def metrics(spark, **values: float) -> DataFrame:
+    """A row a metric, for ``files.append_metrics``."""
+    return spark.createDataFrame(sorted((k, float(v)) for k, v in values.items()), "name string, value double").withColumn("at", F.current_timestamp())

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weft.operators.match import checked
+
 
 def within(rows: DataFrame, ids: DataFrame, key: str | Sequence[str]) -> DataFrame:
     """Rows whose key is among the ids; ids that repeat multiply nothing."""
@@ -40,3 +42,8 @@ def union_distinct(*sets: DataFrame) -> DataFrame:
 def looked_up(rows: DataFrame, table: DataFrame, key: str, defaults: dict) -> DataFrame:
     """A left join with values for what is missing."""
     return rows.join(table, key, "left").na.fill(defaults)
+
+
+def three_way(rows: DataFrame, ids: DataFrame, key: str, facts: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Rows of some ids with the facts of their formula; each side is broadcast only where counting shows it small."""
+    return rows.join(checked(ids.distinct()), key, "left_semi").join(checked(facts), list(on))

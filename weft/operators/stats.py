@@ -76,3 +76,37 @@ def top_mean(rows: DataFrame, value: str, n: int = 5) -> DataFrame:
 
 def sampled(rows: DataFrame, n: int, seed: int) -> DataFrame:
     return rows.orderBy(F.rand(seed)).limit(n)
+
+
+def numeric_columns(rows: DataFrame) -> list[str]:
+    kinds = ("tinyint", "smallint", "int", "bigint", "float", "double")
+    return [c for c, kind in rows.dtypes if kind in kinds or kind.startswith("decimal")]
+
+
+def complete(rows: DataFrame, *numbers: str) -> DataFrame:
+    """Rows without a NULL, and with a number in each of the given text columns, which become doubles."""
+    return rows.dropna().withColumns({c: F.nanvl(F.col(c).try_cast("double"), F.lit(None).cast("double")) for c in numbers}).dropna()
+
+
+def tolerant(rows: DataFrame, text: str, kind: str = "double") -> DataFrame:
+    """The value of a text, and what is wrong with it where it has none."""
+    value = F.col(text).try_cast(kind)
+    return rows.withColumns({"value": value, "error": F.when(value.isNull() & F.col(text).isNotNull(), F.concat(F.lit(f"not a {kind}: "), F.col(text)))})
+
+
+def ratios(rows: DataFrame, above: str, below: str) -> DataFrame:
+    """Greatest, least and mean ratio of two columns; rows with nothing below have none."""
+    ratio = F.try_divide(F.col(above).cast("double"), F.col(below))
+    return rows.agg(F.max(ratio).alias("max_ratio"), F.min(ratio).alias("min_ratio"), F.avg(ratio).alias("avg_ratio"))
+
+
+def most(rows: DataFrame, value: Column, key: str, n: int = 10) -> DataFrame:
+    """The n rows with the greatest value, NULL as 0."""
+    return rows.withColumn("measure", F.coalesce(value, F.lit(0.0))).orderBy(F.desc("measure"), key).limit(n)
+
+
+def nearest_unique(rows: DataFrame, value: str, key: str, name: str, to: float, n: int) -> DataFrame:
+    """The n nearest rows to a value that have different names; of a name's rows the nearest."""
+    gap = F.abs(F.col(value) - to)
+    first = rows.groupBy(name).agg(F.min(F.struct(gap.alias("gap"), F.col(key).alias(key))).alias("x"))
+    return first.select(name, f"x.{key}", "x.gap").orderBy("gap", key).limit(n)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from weft.functions import texts, vectors
 from weft.operators import logs, match, molecules, patterns, results, sets, stats
 from weft.session import ship
+from weft.sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -36,13 +37,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 MATCH, BELOW, UNIQUE = 0.895, 0.88, 0.90
 _SIM = "1.0 / (1.0 + list_sum(list_transform(list_zip(t.fp, p.fp), lambda z: abs(z[1] - z[2]))) / len(t.fp))"
-_SIDES = "p AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS fp FROM embeddings), t AS (SELECT id, CASE WHEN id % 100 = 0 THEN -1 ELSE label END AS label, fp FROM p WHERE id % 20 = 0)"
+_SIDES = "p AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS fp FROM embeddings), t AS (SELECT * FROM p WHERE id % 20 = 0)"
 
 
 def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Targets (ids divisible by 20) and all rows; every fifth target is put in a block without population."""
+    """Targets (ids divisible by 20) and all rows."""
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label", F.col("embedding").cast("array<double>").alias("fp"))
-    return rows.where("id % 20 = 0").withColumn("label", F.when(F.col("id") % 100 == 0, -1).otherwise(F.col("label"))), rows
+    return rows.where("id % 20 = 0"), rows
 
 
 _BEST = f"""WITH {_SIDES},
@@ -109,7 +110,7 @@ def centroid_per_block(spark, sf_dir):
 @query(f"WITH v AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS fp FROM embeddings) SELECT t.label, t.id AS i, p.id AS j FROM v t JOIN v p ON t.label = p.label AND t.id < p.id WHERE {_SIM} >= 0.893")
 def overlap_pairs(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label", F.col("embedding").cast("array<double>").alias("fp"))
-    return match.close_pairs(rows, ["label"], "id", vectors.l1_similarity(F.col("fp_i"), F.col("fp_j")) >= 0.893).select("label", "i", "j")
+    return match.close_pairs(rows, ["label"], "id", 0.893).select("label", "i", "j")
 
 
 @query(f"WITH {_SIDES}, s AS (SELECT t.id AS target, {_SIM} AS score FROM t JOIN p ON t.label = p.label AND t.id <> p.id) SELECT target, count(*) FILTER (score < 0.87) AS t_0_87, count(*) FILTER (score < 0.88) AS t_0_88, count(*) FILTER (score < 0.89) AS t_0_89 FROM s GROUP BY target")
@@ -139,8 +140,9 @@ def success_rates_3level(spark, sf_dir):
  round(avg(value) FILTER (event_type = 'view'), 9) AS view_mean, round(stddev_samp(value) FILTER (event_type = 'view'), 9) AS view_std FROM events GROUP BY 1""")
 def method_stats_wide(spark, sf_dir):
     rows = table(spark, sf_dir, "events").withColumn("target", F.col("user_id") % 50)
-    cell = (F.round(F.avg("value"), 9).alias("mean"), F.round(F.stddev_samp("value"), 9).alias("std"))
-    return rows.groupBy("target").pivot("event_type", ["click", "view"]).agg(*cell)
+    of = {m: F.when(F.col("event_type") == m, F.col("value")) for m in ("click", "view")}
+    out = results.spread(rows.withColumns(of), ["target"], list(of))
+    return out.select("target", *(F.round(c, 9).alias(c) for c in out.columns if c != "target"))
 
 
 @query("SELECT method, count(*) FILTER (v < 0.05) AS n_success, count(*) AS n_total, round(count(*) FILTER (v < 0.05) / CAST(count(*) AS DOUBLE), 9) AS success_rate FROM (SELECT 'discount' AS method, l_discount AS v FROM lineitem UNION ALL SELECT 'tax', l_tax FROM lineitem) GROUP BY method")
@@ -182,9 +184,8 @@ def connectivity_case(spark, sf_dir):
 
 @query("SELECT l_orderkey AS entry, string_agg(f || n, '' ORDER BY f) AS formula FROM (SELECT l_orderkey, l_returnflag AS f, count(*) AS n FROM lineitem GROUP BY 1, 2) GROUP BY 1")
 def formula_signature(spark, sf_dir):
-    counts = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("entry"), F.col("l_returnflag").alias("f")).agg(F.count("*").alias("n"))
-    parts = counts.groupBy("entry").agg(F.array_sort(F.collect_list(F.struct("f", "n"))).alias("x"))
-    return parts.select("entry", F.array_join(F.transform("x", lambda p: F.concat(p["f"], p["n"].cast("string"))), "").alias("formula"))
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("entry")).agg(F.collect_list("l_returnflag").alias("symbols"))
+    return rows.select("entry", molecules.signature(F.col("symbols")).alias("formula"))
 
 
 @query("""WITH l AS (SELECT conv_id, turn, CASE WHEN role = 'user' THEN turn END AS mark FROM conversations)
@@ -324,16 +325,15 @@ def _graph(spark, sf_dir):
 def path_pattern(spark, sf_dir):
     atoms, bonds = _graph(spark, sf_dir)
     x, m = patterns.Atom("nonmetal", False), patterns.Atom("metal")
-    return patterns.hits(atoms, patterns.edges(atoms, bonds), [patterns.Path(m, ((None, x), (None, m)))])
+    return patterns.hits(atoms, bonds, [patterns.Path(m, ((None, x), (None, m)))])
 
 
 @query(f"""WITH {_GRAPH}, h1 AS (SELECT DISTINCT m.entry FROM a m JOIN b ON b.entry = m.entry AND b.f = m.ord JOIN a l ON l.entry = m.entry AND l.ord = b.t AND l.s <> 'R' WHERE m.s = 'R'), h2 AS (SELECT DISTINCT entry FROM b WHERE bond = 'F')
  SELECT DISTINCT a.entry, h1.entry IS NOT NULL AS linear_ligands, h2.entry IS NOT NULL AS bond_f FROM a LEFT JOIN h1 USING (entry) LEFT JOIN h2 USING (entry)""")
 def pattern_features(spark, sf_dir):
     atoms, bonds = _graph(spark, sf_dir)
-    links = patterns.edges(atoms, bonds)
-    found = {"linear_ligands": patterns.hits(atoms, links, patterns.library()["linear_ligands"]), "bond_f": patterns.hits(atoms, links, [patterns.Path(patterns.Atom(), (("F", patterns.Atom()),))])}
-    return sets.features(atoms.select("entry").distinct(), found, "entry")
+    named = {"linear_ligands": patterns.library()["linear_ligands"], "bond_f": [patterns.Path(patterns.Atom(), (("F", patterns.Atom()),))]}
+    return patterns.found(atoms, bonds, named)
 
 
 @query(f"WITH {_GRAPH}, n AS (SELECT b.entry, b.f AS ord, list(l.s) AS near FROM b JOIN a l ON l.entry = b.entry AND l.ord = b.t GROUP BY 1, 2), f AS (SELECT entry, ord AS cae_idx, s AS central_atom, list_append(coalesce(near, []), s) AS xs FROM a LEFT JOIN n USING (entry, ord)) SELECT entry, cae_idx, central_atom, CAST(len(xs) AS INTEGER) AS n_atoms, concat(CASE WHEN list_contains(xs, 'A') THEN 'A' || len(list_filter(xs, lambda x: x = 'A')) ELSE '' END, CASE WHEN list_contains(xs, 'N') THEN 'N' || len(list_filter(xs, lambda x: x = 'N')) ELSE '' END, CASE WHEN list_contains(xs, 'R') THEN 'R' || len(list_filter(xs, lambda x: x = 'R')) ELSE '' END) AS formula_str FROM f")
@@ -368,8 +368,344 @@ def text_functions(spark, sf_dir):
     return rows.select("doc_id", F.split("text", " ", 2)[0].alias("first"), texts.occurrences(F.col("text"), "a").alias("a_count"), texts.shown(F.col("n_chars") / F.lit(7.0)).alias("shown"))
 
 
-@query("SELECT s.l_orderkey AS id, s.l_linenumber AS line, row_number() OVER (PARTITION BY s.l_orderkey, s.l_linenumber ORDER BY s.l_extendedprice DESC, s.l_partkey, s.l_suppkey, s.l_quantity, s.l_shipdate) AS out_index, s.l_extendedprice AS price FROM lineitem s QUALIFY out_index <= 2")
+@query("SELECT s.l_orderkey AS id, s.l_linenumber AS line, row_number() OVER (PARTITION BY s.l_orderkey, s.l_linenumber ORDER BY s.l_extendedprice DESC, s.l_partkey, s.l_suppkey, s.l_quantity, s.l_shipdate) AS out_index, s.l_extendedprice AS price FROM lineitem s")
 def output_index(spark, sf_dir):
     order = W.partitionBy("l_orderkey", "l_linenumber").orderBy(F.desc("l_extendedprice"), "l_partkey", "l_suppkey", "l_quantity", "l_shipdate")
-    rows = table(spark, sf_dir, "lineitem").withColumn("out_index", F.row_number().over(order).cast("long")).where("out_index <= 2")
+    rows = table(spark, sf_dir, "lineitem").withColumn("out_index", F.row_number().over(order).cast("long"))
     return rows.select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), "out_index", F.col("l_extendedprice").alias("price"))
+
+
+@query(f"{_BEST} SELECT target, partner, m.score, class, p.label, round(p.fp[1], 6) AS head FROM m LEFT JOIN p ON p.id = m.partner")
+def best_match_payload(spark, sf_dir):
+    targets, population = _sides(spark, sf_dir)
+    best = match.best_match(targets, population, ["label"], MATCH, others=True).withColumn("score", F.round("score", 9))
+    return match.with_payload(best, population.withColumn("head", F.round(F.col("fp")[0], 6)), ["label", "head"])
+
+
+@query(f"WITH {_SIDES}, s AS (SELECT t.id AS target, p.id AS partner, {_SIM} AS score FROM t JOIN p ON t.label = p.label AND t.id <> p.id WHERE p.id IN (SELECT doc_id FROM labels)), b AS (SELECT target, max(score) AS score, arg_max(partner, struct_pack(s := score, l := -partner)) AS partner FROM s GROUP BY target) SELECT t.id AS target, partner, round(coalesce(score, -1.0), 9) AS score, CASE WHEN score IS NULL THEN 'no_match' WHEN score >= {MATCH} THEN 'matched' ELSE 'distorted' END AS class FROM t LEFT JOIN b ON t.id = b.target")
+def best_match_in_population(spark, sf_dir):
+    targets, population = _sides(spark, sf_dir)
+    some = match.of_population(population, table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id")))
+    return match.best_match(targets, some, ["label"], MATCH, others=True).withColumn("score", F.round("score", 9))
+
+
+@query(f"WITH {_SIDES}, s AS (SELECT t.id AS target, p.id AS partner, {_SIM} AS score FROM t JOIN p ON t.label = p.label AND t.id <> p.id) SELECT target, CAST(row_number() OVER w AS INTEGER) AS rank, partner, round(score, 9) AS score FROM s WHERE score >= {MATCH} WINDOW w AS (PARTITION BY target ORDER BY partner) QUALIFY row_number() OVER w <= 3")
+def first_matches(spark, sf_dir):
+    targets, population = _sides(spark, sf_dir)
+    return match.first_matches(targets, population, ["label"], MATCH, others=True).withColumn("score", F.round("score", 9))
+
+
+_GAP = "sqrt(list_sum(list_transform(list_zip(t.fp, p.fp), lambda z: (z[1] - z[2]) * (z[1] - z[2]))))"
+
+
+@query(f"WITH {_SIDES}, s AS (SELECT t.id AS target, p.id AS partner, {_SIM} AS score, {_GAP} AS gap FROM t JOIN p ON t.label = p.label AND t.id <> p.id), n AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY target ORDER BY gap, partner) <= 3) SELECT target, CAST(row_number() OVER (PARTITION BY target ORDER BY score DESC, partner) AS INTEGER) AS rank, partner, round(score, 9) AS score, round(gap, 9) AS gap FROM n")
+def nearest_rescored(spark, sf_dir):
+    targets, population = _sides(spark, sf_dir)
+    return match.nearest_rescored(targets, population, ["label"], others=True).withColumns({c: F.round(c, 9) for c in ("score", "gap")})
+
+
+_TOP = f"WITH {_SIDES}, s AS (SELECT t.id AS target, p.id AS partner, {_SIM} AS score FROM t JOIN p ON t.label = p.label AND t.id <> p.id), r AS (SELECT target, score, row_number() OVER (PARTITION BY target ORDER BY score DESC, partner) AS rank FROM s), w AS (SELECT target, max(score) FILTER (rank = 1) AS score_1, max(score) FILTER (rank = 2) AS score_2, max(score) FILTER (rank = 3) AS score_3, max(score) FILTER (rank = 1) >= {MATCH} AS matched FROM r GROUP BY target)"
+
+
+@query(f"{_TOP} SELECT target, round(score_1, 9) AS score_1, round(score_2, 9) AS score_2, round(score_3, 9) AS score_3, matched FROM w")
+def wide_top3(spark, sf_dir):
+    targets, population = _sides(spark, sf_dir)
+    out = match.wide_top(match.top_matches(targets, population, ["label"], others=True), MATCH)
+    return out.select("target", *(F.round(f"score_{i}", 9).alias(f"score_{i}") for i in (1, 2, 3)), "matched")
+
+
+@query(f"{_TOP} SELECT count(DISTINCT t.fp) AS n_matched_fp FROM t JOIN w ON w.target = t.id WHERE matched")
+def distinct_matched_fingerprints(spark, sf_dir):
+    targets, population = _sides(spark, sf_dir)
+    return match.distinct_matched(targets, match.wide_top(match.top_matches(targets, population, ["label"], others=True), MATCH))
+
+
+@query(f"{_BEST} SELECT t.label AS owner, count(*) FILTER (class = 'matched') AS matched, count(*) FILTER (class = 'distorted') AS distorted, count(*) FILTER (class = 'no_match') AS no_match, count(*) AS total FROM m JOIN t ON t.id = m.target GROUP BY 1")
+def match_counts_per_owner(spark, sf_dir):
+    targets, population = _sides(spark, sf_dir)
+    best = match.best_match(targets, population, ["label"], MATCH, others=True)
+    return results.class_counts(best.join(targets.select(F.col("id").alias("target"), F.col("label").alias("owner")), "target"), "owner")
+
+
+@query(f"WITH {_SIDES} SELECT t.id AS target, p.id AS partner, round({_SIM}, 9) AS score FROM t JOIN p ON t.label = p.label AND t.id <> p.id WHERE {_SIM} > 0.885 AND {_SIM} <= 0.89")
+def similar_band(spark, sf_dir):
+    targets, population = _sides(spark, sf_dir)
+    return match.similar(match.scored_pairs(targets, population, ["label"], others=True), 0.885, 0.89).select("target", "partner", F.round("score", 9).alias("score"))
+
+
+@query("SELECT label, count(*) AS n, round(max(embedding[1]), 6) AS top FROM embeddings GROUP BY label")
+def registered_view(spark, sf_dir):
+    files.registered(table(spark, sf_dir, "embeddings"), "weft_fingerprints")
+    return spark.sql("SELECT label, count(*) AS n, round(max(CAST(embedding[0] AS DOUBLE)), 6) AS top FROM weft_fingerprints GROUP BY label")
+
+
+@query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity >= 50)")
+def entry_lookup(spark, sf_dir):
+    ids = table(spark, sf_dir, "lineitem").where("l_quantity >= 50").select(F.col("l_orderkey").alias("o_orderkey"))
+    return files.looked_up(files.entries(spark, f"{sf_dir}/orders.parquet"), ids, "o_orderkey").select("o_orderkey", "o_custkey", "o_totalprice")
+
+
+@query("SELECT vec_id, CAST(CASE WHEN label = 3 THEN embedding[64] ELSE embedding[1] END AS DOUBLE) AS head FROM embeddings")
+def fingerprint_choice(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").withColumn("fp_pq", F.reverse("embedding"))
+    return rows.select("vec_id", vectors.chosen(F.col("label") == 3, F.col("fp_pq"), F.col("embedding"))[0].cast("double").alias("head"))
+
+
+@query("SELECT CAST(s_suppkey AS VARCHAR) AS entry_id, NULL::INTEGER AS n_atoms, s_name AS formula_str FROM supplier")
+def conformed_columns(spark, sf_dir):
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_name").alias("formula_str"), F.col("s_suppkey").alias("entry_id"), "s_acctbal")
+    return molecules.conformed(rows, "entry_id string, n_atoms int, formula_str string")
+
+
+@query("SELECT * FROM (VALUES ('c_acctbal'), ('c_custkey'), ('c_nationkey')) AS t(\"column\")")
+def numeric_columns(spark, sf_dir):
+    return spark.createDataFrame([(c,) for c in stats.numeric_columns(table(spark, sf_dir, "customer"))], "column string")
+
+
+@query("SELECT doc_id FROM documents WHERE text IS NOT NULL AND contains(text, 'the')")
+def text_contains(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents")
+    return rows.where(F.col("text").isNotNull() & F.col("text").contains("the")).select("doc_id")
+
+
+@query("""WITH g AS (SELECT l_orderkey AS entry, list(l_linenumber) FILTER (l_returnflag = 'R') AS metals, max(l_quantity) > 10 AS is_3d, max(l_tax) >= 0.08 AS polymeric, min(l_discount) = 0 AS disorder FROM lineitem GROUP BY 1)
+ SELECT entry, CAST(len(metals) AS INTEGER) AS n_metals FROM g WHERE is_3d AND len(metals) > 0 AND NOT polymeric AND NOT disorder""")
+def mineral_filter(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("entry")).agg(
+        F.collect_list(F.when(F.col("l_returnflag") == "R", F.col("l_linenumber"))).alias("metals"), (F.max("l_quantity") > 10).alias("is_3d"), (F.max("l_tax") >= 0.08).alias("polymeric"), (F.min("l_discount") == 0).alias("disorder")
+    )
+    return molecules.mineral_filter(rows).select("entry", F.size("metals").alias("n_metals"))
+
+
+@query("SELECT event_id, TRY_CAST(v AS DOUBLE) AS v FROM (SELECT event_id, CASE WHEN event_type = 'view' THEN 'N.A.' WHEN event_type = 'error' THEN NULL ELSE CAST(event_id AS VARCHAR) END AS v FROM events) WHERE TRY_CAST(v AS DOUBLE) IS NOT NULL")
+def complete_numeric(spark, sf_dir):
+    text = F.when(F.col("event_type") == "view", "N.A.").when(F.col("event_type") != "error", F.col("event_id").cast("string"))
+    return stats.complete(table(spark, sf_dir, "events").select("event_id", text.alias("v")), "v")
+
+
+@query("SELECT doc_id, TRY_CAST(t AS DOUBLE) AS value, CASE WHEN t IS NOT NULL AND TRY_CAST(t AS DOUBLE) IS NULL THEN 'not a double: ' || t END AS error FROM (SELECT doc_id, CASE WHEN lang = 'en' THEN lang WHEN lang = 'de' THEN NULL ELSE CAST(n_chars AS VARCHAR) END AS t FROM documents)")
+def tolerant_parse(spark, sf_dir):
+    text = F.when(F.col("lang") == "en", F.col("lang")).when(F.col("lang") != "de", F.col("n_chars").cast("string"))
+    return stats.tolerant(table(spark, sf_dir, "documents").select("doc_id", text.alias("t")), "t").drop("t")
+
+
+@query("SELECT l_orderkey, l_linenumber, p_brand, p_size, l_quantity FROM lineitem JOIN orders ON l_orderkey = o_orderkey AND o_orderpriority LIKE '1%' JOIN part ON l_partkey = p_partkey AND p_size = 7")
+def three_table_join(spark, sf_dir):
+    ids = table(spark, sf_dir, "orders").where(F.col("o_orderpriority").startswith("1")).select(F.col("o_orderkey").alias("l_orderkey"))
+    formulas = table(spark, sf_dir, "part").where("p_size = 7").select(F.col("p_partkey").alias("l_partkey"), "p_brand", "p_size")
+    return sets.three_way(table(spark, sf_dir, "lineitem"), ids, "l_orderkey", formulas, ["l_partkey"]).select("l_orderkey", "l_linenumber", "p_brand", "p_size", "l_quantity")
+
+
+@query("SELECT l_returnflag, l_linestatus, count(*) AS n, list_sort(list(DISTINCT l_linenumber)) AS members FROM lineitem GROUP BY ALL")
+def formula_groups(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("l_linenumber")).alias("members"))
+
+
+@query("""WITH c AS (SELECT l_orderkey AS entry, CAST(l_suppkey % 3 AS INTEGER) AS ord, list(CASE l_returnflag WHEN 'A' THEN 12.011::DOUBLE WHEN 'N' THEN 15.999::DOUBLE ELSE 55.845::DOUBLE END) AS w FROM lineitem GROUP BY 1, 2)
+ SELECT entry, ord, round(list_sum(w), 6) AS weight, CAST(len(w) AS INTEGER) AS n_atoms FROM c""")
+def component_weights(spark, sf_dir):
+    symbol = F.when(F.col("l_returnflag") == "A", "C").when(F.col("l_returnflag") == "N", "O").otherwise("Fe")
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("entry"), (F.col("l_suppkey") % 3).cast("int").alias("ord")).agg(F.collect_list(symbol).alias("symbols"))
+    return molecules.component_facts(rows).withColumn("weight", F.round("weight", 6))
+
+
+@query("SELECT round(max(r), 6) AS max_ratio, round(min(r), 6) AS min_ratio, round(avg(r), 6) AS avg_ratio FROM (SELECT l_extendedprice / l_quantity AS r FROM lineitem)")
+def ratio_stats(spark, sf_dir):
+    out = stats.ratios(table(spark, sf_dir, "lineitem"), "l_extendedprice", "l_quantity")
+    return out.select(*(F.round(c, 6).alias(c) for c in out.columns))
+
+
+@query("SELECT vec_id, round(list_max(CAST(embedding AS DOUBLE[])), 9) AS measure FROM embeddings ORDER BY list_max(embedding) DESC, vec_id LIMIT 10")
+def greatest_of_list(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    return stats.most(rows, stats.list_max(F.col("embedding").cast("array<double>")), "vec_id").select("vec_id", F.round("measure", 9).alias("measure"))
+
+
+@query("SELECT c_nationkey, count(*) AS n FROM customer GROUP BY 1 ORDER BY n DESC, c_nationkey LIMIT 10")
+def counts_descending(spark, sf_dir):
+    return stats.most(table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.count("*").alias("n")), F.col("n").cast("double"), "c_nationkey").select("c_nationkey", "n")
+
+
+@query("SELECT p_brand, x.p AS p_partkey, round(x.g, 6) AS gap FROM (SELECT p_brand, min(struct_pack(g := abs(p_retailprice - 1400), p := p_partkey)) AS x FROM part GROUP BY 1) ORDER BY x.g, x.p LIMIT 12")
+def nearest_unique(spark, sf_dir):
+    return stats.nearest_unique(table(spark, sf_dir, "part"), "p_retailprice", "p_partkey", "p_brand", 1400.0, 12).withColumn("gap", F.round("gap", 6))
+
+
+@query("SELECT round(avg(v), 6) AS top_mean, min(v) AS top_min, max(v) AS top_max FROM (SELECT o_totalprice AS v FROM orders ORDER BY v DESC LIMIT 5)")
+def top_mean(spark, sf_dir):
+    return stats.top_mean(table(spark, sf_dir, "orders"), "o_totalprice").withColumn("top_mean", F.round("top_mean", 6))
+
+
+@query("""WITH b AS (SELECT c_mktsegment AS g, c_nationkey AS k, c_custkey % 4 AS m, max(c_acctbal) AS v FROM customer GROUP BY ALL HAVING max(abs(c_acctbal)) > 0),
+ w AS (SELECT g, k, max(v) FILTER (m = 0) AS m0, max(v) FILTER (m = 1) AS m1, max(v) FILTER (m = 2) AS m2, max(v) FILTER (m = 3) AS m3 FROM b GROUP BY ALL)
+ SELECT g AS segment, k AS nation, m0 AS \"0\", m1 AS \"1\", m2 AS \"2\", m3 AS \"3\" FROM w WHERE k IN (SELECT k FROM w GROUP BY k HAVING count(*) = (SELECT count(DISTINCT g) FROM b))""")
+def four_measures(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("segment"), F.col("c_nationkey").alias("nation"), (F.col("c_custkey") % 4).cast("string").alias("measure"), "c_acctbal")
+    return results.measures(rows, "nation", "segment", "measure", "c_acctbal", ["0", "1", "2", "3"])
+
+
+@query("""SELECT i || '_' || n AS task, i || '_' || n || '.json' AS file, n AS prefix, 'configs/demo/targets/' || i || '_' || n || '.txt' AS ref_molecule, n || '_HSR_score' AS metric, i || '_' || n || '_init_pop.txt' AS population FROM (SELECT n_nationkey + 1 AS i, n_name AS n FROM nation)""")
+def task_configs(spark, sf_dir):
+    made = results.task_configs(table(spark, sf_dir, "nation").select((F.col("n_nationkey") + 1).alias("index"), F.col("n_name").alias("target")), "demo")
+    inner = F.col("scoring_functions")[0]["parameters"]
+    return made.select("task", "file", inner["prefix"].alias("prefix"), inner["ref_molecule"].alias("ref_molecule"), F.col("scoring.metrics")[0]["name"].alias("metric"), F.col("starting_population")[1].alias("population"))
+
+
+@query("""WITH f AS (SELECT CAST(ts AS DATE) AS run, event_type AS task, count(*) FILTER (value >= 5) AS n_files, count(*) FILTER (event_id % 7 = 0) AS n_zero, count(*) FILTER (value >= 5) > 0 AS a, count(*) > 0 AS b FROM events GROUP BY ALL)
+ SELECT run, task, n_files, n_zero, round(n_files / 10.0, 6) AS rate, 10 - n_files - n_zero AS remainder FROM f""")
+def file_rates(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").withColumns({"run": F.to_date("ts"), "task": F.col("event_type"), "score": F.when(F.col("event_id") % 7 == 0, 0.0).otherwise(1.0)})
+    return results.files_rates(rows.where("value >= 5"), rows, "run", "task", 10).withColumn("rate", F.round("rate", 6))
+
+
+@query("""WITH m AS (SELECT CAST(c_nationkey AS BIGINT) AS target, count(*) FILTER (c_acctbal > 5000) AS matched, count(*) FILTER (c_acctbal <= 0) AS distorted, count(*) FILTER (c_acctbal > 0 AND c_acctbal <= 5000) AS no_match, count(*) - (c_nationkey % 2) AS total FROM customer GROUP BY c_nationkey)
+ SELECT *, CASE WHEN total = matched + distorted + no_match THEN 'OK' ELSE 'MISMATCH' END AS "check" FROM m""")
+def reported_totals(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").cast("long").alias("target")).agg(F.count_if(F.col("c_acctbal") > 5000).alias("matched"), F.count_if(F.col("c_acctbal") <= 0).alias("distorted"), F.count_if((F.col("c_acctbal") > 0) & (F.col("c_acctbal") <= 5000)).alias("no_match"), (F.count("*") - F.max(F.col("c_nationkey") % 2)).alias("total"))
+    return results.reported_totals(rows)
+
+
+@query("SELECT n_name AS task, max(c_acctbal) FILTER (c_mktsegment = 'BUILDING') AS BUILDING, max(c_acctbal) FILTER (c_mktsegment = 'MACHINERY') AS MACHINERY FROM (SELECT c_nationkey, c_mktsegment, arg_max(c_acctbal, c_custkey) AS c_acctbal FROM customer GROUP BY ALL) JOIN nation ON n_nationkey = c_nationkey GROUP BY 1 HAVING count(*) FILTER (c_mktsegment IS NOT NULL) > 0")
+def score_matrix(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))  # nations are few by definition
+    return results.score_matrix(rows.select(F.col("n_name").alias("task"), F.col("c_mktsegment").alias("run"), F.col("c_acctbal").alias("score"), F.col("c_custkey").alias("file")), ["BUILDING", "MACHINERY"])
+
+
+@query("SELECT n_name, n_nationkey AS pos, coalesce(n, 0) AS n FROM nation LEFT JOIN (SELECT s_nationkey, count(*) AS n FROM supplier WHERE s_acctbal > 5000 GROUP BY 1) ON s_nationkey = n_nationkey")
+def reindexed_by_name(spark, sf_dir):
+    nations = table(spark, sf_dir, "nation")
+    counts = table(spark, sf_dir, "supplier").where("s_acctbal > 5000").join(F.broadcast(nations), F.col("s_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(F.count("*").alias("n"))
+    return results.reindexed(nations.select("n_name", F.col("n_nationkey").alias("pos")), counts, "n_name", {"n": 0})
+
+
+@query("SELECT a.k, a.n AS customers, b.n AS suppliers FROM (SELECT c_nationkey AS k, count(*) AS n FROM customer GROUP BY 1) a JOIN (SELECT s_nationkey AS k, count(*) AS n FROM supplier GROUP BY 1) b USING (k)")
+def paired_by_key(spark, sf_dir):
+    count = lambda name, key, n: table(spark, sf_dir, name).groupBy(F.col(key).alias("k")).agg(F.count("*").alias(n))
+    return results.pairwise(count("customer", "c_nationkey", "customers"), count("supplier", "s_nationkey", "suppliers"), ["k"])
+
+
+@query("""SELECT event_type, run, round(avg(value), 9) AS v_mean FROM (SELECT event_type, CAST(ts AS DATE) AS run, value FROM events) GROUP BY ALL""")
+def mean_by_type_and_run(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").withColumn("run", F.to_date("ts"))
+    return results.spread(rows.withColumnRenamed("value", "v"), ["event_type", "run"], ["v"]).select("event_type", "run", F.round("v_mean", 9).alias("v_mean"))
+
+
+@query(f"WITH {_LINES}, g AS (SELECT entry, list(struct_pack(o := ord, x := qty)) AS xs, bool_and(price > 2000) AS is_3d, bool_or(flag = 'R') AS polymeric, min(ord) FILTER (flag = 'A') AS component FROM l GROUP BY entry) SELECT entry, component FROM g WHERE is_3d AND NOT polymeric AND component IS NOT NULL AND len(list_filter(xs, lambda a: len(list_filter(xs, lambda b: a.o < b.o AND abs(a.x - b.x) < 0.4)) > 0)) = 0")
+def viable_entries(spark, sf_dir):
+    atom = F.struct("ord", F.lit(6).alias("number"), F.col("qty").alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"))
+    rows = _components(spark, sf_dir).groupBy("entry").agg(F.collect_list(atom).alias("atoms"), F.bool_and(F.col("price") > 2000).alias("is_3d"), F.bool_or(F.col("flag") == "R").alias("polymeric"), F.min(F.when(F.col("flag") == "A", F.col("ord"))).alias("component"))
+    return molecules.viable(rows.withColumn("smiles", F.lit("C"))).select("entry", "component")
+
+
+@query("SELECT DISTINCT l_orderkey AS entry, CAST(l_linenumber % 3 AS INTEGER) AS charge FROM lineitem WHERE l_returnflag = 'R' AND l_linenumber % 3 IN (1, 2)")
+def charge_groups(spark, sf_dir):
+    atoms = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("entry"), F.col("l_returnflag").alias("symbol"), (F.col("l_linenumber") % 3).alias("charge"))
+    one, two = (f.withColumn("charge", F.lit(c)) for c, f in molecules.charge_groups(atoms, "R", [1, 2]).items())
+    return one.unionByName(two)
+
+
+@query("SELECT l_orderkey AS entry, round(coalesce(count(*) FILTER (l_returnflag <> 'N') / CAST(nullif(count(DISTINCT l_linenumber) - 1, 0) AS DOUBLE), 0.0), 9) AS complexity FROM lineitem GROUP BY 1")
+def entry_complexity(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("entry")).agg(F.count_if(F.col("l_returnflag") != "N").alias("bonds"), (F.count_distinct("l_linenumber") - 1).alias("atoms"))
+    return rows.select("entry", F.round(molecules.complexity(F.col("bonds"), F.col("atoms")), 9).alias("complexity"))
+
+
+@query("""SELECT vec_id, round(1.0 - (1.0 - s), 9) AS cosine, round(bits, 9) AS bits, round(centre, 6) AS centre FROM (SELECT vec_id,
+ list_sum(list_transform(list_zip(e, r), lambda z: z[1] * z[2])) / sqrt(list_sum(list_transform(e, lambda x: x * x)) * list_sum(list_transform(r, lambda x: x * x))) AS s,
+ CAST(bit_count(vec_id & 4660) AS DOUBLE) / nullif(bit_count(vec_id | 4660), 0) AS bits, e[1] - (e[1] + e[3]) / 2 AS centre
+ FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, list_reverse(CAST(embedding AS DOUBLE[])) AS r FROM embeddings))""")
+def vector_functions(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").withColumn("e", F.col("embedding").cast("array<double>"))
+    bits = vectors.tanimoto_bits(F.array("vec_id"), F.array(F.lit(4660).cast("long")))
+    centre = vectors.centred(F.array(F.slice("e", 1, 2), F.slice("e", 3, 2)))[0][0]
+    return rows.select("vec_id", F.round(vectors.cosine(F.col("e"), F.reverse("e")), 9).alias("cosine"), F.round(bits, 9).alias("bits"), F.round(centre, 6).alias("centre"))
+
+
+@query("""WITH l AS (SELECT l_orderkey AS entry, l_linenumber AS o, max(l_quantity) AS q, max(l_tax) AS t FROM lineitem GROUP BY 1, 2)
+ SELECT entry, round(min_by(q, o) - avg(q), 6) AS x, round(min_by(sqrt(o), o) - avg(sqrt(o)), 6) AS root FROM l GROUP BY entry""")
+def centred_atom_rows(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("entry"), F.col("l_linenumber").alias("ord")).agg(F.max("l_quantity").alias("x"), F.max("l_tax").alias("y"))
+    rows = lines.groupBy("entry").agg(F.array_sort(F.collect_list(F.struct("ord", "x", "y", F.lit(0.0).alias("z"), F.col("ord").alias("number")))).alias("atoms"))
+    points = vectors.atom_rows(F.col("atoms"))
+    return rows.select("entry", points.alias("p")).select("entry", F.round(F.col("p")[0][0], 6).alias("x"), F.round(F.col("p")[0][3], 6).alias("root"))
+
+
+@query("""SELECT vec_id, round(greatest(1.0 / (1.0 + abs(e[1] - e[3])), 1.0 / (1.0 + abs(e[2] - e[4]))), 9) AS best FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)""")
+def best_of_components(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").withColumn("e", F.col("embedding").cast("array<double>"))
+    side = lambda i, j: F.create_map(F.lit("01"), F.array(F.col("e")[i]), F.lit("02"), F.array(F.col("e")[j]))
+    return rows.select("vec_id", F.round(vectors.best_component(side(0, 1), side(2, 3)), 9).alias("best"))
+
+
+@query("""SELECT c_custkey, CAST(c_custkey AS VARCHAR) || '_' || c_mktsegment AS label, c_mktsegment AS bare, replace(CAST(c_custkey / 4.0 AS VARCHAR), '.', '_') IS NOT NULL AS named, upper(trim(' ' || c_name || ' ')) AS id, trim(split_part('name : ' || c_name, ':', 2)) AS after, c_name AS clean, 'A' || c_nationkey || 'B1' AS formula,
+ 'B(1), C(' || c_nationkey || ')' AS counted, [c_name, c_mktsegment] AS parts, CASE WHEN c_nationkey % 2 = 0 THEN 'Fe' ELSE 'C' END AS element, [CAST(c_nationkey AS DOUBLE), 2.0] AS vector FROM customer""")
+def more_text_functions(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer")
+    nation, name = F.col("c_nationkey"), F.col("c_name")
+    label = F.concat_ws("_", "c_custkey", "c_mktsegment")
+    atom = F.when(nation % 2 == 0, "fe12").otherwise("c7")
+    return rows.select(
+        "c_custkey", label.alias("label"), texts.without_prefix(label).alias("bare"), texts.threshold_name(F.col("c_custkey") / 4.0).isNotNull().alias("named"), texts.ids(F.concat(F.lit(" "), name, F.lit(" "))).alias("id"),
+        texts.after_colon(F.concat(F.lit("name : "), name)).alias("after"), texts.trimmed(F.concat(F.lit("\u2003 "), name, F.lit("\t"))).alias("clean"), texts.formula_text(F.create_map(F.lit("B"), F.lit(1), F.lit("A"), nation)).alias("formula"),
+        texts.counted_text(F.create_map(F.lit("B"), F.lit(1), F.lit("C"), nation)).alias("counted"), texts.tuple_parts(F.concat(F.lit("('"), name, F.lit("', '"), "c_mktsegment", F.lit("')"))).alias("parts"),
+        texts.symbol(atom, F.array(F.lit("Fe"), F.lit("C"))).alias("element"), texts.component_map(F.concat(F.lit("01: ["), nation.cast("string"), F.lit(", 2]; 02: None")))["01"].alias("vector"),
+    )
+
+
+_ATOMS = """a AS (SELECT l_orderkey AS entry, l_linenumber AS ord, CASE max(l_returnflag) WHEN 'R' THEN 'Fe' WHEN 'A' THEN 'C' ELSE CASE WHEN max(l_quantity) < 10 THEN 'H' ELSE 'O' END END AS symbol, max(l_suppkey) % 2 = 0 AS cyclic, CAST(max(l_quantity) AS INTEGER) % 5 AS kind FROM lineitem GROUP BY 1, 2),
+ e AS (SELECT x.entry, x.ord AS a, y.ord AS b, x.kind FROM a x JOIN a y ON x.entry = y.entry AND y.ord = x.ord + 1 UNION ALL SELECT x.entry, x.ord, y.ord, x.kind FROM a x JOIN a y ON x.entry = y.entry AND y.ord = 1 JOIN (SELECT entry, max(ord) AS last FROM a GROUP BY 1) z ON z.entry = x.entry AND z.last = x.ord AND x.ord > 2),
+ b AS (SELECT entry, a AS f, b AS t, ['single', 'double', 'pi', 'aromatic', 'triple'][kind + 1] AS bond FROM e UNION ALL SELECT entry, b, a, ['single', 'double', 'pi', 'aromatic', 'triple'][kind + 1] FROM e),
+ n AS (SELECT b.*, symbol, cyclic FROM b JOIN a ON a.entry = b.entry AND a.ord = b.t)"""
+
+
+def _ringed(spark, sf_dir):
+    """Order lines as atoms, bonded to the next and the last to the first: chains of one or two, rings of more."""
+    flag, quantity = F.max("l_returnflag"), F.max("l_quantity")
+    symbol = F.when(flag == "R", "Fe").when(flag == "A", "C").when(quantity < 10, "H").otherwise("O")
+    atoms = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("entry"), F.col("l_linenumber").alias("ord")).agg(symbol.alias("symbol"), (F.max("l_suppkey") % 2 == 0).alias("cyclic"), (F.round(quantity).cast("int") % 5).alias("kind"))
+    atoms = atoms.withColumns({"metal": F.col("symbol") == "Fe", "nonmetal": F.col("symbol") != "Fe"})
+    kinds = F.array(*map(F.lit, ("single", "double", "pi", "aromatic", "triple")))
+    ends = atoms.select("entry", F.col("ord").alias("a"), "kind").join(atoms.groupBy("entry").agg(F.max("ord").alias("last"), F.array_sort(F.collect_list("ord")).alias("all")), "entry")
+    bonds = ends.select("entry", "a", F.when(F.array_contains("all", F.col("a") + 1), F.col("a") + 1).when((F.col("a") == F.col("last")) & (F.col("last") > 2) & F.array_contains("all", 1), F.lit(1)).alias("b"), F.get(kinds, F.col("kind")).alias("bond"))
+    return atoms, bonds.where("b IS NOT NULL")
+
+
+def _test_sql(atom: patterns.Atom) -> str:
+    kind = {"metal": "symbol = 'Fe'", "nonmetal": "symbol <> 'Fe'", None: "TRUE"}.get(atom.kind, f"symbol = '{atom.kind}'")
+    return kind if atom.cyclic is None else f"{kind} AND cyclic = {atom.cyclic}"
+
+
+def _bond_sql(bonds) -> str:
+    if bonds is None or bonds is False:
+        return "TRUE"
+    if isinstance(bonds, str):
+        return f"bond <> '{bonds[1:]}'" if bonds[0] == "!" else f"bond = '{bonds}'"
+    return "bond IN ({})".format(", ".join(f"'{b}'" for b in bonds))
+
+
+def _path_sql(number: int, path: patterns.Path) -> str:
+    """A recursive search of one path: p_{number}(entry, path)."""
+    steps = " OR ".join(f"(len(path) = {i + 1} AND {_bond_sql(b)} AND {_test_sql(x).replace('symbol', 'n.symbol').replace('cyclic', 'n.cyclic')})" for i, (b, x) in enumerate(path.steps))
+    walk = f"UNION ALL SELECT p_{number}.entry, list_append(path, n.t) FROM p_{number} JOIN n ON n.entry = p_{number}.entry AND n.f = path[-1] WHERE NOT list_contains(path, n.t) AND ({steps})" if path.steps else ""
+    return f"p_{number} AS (SELECT entry, [ord] AS path FROM a WHERE {_test_sql(path.first)} {walk})"
+
+
+def _library_sql() -> str:
+    paths, picks = [], []
+    for name, own in patterns.library().items():
+        for path in own:
+            if len(path.steps) >= 7:  # orders have at most seven lines, and atoms of a match are distinct
+                continue
+            k = len(paths)
+            paths.append(_path_sql(k, path))
+            close = f" JOIN b ON b.entry = p_{k}.entry AND b.f = path[-1] AND b.t = path[1] AND {_bond_sql(path.ring)}" if path.ring is not False else ""
+            picks.append(f"SELECT '{name}' AS pattern, p_{k}.entry FROM p_{k}{close} WHERE len(path) = {len(path.steps) + 1}{' AND len(path) > 2' if close else ''}")
+    return f"WITH RECURSIVE {_ATOMS}, {', '.join(paths)} SELECT pattern, entry FROM ({' UNION '.join(picks)})"
+
+
+@query(_library_sql())
+def pattern_library(spark, sf_dir):
+    atoms, bonds = _ringed(spark, sf_dir)
+    named = patterns.library()
+    found = patterns.found(atoms, bonds, named)
+    return found.unpivot("entry", list(named), "pattern", "has").where("has").select("pattern", "entry")

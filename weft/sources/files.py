@@ -42,6 +42,65 @@ def run_results(spark: SparkSession, folder: str, name: str = "results.csv", sch
     return rows.select("*", path.alias("file"), F.element_at(F.split(path, "/"), -3).alias("run"))
 
 
+def results_below(spark: SparkSession, folder: str, name: str = "results.csv", schema: str | None = None) -> DataFrame:
+    """CSV files of the name at any depth, each read once, with run (the folder two above) and file."""
+    reader = spark.read.option("header", True).option("recursiveFileLookup", True).option("pathGlobFilter", name)
+    rows = (reader.schema(schema) if schema else reader).csv(folder)
+    path = F.col("_metadata.file_path")
+    return rows.select("*", path.alias("file"), F.element_at(F.split(path, "/"), -3).alias("run"))
+
+
+def entries(spark: SparkSession, path: str, first: int | None = None) -> DataFrame:
+    """The table of entries; the first n are a stop for trials."""
+    rows = spark.read.parquet(path)
+    return rows.limit(first) if first else rows
+
+
+def looked_up(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows of some ids."""
+    return rows.join(ids.select(key).distinct(), key)
+
+
+def registered(rows: DataFrame, name: str) -> DataFrame:
+    """The rows, now a view for SQL too."""
+    rows.createOrReplaceTempView(name)
+    return rows
+
+
+def write_environments(rows: DataFrame, path: str) -> None:
+    """The environment table laid out by block: a folder a central atom, files sorted by size and formula, so that a
+    block is read from few row groups. Hot atoms are dealt over files by formula.
+    """
+    dealt = rows.repartition("central_atom", "n_atoms", "formula_str")
+    dealt.sortWithinPartitions("central_atom", "n_atoms", "formula_str", "entry_id", "cae_idx").write.mode("overwrite").partitionBy("central_atom").parquet(path)
+
+
+def read_environments(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(schemas.CAES).parquet(path)
+
+
+def fragments(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A fragment table in CSV, scanned in splits."""
+    return spark.read.csv(path, header=True, schema=schema)
+
+
+def structure_texts(spark: SparkSession, path: str, glob: str = "*.cif") -> DataFrame:
+    """path, name without ending, and text of structure files at any depth."""
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path, wholetext=True)
+    return files.select(F.col("_metadata.file_path").alias("path"), F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.[^.]*$", 1).alias("name"), F.col("value").alias("text"))
+
+
+def stale(files: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Files (path, length) whose name is none of the ids: what a clean-up would delete."""
+    named = files.withColumn(key, F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1))
+    return named.join(ids.select(key).distinct(), key, "left_anti").select("path", key)
+
+
+def append_metrics(rows: DataFrame, path: str) -> None:
+    """Adds rows to a table of metrics; earlier ones stay."""
+    rows.write.mode("append").parquet(path)
+
+
 def scores(spark: SparkSession, path: str, suffix: str = "_HSR_score") -> DataFrame:
     """The first column with the suffix, whatever its name, as hsr_score; no rows if there is none."""
     rows = spark.read.option("header", True).csv(path)
