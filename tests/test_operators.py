@@ -170,7 +170,7 @@ def test_fingerprints_keep_under_turns(spark):
     moved[:, :3] = points[:, :3] @ turn + 5
     one, two = vectors.shape(points), vectors.shape(moved)
     assert len(one) == 15 and one == pytest.approx(two, abs=1e-8) and one != pytest.approx(vectors.shape(points * 1.5), abs=1e-3)
-    rows = spark.createDataFrame([(1, points.tolist()), (2, moved.tolist()), (3, [])], "i int, p array<array<double>>").withColumn("fp", vectors.fingerprint(F.col("p")))
+    rows = vectors.fingerprinted(spark.createDataFrame([(1, points.tolist()), (2, moved.tolist()), (3, [])], "i int, p array<array<double>>"), {"p": "fp"})
     a, b, c = rows.orderBy("i").collect()
     assert a["fp"] == pytest.approx(one) and b["fp"] == pytest.approx(one, abs=1e-8) and c["fp"] is None
 

@@ -79,11 +79,9 @@ def environment_table(atoms: DataFrame, bonds: DataFrame, old: DataFrame | None
     facts = atoms.select("entry", F.col("ord").alias("at"), F.struct("x", "y", "z", "number", "charge").alias("atom"))
     members = environments(atoms, bonds).withColumn("at", F.explode(F.array_append(F.transform("neighbours", lambda n: n["other"]), F.col("cae_idx"))))
     grouped = members.join(facts, ["entry", "at"]).groupBy("entry", "cae_idx", "central_atom", "n_atoms", "formula_str").agg(F.array_sort(F.collect_list(F.struct("at", "atom"))).alias("members"))
-    points = grouped.withColumn("members", F.col("members.atom"))
-    made = points.select(
-        F.col("entry").alias("entry_id"), "cae_idx", vectors.fingerprint(vectors.atom_rows(F.col("members"))).alias("fp_p"),
-        vectors.fingerprint(vectors.atom_rows(F.col("members"), charged=True)).alias("fp_pq"), "central_atom", "n_atoms", "formula_str",
-    ).join(atoms.select(F.col("entry").alias("entry_id"), F.col("ord").alias("cae_idx"), "sdf"), ["entry_id", "cae_idx"])
+    points = grouped.select("entry", "cae_idx", "central_atom", "n_atoms", "formula_str", vectors.atom_rows(F.col("members.atom")).alias("p"), vectors.atom_rows(F.col("members.atom"), charged=True).alias("pq"))
+    texts = atoms.select("entry", F.col("ord").alias("cae_idx"), "sdf")
+    made = vectors.fingerprinted(points.join(texts, ["entry", "cae_idx"]).withColumnRenamed("entry", "entry_id"), {"p": "fp_p", "pq": "fp_pq"})
     whole = conformed(made, schemas.CAES)
     return whole if old is None else upsert(conformed(old, schemas.CAES), whole, ["entry_id", "cae_idx"], ["fp_p", "fp_pq"])
 
