@@ -499,6 +499,22 @@ def test_shards(spark, docs, none):
     assert shard.sharded(none).count() == 0
 
 
+def test_shards_keep_equal_texts_and_follow_the_tree(spark):
+    """Groups of equal texts of any size: a cut parts at most one group; every node's cut is along one dimension."""
+    rng = random.Random(16)
+    texts = [text(rng, rng.randint(1, 60)) + "é" * rng.choice((0, 0, 9)) for _ in range(700)]
+    rows = [(i if i % 50 else None, texts[int(rng.random() ** 3 * 700)]) for i in range(4000)] + [(None, None)] * 20
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"size": F.lit(1), "node": F.lit("x"), "shard": F.lit(2)})
+    found = shard.sharded(docs, 12).collect()
+    assert Counter((r["doc_id"], r["text_crc32"], r["size"]) for r in found) == Counter((i, zlib.crc32((t or "").encode()), len((t or "").encode()) + 16) for i, t in rows)
+    sizes, groups = Counter(), defaultdict(set)
+    for r in found:
+        sizes[r["shard"]] += r["size"]
+        groups[r["text_crc32"]].add(r["shard"])
+    assert len(sizes) == 12 and max(sizes.values()) - min(sizes.values()) < 0.02 * sum(sizes.values()) / 12
+    assert sum(len(x) - 1 for x in groups.values()) <= 11
+
+
 def wrapped(x, n=70, lead=""):
     return "\n".join(lead + y for line in x.split("\n") for y in textwrap.wrap(line, n))
 

@@ -3,7 +3,9 @@
 A node of s shards is cut where its bytes divide as floor(s / 2) to the rest, along the dimension in which it
 is widest relative to the whole table, until every leaf is one shard. All nodes of a depth are cut in the
 same jobs: histograms of bounded width, each within the last one's bin, close in on the weighted quantile.
-Rows with the same value are cut by the next key (the text's checksum, a hash of the id, the row itself), so
+The dimensions are facts of the text, its bytes, its characters and the bytes beyond one a character (which tell
+scripts and languages apart), so that equal texts have the same place; source and language columns may differ between
+equal texts and would part them. Rows with the same value are cut by the next key (the text's checksum, a hash of the id, the row itself), so
 equal texts stay together unless a cut would be out of balance without dividing them.
 
 Edge cases: a null text has no bytes and the checksum 0; a null doc_id is a value like any other; repeated
@@ -154,11 +156,11 @@ def sharded(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and grown_shard for each row of docs (doc_id, text)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     facts = docs.select(
-        "doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
+        "doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.length(text).cast("long").alias("n_chars"),
         F.shiftrightunsigned(F.xxhash64("doc_id"), 1).alias("id_hash"), F.monotonically_increasing_id().alias("row"),
     )
-    rows = written(facts, "shard-rows")
-    found = tree(rows, ["text_crc32", "size"], ["text_crc32", "id_hash", "row"], "size", shards)
+    rows = written(facts.withColumn("n_wide", F.col("size") - 16 - F.col("n_chars")), "shard-rows")
+    found = tree(rows, ["size", "n_chars", "n_wide"], ["text_crc32", "id_hash", "row"], "size", shards)
     placed = found.select("doc_id", "size", "text_crc32", "row", "shard", F.pmod("id_hash", F.lit(SLOT_PARTS)).cast("int").alias("part"))
     counts = placed.groupBy("shard", "part").agg(F.count("*").alias("n"))
     # at most shards * SLOT_PARTS rows
