@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weft.llm import decontam, mix, neardup, quality, tokens
+from weft.llm import _store, decontam, mix, neardup, quality, tokens
 from weft.llm._store import written
 from weft.session import ship
 
@@ -52,12 +52,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir; each result but the last is stored and read again."""
+    """All stages over the documents of sf_dir; each result but the last is stored and read again.
+
+    What a stage stored on its way goes once its result is stored.
+    """
     rows = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (name, stage) in enumerate(STAGES):
+        since = _store.mark()
         rows = stage(spark, rows, sf_dir)
         if i < len(STAGES) - 1:
             rows = written(rows, f"pipeline-{name}")
+            _store.cleared(spark, since, keep=f"pipeline-{name}")
     return rows
 
 

@@ -431,6 +431,16 @@ def test_flow_of_many_patterns():
     assert time.time() - began < 120 and all(sum(x.values()) <= 3 * supply[p] for p, x in routed.items())
 
 
+def test_the_end_of_a_quota_comes_near():
+    rng = random.Random(4)
+    for _ in range(200):
+        sizes = np.array([rng.choice((0, rng.randint(1, 30), rng.randint(1, 400))) for _ in range(rng.randint(1, 9))])
+        quota = rng.randint(0, int(sizes.sum()))
+        got = abs(int(sizes @ mix._exchanged(sizes, quota)) - quota)
+        best = min(abs(sum(x for i, x in enumerate(sizes.tolist()) if m >> i & 1) - quota) for m in range(1 << len(sizes)))
+        assert best <= got <= max(best, sizes[sizes > 0].min(initial=10**9)) and abs(int(sizes @ mix._nearest_sum(sizes.tolist(), quota)) - quota) == best
+
+
 def test_mix_of_overlapping_sources(spark):
     """Documents in two sources: fresh words go where they are short, and each source comes near its target."""
     rng = random.Random(9)

@@ -419,3 +419,16 @@ def scored(docs: DataFrame, order: int = ORDER) -> DataFrame:
     left = encoded.select(F.col("block").alias("owner"), "doc_ids", "sizes", "ids", "words", F.transform("asked", lambda x: F.struct(x["bucket"].alias("bucket"), x["places"].alias("places"))).alias("asked")).groupBy("owner")
     result = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits double"
     return left.cogroup(facts.groupBy("block")).applyInArrow(summed, result)
+
+
+#: The columns that don't need the model; crc32 is worked out bit by bit.
+BASE_SQL = r"""
+WITH d AS (SELECT doc_id, list_append(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), '') AS w,
+  xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ord(c) AS BIGINT))),
+    lambda a, x: list_reduce(list_prepend(xor(a, x), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda b, z: xor(b >> 1, CASE WHEN b & 1 = 1 THEN 3988292384 ELSE 0 END)))) % 5 = 1 AS held_out FROM documents),
+each AS (SELECT doc_id, held_out, unnest(w) AS t FROM d),
+c AS (SELECT t, count(*) AS c FROM each WHERE NOT held_out GROUP BY t),
+n AS (SELECT sum(c) AS n, count(*) AS v FROM c)
+SELECT doc_id, any_value(held_out) AS held_out, count(*) AS n_tokens, count(c.c) AS n_known, CAST(any_value(n.n) AS BIGINT) AS train_tokens, round(sum(log10((coalesce(c.c, 0) + 0.5) / (n.n + 0.5 * (n.v + 1)))), 3) AS base_score
+FROM each LEFT JOIN c USING (t), n GROUP BY doc_id
+"""

@@ -31,6 +31,8 @@ COPIES, SEED = 3, 17
 PATTERNS = 100_000
 #: Documents among which the end of a quota is settled one by one; lots that repeated rows beyond that are counted in.
 FEW, LOTS = 500, 997
+#: Bits in which sums of few rows are searched; beyond, there are so many rows that exchanges come near.
+SEARCHED = 1 << 29
 BITS = 10
 
 
@@ -257,8 +259,8 @@ def _filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _exchanged(sizes: np.ndarray, left: int) -> np.ndarray:
-    """Which rows are taken once more."""
-    more = np.zeros(len(sizes), np.int32)
+    """Which rows are taken once more; where exchanges end further off than the smallest row, the sums are searched."""
+    quota, more = left, np.zeros(len(sizes), np.int32)
     for i in range(len(sizes)):
         if sizes[i] <= left:
             more[i], left = 1, left - sizes[i]
@@ -272,6 +274,28 @@ def _exchanged(sizes: np.ndarray, left: int) -> np.ndarray:
         more[others[i]] = 1
         if inside[j] >= 0:
             more[inside[j]] = 0
+    real = sizes[sizes > 0]
+    if len(real) and abs(left) > real.min() and len(sizes) * (quota + int(real.max())) <= SEARCHED:
+        found = _nearest_sum(sizes.tolist(), quota)
+        if abs(int(sizes @ found) - quota) < abs(left):
+            return found
+    return more
+
+
+def _nearest_sum(sizes: list[int], quota: int) -> np.ndarray:
+    """The rows whose sum comes nearest to the quota: bit b of a number tells that a sum of b can be had."""
+    most = (1 << quota + max(sizes) + 1) - 1
+    sums = [1]
+    for n in sizes:
+        sums.append((sums[-1] | sums[-1] << n) & most)
+    below = sums[-1] & ((1 << quota + 1) - 1)
+    low, above = below.bit_length() - 1, sums[-1] >> quota + 1
+    high = quota + (above & -above).bit_length() if above else None
+    at = high if high is not None and high - quota < quota - low else low
+    more = np.zeros(len(sizes), np.int32)
+    for i in range(len(sizes) - 1, -1, -1):
+        if not sums[i] >> at & 1:
+            more[i], at = 1, at - sizes[i]
     return more
 
 

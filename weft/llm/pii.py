@@ -248,3 +248,28 @@ def _joined(docs: DataFrame, trust: DataFrame) -> DataFrame:
 def report(docs: DataFrame, **options) -> DataFrame:
     found = located(docs, **options)
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.array_join("base", ","), 256).alias("base_sha256"), F.array_join("every", ",").alias("spans"))
+
+
+def _base_sql() -> str:
+    """Counts and digest of base spans: matches are set between two marks that texts don't have, and lengths summed up."""
+    kinds = {
+        "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "TRUE"),
+        "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "len(list_filter(string_split(m, '.'), lambda p: length(ltrim(p, '0')) > 3 OR CAST('0' || left(ltrim(p, '0'), 4) AS INTEGER) > 255)) = 0"),
+        "card": (r"[0-9]([\x20-]?[0-9])+", "length(digits) BETWEEN 14 AND 19 AND list_sum(list_transform(string_split(reverse(digits), ''), lambda c, i: CASE WHEN i % 2 = 1 THEN CAST(c AS INTEGER) WHEN CAST(c AS INTEGER) > 4 THEN 2 * CAST(c AS INTEGER) - 9 ELSE 2 * CAST(c AS INTEGER) END)) % 10 = 0"),
+        "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", "length(digits) BETWEEN 10 AND 15"),
+    }
+    parts = " UNION ALL ".join(
+        f"SELECT row, {k} AS k, '{name}' AS kind, unnest(range(2, len(x) + 1, 2)) AS i, x FROM (SELECT row, string_split(replace(regexp_replace(text, '({pattern})', chr(57344) || '\\1' || chr(57345), 'g'), chr(57345), chr(57344)), chr(57344)) AS x FROM d)" for k, (name, (pattern, _)) in enumerate(kinds.items())
+    )
+    good = " OR ".join(f"kind = '{name}' AND {test}" for name, (_, test) in kinds.items())
+    counts = ", ".join(f"count(*) FILTER (kind = '{name}') AS n_{name}" for name in kinds)
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
+found AS ({parts}),
+m AS (SELECT row, k, kind, x[i] AS m, regexp_replace(x[i], '[^0-9]', '', 'g') AS digits, CAST(coalesce(list_sum(list_transform(x[1:i - 1], lambda p: length(p))), 0) AS BIGINT) AS s FROM found),
+good AS (SELECT row, kind, k, s, s + length(m) AS e FROM m WHERE {good})
+SELECT any_value(doc_id) AS doc_id, {counts}, sha256(coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k), '')) AS base_sha256 FROM d LEFT JOIN good USING (row) GROUP BY d.row
+"""
+
+
+BASE_SQL = _base_sql()

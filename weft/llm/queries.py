@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from weft.llm import decontam, html, license, lm, mix, neardup, pii, quality, shard, tokens
 from weft.session import ship
@@ -55,8 +56,18 @@ def op10_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license.scanned(table(spark, sf_dir, "documents"))
 
 
+def lm_base_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can express of op2_ppm."""
+    return op2_ppm(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 3).alias("base_score"))
+
+
+def pii_base_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can express of op6_bootstrapped_pii."""
+    return op6_bootstrapped_pii(spark, sf_dir).drop("spans")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_training_order, op2_ppm, op3_dom_boosting, op4_superminhash, op5_quality_rules, op6_bootstrapped_pii, op7_winnowing, op8_flow_mix, op9_kd_shards, op10_license_digests)}
+    return {f.__name__: f for f in (op1_training_order, op2_ppm, op3_dom_boosting, op4_superminhash, op5_quality_rules, op6_bootstrapped_pii, op7_winnowing, op8_flow_mix, op9_kd_shards, op10_license_digests, lm_base_columns, pii_base_columns)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -65,4 +76,6 @@ def oracle_sql() -> dict[str, str]:
         "op5_quality_rules": quality.ORACLE_SQL,
         "op7_winnowing": decontam.ORACLE_SQL,
         "op10_license_digests": license.ORACLE_SQL,
+        "lm_base_columns": lm.BASE_SQL,
+        "pii_base_columns": pii.BASE_SQL,
     }

@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import array
 import base64
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from weft.llm._store import shared_folder, written
+from weft.llm._store import temporary, written
 from weft.llm._text import MIX, blocks, scrambled, strings
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -280,7 +279,7 @@ def materialised(docs: DataFrame, key: int = 0, vocabulary: str = VOCABULARY, le
     """Writes the shards of docs (doc_id, text), below the shared folder if no path is given, and reads them: slot, shard, offset, tokens."""
     spark = docs.sparkSession
     rows = ordered(docs, key, vocabulary, length, lanes, per_shard)
-    path = path or f"{shared_folder(spark)}/weft/shards-{uuid.uuid4().hex}"
+    path = path or temporary(spark, "shards")
     write_shards(rows, path)
     with open(vocabulary, "rb") as f:
         width = 2 if len(f.read().splitlines()) < 2**16 else 4
