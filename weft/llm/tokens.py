@@ -199,7 +199,8 @@ def sequences(docs: DataFrame, vocabulary: str = VOCABULARY, length: int = LENGT
         yield flush()
 
     laned = rows.repartition("lane").sortWithinPartitions("lane", "doc_id", "mark").select("lane", "ids")
-    return written(laned.mapInArrow(packed, "lane int, number long, n_tokens int, tokens binary"), "tokens-sequences")
+    made = laned.mapInArrow(packed, "lane int, number long, n_tokens int, tokens binary")
+    return written(made, "tokens-sequences", **{"parquet.compression.codec.zstd.level": "6"})
 
 
 def ordered(docs: DataFrame, key: int = 0, vocabulary: str = VOCABULARY, length: int = LENGTH, lanes: int | None = None, per_shard: int = PER_SHARD) -> DataFrame:
@@ -215,7 +216,7 @@ def ordered(docs: DataFrame, key: int = 0, vocabulary: str = VOCABULARY, length:
     order = Permutation(total, key)
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=1).compress
+        pack = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
             if not batch.num_rows:
                 continue
