@@ -203,6 +203,13 @@ def sequences(docs: DataFrame, vocabulary: str = VOCABULARY, length: int = LENGT
     return written(made, "tokens-sequences", **{"parquet.compression.codec.zstd.level": "6"})
 
 
+def _small(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Batches of few sequences, so that a worker holds little at a time."""
+    for batch in batches:
+        for low in range(0, batch.num_rows, rows):
+            yield batch.slice(low, rows)
+
+
 def ordered(docs: DataFrame, key: int = 0, vocabulary: str = VOCABULARY, length: int = LENGTH, lanes: int | None = None, per_shard: int = PER_SHARD) -> DataFrame:
     """The sequences of docs (doc_id, text) with slot, shard and byte offset, in partitions of slot ranges."""
     lanes = lanes or lanes_of(docs)
@@ -217,9 +224,7 @@ def ordered(docs: DataFrame, key: int = 0, vocabulary: str = VOCABULARY, length:
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3).compress
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in _small(batches):
             slot = order.slots(first[batch.column("lane").to_numpy()] + batch.column("number").to_numpy())
             width = len(batch.column("tokens")[0].as_py())
             packed = pa.array(map(pack, batch.column("tokens").to_pylist()), pa.binary())
@@ -227,7 +232,7 @@ def ordered(docs: DataFrame, key: int = 0, vocabulary: str = VOCABULARY, length:
 
     def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
-        for batch in batches:
+        for batch in _small(batches):
             yield pa.record_batch([*batch.columns[:-1], pa.array(map(unpack, batch.column("tokens").to_pylist()), pa.binary())], batch.schema.names)
 
     shards = -(-total // per_shard)
