@@ -258,20 +258,15 @@ def shards_from(spark, path: str, slot: int = 0, per_shard: int = PER_SHARD) ->
 def sequences_from(spark, path: str, slot: int = 0, length: int = LENGTH, width: int = 2, per_shard: int = PER_SHARD) -> DataFrame:
     """slot, shard, offset and tokens from the given slot on, read from the files; within a partition in order, without a shuffle."""
     size = length * width
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for shard, content in zip(batch.column("shard").to_pylist(), batch.column("content"), strict=True):
-                rows = np.frombuffer(content.as_buffer(), np.uint8)
-                rows = rows[: len(rows) // (size + 1) * (size + 1)].reshape(-1, size + 1)
-                for low in range(0, len(rows), 2048):
-                    some = np.ascontiguousarray(rows[low : low + 2048, :size])
-                    number = np.arange(low, low + len(some), dtype=np.int64)
-                    ends = pa.py_buffer((np.arange(len(some) + 1, dtype=np.int32) * size).tobytes())
-                    data = pa.BinaryArray.from_buffers(pa.binary(), len(some), [None, ends, pa.py_buffer(some)])
-                    yield pa.record_batch([pa.array(shard * per_shard + number), pa.array(np.full(len(some), shard)), pa.array(number * (size + 1)), data], ["slot", "shard", "offset", "tokens"])
-
-    found = shards_from(spark, path, slot, per_shard).mapInArrow(cut, "slot long, shard long, offset long, tokens binary")
+    files = shards_from(spark, path, slot, per_shard).where(F.length("content") > size)
+    number = F.explode(F.sequence(F.lit(0), F.floor(F.length("content") / (size + 1)).cast("int") - 1)).alias("number")
+    each = files.select("shard", "content", number).withColumn("offset", F.col("number").cast("long") * (size + 1))
+    found = each.select(
+        (F.col("shard") * per_shard + F.col("number")).alias("slot"),
+        "shard",
+        "offset",
+        F.substring("content", (F.col("offset") + 1).cast("int"), size).alias("tokens"),
+    )
     return found.where(F.col("slot") >= slot) if slot % per_shard else found
 
 
