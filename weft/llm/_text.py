@@ -85,6 +85,16 @@ def grams(hashes: np.ndarray, k: int) -> np.ndarray:
     return scrambled(out)
 
 
+def frugal(work):
+    """The batch function, giving unused Arrow memory back where a partition ends: Spark keeps idle workers alive."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        pa.default_memory_pool().release_unused()
+
+    return run
+
+
 def blocks(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
     """Batches cut so that the texts of each hold about ``limit`` bytes; a longer text is a block alone."""
     for batch in batches:

@@ -32,7 +32,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weft.llm._store import temporary, written
-from weft.llm._text import MIX, blocks, scrambled, strings
+from weft.llm._text import MIX, blocks, frugal, scrambled, strings
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pattern that the vocabulary was made with.
@@ -158,7 +158,7 @@ def tokenised(docs: DataFrame, vocabulary: str, lanes: int) -> tuple[DataFrame,
             packed = [pack(ids[a:b].tobytes() + last) for a, b in zip(starts[:-1], starts[1:], strict=True)]
             yield pa.record_batch([block.column("doc_id").cast(pa.int64()), block.column("mark"), pa.array(packed, pa.binary())], ["doc_id", "mark", "ids"])
 
-    marked = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text").mapInArrow(tokens, "doc_id long, mark long, ids binary")
+    marked = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text").mapInArrow(frugal(tokens), "doc_id long, mark long, ids binary")
     return marked.select(F.pmod(F.xxhash64("doc_id", "mark"), F.lit(lanes)).cast("int").alias("lane"), "doc_id", "mark", "ids"), end, dtype
 
 
@@ -199,7 +199,7 @@ def sequences(docs: DataFrame, vocabulary: str = VOCABULARY, length: int = LENGT
         yield flush()
 
     laned = rows.repartition("lane").sortWithinPartitions("lane", "doc_id", "mark").select("lane", "ids")
-    made = laned.mapInArrow(packed, "lane int, number long, n_tokens int, tokens binary")
+    made = laned.mapInArrow(frugal(packed), "lane int, number long, n_tokens int, tokens binary")
     return written(made, "tokens-sequences", **{"parquet.compression.codec.zstd.level": "6"})
 
 
@@ -237,9 +237,9 @@ def ordered(docs: DataFrame, key: int = 0, vocabulary: str = VOCABULARY, length:
 
     shards = -(-total // per_shard)
     parts = max(1, min(shards, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    rows = made.mapInArrow(placed, SCHEMA)
+    rows = made.mapInArrow(frugal(placed), SCHEMA)
     dealt = rows.repartitionById(parts, (F.col("shard") * parts / max(shards, 1)).cast("int"))
-    return dealt.mapInArrow(unpacked, SCHEMA).sortWithinPartitions("shard", "slot")
+    return dealt.mapInArrow(frugal(unpacked), SCHEMA).sortWithinPartitions("shard", "slot")
 
 
 def write_shards(rows: DataFrame, path: str) -> None:
