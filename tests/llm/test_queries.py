@@ -13,13 +13,13 @@ import corpus_pipeline
 from tests.conftest import DATA
 from tests.llm.test_operators import words
 from tests.test_catalogue import rows as plain
-from weft.llm import _store, decontam, html, license, lm, mix, neardup, pii, quality, queries, shard, tokens
+from weft.llm import _store, decontam, fim, html, license, lm, merkle, mix, neardup, pii, quality, queries, shard, tokens, warc
 
 
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "pages"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     return con
 
@@ -133,3 +133,9 @@ def test_every_operator_on_edges(spark, edges):
     assert sorted(r["slot"] for r in made) == list(range(len(made))) and len(made) * 512 > 1_000_000
     pages = edges.select(F.col("doc_id").alias("page_id"), F.col("text").alias("html"), *(c for c in NAMES))
     assert html.extracted(pages).count() == n
+    cut = fim.transformed(edges).withColumn("back", fim.restored(F.col("output"), F.col("form"))).collect()
+    assert Counter(r["back"] for r in cut) == Counter(r["text"] or "" for r in edges.select("text").collect())
+    tree = merkle.checked(edges.withColumns({"lang": F.col("source"), "n_chars": F.length("text")})).collect()
+    assert len(tree) == n and len({r["root"] for r in tree}) == 1 and all(r["verified"] for r in tree if r["doc_id"] is None)
+    kept = warc.report(pages.withColumn("url", F.col("url"))).collect()
+    assert sum(r["payload_bytes"] for r in kept) == sum(len((r["text"] or "").encode()) for r in edges.select("text").collect()) and len(kept) == n

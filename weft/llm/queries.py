@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm import decontam, html, license, lm, mix, neardup, pii, quality, shard, tokens
+from weft.llm import decontam, fim, html, license, lm, merkle, mix, neardup, pii, quality, shard, tokens, warc
 from weft.session import ship
 
 
@@ -56,6 +56,18 @@ def op10_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license.scanned(table(spark, sf_dir, "documents"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digest(fim.transformed(table(spark, sf_dir, "documents")))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.checked(table(spark, sf_dir, "documents"))
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.report(table(spark, sf_dir, "pages"))
+
+
 def lm_base_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What SQL can express of op2_ppm."""
     return op2_ppm(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 3).alias("base_score"))
@@ -67,7 +79,7 @@ def pii_base_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_training_order, op2_ppm, op3_dom_boosting, op4_superminhash, op5_quality_rules, op6_bootstrapped_pii, op7_winnowing, op8_flow_mix, op9_kd_shards, op10_license_digests, lm_base_columns, pii_base_columns)}
+    return {f.__name__: f for f in (op1_training_order, op2_ppm, op3_dom_boosting, op4_superminhash, op5_quality_rules, op6_bootstrapped_pii, op7_winnowing, op8_flow_mix, op9_kd_shards, op10_license_digests, op11_fill_in_middle, op12_merkle, op13_warc, lm_base_columns, pii_base_columns)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -76,6 +88,9 @@ def oracle_sql() -> dict[str, str]:
         "op5_quality_rules": quality.ORACLE_SQL,
         "op7_winnowing": decontam.ORACLE_SQL,
         "op10_license_digests": license.ORACLE_SQL,
+        "op11_fill_in_middle": fim.ORACLE_SQL,
+        "op12_merkle": merkle.ORACLE_SQL,
+        "op13_warc": warc.ORACLE_SQL,
         "lm_base_columns": lm.BASE_SQL,
         "pii_base_columns": pii.BASE_SQL,
     }
