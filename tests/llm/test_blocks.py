@@ -160,11 +160,11 @@ def test_archives_give_the_pages_back(spark, pages, tmp_path):
     columns = "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
     assert sorted((tuple(r) for r in found.select(*columns).collect()), key=str) == plain_records(rows)
     assert found.where("problem is not null").count() == 0
-    back = {(r["page_id"], bytes(r["payload"])) for r in warc.payloads(spark, path).collect()}
+    back = {(r["page_id"], bytes(r["payload"])) for r in warc.payloads(warc.parsed(spark, path)).collect()}
     assert {p for _, p in back} == {(h or "").encode() for _, h in rows}
     kinds = {r["type"]: r["n"] for r in warc.parsed(spark, path).groupBy("type").agg(F.count("*").alias("n")).collect()}
     assert kinds["continuation"] > 10 and kinds["response"] + kinds["revisit"] == len(rows)
-    ids = [r["record_id"] for r in warc.parsed(spark, path).select("record_id").collect()]
+    ids = [r["record_id"] for r in warc.parsed(spark, path, keep=False).select("record_id").collect()]
     assert len(ids) == len(set(ids))
     warc.archived(pages, f"file://{tmp_path}/b", segment=100, chunk=7, least=6)
     again = warc.resolved(spark, f"file://{tmp_path}/b")
@@ -189,7 +189,7 @@ def test_segments_from_anywhere_and_broken_ones(spark, tmp_path):
     archive(folder, *cut[4][1:], cut[4][2].replace(b"Number: 3", b"Number: 2"), *cut[5][:2], cut[5][2][:-1] + b"?", *cut[5][3:])
     archive(folder, next(warc.records(row(6), 1 << 20, 33)), b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 999\r\n\r\ntorn")
     archive(folder, *cut[7][1:])
-    found = {r["page_id"]: (r["payload"] and bytes(r["payload"]), r["problem"]) for r in warc.payloads(spark, f"file://{folder}").collect()}
+    found = {r["page_id"]: (r["payload"] and bytes(r["payload"]), r["problem"]) for r in warc.payloads(warc.parsed(spark, f"file://{folder}")).collect()}
     good = (b"abcdefgh" * 50, None)
     assert found[0] == found[6] == found[7] == good
     assert found[1] == (None, "last segment missing") and found[2] == (None, "segment 2 missing")

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.llm._store import temporary, written
-from weft.llm._text import frugal
+from weft.llm._text import blocks, frugal
 
 SEGMENT, CHUNK, ARCHIVE_RECORDS = 32 << 10, 8 << 10, 20_000
 #: Bytes that a task's batch of records to be framed, or of framed ones, holds at most beside one record.
@@ -46,7 +46,10 @@ VERSION = "WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
 
-RECORD = "record_id string, type string, origin_id string, segment int, total long, page_id long, url string, refers_id string, digest string, block binary, problem string"
+#: A row of ``parsed``. block: of segments; payload_bytes and payload_digest: of responses in one piece.
+RECORD = "record_id string, type string, origin_id string, segment int, total long, page_id long, url string, refers_id string, digest string, block binary, payload binary, payload_bytes long, payload_digest string, problem string"
+_TYPES = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+_SCHEMA = pa.schema([(c, _TYPES[k]) for c, k in (x.split() for x in RECORD.split(", "))])
 
 
 def base32(sha1_hex: Column) -> Column:
@@ -166,20 +169,14 @@ def archived(pages: DataFrame, path: str, segment: int = SEGMENT, chunk: int = C
     revisits = rows.where("not is_first").select(*facts, F.col("first_id").alias("refers_id"), F.lit(None).cast("binary").alias("payload"))
 
     def framed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out, size = [], 0
-            for i in range(batch.num_rows):
-                for record in records(batch.slice(i, 1).to_pylist()[0], segment, chunk):
-                    out.append(record)
-                    size += len(record)
-                if size > BATCH_BYTES:
-                    yield pa.record_batch([pa.array(out, pa.binary())], ["record"])
-                    out, size = [], 0
+        for block in blocks(batches, "payload", BATCH_BYTES):
+            out = [record for row in block.to_pylist() for record in records(row, segment, chunk)]
             yield pa.record_batch([pa.array(out, pa.binary())], ["record"])
 
     made = responses.unionByName(revisits).mapInArrow(frugal(framed), "record binary")
     lines = made.select(F.col("record").cast("string").alias("value"))  # the bytes as they are
-    lines.write.option("compression", "gzip").option("lineSep", BLANK.decode()).option("maxRecordsPerFile", ARCHIVE_RECORDS).text(path)
+    options = {"compression": "gzip", "zlib.compress.level": "BEST_SPEED", "lineSep": BLANK.decode(), "maxRecordsPerFile": ARCHIVE_RECORDS}
+    lines.write.options(**options).text(path)
 
 
 class Reader:
@@ -190,34 +187,32 @@ class Reader:
         self.held = self.need = 0
         self.broken = False
 
-    def feed(self, data: bytes) -> Iterator[tuple[list[bytes], bytes]]:
-        """Header lines and block of each record that is whole with these bytes; no lines where the archive can't be read on."""
+    def feed(self, data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+        """Header fields and block of each record that is whole with these bytes; no fields where the archive can't be read on."""
         if self.broken:
             return
         self.parts.append(data)
         self.held += len(data)
         while self.held >= max(self.need, 1):
-            whole = b"".join(self.parts)
+            whole = b"".join(self.parts) if len(self.parts) > 1 else self.parts[0]
             head = whole.find(BLANK)
             if head < 0:
                 self.parts, self.need = [whole], 2 * len(whole)
                 return
-            lines = whole[:head].split(b"\r\n")
-            size = dict(_fields(lines[1:])).get("content-length", "")
-            if not lines[0].startswith(b"WARC/") or not (size.isascii() and size.isdigit()):
-                self.broken = True
-                yield [], whole[:100]
-                return
-            end = head + 4 + int(size)
+            version, *lines = whole[:head].split(b"\r\n")
+            fields = dict(_fields(lines))
+            size = fields.get("content-length", "")
+            known = version.startswith(b"WARC/") and size.isascii() and size.isdigit()
+            end = head + 4 + int(size) if known else 0
             self.need = end + 4
-            if len(whole) < self.need:
+            if known and len(whole) < self.need:
                 self.parts = [whole]
                 return
-            if whole[end : self.need] != BLANK:
+            if not known or whole[end : self.need] != BLANK:
                 self.broken = True
-                yield [], whole[:100]
+                yield {}, whole[:100]
                 return
-            yield lines, whole[head + 4 : end]
+            yield fields, whole[head + 4 : end]
             rest = whole[self.need :]
             self.parts, self.held, self.need = [rest], len(rest), 0
 
@@ -226,106 +221,119 @@ class Reader:
         return b"" if self.broken else b"".join(self.parts).strip(b"\r\n")
 
 
-def parsed(spark: SparkSession, path: str, *types: str) -> DataFrame:
-    """The records of the types (all, if none is named) in the gzipped archives of a folder."""
-    columns = [c.split()[0] for c in RECORD.split(", ")]
-    schema = pa.schema([(c, {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}[k]) for c, k in (x.split() for x in RECORD.split(", "))])
+def _int(text: str | None) -> int | None:
+    """The number in a header field; None for anything else."""
+    return int(text) if text and text.lstrip("-").isdecimal() and len(text) < 19 else None
+
+
+def _row(head: dict[str, str], block: bytes, name: str, keep: bool) -> tuple:
+    """A record as a row of ``parsed``."""
+    if not head:
+        return (None, "unreadable", *[None] * 11, f"{name}: {block!r}")
+    get, kind, record_id = head.get, head.get("warc-type"), head.get("warc-record-id")
+    number, total, page = get("warc-segment-number"), get("warc-segment-total-length"), get("page-id")
+    problem = "block digest" if get("warc-block-digest") not in (None, _sha1(block)) else None
+    facts = record_id, kind, get("warc-segment-origin-id", record_id), _int(number), _int(total), _int(page), get("warc-target-uri"), get("warc-refers-to"), get("warc-payload-digest")
+    if number or kind != "response":
+        return (*facts, block if number else None, None, None, None, problem or (None if kind == "revisit" or facts[3] else "segment number"))
+    return (*facts, None, *_payload([block], None, facts[-1], problem, keep))
+
+
+def _payload(message: list[bytes], total: int | None, digest: str | None, problem: str | None, keep: bool) -> tuple[bytes | None, int | None, str | None, str | None]:
+    """The payload of a message (None unless kept), its length and digest, and what is wrong with it."""
+    whole = b"".join(message)
+    if not problem and total is not None and total != len(whole):
+        problem = f"{len(whole)} bytes of {total}" if total >= 0 else "last segment missing"
+    payload = None if problem else message_payload(whole)
+    if payload is None:
+        return None, None, None, problem or "framing"
+    found = _sha1(payload)
+    if digest not in (None, found):
+        return None, None, None, "payload digest"
+    return payload if keep else None, len(payload), found[5:], None
 
-    def row(lines: list[bytes], block: bytes, name: str) -> dict | None:
-        if not lines:
-            return dict.fromkeys(columns) | {"type": "unreadable", "problem": f"{name}: {block!r}"}
-        head = dict(_fields(lines[1:]))
-        kind, number = head.get("warc-type", ""), head.get("warc-segment-number")
-        if types and kind not in types:
-            return None
-        found = {
-            "record_id": head.get("warc-record-id"), "type": kind, "origin_id": head.get("warc-segment-origin-id", head.get("warc-record-id")), "segment": number and int(number),
-            "total": int(head["warc-segment-total-length"]) if "warc-segment-total-length" in head else None, "page_id": int(head["page-id"]) if "page-id" in head else None,
-            "url": head.get("warc-target-uri"), "refers_id": head.get("warc-refers-to"), "digest": head.get("warc-payload-digest"), "block": block,
-        }
-        wrong = "warc-block-digest" in head and head["warc-block-digest"] != _sha1(block)
-        return found | {"problem": "block digest" if wrong else None}
+
+def parsed(spark: SparkSession, path: str, keep: bool = True) -> DataFrame:
+    """The records in the gzipped archives of a folder, read once; keep: with the payloads of responses in one piece."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, name, out, size = Reader(), None, [], 0
 
+        def flush() -> pa.RecordBatch:
+            columns = zip(*out, strict=True) if out else [[] for _ in _SCHEMA]
+            made = pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, _SCHEMA, strict=True)], schema=_SCHEMA)
+            out.clear()
+            return made
+
         def close() -> None:
             if rest := reader.rest():
-                out.append(row([], rest[:100], name))
+                out.append(_row({}, rest[:100], name, keep))
 
         for batch in batches:
-            for file, first, piece in zip(*(batch.column(c) for c in ("file", "start", "piece")), strict=True):
-                if (file := file.as_py()) != name:
+            if any(batch.column("start").to_pylist()):
+                raise ValueError("an archive is read in splits: archives must be gzipped")
+            for file, piece in zip(batch.column("file").to_pylist(), batch.column("piece"), strict=True):
+                if file != name:
                     close()
                     reader, name = Reader(), file
-                if first.as_py():
-                    raise ValueError(f"{file} is read in splits: archives must be gzipped")
-                for lines, block in reader.feed(piece.as_py() + BLANK):
-                    if (found := row(lines, block, name)) is not None:
-                        out.append(found)
-                        size += len(block)
-                    if size > BATCH_BYTES:
-                        yield pa.RecordBatch.from_pylist(out, schema)
-                        out, size = [], 0
+                for head, block in reader.feed(piece.as_py() + BLANK):
+                    out.append(_row(head, block, name, keep))
+                    size += len(block)
+                if size > BATCH_BYTES:
+                    yield flush()
+                    size = 0
         close()
-        yield pa.RecordBatch.from_pylist(out, schema)
+        yield flush()
 
     pieces = spark.read.option("lineSep", BLANK.decode()).text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.col("value").cast("binary").alias("piece"))
     return pieces.mapInArrow(frugal(read), RECORD)
 
 
-def payloads(spark: SparkSession, path: str) -> DataFrame:
-    """record_id, page_id, url, digest (as stated), payload and problem of each response, reassembled."""
-    given = parsed(spark, path, "response", "continuation")
-    facts = "page_id", "url", "digest", "problem"
-    whole = given.where("segment is null and type <> 'unreadable'").select("record_id", *facts, F.array(F.struct(F.lit(1).alias("segment"), F.col("block").alias("block"))).alias("segments"), F.lit(None).cast("long").alias("total"))
+def payloads(given: DataFrame, keep: bool = True) -> DataFrame:
+    """record_id, page_id, url, payload (if kept), payload_bytes, payload_digest and problem of each response of ``parsed`` rows, reassembled."""
+    columns = "record_id", "page_id", "url", "payload", "payload_bytes", "payload_digest", "problem"
+    whole = given.where("segment is null and type in ('response', 'unreadable')").select(*columns)
+    first = lambda c: F.max(F.when(F.col("type") == "response", F.col(c))).alias(c)
     parts = given.where("segment is not null").groupBy(F.col("origin_id").alias("record_id")).agg(
-        *(F.max(F.when(F.col("type") == "response", F.col(c))).alias(c) for c in facts[:3]), F.max("problem").alias("problem"),
-        F.collect_list(F.struct("segment", "block")).alias("segments"), F.max(F.coalesce("total", F.lit(-1))).alias("total"),
+        first("page_id"), first("url"), first("digest"), F.max("problem").alias("problem"), F.collect_list(F.struct("segment", "block")).alias("segments"), F.max(F.coalesce("total", F.lit(-1))).alias("total")
     )
-    lost = given.where("type = 'unreadable'").select("record_id", *facts, F.array().cast("array<struct<segment:int,block:binary>>").alias("segments"), F.lit(-1).cast("long").alias("total"))
+    schema = "record_id string, page_id long, url string, payload binary, payload_bytes long, payload_digest string, problem string"
 
     def assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):  # a record's segments at a time
                 row = batch.slice(i, 1)
-                payload, problem = _assembled(row.column("segments")[0].as_py(), row.column("total")[0].as_py(), row.column("digest")[0].as_py(), row.column("problem")[0].as_py())
-                yield pa.record_batch([*(row.column(c) for c in ("record_id", "page_id", "url", "digest")), pa.array([payload], pa.binary()), pa.array([problem], pa.string())], ["record_id", "page_id", "url", "digest", "payload", "problem"])
+                found = _assembled(row.column("segments")[0].as_py(), row.column("total")[0].as_py(), row.column("digest")[0].as_py(), row.column("problem")[0].as_py(), keep)
+                made = [pa.array([x], t) for x, t in zip(found, (pa.binary(), pa.int64(), pa.string(), pa.string()), strict=True)]
+                yield pa.record_batch([*(row.column(c) for c in columns[:3]), *made], columns)
 
-    return whole.unionByName(parts).unionByName(lost).mapInArrow(frugal(assembled), "record_id string, page_id long, url string, digest string, payload binary, problem string")
+    return whole.unionByName(parts.mapInArrow(frugal(assembled), schema))
 
 
-def _assembled(segments: list[dict], total: int | None, digest: str | None, problem: str | None) -> tuple[bytes | None, str | None]:
-    """The payload of a record's segments, or what is wrong with them. total: None for a record in one piece, -1 if no segment states it."""
-    if problem:
-        return None, problem
+def _assembled(segments: list[dict], total: int, digest: str | None, problem: str | None, keep: bool) -> tuple[bytes | None, int | None, str | None, str | None]:
+    """``_payload`` of a record's segments. total: -1 if no segment states it."""
     by: dict[int, bytes] = {}
     for s in segments:
         if by.setdefault(s["segment"], s["block"]) != s["block"]:
-            return None, f"segment {s['segment']} twice"
+            problem = problem or f"segment {s['segment']} twice"
     missing = [n for n in range(1, max(by) + 1) if n not in by]
     if missing:
-        return None, f"segment {missing[0]} missing"
-    message = b"".join(by[n] for n in sorted(by))
-    if total is not None and total != len(message):
-        return None, f"{len(message)} bytes of {total}" if total >= 0 else "last segment missing"
-    payload = message_payload(message)
-    if payload is None:
-        return None, "framing"
-    return (payload, None) if digest in (None, _sha1(payload)) else (None, "payload digest")
+        problem = problem or f"segment {missing[0]} missing"
+    return _payload([by[n] for n in sorted(by)], total, digest, problem, keep)
 
 
 def resolved(spark: SparkSession, path: str) -> DataFrame:
     """One row a page of the archives: page_id, url, payload_bytes and payload_digest (of the response's payload for a revisit too),
     record_type, refers_to (the response's page_id) and problem."""
-    facts = payloads(spark, path).select("record_id", "page_id", "url", F.octet_length("payload").cast("long").alias("payload_bytes"), base32(F.sha1("payload")).alias("payload_digest"), "problem")
-    responses = written(facts, "warc-responses")
-    revisits = written(parsed(spark, path, "revisit").where("type = 'revisit'").select("page_id", "url", "refers_id", F.pmod(F.xxhash64("record_id"), F.lit(SALTS)).cast("int").alias("salt"), F.col("problem").alias("own")), "warc-revisits")
+    given = written(parsed(spark, path, keep=False), "warc-parsed")
+    columns = "page_id", "url", "payload_bytes", "payload_digest"
+    responses = written(payloads(given, keep=False).select("record_id", *columns, "problem"), "warc-responses")
+    salt = F.pmod(F.xxhash64("record_id"), F.lit(SALTS)).cast("int").alias("salt")
+    revisits = given.where("type = 'revisit'").select("page_id", "url", "refers_id", salt, F.col("problem").alias("own"))
     asked = revisits.groupBy(F.col("refers_id").alias("record_id")).agg(F.lit(1).alias("asked"))
     targets = responses.join(asked, "record_id").select(F.col("record_id").alias("refers_id"), F.col("page_id").alias("refers_to"), "payload_bytes", "payload_digest", "problem", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     met = revisits.join(targets.withColumn("there", F.lit(True)), ["refers_id", "salt"], "left")
     wrong = F.coalesce("own", F.when(F.col("there").isNull(), "response missing"), "problem")
-    columns = "page_id", "url", "payload_bytes", "payload_digest"
     first = responses.select(*columns, F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to"), "problem")
     return first.unionByName(met.select(*columns, F.lit("revisit").alias("record_type"), "refers_to", wrong.alias("problem")))
 
