@@ -5,13 +5,12 @@ from __future__ import annotations
 import functools
 from collections.abc import Sequence
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from weft.functions.vectors import l1_similarity, l2_distance
+from weft.functions.vectors import l1_similarity
+from weft.operators import metric
 
 #: Rows of a side that is sent to all executors at most; beyond, the join shuffles on the block.
 BROADCAST_ROWS = 100_000
@@ -107,12 +106,16 @@ def first_matches(targets: DataFrame, population: DataFrame, block: Sequence[str
     return found.where(F.col("rank") <= k).select("target", "rank", "partner", "score")
 
 
-def nearest_rescored(targets: DataFrame, population: DataFrame, block: Sequence[str], k: int = 3, others: bool = False) -> DataFrame:
-    """The k nearest by Euclidean distance, then ranked by similarity: not always the k most similar."""
-    gap = l2_distance(F.col("target_fp"), F.col("partner_fp"))
-    near = scored_pairs(targets, population, block, others=others).withColumn("gap", gap)
-    near = near.withColumn("n", F.row_number().over(W.partitionBy("target").orderBy("gap", "partner"))).where(F.col("n") <= k)
-    return near.withColumn("rank", F.row_number().over(W.partitionBy("target").orderBy(F.desc("score"), "partner"))).select("target", "rank", "partner", "score", "gap")
+def nearest_rescored(targets: DataFrame, population: DataFrame, block: Sequence[str], k: int = 3, others: bool = False, cut: float | None = None, cell_rows: int = metric.CELL_ROWS) -> DataFrame:
+    """The k nearest by Euclidean distance, then ranked by similarity: not always the k most similar.
+
+    cut: of the population only a unique set is searched, by this similarity.
+    """
+    if cut is not None:
+        population = population.join(unique(population, block, "id", cut, cell_rows), [*block, "id"], "left_semi")
+    near = metric.nearest(targets, population, block, k, others, cell_rows)
+    scored = near.select("target", "partner", l1_similarity(F.col("target_fp"), F.col("partner_fp")).alias("score"), F.col("l2").alias("gap"))
+    return scored.withColumn("rank", F.row_number().over(W.partitionBy("target").orderBy(F.desc("score"), "partner"))).select("target", "rank", "partner", "score", "gap")
 
 
 def wide_top(top: DataFrame, threshold: float, k: int = 3) -> DataFrame:
@@ -130,43 +133,14 @@ def similar(pairs: DataFrame, low: float, high: float) -> DataFrame:
     return pairs.where((F.col("score") > low) & (F.col("score") <= high))
 
 
-def unique(rows: DataFrame, block: Sequence[str], order: str, threshold: float) -> DataFrame:
-    """Greedy unique set: in order, a row stays if its similarity to every row kept of its block is below the threshold.
-
-    Rows with an equal vector are cut to the first before, which changes nothing and takes copies out of
-    the sequential part. A block is one task's work: its vectors and those kept are in memory, 16 bytes a number.
-    """
-    first = rows.groupBy(*block, "fp").agg(F.min(order).alias(order))
-
-    def kept(table: pa.Table) -> pa.Table:
-        table = table.sort_by(order).combine_chunks()
-        rows = table.column("fp").combine_chunks()
-        vectors = rows.flatten().to_numpy().reshape(len(rows), -1)  # a view of the block, no copy of each row
-        held, n, stay = np.empty((64, vectors.shape[1])), 0, []
-        for i, v in enumerate(vectors):
-            if not n or (1 / (1 + np.abs(held[:n] - v).mean(axis=1)) < threshold).all():
-                if n == len(held):
-                    held = np.concatenate((held, np.empty_like(held)))
-                held[n], n = v, n + 1
-                stay.append(i)
-        return table.take(pa.array(stay)).select([*block, order])
-
-    return first.groupBy(*block).applyInArrow(kept, first.select(*block, order).schema)
+def unique(rows: DataFrame, block: Sequence[str], order: str, threshold: float, cell_rows: int = metric.CELL_ROWS) -> DataFrame:
+    """Greedy unique set: in order, a row stays if its similarity to every row kept of its block is below the threshold."""
+    return metric.unique(rows, block, order, threshold, cell_rows)
 
 
-def close_pairs(rows: DataFrame, block: Sequence[str], key: str, least: float) -> DataFrame:
-    """Pairs i < j of a block whose similarity is at least ``least``.
-
-    Vectors so similar have means that differ by at most 1 / least - 1, so only rows of the same or the next band of
-    means meet; the exact test follows.
-    """
-    reach = 1.0 / least - 1.0 + 1e-9
-    mean = F.aggregate(F.col("fp").cast("array<double>"), F.lit(0.0), lambda a, v: a + v) / F.size("fp")
-    banded = rows.withColumn("_band", F.floor(mean / reach)) if reach > 1e-6 else rows.withColumn("_band", F.xxhash64(F.col("fp")))
-    left = banded.select(*block, "_band", F.col(key).alias("i"), F.col("fp").alias("fp_i"))
-    near = F.explode(F.array(F.col("_band") - 1, F.col("_band"), F.col("_band") + 1)) if reach > 1e-6 else F.col("_band")
-    right = banded.select(*block, near.alias("_band"), F.col(key).alias("j"), F.col("fp").alias("fp_j"))
-    return left.join(right, [*block, "_band"]).where((F.col("i") < F.col("j")) & (l1_similarity(F.col("fp_i"), F.col("fp_j")) >= least)).drop("_band")
+def close_pairs(rows: DataFrame, block: Sequence[str], key: str, least: float, cell_rows: int = metric.CELL_ROWS) -> DataFrame:
+    """Pairs i < j of a block whose similarity is at least ``least``."""
+    return metric.close_pairs(rows, block, key, least, cell_rows)
 
 
 def centroid(rows: DataFrame, block: Sequence[str], vector: str = "fp") -> DataFrame:

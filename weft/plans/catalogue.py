@@ -36,6 +36,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 MATCH, BELOW, UNIQUE = 0.895, 0.88, 0.90
+#: Rows of a cell in searches by distance: few, so that the small tables fill several cells.
+CELL = 64
 _SIM = "1.0 / (1.0 + list_sum(list_transform(list_zip(t.fp, p.fp), lambda z: abs(z[1] - z[2]))) / len(t.fp))"
 _SIDES = "p AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS fp FROM embeddings), t AS (SELECT * FROM p WHERE id % 20 = 0)"
 
@@ -98,7 +100,7 @@ def population_all_pairs(spark, sf_dir):
  SELECT label, unnest(list_transform(kept, lambda r: r.id)) AS id FROM k""")
 def greedy_unique(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label", F.col("embedding").cast("array<double>").alias("fp"))
-    return match.unique(rows, ["label"], "id", UNIQUE)
+    return match.unique(rows, ["label"], "id", UNIQUE, cell_rows=CELL)
 
 
 @query("SELECT label, pos, round(avg(x), 9) AS mean FROM (SELECT label, unnest(CAST(embedding AS DOUBLE[])) AS x, CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS pos FROM embeddings) GROUP BY label, pos")
@@ -110,7 +112,7 @@ def centroid_per_block(spark, sf_dir):
 @query(f"WITH v AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS fp FROM embeddings) SELECT t.label, t.id AS i, p.id AS j FROM v t JOIN v p ON t.label = p.label AND t.id < p.id WHERE {_SIM} >= 0.893")
 def overlap_pairs(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label", F.col("embedding").cast("array<double>").alias("fp"))
-    return match.close_pairs(rows, ["label"], "id", 0.893).select("label", "i", "j")
+    return match.close_pairs(rows, ["label"], "id", 0.893, cell_rows=CELL).select("label", "i", "j")
 
 
 @query(f"WITH {_SIDES}, s AS (SELECT t.id AS target, {_SIM} AS score FROM t JOIN p ON t.label = p.label AND t.id <> p.id) SELECT target, count(*) FILTER (score < 0.87) AS t_0_87, count(*) FILTER (score < 0.88) AS t_0_88, count(*) FILTER (score < 0.89) AS t_0_89 FROM s GROUP BY target")
@@ -401,7 +403,7 @@ _GAP = "sqrt(list_sum(list_transform(list_zip(t.fp, p.fp), lambda z: (z[1] - z[2
 @query(f"WITH {_SIDES}, s AS (SELECT t.id AS target, p.id AS partner, {_SIM} AS score, {_GAP} AS gap FROM t JOIN p ON t.label = p.label AND t.id <> p.id), n AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY target ORDER BY gap, partner) <= 3) SELECT target, CAST(row_number() OVER (PARTITION BY target ORDER BY score DESC, partner) AS INTEGER) AS rank, partner, round(score, 9) AS score, round(gap, 9) AS gap FROM n")
 def nearest_rescored(spark, sf_dir):
     targets, population = _sides(spark, sf_dir)
-    return match.nearest_rescored(targets, population, ["label"], others=True).withColumns({c: F.round(c, 9) for c in ("score", "gap")})
+    return match.nearest_rescored(targets, population, ["label"], others=True, cell_rows=CELL).withColumns({c: F.round(c, 9) for c in ("score", "gap")})
 
 
 _TOP = f"WITH {_SIDES}, s AS (SELECT t.id AS target, p.id AS partner, {_SIM} AS score FROM t JOIN p ON t.label = p.label AND t.id <> p.id), r AS (SELECT target, score, row_number() OVER (PARTITION BY target ORDER BY score DESC, partner) AS rank FROM s), w AS (SELECT target, max(score) FILTER (rank = 1) AS score_1, max(score) FILTER (rank = 2) AS score_2, max(score) FILTER (rank = 3) AS score_3, max(score) FILTER (rank = 1) >= {MATCH} AS matched FROM r GROUP BY target)"
