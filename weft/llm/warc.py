@@ -235,7 +235,7 @@ def _row(head: dict[str, str], block: bytes, name: str, keep: bool) -> tuple:
     problem = "block digest" if get("warc-block-digest") not in (None, _sha1(block)) else None
     facts = record_id, kind, get("warc-segment-origin-id", record_id), _int(number), _int(total), _int(page), get("warc-target-uri"), get("warc-refers-to"), get("warc-payload-digest")
     if number or kind != "response":
-        return (*facts, block if number else None, None, None, None, problem or (None if kind == "revisit" or facts[3] else "segment number"))
+        return (*facts, block if number else None, None, None, None, problem or ("segment number" if kind == "continuation" and facts[3] is None else None))
     return (*facts, None, *_payload([block], None, facts[-1], problem, keep))
 
 
