@@ -17,10 +17,23 @@ MISSING = r"(\d+) had no population CAE"
 POPULATION = r"(?i)Number of final molecules for (\S+): (\d+)"
 
 
-def filled(lines: DataFrame, label: Column, by: list[str], order: str) -> DataFrame:
-    """Each line with the last label at or before it in its file; a file is one window's work."""
-    w = W.partitionBy(*by).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    return lines.withColumn("section", F.last(label, ignorenulls=True).over(w))
+def filled(lines: DataFrame, label: Column, by: list[str], order: str, width: int = 1 << 16) -> DataFrame:
+    """Each line with the last label at or before it in its file, as ``section``.
+
+    A scan in two steps: stretches of ``width`` places of the order, a whole number, are filled alone, and the last label of each
+    is carried to the ones after it as a line of its own before their first. No task orders more than one stretch, or one
+    row a stretch of a file. Lines of a file may not share a place.
+    """
+    given = lines.select("*", label.alias("_label"), F.floor(F.col(order) / width).cast("long").alias("_stretch"), F.lit(False).alias("_carried"))
+    last = given.where(F.col("_label").isNotNull()).groupBy(*by, "_stretch").agg(F.max_by("_label", order).alias("_last"))
+    stretches = given.groupBy(*by, "_stretch").agg(F.count("*").alias("_n"))  # those without a label are carried over too
+    every = stretches.drop("_n").withColumn("_last", F.lit(None).cast(last.schema["_last"].dataType)).unionByName(last).groupBy(*by, "_stretch").agg(F.max("_last").alias("_last"))
+    before = W.partitionBy(*by).orderBy("_stretch").rowsBetween(W.unboundedPreceding, -1)
+    carried = every.select(*by, "_stretch", F.last("_last", ignorenulls=True).over(before).alias("_label")).where(F.col("_label").isNotNull())
+    both = given.unionByName(carried.withColumn("_carried", F.lit(True)), allowMissingColumns=True)
+    w = W.partitionBy(*by, "_stretch").orderBy(F.desc("_carried"), order).rowsBetween(W.unboundedPreceding, 0)
+    out = both.withColumn("section", F.last("_label", ignorenulls=True).over(w)).where(~F.col("_carried"))
+    return out.select(*lines.columns, "section")
 
 
 def match_summary(lines: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -61,6 +74,24 @@ def sdf_files(records: DataFrame) -> DataFrame:
     )
 
 
+def distorted_lists(records: DataFrame, n: int = 5) -> DataFrame:
+    """The n lowest and the n highest similarities in files that hold a distorted match: end (low, high), place, similarity, path and pos.
+
+    records (path, pos, record). Every record of such a file counts; ties go by path and pos. The mean of the highest is ``top_mean``.
+    """
+    similarity = texts.field(F.col("record"), "Similarity").try_cast("double")
+    facts = records.select("path", "pos", similarity.alias("similarity"), texts.has_field(F.col("record"), "DistortedMatch").alias("tagged"))
+    held = facts.groupBy("path").agg(F.bool_or("tagged").alias("any")).where("any").select("path")
+    rows = facts.join(held, "path", "left_semi").where("similarity is not null").select("similarity", "path", "pos")
+    ends = (("low", F.col("similarity")), ("high", -F.col("similarity")))
+    lists = [rows.orderBy(value, "path", "pos").limit(n).select(F.lit(end).alias("end"), F.row_number().over(W.orderBy(value, "path", "pos")).alias("place"), *rows.columns) for end, value in ends]  # n rows
+    return lists[0].unionByName(lists[1])
+
+
+def top_mean(lists: DataFrame) -> DataFrame:
+    return lists.where("end = 'high'").agg(F.avg("similarity").alias("top_mean"))
+
+
 def sdf_report(files: DataFrame, target: Column) -> DataFrame:
     """Per target: files without a match, matched and distorted by the first tag, and biatomic ones among them."""
     flagged = F.lower(F.coalesce("first_flag", F.lit("false"))) == "true"

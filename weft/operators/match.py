@@ -12,13 +12,17 @@ from pyspark.sql import functions as F
 from weft.functions.vectors import l1_similarity
 from weft.operators import metric
 
-#: Rows of a side that is sent to all executors at most; beyond, the join shuffles on the block.
-BROADCAST_ROWS = 100_000
+#: Rows of a side that is sent to all executors at most, and their numbers and characters; beyond, the join shuffles on the block.
+BROADCAST_ROWS, BROADCAST_VALUES = 100_000, 16_000_000
 
 
 def checked(side: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """The side with a broadcast hint if counting shows that it is small."""
-    return F.broadcast(side) if side.limit(most + 1).count() <= most else side
+    """The side with a broadcast hint if a bounded look at it shows that it is small, in rows and in what they hold."""
+    kinds = dict(side.dtypes)
+    wide = [F.coalesce(F.greatest(F.size(f"`{c}`"), F.lit(0)) if kinds[c].startswith("array") else F.length(f"`{c}`"), F.lit(0)) for c in side.columns if kinds[c].startswith("array") or kinds[c] in ("string", "binary")]
+    held = sum(wide, F.lit(len(side.columns))).cast("long")
+    n, values = side.limit(most + 1).agg(F.count("*"), F.coalesce(F.sum(held), F.lit(0))).first()
+    return F.broadcast(side) if n <= most and values <= BROADCAST_VALUES else side
 
 
 def biatomic_score(left: Column, right: Column, tolerance: float = 0.1) -> Column:
@@ -35,11 +39,15 @@ def scored_pairs(targets: DataFrame, population: DataFrame, block: Sequence[str]
     A population row that repeats counts once in any best match; ``of_population`` keeps it to a population. Rows
     without a fingerprint (NULL or empty) meet nothing.
     """
+    return _pairs(checked(targets), population, block, score, others)
+
+
+def _pairs(targets: DataFrame, population: DataFrame, block: Sequence[str], score: Column | None, others: bool) -> DataFrame:
     there = F.size("fp") > 0  # texts that were no vectors have none
     left = targets.where(there).select(*block, F.col("id").alias("target"), F.col("fp").alias("target_fp"), *[c for c in targets.columns if c.startswith("t_")])
     right = population.where(there).select(*block, F.col("id").alias("partner"), F.col("fp").alias("partner_fp"), *[c for c in population.columns if c.startswith("p_")])
     found = l1_similarity(F.col("target_fp"), F.col("partner_fp")) if score is None else score
-    pairs = right.join(checked(left), list(block))
+    pairs = right.join(left, list(block))
     return (pairs.where("target <> partner") if others else pairs).withColumn("score", found)
 
 
@@ -48,7 +56,10 @@ def best_match(targets: DataFrame, population: DataFrame, block: Sequence[str],
 
     A score of -1 is a distorted match without a partner; a target whose block has none is no_match.
     """
-    pairs = scored_pairs(targets, population, block, score, others)
+    return _classed(targets, scored_pairs(targets, population, block, score, others), threshold)
+
+
+def _classed(targets: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
     best = pairs.groupBy("target").agg(F.max(F.struct("score", (-F.col("partner")).alias("low"))).alias("x"))
     found = targets.select(F.col("id").alias("target")).join(best, "target", "left")
     value = F.col("x.score")
@@ -56,6 +67,14 @@ def best_match(targets: DataFrame, population: DataFrame, block: Sequence[str],
     return found.select("target", F.when(value > -1, -F.col("x.low")).alias("partner"), F.coalesce(value, F.lit(-1.0)).alias("score"), kind.alias("class"))
 
 
+def bucketed_best_match(targets: DataFrame, population: DataFrame, block: Sequence[str], threshold: float, score: Column | None = None, others: bool = False) -> DataFrame:
+    """``best_match`` of two tables by ``files.write_blocks`` (targets copied over the salts): the join reads matching buckets,
+    neither side is shuffled or broadcast; only the best of each target and bucket moves."""
+    tagged = [*block, "salt"]
+    pairs = _pairs(targets.hint("merge"), population, tagged, score, others)
+    return _classed(targets.where("salt = 0"), pairs, threshold)
+
+
 def top_matches(targets: DataFrame, population: DataFrame, block: Sequence[str], k: int = 3, score: Column | None = None, others: bool = False) -> DataFrame:
     """The k best partners of each target, ranked; ties by the least partner."""
     order = W.partitionBy("target").orderBy(F.desc("score"), "partner")

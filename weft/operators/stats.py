@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -9,13 +10,85 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+#: Values that one aggregate may hold for one quantile, and how finely a round brackets the rest.
+FEW, ACCURACY = 100_000, 2_000
+
+
+def quantiles(rows: DataFrame, wanted: dict[str, Sequence[float]], few: int = FEW) -> dict[tuple[str, float], float | None]:
+    """Exact quantiles of several columns at once, interpolated between neighbours, by (column, share); None without values.
+
+    Each quantile lies between values of two ranks. An equal-depth histogram of bounded size brackets every rank; counts then
+    say whether its value is an end of the bracket or within, and the next round looks at the values within only, until
+    they are ``few``. A round leaves about a thousandth of the values of the one before, whatever their distribution, and
+    settles values that repeat, so no task holds more than ``few`` of them. NULLs don't count; NaN is greater than any number.
+    """
+    numbers = {c: F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double")) for c in wanted}
+    first = _told(rows, [[F.count(F.col(f"`{c}`")), F.count(numbers[c])] for c in wanted])
+    sizes = dict(zip(wanted, first, strict=True))
+    places = {(c, p): p * (sizes[c][0] - 1) for c, shares in wanted.items() for p in shares if sizes[c][0]}
+    ranks = sorted({(c, r) for (c, _), x in places.items() for r in (math.floor(x), math.ceil(x))})
+    searches = {(c, r): _Rank(numbers[c], r, sizes[c][1]) for c, r in ranks if r < sizes[c][1]}
+    while wide := [s for s in searches.values() if s.value is None and s.inside > few]:
+        ends = _told(rows, [[F.percentile_approx(s.within(), s.shares(), ACCURACY)] for s in wide])
+        for s, told in zip(wide, _told(rows, [s.counts(*e[0]) for s, e in zip(wide, ends, strict=True)]), strict=True):
+            s.narrow(*told)
+    if rest := [s for s in searches.values() if s.value is None]:
+        for s, told in zip(rest, _told(rows, [[F.get(F.sort_array(F.collect_list(s.within())), F.lit(s.rank - s.below))] for s in rest]), strict=True):
+            s.value = told[0]
+    out: dict[tuple[str, float], float | None] = {(c, p): None for c, shares in wanted.items() for p in shares}
+    for (c, p), place in places.items():
+        a, b = (searches[c, r].value if (c, r) in searches else math.nan for r in (math.floor(place), math.ceil(place)))
+        out[c, p] = a if a == b else (math.ceil(place) - place) * a + (place - math.floor(place)) * b
+    return out
+
+
+def _told(rows: DataFrame, facts: list[list[Column]]) -> list[list]:
+    """Groups of aggregates, all in one job."""
+    one = rows.agg(*(f.alias(f"x{i}_{j}") for i, group in enumerate(facts) for j, f in enumerate(group))).first()
+    return [[one[f"x{i}_{j}"] for j in range(len(group))] for i, group in enumerate(facts)]
+
+
+class _Rank:
+    """A value by its rank: among ``inside`` values above ``low`` and under ``high`` (None: no end), ``below`` being less than these."""
+
+    def __init__(self, number: Column, rank: int, inside: int):
+        self.number, self.rank, self.below, self.inside = number, rank, 0, inside
+        self.low = self.high = self.value = None
+
+    def within(self) -> Column:
+        out = self.number
+        if self.low is not None:
+            out = F.when(out > self.low, out)
+        return out if self.high is None else F.when(self.number < self.high, out)
+
+    def shares(self) -> list[float]:
+        at = (self.rank - self.below) / self.inside
+        return [max(0.0, at - 2 / ACCURACY), min(1.0, at + 2 / ACCURACY)]
+
+    def counts(self, a: float, b: float) -> list[Column]:
+        """The ends of a bracket, and how many values are below it, at its lower end, between, and at its upper end."""
+        v = self.within()
+        return [F.lit(a), F.lit(b), F.count_if(v < a), F.count_if(v == a), F.count_if((v > a) & (v < b)), F.count_if((v == b) & (v > a))]
+
+    def narrow(self, a: float, b: float, under: int, first: int, between: int, last: int) -> None:
+        at = self.rank - self.below
+        parts = ((under, None, self.low, a), (first, a, a, a), (between, None, a, b), (last, b, b, b), (self.inside - under - first - between - last, None, b, self.high))
+        for size, value, low, high in parts:
+            if at < size:
+                self.value, self.low, self.high, self.inside = value, low, high, size
+                return
+            at -= size
+            self.below += size
+
+
 def described(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row a column: count, mean, deviation, least, exact quartiles, most."""
+    shares = 0.25, 0.5, 0.75
+    q = quantiles(rows, dict.fromkeys(columns, shares))
     long = rows.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns))).alias("x")).select("x.*")
-    return long.groupBy("column").agg(
-        F.count("v").alias("count"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"),
-        F.percentile("v", 0.25).alias("q25"), F.percentile("v", 0.5).alias("q50"), F.percentile("v", 0.75).alias("q75"), F.max("v").alias("max"),
-    )
+    facts = long.groupBy("column").agg(F.count("v").alias("count"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max"))
+    of = lambda p: F.element_at(F.create_map(*(F.lit(x) for c in columns for x in (c, q[c, p]))).cast("map<string,double>"), F.col("column"))
+    return facts.select("column", "count", "mean", "std", "min", *(of(p).alias(f"q{int(100 * p)}") for p in shares), "max")
 
 
 def correlations(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -26,12 +99,13 @@ def correlations(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def outliers(rows: DataFrame, columns: Sequence[str], reach: float = 1.5) -> DataFrame:
     """Rows of which any column lies beyond the quartiles by more than ``reach`` times their distance."""
-    q = rows.agg(*(F.percentile(c, F.array(F.lit(0.25), F.lit(0.75))).alias(f"_q{i}") for i, c in enumerate(columns)))
+    q = quantiles(rows, dict.fromkeys(columns, (0.25, 0.75)))
     beyond = F.lit(False)
-    for i, c in enumerate(columns):
-        low, high = F.col(f"_q{i}")[0], F.col(f"_q{i}")[1]
-        beyond |= (F.col(c) < low - reach * (high - low)) | (F.col(c) > high + reach * (high - low))
-    return rows.join(F.broadcast(q)).where(beyond).select(rows.columns)  # q is one row
+    for c in columns:
+        low, high = q[c, 0.25], q[c, 0.75]
+        if low is not None:
+            beyond |= (F.col(c) < low - reach * (high - low)) | (F.col(c) > high + reach * (high - low))
+    return rows.where(beyond)
 
 
 def histogram(rows: DataFrame, column: str, bins: int = 15) -> DataFrame:

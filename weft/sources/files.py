@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weft import schemas
@@ -79,6 +82,20 @@ def read_environments(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.CAES).parquet(path)
 
 
+def write_blocks(rows: DataFrame, name: str, path: str, block: Sequence[str], key: Sequence[str], buckets: int, salts: int = 1, copied: bool = False) -> DataFrame:
+    """A table in the session's catalogue, bucketed and sorted by block and salt, one file a bucket: two such tables of as
+    many buckets and salts are joined on these columns without a shuffle.
+
+    salts: a block's rows are dealt over so many buckets, so that a hot block is several tasks' work; the other side, ``copied``,
+    has each row once a salt.
+    """
+    salt = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))) if copied else F.pmod(F.xxhash64(*key), F.lit(salts)).cast("int")
+    salted = rows.withColumn("salt", salt)
+    by = [*block, "salt"]
+    salted.repartition(buckets, *by).write.mode("overwrite").option("path", path).bucketBy(buckets, *by).sortBy(*by).saveAsTable(name)
+    return rows.sparkSession.table(name)
+
+
 def fragments(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A fragment table in CSV, scanned in splits."""
     return spark.read.csv(path, header=True, schema=schema)
@@ -132,10 +149,21 @@ def listing(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path).select("path", "length")
 
 
+def pieces(spark: SparkSession, path: str, sep: str) -> DataFrame:
+    """path, pos (from 0) and value of the parts of text files between separators: a large file is many tasks' work.
+
+    Spark hands the parts of a split out in order; how many parts the splits of a file before it hold, one row a split,
+    makes their places in the file.
+    """
+    given = spark.read.option("lineSep", sep).text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_at"), "value")
+    splits = given.groupBy("path", "_split").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    before = F.sum("_n").over(W.partitionBy("path").orderBy("_split")) - F.col("_n") - F.col("_first")
+    return given.join(splits.select("path", "_split", before.alias("_shift")), ["path", "_split"]).select("path", (F.col("_at") + F.col("_shift")).alias("pos"), "value")
+
+
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """file, line number and value; a file is read as one, so its lines keep their order."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    return whole.select("file", F.posexplode(F.split("value", r"\r?\n")).alias("line", "value"))
+    """file, line number and value of text files, read in splits."""
+    return pieces(spark, path, "\n").select(F.col("path").alias("file"), F.col("pos").alias("line"), F.regexp_replace("value", r"\r$", "").alias("value"))
 
 
 def whole(spark: SparkSession, path: str) -> DataFrame:
@@ -143,10 +171,9 @@ def whole(spark: SparkSession, path: str) -> DataFrame:
 
 
 def sdf_records(spark: SparkSession, path: str) -> DataFrame:
-    """path, pos and record of multi-record SDF files; the newline after a separator is no part of a record."""
-    parts = F.transform(F.split("value", r"\Q$$$$\E"), lambda r, i: F.when(i > 0, F.regexp_replace(r, r"^\r?\n", "")).otherwise(r))
-    kept = whole(spark, path).select("path", F.posexplode(parts).alias("pos", "record"))
-    return kept.where(F.trim(F.regexp_replace("record", r"\s+", " ")) != "")
+    """path, pos and record of multi-record SDF files, read in splits; the newline after a separator is no part of a record."""
+    record = F.when(F.col("pos") > 0, F.regexp_replace("value", r"^\r?\n", "")).otherwise(F.col("value"))
+    return pieces(spark, path, "$$$$").select("path", "pos", record.alias("record")).where(F.col("record").rlike(r"\S"))
 
 
 def sdf_text(body: str, fields: dict[str, str]):
