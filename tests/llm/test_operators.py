@@ -632,6 +632,18 @@ def test_html_implied_ends_do_not_silence():
     assert [piece for _, _, piece in html.Page("<head><title>T</title>Bare text").pieces] == ["Bare text"]
 
 
+def test_html_svg_math_and_fallbacks():
+    """Self-closed svg icons end where they stand, formulas and fallback content are text, and none of them parts a line."""
+    whole = lambda x: html.Page(x).text([True] * 99)
+    assert whole('<body><nav>menu</nav><svg class="i"/><article><p>The article.</p></article>') == "menu\n\nThe article."
+    assert whole('<p>one <svg viewBox="0 0 1 1"><title>icon</title><path d="M0 0"/><g><circle r=1 /></g></svg> two</p><p>three</p>') == "one two\n\nthree"
+    assert whole("<p>as <math><mi>a</mi><mo>=</mo><mspace/><mi>b</mi></math> says</p><p>next") == "as a=b says\n\nnext"
+    assert whole("<svg><path d=x/><text>label</text></svg><p>after</p>") == "label\n\nafter"
+    assert whole("<p>a <noscript>kept <b>too</b></noscript> b <canvas>drawn</canvas> <video src=v>no video</video><img src=x>c<wbr>d</p>") == "a kept too b drawn no videocd"
+    assert whole("<p>x<script>var a = '<p>';</script><template>no</template><iframe><p>no</iframe>y") == "x\n\ny"
+    assert whole("<div/>inside<svg>") == "inside"
+
+
 #: Pages made and marked by hand: source, blocks of the main text.
 MARKED = [
     (

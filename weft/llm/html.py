@@ -39,8 +39,12 @@ NAMED = frozenset(("class", "id", "role", "itemprop", "aria-label"))
 
 #: Elements by their role in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = frozenset("script style noscript template iframe object svg math head title select option textarea button canvas audio video".split())
+SILENT = frozenset("script style template iframe head title select option textarea button".split())
+#: Within these a slash closes an element, and nothing parts blocks.
+FOREIGN = ("svg", "math")
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
+#: These stand within lines too, and hold or replace something there.
+PHRASE = INLINE | frozenset("audio canvas img map math noscript object picture source svg track video wbr".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 #: What may stand in a head; anything else ends it.
@@ -52,9 +56,10 @@ ROOMS = ("article", "aside", "footer", "form", "header", "main", "nav")
 
 _NAME = re.compile(r"[A-Za-z][A-Za-z0-9:-]*")
 _STOP = re.compile(r"[>\"']")
+_UNQUOTED = re.compile(r"=\s*[^\s\"'>=]+/\Z")
 _VALUE = re.compile(r"=\s*\Z")
 _ATTRIBUTE = re.compile(r"([A-Za-z_:][\w:.-]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))")
-_RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "textarea", "title", "noscript", "iframe")}
+_RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "textarea", "title", "iframe")}
 
 
 class _Scanner:
@@ -143,9 +148,10 @@ class Page:
                 if not silent:
                     self.pieces.append((stack[-1], block, rest))
             elif kind == "close":
+                foreign = any(where.get(t) for t in FOREIGN)
                 if where.get(tag):
                     cut(where[tag][-1])
-                block += tag not in INLINE
+                block += tag not in PHRASE and not foreign
             else:
                 if self.tags[stack[-1]] == "head" and tag not in HEAD:
                     cut(len(stack) - 1)
@@ -159,8 +165,9 @@ class Page:
                     last = max((where[t][-1] for t in SAME.get(tag, ("p",)) if where.get(t)), default=0)
                     if last > scopes[-1]:
                         cut(last)
-                block += tag not in INLINE
-                if tag in VOID:
+                foreign = any(where.get(t) for t in FOREIGN)
+                block += tag not in PHRASE and not foreign
+                if tag in VOID or ((foreign or tag in FOREIGN) and rest.endswith("/") and not _UNQUOTED.search(rest)):
                     continue
                 where.setdefault(tag, []).append(len(stack))
                 if tag in SCOPES:
