@@ -139,3 +139,31 @@ def test_every_operator_on_edges(spark, edges):
     assert len(tree) == n and len({r["root"] for r in tree}) == 1 and all(r["verified"] for r in tree if r["doc_id"] is None)
     kept = warc.report(pages.withColumn("url", F.col("url"))).collect()
     assert sum(r["payload_bytes"] for r in kept) == sum(len((r["text"] or "").encode()) for r in edges.select("text").collect()) and len(kept) == n
+
+
+def test_rows_of_one_id(spark):
+    """Rows of an id that have the same words are one; others of the id all stay. Null ids have no group."""
+    text = lambda w: " ".join(f"{w}{i}" for i in range(40))
+    rows = [(1, text("a")), (1, text("b")), (1, text("A") + " "), (2, text("b")), (3, text("c")), (3, text("c")), (None, text("d")), (None, text("d")), (4, None), (4, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = sorted(((r["doc_id"], (r["text"] or "")[:2].lower()) for r in neardup.kept(docs).collect()), key=str)
+    assert found == sorted([(1, "a0"), (1, "b0"), (3, "c0"), (None, "d0"), (None, "d0"), (4, "")], key=str)
+
+
+def test_mix_keeps_maps(spark):
+    docs = spark.range(30).select(F.col("id").alias("doc_id"), F.lit("one two three").alias("text"), F.concat(F.lit("s"), F.col("id") % 2).alias("source"), F.create_map(F.lit("k"), F.col("id")).alias("facts"), F.array(F.create_map(F.lit("k"), F.lit(1))).alias("more"))
+    found = mix.drawn(docs)
+    assert found.columns == docs.columns and all(r["facts"] == {"k": r["doc_id"]} for r in found.collect())
+
+
+@pytest.mark.parametrize("empty", [True, False])
+def test_pipeline_on_edges(spark, empty):
+    """Every stage on an empty table, and on rows with nulls and a shared id."""
+    real = decontam.kept(quality.kept(spark.read.parquet(f"{DATA}/documents.parquet")), spark.read.parquet(f"{DATA}/benchmark.parquet"))
+    text = real.orderBy("doc_id").first()["text"]
+    rows = [] if empty else [(None, None, None, None, None), (1, "", "en", "a", 0), (1, text, "en", None, 200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, DATA)
+        n = docs.count()
+        assert n == 0 if empty else n >= 1 and (name == "training_order" or {(r["doc_id"], r["text"]) for r in docs.collect()} == {(1, text)})

@@ -175,7 +175,8 @@ def mixed(docs: DataFrame, sources: Column, size: Column, weights: Mapping | Non
     should be a stored table. The order in which documents are chosen is a hash of all their columns: rows of one hash are
     repeated rows, and any of them may be taken.
     """
-    order = F.shiftrightunsigned(F.xxhash64(F.lit(seed), *(F.col(f"`{c}`") for c in docs.columns)), 1)
+    plain = [F.to_json(F.struct(F.col(f"`{c}`"))) if "map<" in kind else F.col(f"`{c}`") for c, kind in docs.dtypes]  # a map has no hash
+    order = F.shiftrightunsigned(F.xxhash64(F.lit(seed), *plain), 1)
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.array_sort(F.array_distinct(sources)).alias("sources"), size.alias("size"), order.alias("place"))
     slim = written(rows.select("sources", "size", "place"), "mix-slim")
     sums = slim.groupBy("sources").agg(F.sum("size").alias("n"), F.count("*").alias("c")).limit(PATTERNS + 1).collect()

@@ -302,17 +302,26 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int =
     return found.select("doc_id", "n_shingles", named.alias("component_id"), F.coalesce(F.col("doc_id") == named, F.lit(True)).alias("kept"))
 
 
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
 def kept(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each group, with all its columns: a row whose id is the least of its component."""
+    """One document of each group, with all its columns: a row whose id is the least of its component.
+
+    Of rows of one id that have the same words in the same order one stays (any, where other columns differ); rows of one id
+    with other words all stay, as nothing says that they are copies.
+    """
     found = near_duplicates(docs, k, percent)
     others = written(found.where(~F.col("kept")).select("doc_id").distinct(), "neardup-others")
     one = docs.join(_small(others, others.count()), "doc_id", "left_anti")
-    # rows of the same id and text: one of them, found among the few ids that occur twice
+    # rows of one id: those of the same words are one, found among the few ids that occur twice
     twice = written(found.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"), "neardup-twice")
     if not (n := twice.count()):
         return one.select(docs.columns)
     rest = one.join(_small(twice, n), "doc_id", "left_semi")
-    return one.join(_small(twice, n), "doc_id", "left_anti").select(docs.columns).union(rest.dropDuplicates(["doc_id"]).select(docs.columns))
+    same = F.trim(F.regexp_replace(F.translate(F.coalesce("text", F.lit("")), UPPER, UPPER.lower()), r"[\x20\x09-\x0D]+", " "))
+    first = rest.withColumn("_same_words", same).dropDuplicates(["doc_id", "_same_words"])
+    return one.join(_small(twice, n), "doc_id", "left_anti").select(docs.columns).union(first.select(docs.columns))
 
 
 def brute_force(texts: dict[int, str | None], k: int, percent: int) -> dict[int, tuple[int, int, bool]]:
