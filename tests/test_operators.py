@@ -206,6 +206,14 @@ def test_a_run_with_its_sdf_files(spark, tmp_path):
     assert (found["1"]["similarities"], found["1"]["n_atoms"], found["1"]["first_flag"]) == ([1.0], 2, "False") and (found["2"]["similarities"], found["2"]["first_flag"]) == ([0.5], "True")
 
 
+def test_shapes_together_are_shapes_alone(spark):
+    rng = np.random.default_rng(8)
+    sets = [rng.normal(size=(n, d)).tolist() for n, d in [(3, 4), (1, 4), (5, 5), (3, 4), (2, 4), (5, 4), (7, 5)] * 6] + [None, []]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(sets)], "i int, p array<array<double>>").repartition(3)
+    for r in vectors.fingerprinted(rows, {"p": "fp"}).collect():
+        assert r["fp"] == (pytest.approx(vectors.shape(np.array(sets[r["i"]])), abs=1e-9) if sets[r["i"]] else None)
+
+
 def test_more_files(spark, tmp_path):
     """Readers and writers of CSV, targets, tasks, scores, generator runs, listings, structures, fragments and metrics."""
     viable = spark.createDataFrame([("A", True, 3, "Complete", False, False, "C"), ("A", True, 3, "Complete", False, False, "C"), (None, True, 3, "None", False, False, None)], schemas.VIABLE)

@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weft.functions import texts, vectors
-from weft.operators import logs, match, molecules, patterns, results, sets, stats
+from weft.operators import logs, match, molecules, patterns, results, runs, sets, stats, structures
 from weft.session import ship
 from weft.sources import files
 
@@ -711,3 +711,110 @@ def pattern_library(spark, sf_dir):
     named = patterns.library()
     found = patterns.found(atoms, bonds, named)
     return found.unpivot("entry", list(named), "pattern", "has").where("has").select("pattern", "entry")
+
+
+def _parted(spark, sf_dir):
+    """Order lines as atoms of entries, bonded to the next where their line status is O: entries of several components."""
+    atoms, bonds = _graph(spark, sf_dir)
+    symbol = F.when(F.col("symbol") == "R", "Fe").when(F.col("symbol") == "A", "C").otherwise("O")
+    return molecules.graphs(atoms.select("entry", "ord", symbol.alias("symbol")), bonds.where("bond = 'O'"))
+
+
+_PARTED = f"""{_GRAPH}, k AS (SELECT a.entry, a.ord, CASE a.s WHEN 'R' THEN 'Fe' WHEN 'A' THEN 'C' ELSE 'O' END AS s, e.f IS NULL AS opens FROM a LEFT JOIN e ON e.entry = a.entry AND e.t = a.ord AND e.bond = 'O'),
+ g AS (SELECT *, sum(opens::INT) OVER (PARTITION BY entry ORDER BY ord) AS part, CASE WHEN NOT opens THEN lag(s) OVER (PARTITION BY entry ORDER BY ord) END AS before FROM k)"""
+
+
+@query(f"WITH {_PARTED} SELECT entry, CAST(part AS INTEGER) AS ord, CAST(count(*) AS INTEGER) AS n_atoms, string_agg(s, '' ORDER BY ord) AS symbols FROM g GROUP BY entry, part")
+def found_components(spark, sf_dir):
+    rows = structures.components(_parted(spark, sf_dir))
+    return rows.select("entry", "ord", F.size("atoms").alias("n_atoms"), F.array_join(F.transform("atoms", lambda a: a["symbol"]), "").alias("symbols"))
+
+
+@query(f"""WITH {_PARTED}, p AS (SELECT entry, part, count(*) AS n, round(sum(CASE s WHEN 'Fe' THEN 55.845 WHEN 'C' THEN 12.011 ELSE 15.999 END), 6) AS w, bool_or(coalesce((s = 'Fe' AND before = 'C') OR (s = 'C' AND before = 'Fe'), false)) AS om FROM g GROUP BY 1, 2),
+ r AS (SELECT *, row_number() OVER (PARTITION BY entry ORDER BY w DESC, part) = 1 AS hw, row_number() OVER (PARTITION BY entry ORDER BY n DESC, part) = 1 AS hn FROM p)
+ SELECT entry, CAST(min(part) AS INTEGER) AS component FROM r WHERE om::INT + hw::INT + hn::INT >= 2 AND n >= 2 GROUP BY entry""")
+def component_from_bonds(spark, sf_dir):
+    return structures.components_of_interest(_parted(spark, sf_dir), least_size=2)
+
+
+_CYCLES = "x AS (SELECT l_orderkey AS entry, l_linenumber AS ord, max(l_returnflag) AS s FROM lineitem GROUP BY 1, 2), c AS (SELECT entry, count(*) = max(ord) AND max(ord) > 2 AS cyclic FROM x GROUP BY 1)"
+
+
+@query(f"WITH {_CYCLES} SELECT entry, ord, cyclic FROM x JOIN c USING (entry)")
+def ring_atoms(spark, sf_dir):
+    atoms, bonds = _ringed(spark, sf_dir)
+    return structures.perceived(atoms, bonds).select("entry", "ord", "cyclic")
+
+
+@query(f"""WITH {_CYCLES}, l AS (SELECT *, max(ord) OVER (PARTITION BY entry) AS last FROM x),
+ n AS (SELECT DISTINCT x.entry FROM l x JOIN l y ON y.entry = x.entry AND (abs(x.ord - y.ord) = 1 OR x.last > 2 AND least(x.ord, y.ord) = 1 AND greatest(x.ord, y.ord) = x.last) WHERE x.s = 'R' AND y.s <> 'R')
+ SELECT x.entry, bool_or(s = 'R' AND cyclic) AS chelating_ligands, bool_or(n.entry IS NOT NULL AND NOT cyclic) AS linear_ligands FROM x JOIN c USING (entry) LEFT JOIN n ON n.entry = x.entry GROUP BY 1""")
+def perceived_patterns(spark, sf_dir):
+    atoms, bonds = _ringed(spark, sf_dir)
+    named = {k: patterns.library()[k] for k in ("chelating_ligands", "linear_ligands")}
+    return patterns.found(structures.perceived(atoms.drop("cyclic"), bonds, "metal", "nonmetal"), bonds, named)
+
+
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
+@query(f"""WITH v AS (SELECT doc_id AS id, lang, [{", ".join(f"(length(text) - length(replace(text, '{c}', ''))) / CAST(length(text) AS DOUBLE)" for c in _LETTERS)}] AS fp FROM documents WHERE length(text) > 0)
+ SELECT t.lang, t.id AS i, p.id AS j FROM v t JOIN v p ON t.lang = p.lang AND t.id < p.id WHERE {_SIM} >= 0.9985""")
+def letter_pairs(spark, sf_dir):
+    """Documents of a language whose letters have nearly the same shares: vectors with copies and clusters."""
+    n = F.length("text")
+    share = lambda c: (n - F.length(F.replace(F.col("text"), F.lit(c), F.lit("")))) / n.cast("double")
+    rows = table(spark, sf_dir, "documents").where(n > 0).select(F.col("doc_id").alias("id"), "lang", F.array(*map(share, _LETTERS)).alias("fp"))
+    return match.close_pairs(rows, ["lang"], "id", 0.9985, cell_rows=512).select("lang", "i", "j")
+
+
+_PLACES = "p AS (SELECT l_orderkey AS entry, l_linenumber AS ord, max(l_quantity) AS x, 100 * max(l_discount) AS y, 100 * max(l_tax) AS z, sqrt(CASE max(l_returnflag) WHEN 'R' THEN 26 WHEN 'A' THEN 6 ELSE 8 END) AS q, CASE max(l_returnflag) WHEN 'R' THEN 'Fe' WHEN 'A' THEN 'C' ELSE 'O' END AS s FROM lineitem GROUP BY 1, 2)"
+
+
+@query(f"""WITH {_PLACES}, m AS (SELECT a.entry, a.ord AS i, a.s AS central, b.* EXCLUDE (entry) FROM p a JOIN p b ON b.entry = a.entry AND abs(a.ord - b.ord) <= 1),
+ c AS (SELECT *, x - avg(x) OVER w AS dx, y - avg(y) OVER w AS dy, z - avg(z) OVER w AS dz, q - avg(q) OVER w AS dq FROM m WINDOW w AS (PARTITION BY entry, i))
+ SELECT CAST(entry AS VARCHAR) AS entry_id, i AS cae_idx, any_value(central) AS central_atom, CAST(count(*) AS INTEGER) AS n_atoms,
+  concat(CASE WHEN bool_or(s = 'C') THEN 'C' || count(*) FILTER (s = 'C') ELSE '' END, CASE WHEN bool_or(s = 'Fe') THEN 'Fe' || count(*) FILTER (s = 'Fe') ELSE '' END, CASE WHEN bool_or(s = 'O') THEN 'O' || count(*) FILTER (s = 'O') ELSE '' END) AS formula_str,
+  's' || i AS sdf, 15 AS n_p, 18 AS n_pq, round(avg(sqrt(dx * dx + dy * dy + dz * dz + dq * dq)), 6) AS spread FROM c GROUP BY entry, i""")
+def environment_rows(spark, sf_dir):
+    """The table of environments of order lines with places; of a fingerprint its length and its first moment about the centre."""
+    flag = F.max("l_returnflag")
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("entry"), F.col("l_linenumber").alias("ord")).agg(
+        F.when(flag == "R", "Fe").when(flag == "A", "C").otherwise("O").alias("symbol"), F.max("l_quantity").alias("x"), (100 * F.max("l_discount")).alias("y"), (100 * F.max("l_tax")).alias("z"),
+        F.when(flag == "R", 26).when(flag == "A", 6).otherwise(8).alias("number"),
+    )
+    atoms = rows.withColumns({"charge": (F.col("ord") % 3).cast("double"), "sdf": F.concat(F.lit("s"), F.col("ord").cast("string"))})
+    after = atoms.select("entry", (F.col("ord") - 1).alias("ord"), F.col("ord").alias("b"))
+    bonds = atoms.join(after, ["entry", "ord"]).select("entry", F.col("ord").alias("a"), "b", F.lit("single").alias("bond"))
+    made = molecules.environment_table(atoms, bonds)
+    return made.select("entry_id", "cae_idx", "central_atom", "n_atoms", "formula_str", "sdf", F.size("fp_p").alias("n_p"), F.size("fp_pq").alias("n_pq"), F.round(F.col("fp_p")[12], 6).alias("spread"))
+
+
+@query("""WITH l AS (SELECT l_orderkey AS entry, l_linenumber AS ord, max(l_linestatus) AS st FROM lineitem GROUP BY 1, 2), f AS (SELECT *, row_number() OVER (PARTITION BY entry ORDER BY ord) AS n FROM l)
+ SELECT entry, CASE WHEN entry % 10 > 0 THEN CAST(count(*) AS INTEGER) END AS n_atoms, CASE WHEN entry % 10 > 0 THEN CAST(count(*) - 1 + (count(*) >= 3)::INT AS INTEGER) END AS n_bonds, CASE WHEN entry % 10 > 0 THEN CAST(count(*) FILTER (n > 1 AND st = 'O') AS INTEGER) END AS n_double, entry % 10 = 0 AS failed FROM f GROUP BY entry""")
+def smiles_read(spark, sf_dir):
+    """Orders spelt as SMILES: a line is an atom, the second of four or more a branch, three or more close a ring; every tenth is torn."""
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("entry"), F.col("l_linenumber").alias("ord")).agg(F.max("l_returnflag").alias("s"), F.max("l_linestatus").alias("st"))
+    held = lines.groupBy("entry").agg(F.array_sort(F.collect_list(F.struct("ord", "s", "st"))).alias("x"))
+    n = F.size("x")
+    atom = lambda a, i: F.concat(F.when((i > 0) & (a["st"] == "O"), "=").otherwise(""), F.when(a["s"] == "R", "[Fe+2]").when(a["s"] == "A", "C").otherwise("O"), F.when((n >= 3) & ((i == 0) | (i == n - 1)), "1").otherwise(""))
+    spelt = F.transform("x", lambda a, i: F.when((i == 1) & (n >= 4), F.concat(F.lit("("), atom(a, i), F.lit(")"))).otherwise(atom(a, i)))
+    rows = held.select("entry", F.concat(F.array_join(spelt, ""), F.when(F.col("entry") % 10 == 0, "(").otherwise("")).alias("smiles"))
+    read = structures.smiles_graphs(rows)
+    size = lambda c: F.when(c.isNotNull(), F.size(c))
+    return read.select("entry", size(F.col("atoms")).alias("n_atoms"), size(F.col("bonds")).alias("n_bonds"), size(F.filter("bonds", lambda b: b["bond"] == "double")).alias("n_double"), F.col("error").isNotNull().alias("failed"))
+
+
+@query(f"""WITH p AS (SELECT vec_id AS id, label, CASE WHEN vec_id % 7 = 0 THEN 2 ELSE 3 END AS n_atoms, CAST(embedding AS DOUBLE[]) AS fp, (vec_id % 50) / 100.0 + 1 AS d FROM embeddings), t AS (SELECT id, id % 3 AS owner, label, n_atoms, list_transform(fp, lambda x: x * 0.5) AS fp, d + 0.04 AS d FROM p WHERE id % 20 = 0),
+ s AS (SELECT t.id, CASE WHEN t.n_atoms = 2 THEN CASE WHEN round(abs(t.d - p.d), 6) <= 0.1 THEN 1 - abs(t.d - p.d) ELSE -1 END ELSE {_SIM} END AS score FROM t JOIN p ON p.label = t.label AND p.n_atoms = t.n_atoms), b AS (SELECT id, max(score) AS score FROM s GROUP BY id),
+ c AS (SELECT owner, CASE WHEN b.id IS NULL THEN 'no_match' WHEN n_atoms = 2 AND score > -1 THEN 'matched' WHEN n_atoms = 3 AND score >= 0.94 THEN 'matched' ELSE 'distorted' END AS class FROM t LEFT JOIN b USING (id))
+ SELECT owner, count(*) FILTER (class = 'matched') AS matched, count(*) FILTER (class = 'distorted') AS distorted, count(*) FILTER (class = 'no_match') AS no_match, count(*) AS total FROM c GROUP BY owner""")
+def run_counters(spark, sf_dir):
+    """A whole run: targets of three owners against the population, those of two atoms by bond length."""
+    number = lambda x: F.format_string("%10.4f", x)
+    length = (F.col("vec_id") % 50) / 100.0 + 1
+    record = lambda far: F.concat(F.lit("m\n\n\n"), F.format_string("%3d", F.col("n_atoms")), F.lit("  0\n"), *(F.concat(number(v), number(F.lit(0.0)), number(F.lit(0.0)), F.lit(" C\n")) for v in (F.lit(0.0), far)), F.when(F.col("n_atoms") == 3, F.concat(number(F.lit(9.0)), number(F.lit(0.0)), number(F.lit(0.0)), F.lit(" C\n"))).otherwise(""), F.lit("M  END"))
+    rows = table(spark, sf_dir, "embeddings").withColumn("n_atoms", F.when(F.col("vec_id") % 7 == 0, 2).otherwise(3)).withColumn("fp", F.col("embedding").cast("array<double>"))
+    population = rows.select(F.col("vec_id").alias("id"), "label", "n_atoms", "fp", record(length).alias("sdf"))
+    targets = rows.where("vec_id % 20 = 0").select((F.col("vec_id") % 3).alias("owner"), F.col("vec_id").alias("id"), "label", "n_atoms", F.transform("fp", lambda x: x * 0.5).alias("fp"), record(length + 0.04).alias("sdf"))
+    return runs.counters(runs.compared(targets, population, ["label", "n_atoms"], 0.94))
