@@ -321,6 +321,62 @@ def test_pii_finds_unseen_shapes(spark):
 
 
 
+def secrets(rng, n):
+    ways = ('token = "{}"', 'TOKEN = "{}"!!', "token={}", '"token": "{}",', "token = '{}'###", "token := {}")
+    return [("".join(rng.choice(WORDS) + " " for _ in range(9)), ways[i % len(ways)], "".join(rng.choice("0123456789abcdef") for _ in range(40))) for i in range(n)]
+
+
+def test_pii_finds_assigned_secrets(spark):
+    """Secrets after a name come back, those of unseen forms too; numbers beside function words and other assigned values don't."""
+    rng = random.Random(31)
+    planted = [(i, a + way.format(x) + " then " + a, x) for i, (a, way, x) in enumerate(secrets(rng, 120))]
+    unseen = [(200 + i, f"a stone token = {x} under", x) for i, x in enumerate(("k-77", "Zz9", "12:34"))]
+    clean = [(300 + i, f"the {i} of the {7 * i} and {i} light, width = {i} and size: {i * i} for {' '.join(rng.choice(WORDS) for _ in range(30))}") for i in range(200)]
+    mails = [(600 + i, f"the a{i}@b{i}.org of and {i} river") for i in range(30)]
+    table = spark.createDataFrame([x[:2] for x in planted + unseen] + clean + mails, "doc_id long, text string")
+    found = {r["doc_id"]: r["spans"] for r in pii.report(table).collect()}
+    hit = 0
+    for i, text, x in planted + unseen:
+        spans = [tuple(map(int, s.split(":")[1:])) for s in found[i].split(",") if s.startswith("id:")]
+        hit += any(a <= text.index(x) and text.index(x) + len(x) <= b for a, b in spans) and len(spans) == 1
+    assert hit >= 0.9 * len(planted + unseen) and hit == len(planted + unseen), hit
+    assert not any(found[300 + i] for i in range(200))
+    assert all(found[600 + i].count(":") == 2 and found[600 + i].startswith("email") for i in range(30))
+    assert not {"L the", "R of", "R and"} & {r["pattern"] for r in pii.confident(table).collect()}
+
+
+def test_pii_scores_are_the_plain_ones(spark):
+    """The rounds, worked out again over dictionaries."""
+    rng = random.Random(5)
+    texts = [f"{rng.choice(('named', 'mail', 'call', 'the'))} {rng.choice((f'a{i % 17}@b.org', f'u{i % 9}@h', f'{i % 23}-x', '+49 30 1234567'))} {rng.choice(('now', 'of', 'end'))}" for i in range(400)]
+    graph, seeds = Counter(), set()
+    context = {}
+    for t in texts:
+        for _, _, token, patterns, seed in pii.occurrences(t):
+            for p, c in patterns:
+                graph[p, token] += 1
+                context[p] = c
+            if seed:
+                seeds.add(token)
+    score = {x: float(x in seeds) for _, x in graph}
+    for _ in range(pii.ROUNDS):
+        rated = {}
+        for p in context:
+            mine = [(score[x], n) for (q, x), n in graph.items() if q == p]
+            rated[p] = (sum(s * n for s, n in mine) / (sum(n for _, n in mine) + pii.SMOOTHING), sum(s > 0.5 for s, _ in mine))
+        for x in score:
+            best = defaultdict(float)
+            for p, y in graph:
+                if y == x and rated[p][1] >= pii.LEAST_SEEDS:
+                    best[context[p]] = max(best[context[p]], rated[p][0])
+            score[x] = 1.0 if x in seeds else 1 - math.prod(1 - min(s, 0.999) for s in best.values())
+    words = Counter(w.lower() for t in texts for w in t.split())
+    good = {p: rated[p][0] * (sum(n for (q, _), n in graph.items() if q == p) + pii.SMOOTHING) for p in rated}
+    want = {p for p, (s, kinds) in rated.items() if s >= pii.CONFIDENCE and kinds >= pii.LEAST_SEEDS and (p[:2] not in ("L ", "R ") or good[p] >= pii.SHARE * words[p[2:]])}
+    found = {r["pattern"]: r["score"] for r in pii.confident(spark.createDataFrame([(t,) for t in texts], "text string")).collect()}
+    assert set(found) == want and all(found[p] == pytest.approx(rated[p][0], abs=1e-9) for p in want) and len(want) > 2
+
+
 def test_pii_is_the_same_for_any_number_of_patterns(spark, docs):
     """Trusted patterns beyond the broadcast limit still give their spans; repeated rows stay."""
     texts = [f"word{j} named {x} after{j}" for j in range(3) for x in [*(f"a{i}@b{i}.org" for i in range(5 + 20 * (j == 2))), f"u{j}@host", f"{j}-77-x"]]

@@ -3,14 +3,18 @@
 Base spans come from fixed patterns (e-mail, IP address, card, phone). The bootstrap finds further tokens:
 
 1. Every token that has a shape of an identifier (a digit, or "@" inside) is an occurrence. Its lexical
-   patterns are the word before it, the word after it and the name it is assigned to; the words both alone, so
+   patterns are the word before it, the word after it and the name it is assigned to, whether the sign stands in the token, at the
+   end of the name or alone between them; the words both alone, so
    that other shapes are found by them, and with the token's form (letters and digits made classes). Tokens that a base pattern met but its test turned down take no part.
-2. Patterns and instances make a weighted graph. Instances that base spans cover are seeds with score 1.
+2. Patterns and instances make a weighted graph. Instances that base spans cover are seeds with score 1, and so are secrets by
+   their form: long runs of mixed letters and digits that are assigned to a name.
    A round gives each pattern the share of its occurrences held by scored instances, smoothed, and each
    instance the chance that not all of its contexts are wrong, a context having its best pattern's score. Rounds are Spark aggregations over counts of
    (pattern, instance); the table is written between rounds. Every occurrence counts in every round, those of
    instances without a score as 0.
-3. Occurrences of a pattern above the confidence become spans of kind "id", unless a base span touches them.
+3. A word alone must also introduce or follow scored instances in at least ``SHARE`` of its occurrences before or after
+   any word, so that function words, which say nothing, aren't trusted. The words are counted over all texts.
+4. Occurrences of a pattern above the confidence become spans of kind "id", unless a base span touches them.
    Up to ``patterns`` trusted patterns go to the executors whole; more are joined to the occurrences by shuffle,
    with the same result.
 
@@ -28,13 +32,14 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weft.llm._store import written
-from weft.llm._text import blocks
+from weft.llm._text import LOWER_SPACE, Words, blocks, translated
 
 KINDS = ("email", "ip", "card", "phone")
 #: An e-mail is looked for from its "@" to both sides: no other place can be its middle, and no run is read twice.
@@ -48,9 +53,14 @@ TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 #: What a token must have to be looked at.
 SHAPED = re.compile(r"[0-9@]")
 WHITE = re.compile(r"[\x20\x09-\x0D]|\Z")
-EDGES = "\"'`()[]{}<>,;:.!?"
+EDGES = "\"'`()[]{}<>,;:.!?#*$%|~"
+#: Between a name and its value.
+SIGNS = frozenset(("=", ":", ":=", "=>", "->"))
+SECRET = re.compile(r"[A-Za-z0-9+/_-]{24,}={0,2}")
+#: Kinds of occurrences: no seed, covered by a base span, a secret by its form.
+PLAIN, BASE, FORM = 0, 1, 2
 BLOCK_BYTES, LONG = 8 << 20, 64
-ROUNDS, CONFIDENCE, LEAST_SEEDS, SMOOTHING = 3, 0.8, 4, 2.0
+ROUNDS, CONFIDENCE, LEAST_SEEDS, SMOOTHING, SHARE = 3, 0.8, 4, 2.0, 0.1
 
 
 def luhn(digits: str) -> bool:
@@ -99,8 +109,13 @@ def form(token: str) -> str:
     return re.sub(r"[0-9A-Za-z]+", lambda m: ("9" if m.group().isdigit() else "a" if m.group().isalpha() else "x") + ("+" if len(m.group()) > 7 else ""), token)
 
 
-def occurrences(text: str) -> Iterator[tuple[int, int, str, list[tuple[str, str]], bool]]:
-    """(start, end, instance, (pattern, context) of each pattern, seed) of each shaped token, punctuation around it left off."""
+def is_secret(token: str) -> bool:
+    """Long, and of letters and digits in turn, as no word or number is."""
+    return bool(SECRET.fullmatch(token)) and sum("0" <= c <= "9" for c in token) >= 4 and len(re.findall(r"[0-9]+", token)) >= 3 and len(re.findall(r"[A-Za-z]+", token)) >= 3
+
+
+def occurrences(text: str) -> Iterator[tuple[int, int, str, list[tuple[str, str]], int]]:
+    """(start, end, instance, (pattern, context) of each pattern, kind of seed) of each shaped token, punctuation around it left off."""
     spans, at, passed, failed, over = None, 0, 0, 0, 0
     for m in SHAPED.finditer(text):
         if m.start() < over:
@@ -121,18 +136,24 @@ def occurrences(text: str) -> Iterator[tuple[int, int, str, list[tuple[str, str]
         if passed <= start < failed:
             continue
         shape = _brief(form(core))
-        left = _brief(_last(text, first).lower())
-        patterns = [(f"l {left}|{shape}", f"l {left}")]
-        if left:
-            patterns.append((f"L {left}", f"l {left}"))
+        before = _last(text, first)
+        named = _last(text, text.rindex(before, 0, first)) if before in SIGNS else before if before[-1:] in ("=", ":") else ""
+        patterns = []
+        if before not in SIGNS:
+            left = _brief(before.lower())
+            patterns.append((f"l {left}|{shape}", f"l {left}"))
+            if left:
+                patterns.append((f"L {left}", f"l {left}"))
         if right := TOKEN.match(text, _skip(text, over)):
             word = _brief(right.group().lower())
             patterns += [(f"r {shape}|{word}", f"r {word}"), (f"R {word}", f"r {word}")]
         name, equals, value = core.partition("=")
-        if equals and name and value:
+        if not (equals and name and value.strip("=")):
+            name, value = named.strip(EDGES + "="), core
+        if name:
             name = _brief(name.lower())
             patterns.append((f"k {name}=", f"k {name}="))
-        yield start, end, core, patterns, passed > start
+        yield start, end, core, patterns, BASE if passed > start else FORM if name and is_secret(value.strip(EDGES)) else PLAIN
 
 
 def _first(text: str, at: int) -> int:
@@ -163,12 +184,29 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for _, _, token, patterns, seed in occurrences(text):
                     mark = hashlib.blake2b(token.encode("utf-8", "surrogatepass"), digest_size=12).digest()
                     for p, context in patterns:
-                        found[p, context, mark, seed] = found.get((p, context, mark, seed), 0) + 1
+                        found[p, context, mark, seed > PLAIN] = found.get((p, context, mark, seed > PLAIN), 0) + 1
         columns = list(zip(*found, strict=True)) if found else [[], [], [], []]
         yield pa.record_batch([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.binary()), pa.array(columns[3], pa.bool_()), pa.array(list(found.values()), pa.int64())], ["pattern", "context", "instance", "seed", "n"])
 
 
-def confident(docs: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDENCE) -> DataFrame:
+def _words_counted(docs: DataFrame, wanted: frozenset[str] | None) -> DataFrame:
+    """word and how often it occurs in all texts, of the wanted ones or of all."""
+    sent = docs.sparkSession.sparkContext.broadcast(wanted)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches, "text", BLOCK_BYTES):
+            words = Words(translated(block.column("text"), LOWER_SPACE))
+            own: dict[str, int] = {}
+            for word, n in zip(words.vocabulary.to_pylist(), np.bincount(words.ids, minlength=len(words.vocabulary)).tolist(), strict=True):
+                word = _brief(word.lower())
+                if sent.value is None or word in sent.value:
+                    own[word] = own.get(word, 0) + n
+            yield pa.record_batch([pa.array(own.keys(), pa.string()), pa.array(own.values(), pa.int64())], ["word", "n"])
+
+    return docs.select("text").mapInArrow(counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def confident(docs: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDENCE, most: int = 200_000) -> DataFrame:
     """The patterns (pattern, score) that the bootstrap trusts."""
     pairs = docs.select("text").mapInArrow(_counted, "pattern string, context string, instance binary, seed boolean, n long")
     graph = written(pairs.groupBy("pattern", "context", "instance").agg(F.sum("n").alias("n"), F.max("seed").alias("seed")), "pii-graph")
@@ -176,10 +214,16 @@ def confident(docs: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDE
     for _ in range(rounds):
         held = graph.join(score, "instance", "left").fillna(0.0, ["s"])
         patterns = held.groupBy("pattern").agg(F.sum(F.col("n") * F.col("s")).alias("good"), F.sum("n").alias("all"), F.sum((F.col("s") > 0.5).cast("int")).alias("kinds"))
-        patterns = written(patterns.select("pattern", (F.col("good") / (F.col("all") + SMOOTHING)).alias("score"), "kinds"), "pii-patterns")
+        patterns = written(patterns.select("pattern", (F.col("good") / (F.col("all") + SMOOTHING)).alias("score"), "kinds", "good"), "pii-patterns")
         chance = 1 - F.exp(F.sum(F.log(F.lit(1.0) - F.least(F.col("score"), F.lit(0.999)))))
         score = written(graph.join(patterns.where(f"kinds >= {LEAST_SEEDS}"), "pattern", "left").fillna(0.0, ["score"]).groupBy("instance", "context").agg(F.max("score").alias("score"), F.max("seed").alias("seed")).groupBy("instance").agg(F.greatest(chance, F.max("seed").cast("double")).alias("s")), "pii-instances")
-    return patterns.where((F.col("score") >= confidence) & (F.col("kinds") >= LEAST_SEEDS)).select("pattern", "score", "kinds")
+    trust = patterns.where((F.col("score") >= confidence) & (F.col("kinds") >= LEAST_SEEDS))
+    alone = F.when(F.col("pattern").rlike("^[LR] "), F.substring("pattern", 3, 1 << 30))
+    trust = written(trust.withColumn("word", alone), "pii-trusted")
+    words = trust.select("word").where("word is not null").distinct().limit(most + 1).collect()  # bounded
+    counts = _words_counted(docs, None if len(words) > most else frozenset(r["word"] for r in words))
+    said = trust.join(counts, "word", "left").where(F.col("word").isNull() | (F.col("good") >= SHARE * F.coalesce("n", F.lit(0))))
+    return written(said.select("pattern", "score", "kinds"), "pii-said")
 
 
 def located(docs: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDENCE, patterns: int = 200_000) -> DataFrame:
@@ -193,7 +237,7 @@ def located(docs: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDENC
         for block in blocks(batches, "text", BLOCK_BYTES):
             based, every = _based(block), []
             for text, own in zip(block.column("text").to_pylist(), based.column("base").to_pylist(), strict=True):
-                every.append(_every(own, [(a, b) for a, b, _, p, seed in occurrences(text or "") if not seed and any(x in trusted.value for x, _ in p)]))
+                every.append(_every(own, [(a, b) for a, b, _, p, seed in occurrences(text or "") if seed != BASE and any(x in trusted.value for x, _ in p)]))
             yield based.append_column("every", pa.array(every, pa.list_(pa.string())))
 
     return docs.select("doc_id", "text").mapInArrow(spans, f"{BASED}, every array<string>")
@@ -230,7 +274,7 @@ def _joined(docs: DataFrame, trust: DataFrame) -> DataFrame:
         n = TaskContext.get().partitionId() << 40
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("pattern", pa.string())]))
         for block in blocks(batches, "text", BLOCK_BYTES):
-            seen = [[(a, b, x) for a, b, _, p, seed in occurrences(text or "") if not seed for x, _ in p] for text in block.column("text").to_pylist()]
+            seen = [[(a, b, x) for a, b, _, p, seed in occurrences(text or "") if seed != BASE for x, _ in p] for text in block.column("text").to_pylist()]
             yield _based(block).append_column("seen", pa.array(seen, kind)).append_column("row", pa.array(range(n, n + block.num_rows), pa.int64()))
             n += block.num_rows
 
