@@ -1,4 +1,10 @@
-"""A training corpus from raw documents: quality rules, near-duplicates, benchmark passages, mix, token order."""
+"""A training corpus from raw documents: quality rules, near-duplicates, benchmark passages, mix, token order.
+
+Edge cases, of every stage: an empty table gives an empty one; other columns are kept as they are (but by the last stage, which
+returns sequences); texts are read whole, however long; a null doc_id is a document like any other. Null and empty
+texts fail the quality rules; taken alone, later stages keep them: they are near to nothing, hold no passage, weigh nothing in
+the mix, which then leaves them out, and are one end token.
+"""
 
 from __future__ import annotations
 
@@ -10,19 +16,20 @@ from weft.session import ship
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base test and every threshold."""
+    """Documents that pass the base test and every threshold; repeated rows pass or go alike."""
     ship(spark)
     return quality.kept(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, similarity 0.8."""
+    """One document of each group of near copies, the one of the least id: five-word shingles, similarity 0.8. Repeated rows
+    with an id are one; rows without an id all stay."""
     ship(spark)
     return neardup.kept(docs, k=5, percent=80)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that share no window of ten words with a benchmark item."""
+    """Documents that share no window of ten words with a benchmark item; items without words hit nothing."""
     ship(spark)
     return decontam.kept(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
