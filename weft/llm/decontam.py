@@ -10,7 +10,8 @@ The benchmark goes to the executors whole while its texts hold at most ``broadca
 fingerprints are joined by shuffle and only the pairs that share one are compared.
 
 Edge cases: null and empty texts have no words and no hits; a null doc_id is kept; rows are told
-apart by row, never by id, so repeated rows give repeated rows; an empty benchmark hits nothing; a null item id counts as the empty string; other columns are ignored.
+apart by row, never by id, so repeated rows give repeated rows; an empty benchmark hits nothing;
+a very long text is searched whole, in time by the product where it and an item repeat one word; a null item id counts as the empty string; other columns are ignored.
 """
 
 from __future__ import annotations

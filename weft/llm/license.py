@@ -7,7 +7,8 @@ texts pass the same steps; of long ones the digest is all that is kept here. ``f
 
 Edge cases: null, empty and blank texts, and texts of nothing but copyright lines, have no digest and no
 licence; repeated rows give repeated rows; a text known under several names gives the first by name;
-other columns are ignored.
+a null doc_id is kept; very long texts are read whole, and their digest is all that is joined; an empty table gives
+none; other columns are ignored.
 """
 
 from __future__ import annotations

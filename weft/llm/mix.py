@@ -10,7 +10,8 @@ A flow of three times a pattern's size takes every document three times. The flo
 sources, not with documents: 100,000 patterns take seconds to minutes on the driver.
 
 Edge cases: a null, empty or blank text has size 0 and isn't drawn; a null source is a source of its own,
-last in order; repeated rows are documents of their own, and any of them may be taken; an empty table
+last in order; very long texts count by their words as any other, and a document of more words than its source may give is
+first passed over; repeated rows are documents of their own, and any of them may be taken; an empty table
 gives an empty result; a null doc_id is kept, and the text tells such rows apart; other columns are kept by ``drawn``
 whatever their names.
 """

@@ -18,8 +18,8 @@ next j: long texts stop after one step.
 A pair of similarity s shares a bucket with probability 1 - (1 - s^rows)^bands: 0.99998 at 0.8 for 5 and 28.
 
 Edge cases: null, empty and blank texts have an empty set and link with nothing; a null doc_id links with
-nothing and is kept; rows that share a doc_id count as one document for links; ties have no effect; other
-columns are ignored.
+nothing and is kept; rows that share a doc_id count as one document for links; ties have no effect; a
+very long text is a block alone and its set is whole; an empty table gives none; other columns are ignored.
 """
 
 from __future__ import annotations

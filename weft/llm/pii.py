@@ -23,7 +23,7 @@ Offsets are code points, ends exclusive. Base spans always stay.
 Every step reads a text once, so that a long text or a long run without white space takes time in proportion.
 
 Edge cases: null and empty texts have no spans; a null doc_id is kept; repeated rows give repeated rows
-and count as often; an empty table gives an empty result; other columns are ignored.
+and count as often; ties need no order, as all patterns above the thresholds are trusted; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations

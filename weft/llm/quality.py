@@ -5,7 +5,8 @@ counts; a document is kept when every ratio is within its bounds and the base te
 the stop words are parameters. The first twenty words of a text need no stop word.
 
 Edge cases: a null, empty or blank text has no words, fails the base test and is not kept; repeated rows
-give repeated rows; extra columns of the input are ignored by ``measured`` and retained by ``kept``.
+give repeated rows; a null doc_id is kept or rejected by its text; texts of any length are measured whole; an empty table
+gives an empty one; extra columns of the input are ignored by ``measured`` and retained by ``kept``.
 """
 
 from __future__ import annotations

@@ -9,7 +9,7 @@ equal texts and would part them. Rows with the same value are cut by the next ke
 equal texts stay together unless a cut would be out of balance without dividing them.
 
 Edge cases: a null text has no bytes and the checksum 0; a null doc_id is a value like any other; repeated
-rows are placed one by one; an empty table gives an empty result; other columns are ignored.
+rows are placed one by one; a very long text is one row, whose shard then holds more than its share; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -14,7 +14,8 @@ The number of lanes follows the texts' bytes (one for each ``LANE_BYTES``, at le
 task doesn't grow with the corpus; a lane costs half a sequence.
 
 Edge cases: a null or empty text is one end token; a null doc_id sorts first; repeated rows are tokenised
-as often as they occur; an empty table gives no sequence; other columns are ignored.
+as often as they occur; a very long text is a block alone
+and spans as many sequences as it needs; an empty table gives no sequence; other columns are ignored.
 """
 
 from __future__ import annotations
