@@ -99,6 +99,13 @@ def population_all_pairs(spark, sf_dir):
  k AS (SELECT label, list_reduce(list_prepend([]::STRUCT(id BIGINT, fp DOUBLE[])[], list_transform(rows, lambda r: [r])), lambda a, x: CASE WHEN len(list_filter(a, lambda y: 1.0 / (1.0 + list_sum(list_transform(list_zip(y.fp, x[1].fp), lambda z: abs(z[1] - z[2]))) / len(y.fp)) >= {UNIQUE})) > 0 THEN a ELSE list_concat(a, x) END) AS kept FROM v)
  SELECT label, unnest(list_transform(kept, lambda r: r.id)) AS id FROM k""")
 def greedy_unique(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label", F.col("embedding").cast("array<double>").alias("fp"))
+    return match.unique(rows, ["label"], "id", UNIQUE)
+
+
+@query(SQL["greedy_unique"])
+def greedy_unique_cells(spark, sf_dir):
+    """The same with several cells a block, settled in rounds."""
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label", F.col("embedding").cast("array<double>").alias("fp"))
     return match.unique(rows, ["label"], "id", UNIQUE, cell_rows=CELL)
 
