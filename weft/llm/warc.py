@@ -353,5 +353,5 @@ WITH p AS (SELECT page_id, url, coalesce(html, '') AS html, sha1(coalesce(html,
 d AS (SELECT *, list_transform(range(8), lambda i: CAST('0x' || hex[5 * i + 1:5 * i + 5] AS INT)) AS vs FROM p),
 e AS (SELECT *, array_to_string(list_transform(vs, lambda v: {" || ".join(_DIGIT.format(s) for s in (15, 10, 5, 0))}), '') AS digest FROM d),
 r AS (SELECT *, max(page_id) OVER (PARTITION BY digest) AS most, row_number() OVER (PARTITION BY digest ORDER BY page_id DESC NULLS LAST) AS place FROM e)
-SELECT page_id, url, CAST(strlen(html) AS BIGINT) AS payload_bytes, digest AS payload_digest, CASE WHEN place = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN place > 1 THEN most END AS refers_to, NULL AS problem FROM r
+SELECT page_id, url, CAST(strlen(html) AS BIGINT) AS payload_bytes, digest AS payload_digest, CASE WHEN place = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN place > 1 THEN most END AS refers_to, CAST(NULL AS VARCHAR) AS problem FROM r
 """
