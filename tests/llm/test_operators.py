@@ -412,6 +412,25 @@ def test_decontamination_keeps_rows_not_ids(spark):
         assert sorted((str(r["doc_id"]), r["n_hit"]) for r in decontam.decontaminate(docs, benchmark, broadcast_bytes=size).collect()) == [("1", 0), ("1", 11), ("2", 0), ("None", 0), ("None", 11)]
 
 
+def test_decontamination_of_repeated_words(spark):
+    """Long texts and items that repeat one word or phrase: the same hits, in time by their words."""
+    ring = "la le lo".split()
+    items = {1: "na " * 1000, 2: "na " * 12 + "end", 3: " ".join(ring * 40), 4: "na " * 9, 5: "na " * 1000, 6: "na " * 9 + "stop", 7: " ".join((ring * 8)[1:])}
+    texts = {1: "na " * 60, 2: "so " + "na " * 9 + "stop", 3: " ".join(ring * 30) + " so " + "na " * 13, 4: "na " * 8, 5: " ".join((ring * 4)[2:])}
+    index = decontam.Index(list(items), list(items.values()), 10, 6)
+    words = decontam.Words(decontam.translated(pa.array(["na " * 200_000, "so " * 200_000]), decontam.LOWER_ALNUM))
+    since = time.perf_counter()
+    hit, found = index.matches(words.hashes(), words.starts)
+    assert time.perf_counter() - since < 5
+    assert hit[:200_000].all() and not hit[200_000:].any() and index.names(found[0]) == ["1", "2", "4", "5"] and not found[1]
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    benchmark = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    want = decontam.brute_force(texts, items)
+    for size in (64 << 20, 0):
+        got = decontam.digest(decontam.decontaminate(docs, benchmark, broadcast_bytes=size)).collect()
+        assert {r["doc_id"]: tuple(r)[1:] for r in got} == want
+
+
 def test_targets_and_flow():
     assert mix.targets([100, 100, 10], [1, 2, 3]) == [60.0, 120.0, 30.0]
     # 0 can only serve source 0; 1 may serve both: fresh words first

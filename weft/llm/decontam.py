@@ -2,16 +2,16 @@
 
 Both sides are cut to words. Of every ``window - gram + 1`` consecutive grams the one with the least
 hash (the last of equals) is a fingerprint, so any ``window`` words that a document shares with an item
-share a fingerprint too. Shared fingerprints give alignments, alignments are extended word by word, and
-runs of at least ``window`` equal words are hits. An item with fewer words is one window of its own
-length and is looked up by the hash of all its words.
+share a fingerprint too. A shared fingerprint is extended, word by word, to the windows around it that keep it;
+those that equal a window of an item are hits, and together they cover every longer run. An item with fewer
+words is one window of its own length.
 
 The benchmark goes to the executors whole while its texts hold at most ``broadcast_bytes``; beyond that,
 fingerprints are joined by shuffle and only the pairs that share one are compared.
 
 Edge cases: null and empty texts have no words and no hits; a null doc_id is kept; rows are told
 apart by row, never by id, so repeated rows give repeated rows; an empty benchmark hits nothing;
-a very long text is searched whole, in time by the product where it and an item repeat one word; a null item id counts as the empty string; other columns are ignored.
+a very long text is searched whole, in time by its own words, also where it and an item repeat one word; a null item id counts as the empty string; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,11 +21,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weft.llm._store import written
-from weft.llm._text import LOWER_ALNUM, Words, blocks, grams, scrambled, translated
+from weft.llm._text import LOWER_ALNUM, MIX, Words, blocks, grams, scrambled, translated
 
 BLOCK_BYTES = 8 << 20
 BROADCAST_BYTES = 64 << 20
@@ -37,11 +37,11 @@ def _valid(docs: np.ndarray, length: int) -> np.ndarray:
     return docs[: len(docs) - length + 1] == docs[length - 1 :] if len(docs) >= length else np.empty(0, bool)
 
 
-def fingerprints(hashes: np.ndarray, docs: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """(places, hashes) of the grams that winnowing keeps."""
+def winnowed(hashes: np.ndarray, docs: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The windows' first places, the place of the gram that each keeps, and the hashes of all grams. Kept places ascend."""
     whole = _valid(docs, window)
     if not len(whole):
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
     every = grams(hashes, gram)
     n = len(whole)
     least, at = every[:n].copy(), np.zeros(n, np.int8)
@@ -50,62 +50,98 @@ def fingerprints(hashes: np.ndarray, docs: np.ndarray, window: int, gram: int) -
         better = other <= least
         least[better] = other[better]
         at[better] = j
-    places = np.unique((np.arange(n) + at)[whole])
+    first = np.flatnonzero(whole)
+    return first, first + at[whole], every
+
+
+def fingerprints(hashes: np.ndarray, docs: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places, hashes) of the grams that winnowing keeps."""
+    _, chosen, every = winnowed(hashes, docs, window, gram)
+    places = np.unique(chosen)
     return places, every[places]
 
 
+def _found(index: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Where each code stands in a sorted index, -1 if it doesn't."""
+    if not len(index):
+        return np.full(len(codes), -1)
+    at = np.minimum(np.searchsorted(index, codes), len(index) - 1)
+    return np.where(index[at] == codes, at, -1)
+
+
+class Runs:
+    """Distinct runs of ``size`` words: by code one place of each, and the list of the items that hold it.
+
+    Runs of the same items share a list, so that an item's own runs, or those of its copies, have one between them.
+    """
+
+    def __init__(self, size: int, codes: np.ndarray, places: np.ndarray, items: np.ndarray):
+        self.size = size
+        order = np.lexsort((items, codes))
+        codes, places, items = codes[order], places[order], items[order]
+        fresh, other = np.ones(len(codes), bool), np.ones(len(codes), bool)
+        fresh[1:] = codes[1:] != codes[:-1]
+        other[1:] = fresh[1:] | (items[1:] != items[:-1])
+        self.codes, self.places = codes[fresh], places[fresh].astype(np.int32)
+        items, starts = items[other], np.flatnonzero(fresh[other])
+        ends = np.append(starts[1:], len(items))
+        with np.errstate(over="ignore"):
+            marks = np.add.reduceat(scrambled(items.astype(np.uint64) + MIX), starts) if len(starts) else np.empty(0, np.uint64)
+        _, one, lists = np.unique(marks, return_index=True, return_inverse=True)
+        self.lists = lists.astype(np.int32)
+        self.items = [items[starts[i] : ends[i]].astype(np.int32) for i in one.tolist()]
+
+    def hits(self, words: np.ndarray, hashes: np.ndarray, places: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places whose run is one of these, word by word, and its list."""
+        at = _found(self.codes, codes)
+        places, at = places[at >= 0], at[at >= 0]
+        same = np.ones(len(places), bool)
+        for j in range(self.size):
+            same &= hashes[places + j] == words[self.places[at] + j]
+        return places[same], self.lists[at[same]]
+
+
 class Index:
-    """The words of all items, their fingerprints, and the whole-text hashes of short items."""
+    """The words of all items, their fingerprints, and their windows; a short item is one window of its own length."""
 
     def __init__(self, ids: list, texts: list[str | None], window: int, gram: int):
         self.window, self.gram = window, gram
         self.ids = ["" if i is None else str(i) for i in ids]
         words = Words(translated(pa.array(texts, pa.string()), LOWER_ALNUM))
-        self.words, self.starts = words.hashes(), words.starts
+        self.words = words.hashes()
         sizes, docs = np.diff(words.starts), words.docs()
-        places, marks = fingerprints(self.words, docs, window, gram)
-        order = np.argsort(marks, kind="stable")
-        self.marks, self.places, self.items = marks[order], places[order], docs[places[order]]
-        self.short: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        first, chosen, every = winnowed(self.words, docs, window, gram)
+        self.marks = np.unique(every[chosen])
+        self.long = Runs(window, grams(self.words, window)[first], first, docs[first])
+        self.short = []
         for size in np.unique(sizes[(sizes > 0) & (sizes < window)]).tolist():
             which = np.flatnonzero(sizes == size)
-            codes = grams(self.words, size)[words.starts[which]]
-            order = np.argsort(codes, kind="stable")
-            self.short[size] = codes[order], which[order]
+            at = words.starts[which]
+            self.short.append(Runs(size, grams(self.words, size)[at], at, which))
 
     def matches(self, hashes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, list[set[int]]]:
-        """(whether each word is hit, the items that each text hits) for the words of a block of texts."""
+        """(whether each word is hit, the items that each text hits) for the words of a block of texts.
+
+        A shared fingerprint extends to the windows that keep it; those that an item has are hits. Work and memory
+        follow the words of the block, however often a word or a window repeats.
+        """
         docs = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
-        hit, found = np.zeros(len(hashes), bool), [set() for _ in range(len(starts) - 1)]
-        places, marks = fingerprints(hashes, docs, self.window, self.gram)
-        seen = set()
-        for place, item, there in self._joined(places, marks, self.marks, np.arange(len(self.marks)), True):
-            seen.add((int(docs[place]), item, place - there))
-        for doc, item, shift in seen:
-            low = max(int(starts[doc]), int(self.starts[item]) + shift)
-            high = min(int(starts[doc + 1]), int(self.starts[item + 1]) + shift)
-            equal = hashes[low:high] == self.words[low - shift : high - shift]
-            edges = np.flatnonzero(np.diff(np.concatenate(([0], equal.view(np.int8), [0]))))
-            for a, b in zip(edges[::2], edges[1::2], strict=True):
-                if b - a >= self.window:
-                    hit[low + a : low + b] = True
-                    found[doc].add(item)
-        for size, (codes, which) in self.short.items():
-            inside = np.flatnonzero(_valid(docs, size))
-            for place, item, _ in self._joined(inside, grams(hashes, size)[inside], codes, which, False):
-                hit[place : place + size] = True
-                found[docs[place]].add(item)
-        return hit, found
-
-    def _joined(self, places: np.ndarray, marks: np.ndarray, index: np.ndarray, which: np.ndarray, long: bool) -> Iterator[tuple[int, int, int]]:
-        if not len(index) or not len(marks):
-            return
-        left = np.searchsorted(index, marks, "left")
-        shared = np.flatnonzero(index[np.minimum(left, len(index) - 1)] == marks)
-        right = np.searchsorted(index, marks[shared], "right")
-        for at, low, high in zip(places[shared].tolist(), left[shared].tolist(), right.tolist(), strict=True):
-            for x in which[low:high].tolist():
-                yield (at, int(self.items[x]), int(self.places[x])) if long else (at, x, 0)
+        cover, found = np.zeros(len(hashes) + 1, np.int64), [set() for _ in range(len(starts) - 1)]
+        first, chosen, every = winnowed(hashes, docs, self.window, self.gram)
+        kept = np.unique(chosen)
+        shared = _found(self.marks, every[kept]) >= 0
+        near = first[shared[np.searchsorted(kept, chosen)]] if len(kept) else first
+        looked = [(self.long, near, grams(hashes, self.window)[near] if len(near) else every[:0])]
+        for runs in self.short:
+            inside = np.flatnonzero(_valid(docs, runs.size))
+            looked.append((runs, inside, grams(hashes, runs.size)[inside]))
+        for runs, places, codes in looked:
+            places, lists = runs.hits(self.words, hashes, places, codes)
+            cover += np.bincount(places, minlength=len(cover)) - np.bincount(places + runs.size, minlength=len(cover))
+            for pair in np.unique(docs[places] * max(1, len(runs.items)) + lists).tolist():
+                doc, which = divmod(pair, max(1, len(runs.items)))
+                found[doc].update(runs.items[which].tolist())
+        return np.cumsum(cover[:-1]) > 0, found
 
     def names(self, items: set[int]) -> list[str]:
         return sorted({self.ids[i] for i in items})
@@ -193,22 +229,35 @@ def _hits_of_rows(rows: DataFrame, items: DataFrame, window: int, gram: int) ->
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
+            out, made, index = [], None, None
             for row, name, text, item in zip(*(batch.column(c).to_pylist() for c in ("row", "item_id", "text", "item")), strict=True):
                 words = Words(translated(pa.array([text], pa.string()), LOWER_ALNUM))
-                hit, found = Index([name], [item], window, gram).matches(words.hashes(), words.starts)
+                if index is None or made != (name, item):  # rows come by item
+                    made, index = (name, item), Index([name], [item], window, gram)
+                hit, found = index.matches(words.hashes(), words.starts)
                 if found[0]:
-                    out.append({"row": row, "item_id": name, "hits": np.flatnonzero(hit).tolist()})
-            yield pa.RecordBatch.from_pylist(out, pa.schema([("row", pa.int64()), ("item_id", pa.string()), ("hits", pa.list_(pa.int32()))]))
-
-    hits = both.mapInArrow(compared, "row long, item_id string, hits array<int>")
-    per_row = hits.groupBy("row").agg(F.array_sort(F.collect_set("item_id")).alias("items"), F.size(F.array_distinct(F.flatten(F.collect_list("hits")))).cast("long").alias("n_hit"))
+                    edges = np.flatnonzero(np.diff(np.concatenate(([0], hit.view(np.int8), [0]))))
+                    spans = [{"low": a, "high": b} for a, b in edges.reshape(-1, 2).tolist()]
+                    out.append({"row": row, "item_id": name, "spans": spans})
+            span = pa.struct([("low", pa.int64()), ("high", pa.int64())])
+            yield pa.RecordBatch.from_pylist(out, pa.schema([("row", pa.int64()), ("item_id", pa.string()), ("spans", pa.list_(span))]))
+
+    hits = both.mapInArrow(compared, "row long, item_id string, spans array<struct<low: long, high: long>>")
+    # items with the same spans, such as copies, bring them once
+    per_row = hits.groupBy("row").agg(F.array_sort(F.collect_set("item_id")).alias("items"), _covered(F.array_sort(F.flatten(F.collect_set("spans")))).alias("n_hit"))
     sizes = rows.select("row", "doc_id", "text").mapInArrow(_sized, "row long, doc_id long, n_words long")
     return sizes.join(per_row, "row", "left").select(
         "row", "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"), F.coalesce("items", F.array().cast("array<string>")).alias("items")
     )
 
 
+def _covered(spans: Column) -> Column:
+    """How many places the sorted spans cover."""
+    zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("to"))
+    step = lambda a, x: F.struct((a["n"] + F.greatest(F.lit(0).cast("long"), x["high"] - F.greatest(a["to"], x["low"]))).alias("n"), F.greatest(a["to"], x["high"]).alias("to"))
+    return F.aggregate(spans, zero, step, lambda a: a["n"])
+
+
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for block in blocks(batches, "text", BLOCK_BYTES):
         yield pa.record_batch([pa.array(np.diff(Words(translated(block.column("text"), LOWER_ALNUM)).starts))], ["n"])
