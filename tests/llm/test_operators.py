@@ -72,7 +72,18 @@ def test_tokens_round_trip(docs, none):
     assert tokens.ordered(none, length=64, lanes=3).count() == 0
 
 
-def test_shards_are_files_of_fixed_stride(spark, docs, none, tmp_path):
+def test_tasks_sort_a_bounded_number_of_bytes():
+    """A range of shards a task, never more bytes than stated; few shards go to as many tasks as there are."""
+    size = tokens.PER_SHARD * (2 * tokens.LENGTH + 1)
+    for shards in (1, 7, 200, 201, 1000, 1601, 123_457):
+        parts = tokens.tasks_of(shards, size, 200)
+        each = Counter(s * parts // shards for s in range(shards))
+        assert sorted(each) == list(range(parts)) and max(each.values()) * size <= tokens.TASK_BYTES
+        assert parts >= min(shards, 200)
+    assert tokens.tasks_of(0, size, 200) == 1 and tokens.tasks_of(9, 2 * tokens.TASK_BYTES, 2) == 9
+
+
+def test_shards_are_files_of_fixed_stride(spark, docs, none, tmp_path, monkeypatch):
     """Every slot lies at its offset in its shard's file; a reader that goes on at a slot opens no file before it."""
     docs = docs.where("doc_id <> 19")
     rows = tokens.ordered(docs, length=32, lanes=2, per_shard=4)
@@ -89,6 +100,9 @@ def test_shards_are_files_of_fixed_stride(spark, docs, none, tmp_path):
         files[shard].write_bytes(b"never read")
     read = list(tokens.read_from(spark, f"file://{path}", 6, 32, per_shard=4))
     assert [s for s, _ in read] == list(range(6, len(want))) and all(ids.tobytes() == want[s] for s, ids in read)
+    monkeypatch.setattr(tokens, "READ_BYTES", 130)
+    parts = [list(tokens.read_from(spark, f"file://{path}", s, 32, per_shard=4)) for s in (6, len(want) - 1, len(want), len(want) + 9)]
+    assert [[s for s, _ in p] for p in parts] == [list(range(6, len(want))), [len(want) - 1], [], []] and all(ids.tobytes() == want[s] for p in parts for s, ids in p)
     found = tokens.sequences_from(spark, f"file://{path}", 6, 32, per_shard=4)
     assert {r["slot"]: bytes(r["tokens"]) for r in found.collect()} == {s: x for s, x in want.items() if s >= 6}
     assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from weft.store import _made, cleared, mark, shared_folder, temporary, written
+from weft.store import _made, cleared, mark, on_disk, shared_folder, temporary, written
 
-__all__ = ["_made", "cleared", "documents", "mark", "shared_folder", "temporary", "written"]
+__all__ = ["_made", "cleared", "documents", "mark", "on_disk", "shared_folder", "temporary", "written"]
 
 
 def documents(frame: DataFrame, *columns: str) -> DataFrame:

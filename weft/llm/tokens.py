@@ -8,10 +8,11 @@
    falls below their number, permutes the numbers; the result is the slot. Nothing is kept for it but the key.
 4. Partitions hold ranges of slots, sorted, and write one file a shard: its sequences end to end, each closed by a
    newline, so that slot s is at byte (s % per_shard) * stride of shard s // per_shard, whatever was read before.
-   A reader that stopped at slot s opens that file, goes to that byte, and reads straight on; no other file is read.
+   A reader that stopped at slot s opens that file, seeks that byte, and reads straight on; nothing before is read.
 
 The number of lanes follows the texts' bytes (one for each ``LANE_BYTES``, at least ``LANES``), so that the largest
-task doesn't grow with the corpus; a lane costs half a sequence.
+task doesn't grow with the corpus; a lane costs half a sequence. Tasks that sort slots follow the bytes too: none has
+more than ``TASK_BYTES`` of sequences, or one shard where that is more.
 
 Edge cases: a null or empty text is one end token; a null doc_id sorts first; repeated rows are tokenised
 as often as they occur; a very long text is a block alone
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from weft.llm._store import temporary, written
+from weft.llm._store import on_disk, temporary, written
 from weft.llm._text import MIX, blocks, frugal, scrambled, strings
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -42,7 +43,7 @@ _WHITE = r"[\s\x0b\x{85}\p{Z}]"
 #: A space within or at the end of a run of white space: the pattern may not cut before it.
 INSIDE_WHITE = rf"{_WHITE} (?:{_WHITE}|\z)"
 LENGTH, LANES, LANE_BYTES, PER_SHARD, ROUNDS = 2048, 256, 128 << 20, 8192, 6
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES, TASK_BYTES, READ_BYTES = 2 << 20, 256 << 20, 4 << 20
 SCHEMA = "slot long, shard long, offset long, lane int, number long, n_tokens int, tokens binary"
 
 _encodings: dict[int, object] = {}
@@ -211,6 +212,11 @@ def _small(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
             yield batch.slice(low, rows)
 
 
+def tasks_of(shards: int, shard_bytes: int, least: int) -> int:
+    """How many tasks sort the shards, each a range of them: ``least`` while none gets more than ``TASK_BYTES``, never more than shards."""
+    return max(1, min(shards, max(least, -(-shards // max(1, TASK_BYTES // shard_bytes)))))
+
+
 def ordered(docs: DataFrame, key: int = 0, vocabulary: str = VOCABULARY, length: int = LENGTH, lanes: int | None = None, per_shard: int = PER_SHARD) -> DataFrame:
     """The sequences of docs (doc_id, text) with slot, shard and byte offset, in partitions of slot ranges."""
     lanes = lanes or lanes_of(docs)
@@ -237,7 +243,8 @@ def ordered(docs: DataFrame, key: int = 0, vocabulary: str = VOCABULARY, length:
             yield pa.record_batch([*batch.columns[:-1], pa.array(map(unpack, batch.column("tokens").to_pylist()), pa.binary())], batch.schema.names)
 
     shards = -(-total // per_shard)
-    parts = max(1, min(shards, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    # ids take four bytes at most
+    parts = tasks_of(shards, per_shard * (4 * length + 1), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = made.mapInArrow(frugal(placed), SCHEMA)
     dealt = rows.repartitionById(parts, (F.col("shard") * parts / max(shards, 1)).cast("int"))
     return dealt.mapInArrow(frugal(unpacked), SCHEMA).sortWithinPartitions("shard", "slot")
@@ -272,16 +279,29 @@ def sequences_from(spark, path: str, slot: int = 0, length: int = LENGTH, width:
 
 
 def read_from(spark, path: str, slot: int, length: int = LENGTH, dtype: str = "<u2", per_shard: int = PER_SHARD) -> Iterator[tuple[int, np.ndarray]]:
-    """(slot, ids) from the given slot on, one file at a time: what a trainer calls to go on where it stopped."""
+    """(slot, ids) from the given slot on: what a trainer calls to go on where it stopped.
+
+    It opens the slot's file, seeks its byte, and reads on, ``READ_BYTES`` at a time, shard after shard.
+    """
     size = length * np.dtype(dtype).itemsize
+    read = spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray
     shard, at = divmod(slot, per_shard)
     while True:
-        found = shards_from(spark, path, shard * per_shard, per_shard).where(F.col("shard") == shard).select("content").take(1)
-        if not found:
+        files, folder = on_disk(spark, f"{path}/shard={shard}")
+        if not files.exists(folder):
             return
-        content = found[0]["content"]
-        for i in range(at, len(content) // (size + 1)):
-            yield shard * per_shard + i, np.frombuffer(content, dtype, length, i * (size + 1))
+        (file,) = (f for f in files.listStatus(folder) if f.getPath().getName().startswith("part-"))
+        stream, n = files.open(file.getPath()), file.getLen() // (size + 1)
+        try:
+            stream.seek(min(at, n) * (size + 1))
+            while at < n:
+                some = min(n - at, max(1, READ_BYTES // (size + 1)))
+                content = read(stream, some * (size + 1))
+                for i in range(some):
+                    yield shard * per_shard + at + i, np.frombuffer(content, dtype, length, i * (size + 1))
+                at += some
+        finally:
+            stream.close()
         shard, at = shard + 1, 0
 
 
