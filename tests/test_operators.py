@@ -1,5 +1,8 @@
 """Small fixtures for ties, missing values, class edges and greedy order."""
 
+import random
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -282,3 +285,39 @@ def test_first_seen_over_many_keys(spark):
 def test_windowed_counts(spark):
     rows = spark.createDataFrame([(i, f"2024-01-01 0{i % 3}:10:00", "a", 1.0) for i in range(6)], "id int, t string, event_type string, value double").withColumn("ts", F.to_timestamp("t"))
     assert sorted((r["n"], r["v"]) for r in ingest.windowed_counts(rows).collect()) == [(2, 2.0)] * 3
+
+
+def test_facts_of_numeric_columns(spark):
+    """Texts, flags and arrays are no numbers; NULLs and NaNs count for nothing; a table without numbers gives no row."""
+    rows = spark.createDataFrame([(1, "x", float("nan"), True, [1], None), (None, "y", 2.5, None, None, None), (-4, None, -1.0, False, [], None)], "`a b` int, t string, d double, f boolean, l array<int>, e bigint")
+    assert {tuple(r) for r in stats.numeric_facts(rows).collect()} == {("a b", 2, -4.0, 1.0), ("d", 2, -1.0, 2.5), ("e", 0, None, None)}
+    assert {tuple(r) for r in stats.numeric_facts(rows.limit(0)).collect()} == {("a b", 0, None, None), ("d", 0, None, None), ("e", 0, None, None)}
+    assert stats.numeric_facts(rows.select("t", "f")).count() == 0
+
+
+def test_environments_equal_a_plain_account(spark):
+    """Neighbours by bond ends, with bonds to itself, twice over, to atoms that aren't there, entries without bonds, and a long chain."""
+    rng = random.Random(4)
+    atoms = [(e, i, rng.choice("CHNO")) for e in range(5) for i in range(0, 24, 1 + e % 2)] + [(7, i, "C") for i in range(3000)] + [(8, 1, "H")]
+    bonds = [(e, rng.randrange(26), rng.randrange(26), rng.choice("sd")) for e in range(5) for _ in range(30)] + [(7, i, i + 1, "s") for i in range(2999)] + [(9, 1, 2, "s"), (0, 3, 3, "s"), (0, 1, 2, "s"), (0, 1, 2, "s")]
+    found = molecules.environments(spark.createDataFrame(atoms, "entry int, ord int, symbol string"), spark.createDataFrame(bonds, "entry int, a int, b int, bond string")).collect()
+    symbols = {(e, i): s for e, i, s in atoms}
+    want = {key: [] for key in symbols}
+    for e, a, b, kind in bonds:
+        for at, other in ((a, b), (b, a)):
+            if (e, at) in symbols and (e, other) in symbols:
+                want[e, at].append((other, symbols[e, other], kind))
+    assert len(found) == len(want)
+    for r in found:
+        near = sorted(want[r["entry"], r["cae_idx"]])
+        assert [tuple(x) for x in r["neighbours"]] == near and r["n_atoms"] == len(near) + 1 and r["central_atom"] == symbols[r["entry"], r["cae_idx"]]
+        kinds = Counter([s for _, s, _ in near] + [r["central_atom"]])
+        assert r["formula_str"] == "".join(f"{s}{n}" for s, n in sorted(kinds.items()))
+
+
+def test_top_matches_keep_k_before_they_move(spark):
+    """Of a hot target a task sends on its k best only."""
+    rows = spark.range(200).select("id", F.lit("b").alias("g"), F.array((F.col("id") % 17).cast("double"), F.lit(1.0)).alias("fp")).repartition(4)
+    found = match.top_matches(rows.limit(2), rows, ["g"], 3)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 2 and found.count() == 6

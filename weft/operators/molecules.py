@@ -58,14 +58,18 @@ def graphs(atoms: DataFrame, bonds: DataFrame, *facts: str) -> DataFrame:
 def environments(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
     """One row an atom: itself, its neighbours and its bonds; formula and number of atoms.
 
-    atoms (entry, ord, symbol), bonds (entry, a, b, bond). Both are dealt by entry once; the rest stays within a row.
+    atoms (entry, ord, symbol), bonds (entry, a, b, bond). The ends of bonds go to their atoms, first to the one whose symbol
+    they need, then to the one whose neighbour it is: work follows the bonds, however many atoms an entry has.
     """
-    symbol = F.map_from_arrays(F.col("atoms.ord"), F.col("atoms.symbol"))
-    ends = F.concat(F.transform("bonds", lambda x: F.struct(x["a"].alias("at"), x["b"].alias("other"), x["bond"].alias("bond"))), F.transform("bonds", lambda x: F.struct(x["b"].alias("at"), x["a"].alias("other"), x["bond"].alias("bond"))))
-    known = F.filter("ends", lambda x: F.map_contains_key("symbols", x["other"]))
-    near = lambda a: F.array_sort(F.transform(F.filter(known, lambda x: x["at"] == a["ord"]), lambda x: F.struct(x["other"].alias("other"), F.element_at("symbols", x["other"]).alias("near"), x["bond"].alias("bond"))))
-    whole = graphs(atoms, bonds).select("entry", "atoms", ends.alias("ends"), symbol.alias("symbols"))
-    rows = whole.select("entry", F.explode(F.transform("atoms", lambda a: F.struct(a["ord"].alias("ord"), a["symbol"].alias("symbol"), near(a).alias("neighbours")))).alias("x")).select("entry", "x.*")
+    none = F.lit(None)
+    kinds = dict(bonds.dtypes)
+    own = atoms.select("entry", F.col("ord").alias("other"), F.col("ord").alias("at"), none.cast(kinds["bond"]).alias("bond"), "symbol", F.lit(True).alias("own"))
+    end = lambda at, other: F.struct(F.col(at).alias("at"), F.col(other).alias("other"))
+    ends = bonds.select("entry", "bond", F.explode(F.array(end("a", "b"), end("b", "a"))).alias("x")).select("entry", "x.other", "x.at", "bond", none.cast("string").alias("symbol"), F.lit(False).alias("own"))
+    there = W.partitionBy("entry", "other")
+    known = own.unionByName(ends).withColumns({"near": F.max(F.when(F.col("own"), F.col("symbol"))).over(there), "known": F.max("own").over(there)}).where("known")
+    near = F.when(~F.col("own"), F.struct("other", "near", "bond"))
+    rows = known.groupBy("entry", F.col("at").alias("ord")).agg(F.max("own").alias("own"), F.max("symbol").alias("symbol"), F.array_sort(F.collect_list(near)).alias("neighbours")).where("own")
     symbols = F.array_append(F.transform("neighbours", lambda n: n["near"]), F.col("symbol"))
     return rows.select("entry", F.col("ord").alias("cae_idx"), F.col("symbol").alias("central_atom"), (F.size("neighbours") + 1).alias("n_atoms"), signature(symbols).alias("formula_str"), "neighbours")
 

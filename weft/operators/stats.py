@@ -157,6 +157,16 @@ def numeric_columns(rows: DataFrame) -> list[str]:
     return [c for c, kind in rows.dtypes if kind in kinds or kind.startswith("decimal")]
 
 
+def numeric_facts(rows: DataFrame) -> DataFrame:
+    """A row for each numeric column: its number of values, least and greatest, NULLs and NaNs left out; one aggregate for all."""
+    names = numeric_columns(rows)
+    value = {c: F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None)) for c in names}
+    facts = [F.struct(F.lit(c).alias("column"), F.count(v).alias("n"), F.min(v).alias("least"), F.max(v).alias("greatest")) for c, v in value.items()]
+    if not facts:
+        return rows.sparkSession.createDataFrame([], "column string, n long, least double, greatest double")
+    return rows.agg(F.array(*facts).alias("x")).select(F.inline("x"))
+
+
 def complete(rows: DataFrame, *numbers: str) -> DataFrame:
     """Rows without a NULL, and with a number in each of the given text columns, which become doubles."""
     return rows.dropna().withColumns({c: F.nanvl(F.col(c).try_cast("double"), F.lit(None).cast("double")) for c in numbers}).dropna()

@@ -466,9 +466,13 @@ def conformed_columns(spark, sf_dir):
     return molecules.conformed(rows, "entry_id string, n_atoms int, formula_str string")
 
 
-@query("SELECT * FROM (VALUES ('c_acctbal'), ('c_custkey'), ('c_nationkey')) AS t(\"column\")")
+@query("""
+SELECT * FROM (
+    SELECT 'c_custkey' AS "column", count(c_custkey) AS n, CAST(min(c_custkey) AS DOUBLE) AS least, CAST(max(c_custkey) AS DOUBLE) AS greatest FROM customer
+    UNION ALL SELECT 'c_nationkey', count(c_nationkey), CAST(min(c_nationkey) AS DOUBLE), CAST(max(c_nationkey) AS DOUBLE) FROM customer
+    UNION ALL SELECT 'c_acctbal', count(c_acctbal), CAST(min(c_acctbal) AS DOUBLE), CAST(max(c_acctbal) AS DOUBLE) FROM customer)""")
 def numeric_columns(spark, sf_dir):
-    return spark.createDataFrame([(c,) for c in stats.numeric_columns(table(spark, sf_dir, "customer"))], "column string")
+    return stats.numeric_facts(table(spark, sf_dir, "customer"))
 
 
 @query("SELECT doc_id FROM documents WHERE text IS NOT NULL AND contains(text, 'the')")
