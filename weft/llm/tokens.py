@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import array
 import base64
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,6 +43,8 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 _WHITE = r"[\s\x0b\x{85}\p{Z}]"
 #: A space within or at the end of a run of white space: the pattern may not cut before it.
 INSIDE_WHITE = rf"{_WHITE} (?:{_WHITE}|\z)"
+#: A piece that is empty or begins with white space.
+WHITE_FIRST = rf"^(?:{_WHITE}|\z)"
 LENGTH, LANES, LANE_BYTES, PER_SHARD, ROUNDS = 2048, 256, 128 << 20, 8192, 6
 BLOCK_BYTES, TASK_BYTES, READ_BYTES = 2 << 20, 256 << 20, 4 << 20
 SCHEMA = "slot long, shard long, offset long, lane int, number long, n_tokens int, tokens binary"
@@ -77,6 +80,24 @@ def _cached(piece: str, bpe) -> bytes:
     return known
 
 
+@functools.lru_cache(maxsize=1)
+def _widths(bpe) -> np.ndarray:
+    """How many bytes each token stands for."""
+    return np.fromiter((len(bpe.decode_single_token_bytes(i)) for i in range(bpe.n_vocab)), np.int64, bpe.n_vocab)
+
+
+def _together(names: pa.Array, bpe) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, sizes) of pieces that each follow a space and begin with no white space: the pattern cuts before
+    each of these spaces, so all are encoded as one text, and the tokens' widths tell where a piece ends."""
+    if not len(names):
+        return np.empty(0, np.uint32), np.empty(0, np.int64)
+    spaced = strings(pc.binary_join_element_wise(pa.scalar("", names.type), names, pa.scalar(" ", names.type)))
+    lasts = np.cumsum(pc.binary_length(spaced).to_numpy().astype(np.int64))
+    ids = np.array(bpe.encode_ordinary(spaced.buffers()[2].to_pybytes()[: lasts[-1]].decode()), np.uint32)
+    ends = np.searchsorted(np.cumsum(_widths(bpe)[ids]), lasts) + 1
+    return ids, np.diff(ends, prepend=0)
+
+
 def encode(texts: pa.Array, bpe) -> tuple[np.ndarray, np.ndarray]:
     """(ids, starts): the ids of text i are ids[starts[i]:starts[i + 1]], the same as of encoding it whole."""
     texts = strings(texts)
@@ -88,11 +109,17 @@ def encode(texts: pa.Array, bpe) -> tuple[np.ndarray, np.ndarray]:
     opens = np.zeros(len(coded), np.int64)
     opens[offsets[:-1]] = 1
     codes, where = np.unique(coded.indices.to_numpy().astype(np.int64) * 2 + opens, return_inverse=True)
-    names = coded.dictionary.take(pa.array(codes >> 1)).to_pylist()
-    found = [_cached(x if c & 1 else " " + x, bpe) for x, c in zip(names, codes.tolist(), strict=True)]
-    sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
-    flat = np.frombuffer(b"".join(found), "<u4")
-    first, each = np.cumsum(sizes) - sizes, sizes[where]
+    names = coded.dictionary.take(pa.array(codes >> 1))
+    alone = (codes & 1).astype(bool) | pc.match_substring_regex(names, WHITE_FIRST).to_numpy(zero_copy_only=False)
+    sizes = np.empty(len(codes), np.int64)
+    flat, sizes[~alone] = _together(names.filter(pa.array(~alone)), bpe)
+    found = [_cached(x if c & 1 else " " + x, bpe) for x, c in zip(names.filter(pa.array(alone)).to_pylist(), codes[alone].tolist(), strict=True)]
+    sizes[alone] = np.fromiter(map(len, found), np.int64, len(found)) // 4
+    flat = np.concatenate((flat, np.frombuffer(b"".join(found), "<u4")))
+    order = np.concatenate((np.flatnonzero(~alone), np.flatnonzero(alone)))  # as they lie in flat
+    first = np.empty(len(codes), np.int64)
+    first[order] = np.cumsum(sizes[order]) - sizes[order]
+    each = sizes[where]
     ends = np.cumsum(each)
     ids = flat[np.repeat(first[where] - (ends - each), each) + np.arange(int(each.sum()))]
     starts = np.concatenate(([0], ends))[offsets]
