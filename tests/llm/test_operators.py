@@ -194,7 +194,7 @@ def test_lm_equals_brute_force(docs, none):
 
 def test_lm_over_many_blocks_chunks_and_parts(spark, monkeypatch):
     """Small blocks, chunks and parts, so that texts, buckets and counts are cut everywhere; null ids; no cap on the trie."""
-    for name, value in (("BLOCK_BYTES", 300), ("CHUNK", 37), ("FAN", 2)):
+    for name, value in (("BLOCK_BYTES", 300), ("CHUNK", 37), ("FAN", 2), ("LOAD", 100)):
         monkeypatch.setattr(lm, name, value)
     rng = random.Random(12)
     made = ["".join(rng.choice("abcdéfghij中") for _ in range(rng.randint(1, 9))) for _ in range(100)]
@@ -202,6 +202,17 @@ def test_lm_over_many_blocks_chunks_and_parts(spark, monkeypatch):
     lm_equal(docs, 5)
 
 
+def test_lm_copies_follow_the_load(spark, monkeypatch):
+    """The trie of a bucket that is asked for little goes to one task, however many blocks there are; a hot one to several."""
+    asked = [(block, [(1, 10, b"x" * 10, b""), (2, 900, b"y" * 900, b"")]) for block in range(30)]
+    encoded = spark.createDataFrame(asked, "block long, asked array<struct<bucket:int,size:int,places:binary,n:binary>>")
+    trie = spark.createDataFrame([(1, b"", b""), (2, b"", b"")], "bucket int, places binary, n binary")
+    monkeypatch.setattr(lm, "LOAD", 1000)
+    tasks = lm.loads(encoded)
+    assert {tuple(r) for r in tasks.collect()} == {(1, 1), (2, 27)}
+    assert Counter(r["bucket"] for r in lm.copied(trie, tasks).collect()) == {1: 1, 2: 27}
+
+
 def test_lm_knows_word_order(spark):
     """Contexts reach into the word before: a phrase of the training texts costs less than its words shuffled."""
     phrase = "seven green houses under a river stone"

@@ -12,8 +12,9 @@ shorter ones.
 2. Places are dealt over buckets by the last two bytes of the context: all contexts that a place falls back to end
    in the same bytes. Counts of a bucket are summed as a stream, ``FAN`` blocks at a time, into the trie's table.
    Contexts of order 0 and 1 (at most 257 * 257 pairs) go to every bucket. No pair is left out, at any size.
-3. A bucket's trie prices the places of the blocks, as a stream again; a bucket is dealt to one task for each ``FAN``
-   blocks, with its trie copied, so that hot contexts are priced by many tasks.
+3. A bucket's trie prices the places of the blocks, as a stream again; a bucket is dealt to as many tasks as its blocks
+   ask for times ``LOAD`` packed bytes of places, with its trie copied to each: a cold bucket's trie is not copied, and hot
+   contexts are priced by many tasks.
 4. Prices and word counts return to the blocks, which are spelt again and summed by text.
 
 Edge cases: a null or empty text is one end token; a null doc_id is the empty text for the fold and is
@@ -43,6 +44,8 @@ ORDER = 5
 #: A context's key holds its bytes, the last lowest, and above them its order; with a symbol it is 60 bits.
 ORDER_AT = 48
 BUCKETS, FAN, CHUNK = 256, 64, 4 << 20
+#: Packed bytes of places that a task prices: about 10 million places.
+LOAD = 16 << 20
 SYMBOLS = 257
 #: The end symbol; as a byte of a context it is one that no text has left.
 END, END_BYTE = 256, 0x0A
@@ -161,14 +164,14 @@ class Lookup:
         return at
 
 
-ENCODED = "block long, doc_ids array<long>, sizes array<long>, ids binary, words array<string>, counts array<long>, asked array<struct<bucket:int,places:binary,n:binary>>"
+ENCODED = "block long, doc_ids array<long>, sizes array<long>, ids binary, words array<string>, counts array<long>, asked array<struct<bucket:int,size:int,places:binary,n:binary>>"
 
 
 def _encoded(order: int):
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """One row for each block: its texts as word numbers, its vocabulary with each word's count in training texts, its places."""
         part, block_number = TaskContext.get().partitionId(), 0
-        asked = pa.struct([("bucket", pa.int32()), ("places", pa.binary()), ("n", pa.binary())])
+        asked = pa.struct([("bucket", pa.int32()), ("size", pa.int32()), ("places", pa.binary()), ("n", pa.binary())])
         for block in blocks(batches, "text", BLOCK_BYTES):
             words = Words(translated(block.column("text"), LOWER_SPACE))
             training = fold(block.column("doc_id")) != HELD_OUT
@@ -176,7 +179,8 @@ def _encoded(order: int):
             counts = np.bincount(words.ids[np.repeat(training, sizes)], minlength=len(words.vocabulary))
             places, n, ends = _distinct(Spelt(words.ids, sizes, words.vocabulary, order), training)
             full = np.flatnonzero(np.diff(ends)).tolist()
-            found = [{"bucket": b, "places": _packed(np.diff(places[ends[b] : ends[b + 1]], prepend=0)), "n": _packed(n[ends[b] : ends[b + 1]])} for b in full]
+            own = [(_packed(np.diff(places[ends[b] : ends[b + 1]], prepend=0)), _packed(n[ends[b] : ends[b + 1]])) for b in full]
+            found = [{"bucket": b, "size": len(p), "places": p, "n": k} for b, (p, k) in zip(full, own, strict=True)]
             yield pa.record_batch(
                 [
                     pa.array([part << 20 | block_number]),
@@ -326,16 +330,27 @@ def _short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array(pairs), pa.array(n)], ["pair", "n"])
 
 
+def loads(encoded: DataFrame) -> DataFrame:
+    """(bucket, tasks): how many tasks price the places that the blocks ask of the bucket."""
+    sizes = encoded.select(F.explode(F.map_from_arrays("asked.bucket", "asked.size")).alias("bucket", "size"))  # reads no places
+    return sizes.groupBy("bucket").agg(F.ceil(F.sum("size") / LOAD).cast("long").alias("tasks"))
+
+
+def copied(trie: DataFrame, tasks: DataFrame) -> DataFrame:
+    """A bucket's trie for each of its tasks, as ``part``; a trie that no block asks for goes."""
+    return trie.join(tasks, "bucket").select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tasks") - 1)).alias("part"), "places", "n")
+
+
 def prices(encoded: DataFrame, order: int = ORDER) -> DataFrame:
     """(block, bucket, prices): the log10 probabilities of the block's places of the bucket, in their order."""
-    spark, count = encoded.sparkSession, encoded.count()
-    trie = trie_table(encoded, count)
+    spark = encoded.sparkSession
+    trie = trie_table(encoded, encoded.count())
     top = trie.mapInArrow(_short, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()  # 257 * 258 rows at most
     short = spark.sparkContext.broadcast([top.column(c).to_numpy() for c in ("pair", "n")])
-    parts = max(1, -(-count // FAN))
-    part = F.pmod(F.xxhash64("block"), F.lit(parts)).alias("part")
-    asked = encoded.select("block", part, F.inline("asked")).select("bucket", "part", "block", "places", F.lit(None).cast("binary").alias("n"))
-    copies = trie.select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"), F.lit(-1).cast("long").alias("block"), "places", "n")
+    tasks = F.broadcast(loads(encoded))  # a row a bucket
+    part = F.pmod(F.xxhash64("block"), "tasks").alias("part")
+    asked = encoded.select("block", F.inline("asked")).join(tasks, "bucket").select("bucket", part, "block", "places", F.lit(None).cast("binary").alias("n"))
+    copies = copied(trie, tasks).select("bucket", "part", F.lit(-1).cast("long").alias("block"), "places", "n")
 
     def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, held = None, None
