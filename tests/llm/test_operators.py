@@ -253,6 +253,19 @@ def test_a_family_of_near_copies(spark):
     assert found == neardup.brute_force(texts, 3, 85)
 
 
+def test_links_across_components_in_chunks_and_segments(spark, monkeypatch):
+    """The members of a group pass every chunk in segments: each link between components is found, whatever task has it."""
+    monkeypatch.setattr(neardup, "CHUNK", 3)
+    monkeypatch.setattr(neardup, "SEGMENT", 4)
+    texts = {i: f"{'one two three four five six seven eight nine ten ' * 3}{' '.join(f'g{i // 2}w{j}' for j in range(60))} tail{i % 2}" for i in range(0, 40)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    nodes = neardup.signed(docs, 3, neardup.ROWS, neardup.BANDS).select(F.col("doc_id").alias("node"), "key")
+    groups = spark.createDataFrame([(0, i, i, 0) for i in texts], "a long, node long, component long, own long")
+    found = {tuple(sorted(r)) for r in neardup.settled(docs, nodes, groups, 3, 85).collect()}
+    # the centre's own component is in no chunk, but it passes them all
+    assert found == {(i, i + 1) for i in range(0, 40, 2)}
+
+
 def test_superminhash_estimates_similarity():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 2**63, 400).astype(np.uint64)

@@ -41,6 +41,8 @@ ROWS, BANDS = 5, 28
 #: Signatures that agree in less are not compared on full sets: five standard errors below the threshold.
 LEAST_AGREEMENT = 0.15
 CHUNK = 250
+#: Members of a group that one task counts against a chunk of them.
+SEGMENT = 1_000
 BROADCAST_ROWS = 4_000_000
 
 
@@ -192,14 +194,19 @@ def confirmed(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int, perce
 def settled(docs: DataFrame, nodes: DataFrame, groups: DataFrame, k: int, percent: int) -> DataFrame:
     """Links across components in groups (a, node, component, own): own is the component of the group's centre a.
 
-    A chunk holds about CHUNK members from other components, indexed by shingle; all members of the group
-    pass it one by one and are counted against all of the chunk at once. Of a member's links to one
-    component the first is returned, so rows grow as the group and not as its pairs.
+    A chunk holds about CHUNK members from other components, indexed by shingle; the members of the group
+    pass it one by one, about SEGMENT in a task, and are counted against all of the chunk at once. Of a member's
+    links to one component the first in a segment is returned, so rows grow as the group and not as its pairs.
     """
     outside = groups.where("component <> own")
     chunks = outside.groupBy("a").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("n"))
-    dealt = outside.join(chunks, "a").select("node", "a", F.pmod(F.xxhash64("node"), "n").cast("int").alias("chunk"), F.lit(0).alias("role"), "component")
-    every = groups.join(chunks, "a").select("node", "a", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("chunk"), F.lit(1).alias("role"), "component")
+    parts = chunks.join(groups.groupBy("a").agg(F.ceil(F.count("*") / SEGMENT).cast("int").alias("segments")), "a")
+    spread = lambda x, by: F.pmod(F.xxhash64("node", F.lit(by)), x)
+    # a task is a chunk and a segment: chunk * segments + segment
+    first = spread(F.col("n"), "chunk") * F.col("segments")
+    dealt = outside.join(parts, "a").select("node", "a", F.explode(F.sequence(first, first + F.col("segments") - 1)).alias("chunk"), F.lit(0).alias("role"), "component")
+    own = spread(F.col("segments"), "segment")
+    every = groups.join(parts, "a").select("node", "a", F.explode(F.sequence(own, own + (F.col("n") - 1) * F.col("segments"), F.col("segments").cast("long"))).alias("chunk"), F.lit(1).alias("role"), "component")
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held, index, seen = None, [], None, set()
