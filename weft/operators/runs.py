@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weft.functions import texts
-from weft.operators import match, results
+from weft.operators import match, results, tiles
 from weft.store import written
 
 
@@ -32,9 +32,11 @@ def compared(targets: DataFrame, population: DataFrame, block: Sequence[str], th
         first = match.unique(targets, ["owner", *block], "id", unique)
         targets = targets.join(first.select("id"), "id", "left_semi")
     held = written(lengths(targets, "t_length").withColumn("t_two", F.col("n_atoms") == 2), "run-targets")
-    gap = match.biatomic_score(F.col("t_length"), F.col("p_length"), tolerance)
-    score = F.when(F.col("t_two"), gap).otherwise(match.l1_similarity(F.col("target_fp"), F.col("partner_fp")))
-    best = written(match.best_match(held, lengths(population, "p_length"), block, threshold, score), "run-best")
+    there = lengths(population, "p_length")
+    by_length = lambda rows, name: rows.withColumn("fp", F.when(F.size("fp") > 0, F.array(F.coalesce(F.col(name), F.lit(float("nan"))))))
+    two = F.coalesce("t_two", F.lit(False))
+    near = match.best_match(by_length(held.where(two), "t_length"), by_length(there, "p_length"), block, threshold, tiles.lengths(tolerance))
+    best = written(near.unionByName(match.best_match(held.where(~two), population, block, threshold)), "run-best")
     facts = held.select(F.col("id").alias("target"), "owner", F.col("t_two").alias("two"), F.col("sdf").alias("target_sdf"), F.col("t_length").alias("length"))
     rows = best.join(facts, "target")
     found = match.with_payload(rows, lengths(population, "partner_length"), ["sdf", "partner_length"])
