@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from weft.functions import vectors
 from weft.operators import match, metric, tiles
 
 SCHEMA = "id int, b string, fp array<double>"
@@ -78,3 +79,20 @@ def test_no_cells_where_all_distances_are_alike(spark):
     assert metric.sparing(alike, 1 / 0.9 - 1) == {}
     apart = {("a",): (rng.uniform(-40, 40, (40, 1, 6)) + rng.normal(0, 0.1, (40, 4, 6))).reshape(-1, 6)}
     assert len(metric.sparing(apart, 0.25)[("a",)]) > 8
+
+
+def test_letter_shares_and_one_reading(spark):
+    """Shares are of characters, not bytes; close pairs make their vectors once, however often they look at them."""
+    texts = [(1, "abba"), (2, "aé€𝄞b"), (3, ""), (4, None), (5, "ÀAa\n")]
+    rows = spark.createDataFrame(texts, "id int, text string")
+    found = {r["id"]: r["fp"] for r in vectors.letter_shares(rows, "text", "ab", "fp").collect()}
+    assert found == {1: [0.5, 0.5], 2: [0.2, 0.2], 3: None, 4: None, 5: [0.25, 0.0]}
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    frame = spark.range(50).select("id", F.lit("b").alias("b"), F.array(F.col("id").cast("double")).alias("fp")).mapInArrow(count, "id long, b string, fp array<double>")
+    assert match.close_pairs(frame, ["b"], "id", 0.5, cell_rows=5).count() == 49 and made.value == 50
