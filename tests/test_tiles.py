@@ -96,3 +96,19 @@ def test_letter_shares_and_one_reading(spark):
 
     frame = spark.range(50).select("id", F.lit("b").alias("b"), F.array(F.col("id").cast("double")).alias("fp")).mapInArrow(count, "id long, b string, fp array<double>")
     assert match.close_pairs(frame, ["b"], "id", 0.5, cell_rows=5).count() == 49 and made.value == 50
+
+
+@pytest.mark.parametrize("strip", [6, 8192])
+def test_best_sets(spark, monkeypatch, strip):
+    """Sets of texts in several strips against a plain account, and no join that carries both sets."""
+    monkeypatch.setattr(tiles, "STRIP", strip)
+    rng = np.random.default_rng(8)
+    rows = [(i, "ab"[i % 2], [f"w{x}" for x in set(rng.integers(0, 30, 1 + i % 9).tolist())] if i % 11 else None) for i in range(60)]
+    frame = spark.createDataFrame(rows, "id int, b string, fp array<string>").repartition(3)
+    want = {}
+    for t, b, u in rows:
+        scored = sorted((-len(set(u) & set(v)) / len(set(u) | set(v)), p) for p, c, v in rows if u and v and b == c and t != p)
+        want |= {(t, n + 1): (p, -s) for n, (s, p) in enumerate(scored[:3])}
+    found = match.top_sets(frame, frame, ["b"], 3, others=True)
+    assert {(r["target"], r["rank"]): (r["partner"], r["score"]) for r in found.collect()} == want
+    assert "target_fp" not in found._jdf.queryExecution().executedPlan().toString()
