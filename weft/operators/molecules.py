@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import functools
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 from weft import schemas
-from weft.functions import vectors
+from weft.functions import chemistry, vectors
 
 
 def connectivity(bonds: Column, atoms: Column) -> Column:
@@ -55,6 +59,60 @@ def graphs(atoms: DataFrame, bonds: DataFrame, *facts: str) -> DataFrame:
     return held.join(tied, "entry", "left").withColumn("bonds", F.coalesce("bonds", F.array()))
 
 
+def in_turn(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """rows with ``_n``, their number in the order among those of the same keys, which follow each other in one task: for ``turns``."""
+    return rows.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
+
+
+def turns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables in which the rows of a key of ``in_turn`` are whole: each batch, less the last key's rows, which go with the next."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        starts = np.flatnonzero(batch.column("_n").to_numpy() == 1)
+        cut = int(starts[-1]) if len(starts) else batch.num_rows
+        held.append(batch.slice(0, cut))
+        if len(starts):
+            whole = pa.Table.from_batches(held)
+            if whole.num_rows:
+                yield whole
+            held = [batch.slice(cut)]
+    if any(batch.num_rows for batch in held):
+        yield pa.Table.from_batches(held)
+
+
+def dealt_graphs(atoms: DataFrame, bonds: DataFrame, *facts: str) -> DataFrame:
+    """Atoms (entry, ord, symbol and the facts) and bonds as rows of entries ``in_turn``: an entry's atoms by ord, then its bonds (ord and other are its ends)."""
+    kind = atoms.schema["ord"].dataType
+    held = atoms.select("entry", F.lit(False).alias("tie"), "ord", F.lit(None).cast(kind).alias("other"), F.lit(None).cast("string").alias("bond"), "symbol", *facts)
+    tied = bonds.where("entry IS NOT NULL AND a IS NOT NULL AND b IS NOT NULL").select("entry", F.lit(True).alias("tie"), F.col("a").cast(kind).alias("ord"), F.col("b").cast(kind).alias("other"), "bond")
+    return in_turn(held.unionByName(tied, allowMissingColumns=True), ["entry"], ["tie", "ord"])
+
+
+class Graphs:
+    """Whole entries of ``dealt_graphs``: the rows of atoms, each atom's graph, and the bonds between atoms that are there, by their places."""
+
+    def __init__(self, rows: pa.Table):
+        tie = rows.column("tie").to_numpy()
+        graph = np.cumsum(rows.column("_n").to_numpy() == 1) - 1
+        self.atoms = rows.filter(pa.array(~tie))
+        self.graph = graph[~tie]
+        ords = self.atoms.column("ord")
+        known = ords.is_valid().to_numpy()
+        a, b = (rows.column(c).filter(pa.array(tie)).to_numpy() for c in ("ord", "other"))
+        every = np.unique(np.concatenate((ords.drop_null().to_numpy(), a, b)))
+        code = lambda graph, x: graph * len(every) + np.searchsorted(every, x)
+        keys, places = code(self.graph[known], ords.drop_null().to_numpy()), np.flatnonzero(known)
+        a, b = (code(graph[tie], x) for x in (a, b))
+        i, j = (np.searchsorted(keys, x, "right") - 1 for x in (a, b))
+        there = (i >= 0) & (j >= 0)
+        there[there] = (keys[i[there]] == a[there]) & (keys[j[there]] == b[there])
+        self.a, self.b = places[i[there]], places[j[there]]
+        self.bonds = rows.column("bond").filter(pa.array(tie)).combine_chunks().filter(pa.array(there))
+
+    def cyclic(self) -> np.ndarray:
+        return chemistry.ring_atoms_of_many(self.graph, self.a, self.b)
+
+
 def environments(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
     """One row an atom: itself, its neighbours and its bonds; formula and number of atoms.
 
@@ -78,18 +136,56 @@ def environment_table(atoms: DataFrame, bonds: DataFrame, old: DataFrame | None
     """The table of atom environments in the columns of ``schemas.CAES``, built in one job and merged with an older one.
 
     atoms (entry, ord, symbol, x, y, z, number, charge, sdf). A fingerprint is of the atom and its neighbours; those that
-    an older table holds are kept.
+    an older table holds are kept. The ends of bonds go to the atom whose facts they need, with these to the one whose
+    neighbour it is, and a task works out its atoms' environments together.
     """
-    facts = atoms.select("entry", F.col("ord").alias("at"), F.struct("x", "y", "z", "number", "charge").alias("atom"))
-    members = environments(atoms, bonds).withColumn("at", F.explode(F.array_append(F.transform("neighbours", lambda n: n["other"]), F.col("cae_idx"))))
-    grouped = members.join(facts, ["entry", "at"]).groupBy("entry", "cae_idx", "central_atom", "n_atoms", "formula_str").agg(F.array_sort(F.collect_list(F.struct("at", "atom"))).alias("members"))
-    points = grouped.select("entry", "cae_idx", "central_atom", "n_atoms", "formula_str", vectors.atom_rows(F.col("members.atom")).alias("p"), vectors.atom_rows(F.col("members.atom"), charged=True).alias("pq"))
-    texts = atoms.select("entry", F.col("ord").alias("cae_idx"), "sdf")
-    made = vectors.fingerprinted(points.join(texts, ["entry", "cae_idx"]).withColumnRenamed("entry", "entry_id"), {"p": "fp_p", "pq": "fp_pq"})
+    facts = atoms.select("entry", F.col("ord").alias("other"), "symbol", *(F.col(c).cast("double").alias(c) for c in ("x", "y", "z")), F.sqrt("number").alias("q"), F.col("charge").cast("double").alias("charge"), "sdf")
+    own = facts.where("entry IS NOT NULL AND other IS NOT NULL").withColumns({"at": F.col("other"), "own": F.lit(True)})
+    end = lambda at, other: F.struct(F.col(at).alias("at"), F.col(other).alias("other"))
+    ends = bonds.select("entry", F.explode(F.array(end("a", "b"), end("b", "a"))).alias("x")).select("entry", "x.at", "x.other").where("at IS NOT NULL")
+    known = ends.join(facts.drop("sdf"), ["entry", "other"]).withColumns({"own": F.lit(False), "sdf": F.lit(None).cast("string")})
+    dealt = in_turn(own.unionByName(known), ["entry", "at"], ["other", "own"])
+    entry, at = dealt.schema["entry"], dealt.schema["at"]
+    schema = StructType([StructField("entry_id", entry.dataType), StructField("cae_idx", at.dataType), *StructType.fromDDL("central_atom string, n_atoms int, formula_str string, sdf string, fp_p array<double>, fp_pq array<double>")])
+    made = dealt.mapInArrow(_environments, schema)
     whole = conformed(made, schemas.CAES)
     return whole if old is None else upsert(conformed(old, schemas.CAES), whole, ["entry_id", "cae_idx"], ["fp_p", "fp_pq"])
 
 
+def _environments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The environments of atoms of which each has its own row and those of its neighbours."""
+    for rows in turns(batches):
+        starts = np.flatnonzero(rows.column("_n").to_numpy() == 1)
+        sizes = np.diff(np.append(starts, rows.num_rows))
+        own = rows.column("own").to_numpy()
+        at = np.repeat(np.arange(len(starts)), sizes)
+        centre = np.full(len(starts), -1)
+        centre[at[own]] = np.flatnonzero(own)
+        there = centre >= 0  # ends at atoms that aren't there are no environment
+        placed = functools.reduce(np.logical_and, (rows.column(c).is_valid().to_numpy() for c in "xyz")) & there[at]
+        points = np.stack([rows.column(c).to_numpy()[placed] for c in ("x", "y", "z", "q", "charge")], axis=1)
+        n = np.bincount(at[placed], minlength=len(starts))[there]
+        kept = rows.take(pa.array(centre[there]))
+        yield pa.record_batch(
+            [*(kept.column(c).combine_chunks() for c in ("entry", "at", "symbol")), pa.array(sizes[there], pa.int32()), _signatures(rows.column("symbol").combine_chunks(), at, len(starts)).filter(pa.array(there)),
+             kept.column("sdf").combine_chunks(), vectors.shapes_of_sets(points[:, :4], n), vectors.shapes_of_sets(points, n)],
+            ["entry_id", "cae_idx", "central_atom", "n_atoms", "formula_str", "sdf", "fp_p", "fp_pq"],
+        )
+
+
+def _signatures(symbols: pa.Array, group: np.ndarray, n: int) -> pa.Array:
+    """``signature`` of the symbols of each of n groups."""
+    coded = symbols.dictionary_encode()
+    order = pc.sort_indices(coded.dictionary)
+    rank = np.argsort(order.to_numpy())
+    known = coded.indices.is_valid().to_numpy(zero_copy_only=False)
+    kinds = max(len(order), 1)
+    keys, counts = np.unique(group[known] * kinds + rank[coded.indices.drop_null().to_numpy()], return_counts=True)
+    parts = pc.binary_join_element_wise(coded.dictionary.take(order).take(pa.array(keys % kinds)), pa.array(counts).cast(pa.string()), "")
+    ends = np.searchsorted(keys, np.arange(n + 1) * kinds).astype(np.int32)
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends), parts), "")
+
+
 def conformed(rows: DataFrame, schema: str) -> DataFrame:
     """The columns of the schema, in its order and types; those that are missing are NULL."""
     want = StructType.fromDDL(schema)
