@@ -2,7 +2,7 @@
 
 A pattern is a first atom and steps, each a bond test and an atom test; a ring ends with a bond back to the
 first atom. Atoms of a match are distinct. ``found`` tells for each entry which patterns it has: atoms and bonds are
-dealt by entry once, all patterns are searched in each small graph, depth first, and a search ends with its first
+dealt by entry once, all patterns are searched in a batch of small graphs, depth first where one may match, and a search ends with its first
 match. A ring's path goes no further from its first atom than the steps that are left lead back. ``matches`` lists
 every match of one pattern by joins.
 """
@@ -12,12 +12,14 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
-from weft.operators.molecules import graphs
+from weft.operators.molecules import Graphs, dealt_graphs, turns
 
 MULTIPLE = ("double", "triple", "quadruple")
 
@@ -76,18 +78,22 @@ def matches(atoms: DataFrame, links: DataFrame, path: Path) -> DataFrame:
 def found(atoms: DataFrame, bonds: DataFrame, named: dict[str, Sequence[Path]]) -> DataFrame:
     """entry, and for each named pattern whether the entry has a match of any of its paths.
 
-    atoms (entry, ord, symbol, metal, nonmetal, cyclic), bonds (entry, a, b, bond).
+    atoms (entry, ord, symbol, metal, nonmetal, cyclic), bonds (entry, a, b, bond). Without ``cyclic`` it is found from the bonds.
     """
-    whole = graphs(atoms, bonds, "metal", "nonmetal", "cyclic")
+    given = "cyclic" in atoms.columns
+    dealt = dealt_graphs(atoms, bonds, "metal", "nonmetal", *(["cyclic"] if given else []))
     names = list(named)
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [_patterns_of(a, b, named) for a, b in zip(batch.column("atoms").to_pylist(), batch.column("bonds").to_pylist(), strict=True)]
-            yield pa.record_batch([batch.column("entry"), *(pa.array([r[n] for r in rows], pa.bool_()) for n in names)], ["entry", *names])
+        for rows in turns(batches):
+            held = Graphs(rows)
+            if held.atoms.num_rows:
+                search = _Search(held, held.atoms.column("cyclic").combine_chunks() if given else pa.array(held.cyclic()))
+                entries = held.atoms.column("entry").take(pa.array(search.first)).combine_chunks()
+                yield pa.record_batch([entries, *(pa.array(search.any_of(named[n])) for n in names)], ["entry", *names])
 
-    schema = StructType([whole.schema["entry"], *(StructField(n, BooleanType()) for n in names)])
-    return whole.mapInArrow(searched, schema)
+    schema = StructType([dealt.schema["entry"], *(StructField(n, BooleanType()) for n in names)])
+    return dealt.mapInArrow(searched, schema)
 
 
 def hits(atoms: DataFrame, bonds: DataFrame, paths: Sequence[Path]) -> DataFrame:
@@ -95,23 +101,6 @@ def hits(atoms: DataFrame, bonds: DataFrame, paths: Sequence[Path]) -> DataFrame
     return found(atoms, bonds, {"hit": paths}).where("hit").select("entry")
 
 
-def _patterns_of(atoms: list[dict], bonds: list[dict], named: dict[str, Sequence[Path]]) -> dict[str, bool]:
-    known = {a["ord"]: a for a in atoms}
-    near: dict[int, list[tuple[int, str]]] = {o: [] for o in known}
-    for x in bonds:
-        if x["a"] in known and x["b"] in known:
-            near[x["a"]].append((x["b"], x["bond"]))
-            near[x["b"]].append((x["a"], x["bond"]))
-    far: dict[int, dict[int, int]] = {}
-    return {name: any(_has(p, known, near, far) for p in paths) for name, paths in named.items()}
-
-
-def _fits(test: Atom, atom: dict) -> bool:
-    if test.cyclic is not None and atom["cyclic"] != test.cyclic:
-        return False
-    return bool(test.kind is None or (atom[test.kind] if test.kind in ("metal", "nonmetal") else atom["symbol"] == test.kind))
-
-
 def _bonded(test: tuple[str, ...] | str | None, bond: str | None) -> bool:
     if test is None:
         return True
@@ -122,33 +111,109 @@ def _bonded(test: tuple[str, ...] | str | None, bond: str | None) -> bool:
     return bond != test[1:] if test[0] == "!" else bond == test
 
 
-def _distances(start: int, near: dict[int, list[tuple[int, str]]]) -> dict[int, int]:
-    out, layer = {start: 0}, [start]
-    while layer:
-        layer = [y for x in layer for y, _ in near[x] if y not in out and not out.update({y: out[x] + 1})]
-    return out
+class _Search:
+    """Which of many graphs have a match of a path.
 
+    A path is first followed in all graphs at once, without asking that its atoms are distinct: where this ends nowhere, there is
+    no match. The other graphs are searched one at a time, depth first.
+    """
 
-def _has(path: Path, known: dict[int, dict], near: dict[int, list[tuple[int, str]]], far: dict[int, dict[int, int]]) -> bool:
-    steps, ring = path.steps, path.ring is not False
-    if len(steps) >= len(known):
-        return False
-    for start, atom in known.items():
-        if not _fits(path.first, atom):
-            continue
-        back = far.setdefault(start, _distances(start, near)) if ring else {}
-        todo = [(start, 0, (start,))]
-        while todo:
-            at, n, seen = todo.pop()
-            if n == len(steps):
-                if not ring or len(seen) > 2 and any(y == start and _bonded(path.ring, bond) for y, bond in near[at]):
-                    return True
+    def __init__(self, held: Graphs, cyclic: pa.Array):
+        n = len(held.graph)
+        start = np.concatenate((held.a, held.b))
+        order = np.argsort(start, kind="stable")
+        self.start, self.to = start[order], np.concatenate((held.b, held.a))[order]
+        self.bonds, self.which = held.bonds.dictionary_encode(), order % max(len(held.a), 1)
+        self.first = np.flatnonzero(np.diff(held.graph, prepend=-1))
+        self.sizes = np.diff(np.append(self.first, n))
+        self.row = np.repeat(np.arange(len(self.first)), self.sizes)
+        self.symbols = held.atoms.column("symbol").combine_chunks()
+        flag = lambda x: pc.fill_null(x, False).to_numpy(zero_copy_only=False)
+        self.flags = {k: flag(held.atoms.column(k).combine_chunks()) for k in ("metal", "nonmetal")}
+        self.cyclic = {True: flag(cyclic), False: flag(pc.invert(cyclic))}
+        self.known: dict[object, np.ndarray] = {}
+        self.lists: dict[object, list] = {"to": self.to.tolist(), "ends": np.searchsorted(self.start, np.arange(n + 1)).tolist()}
+        self.far: dict[int, dict[int, int]] = {}
+
+    def fits(self, test: Atom) -> np.ndarray:
+        """Which atoms pass the test."""
+        if test not in self.known:
+            out = np.ones(len(self.row), bool)
+            if test.kind in self.flags:
+                out = self.flags[test.kind]
+            elif test.kind:
+                out = pc.fill_null(pc.equal(self.symbols, test.kind), False).to_numpy(zero_copy_only=False)
+            self.known[test] = out if test.cyclic is None else out & self.cyclic[test.cyclic]
+        return self.known[test]
+
+    def bonded(self, test: tuple[str, ...] | str | None) -> np.ndarray:
+        """Which bonds, from either of their ends, pass the test."""
+        if test not in self.known:
+            good = np.array([*(_bonded(test, x) for x in self.bonds.dictionary.to_pylist()), _bonded(test, None)])
+            self.known[test] = good[pc.fill_null(self.bonds.indices, len(good) - 1).to_numpy()][self.which]
+        return self.known[test]
+
+    def listed(self, key: object, values: np.ndarray) -> list:
+        if key not in self.lists:
+            self.lists[key] = values.tolist()
+        return self.lists[key]
+
+    def any_of(self, paths: Sequence[Path]) -> np.ndarray:
+        out = np.zeros(len(self.first), bool)
+        for path in paths:
+            out |= self.having(path, ~out)
+        return out
+
+    def having(self, path: Path, among: np.ndarray) -> np.ndarray:
+        """Which graphs of those have a match."""
+        at = self.fits(path.first) & (among & (self.sizes > len(path.steps)))[self.row]
+        for bonds, atom in path.steps:
+            if not at.any():
+                break
+            go = at[self.start] & self.bonded(bonds) & self.fits(atom)[self.to] & (self.start != self.to)
+            at = np.zeros(len(at), bool)
+            at[self.to[go]] = True
+        out = np.zeros(len(self.first), bool)
+        out[self.row[at]] = True
+        if len(path.steps) > 1 or path.ring is not False:
+            for row in np.flatnonzero(out).tolist():
+                out[row] = self.has(path, int(self.first[row]), int(self.sizes[row]))
+        return out
+
+    def distances(self, start: int) -> dict[int, int]:
+        to, ends = self.lists["to"], self.lists["ends"]
+        out, layer = {start: 0}, [start]
+        while layer:
+            layer = [y for x in layer for y in to[ends[x] : ends[x + 1]] if y not in out and not out.update({y: out[x] + 1})]
+        return out
+
+    def has(self, path: Path, first: int, size: int) -> bool:
+        """Whether the graph of these atoms has a match."""
+        steps, ring = path.steps, path.ring is not False
+        to, ends = self.lists["to"], self.lists["ends"]
+        tests = [(self.listed(bonds, self.bonded(bonds)), self.listed(atom, self.fits(atom))) for bonds, atom in steps]
+        closes = self.listed(path.ring, self.bonded(path.ring)) if ring else []
+        starts = self.listed(path.first, self.fits(path.first))
+        for start in range(first, first + size):
+            if not starts[start]:
                 continue
-            bonds, test = steps[n]
-            for y, bond in near[at]:
-                if y not in seen and _bonded(bonds, bond) and _fits(test, known[y]) and (not ring or back[y] <= len(steps) - n):
-                    todo.append((y, n + 1, (*seen, y)))
-    return False
+            if ring and start not in self.far:
+                self.far[start] = self.distances(start)
+            back = self.far[start] if ring else {}
+            todo = [(start, 0, (start,))]
+            while todo:
+                at, n, seen = todo.pop()
+                ways = range(ends[at], ends[at + 1])
+                if n == len(steps):
+                    if not ring or len(seen) > 2 and any(to[e] == start and closes[e] for e in ways):
+                        return True
+                    continue
+                bonded, fits = tests[n]
+                for e in ways:
+                    y = to[e]
+                    if bonded[e] and fits[y] and y not in seen and (not ring or back[y] <= len(steps) - n):
+                        todo.append((y, n + 1, (*seen, y)))
+        return False
 
 
 def library(bridge: int = 6, dative: int = 6, saturated: int = 8, unsaturated: int = 12) -> dict[str, list[Path]]:

@@ -162,8 +162,15 @@ def with_rings(entries: DataFrame) -> DataFrame:
 
 def perceived(atoms: DataFrame, bonds: DataFrame, *facts: str) -> DataFrame:
     """The atoms (entry, ord, symbol and the facts) with ``cyclic`` found from the bonds, for ``patterns.found``."""
-    rows = with_rings(molecules.graphs(atoms.select("entry", "ord", "symbol", *facts), bonds, *facts))
-    return rows.select("entry", F.explode(F.arrays_zip("atoms", "cyclic")).alias("x")).select("entry", "x.atoms.*", "x.cyclic")
+    names = ["entry", "ord", "symbol", *facts]
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in molecules.turns(batches):
+            held = molecules.Graphs(rows)
+            yield pa.record_batch([*(held.atoms.column(c).combine_chunks() for c in names), pa.array(held.cyclic())], [*names, "cyclic"])
+
+    dealt = molecules.dealt_graphs(atoms, bonds, *facts)
+    return dealt.mapInArrow(mark, StructType([*(dealt.schema[c] for c in names), StructField("cyclic", BooleanType())]))
 
 
 def structure_table(entries: DataFrame) -> DataFrame:
