@@ -26,3 +26,32 @@ def test_sums_place_by_place(monkeypatch, shape):
     assert held.data.T.flags.c_contiguous and held.flagged_first().data.T.flags.c_contiguous
     for right in (b, held.data, held.data[1:], b[:0]):
         assert np.array_equal(tiles.l1_sum(a, right), want[:, m - len(right) :])
+
+
+@pytest.mark.parametrize("kind", ["even", "ties", "outlier", "one place", "negative"])
+def test_few_best_by_coded_vectors(monkeypatch, kind):
+    """The k best with their scores to the last bit, ties by the least id; of even vectors few pairs are scored."""
+    rng = np.random.default_rng(6)
+    rows = {"even": lambda n: rng.normal(size=(n, 64)), "ties": lambda n: rng.integers(0, 2, (n, 5)) * 1.0, "one place": lambda n: rng.normal(size=(n, 1)), "negative": lambda n: -1e12 - rng.random((n, 8))}
+    a, b = (rows.get(kind, rows["even"])(n) for n in (100, 500))
+    if kind == "outlier":  # all others have one code
+        b[7] = 1e9
+    left, right = part(list(range(100)), a), part(list(range(50, 550)), b)
+    score = tiles.l1(a, b)
+    scored = []
+    paired = tiles.l1_paired
+    monkeypatch.setattr(tiles, "l1_paired", lambda x, y: scored.append(len(x)) or paired(x, y))
+    for k, others in ((1, False), (3, True), (600, True)):
+        scored.clear()
+        found = [x for i, j, v in tiles._few(left, right, k, others, tiles._coded(left.data, right.data)) for x in zip(i.tolist(), j.tolist(), v.tolist(), strict=True)]
+        want = [(i, j, score[i, j]) for i in range(100) for j in sorted((j for j in range(500) if not (others and i == j + 50)), key=lambda j: (-score[i, j], j))[:k]]
+        assert found == want
+        if kind == "even" and k < 600:
+            assert 0 < sum(scored) < score.size / 20
+
+
+def test_coded_where_it_tells_something():
+    plain = np.ones((2, 4))
+    for a in (plain, plain * np.inf, plain * np.nan, np.array([[0.0] * 4, [5e-324] * 4]), np.array([[-1.7e308] * 4, [1.7e308] * 4]), np.eye(2, 2000)):
+        assert tiles._coded(a, a) is None
+    assert tiles._coded(plain, 2 * plain)[1].max() == 65534 // 4
