@@ -3,8 +3,10 @@
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from weft.operators import tiles
+from tests.test_tiles import SCHEMA
+from weft.operators import match, tiles
 
 
 def part(ids, data):
@@ -55,3 +57,40 @@ def test_coded_where_it_tells_something():
     for a in (plain, plain * np.inf, plain * np.nan, np.array([[0.0] * 4, [5e-324] * 4]), np.array([[-1.7e308] * 4, [1.7e308] * 4]), np.eye(2, 2000)):
         assert tiles._coded(a, a) is None
     assert tiles._coded(plain, 2 * plain)[1].max() == 65534 // 4
+
+
+def test_first_matches_end_early(spark):
+    """No target is scored with all of its block when its first matches are among the least ids; nor is a class."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def test(score):
+        seen.add(score.size)
+        return score > 0.5
+
+    rows = spark.range(6000).select("id", F.lit("b").alias("b"), F.array(F.rand(3), F.rand(4)).alias("fp"))
+    some = rows.where("id % 100 = 0")
+    assert tiles.within(some, rows, ["b"], test, others=True, first=2).count() == 120
+    assert 0 < seen.value < 60 * 6000 / 4
+
+
+def test_heads_hold_the_least_ids(spark, monkeypatch):
+    monkeypatch.setattr(tiles, "STRIP", 64)
+    rows = spark.range(6000).select(F.col("id"), F.when(F.col("id") % 3 > 0, "hot").otherwise("cold").alias("b"), F.array(F.rand(3)).alias("fp"))
+    rows = rows.unionByName(spark.createDataFrame([(1, "few", [1.0]), (None, "hot", [1.0]), (5, None, [1.0]), (6, "hot", None), (7, "hot", [])], SCHEMA))
+    head, rest = ({b: sorted((r["id"] for r in side.where(F.col("b") == b).collect()), key=lambda i: -1 if i is None else i) for b in ("hot", "cold", "few")} for side in tiles.headed(rows, ["b"]))
+    assert head["few"] == [1] and not rest["few"] and head["hot"][0] is None
+    for b in ("hot", "cold"):
+        assert 0 < len(head[b]) < 1000 and head[b][-1] < rest[b][0]
+        assert [i for i in head[b] + rest[b] if i is not None] == [i for i in range(6000) if (i % 3 > 0) == (b == "hot")]
+    head, rest = tiles.headed(rows.drop("b"), [])
+    assert 0 < head.count() < 1000 and head.count() + rest.count() == 6003
+
+
+def test_first_matches_of_an_id_in_two_blocks(spark, monkeypatch):
+    """The least partners of both, though one block's come late in it."""
+    monkeypatch.setattr(tiles, "STRIP", 16)
+    population = [(i, "a" if i % 2 else "b", [1.0] if i % 2 or i > 600 else [9.0]) for i in range(1000)]
+    targets = [(2000, "a", [1.0]), (2000, "b", [9.0]), (2001, "b", [1.0]), (2002, "b", [5.0])]
+    found = match.first_matches(spark.createDataFrame(targets, SCHEMA), spark.createDataFrame(population, SCHEMA), ["b"], 0.9, 3)
+    got = sorted((r["target"], r["rank"], r["partner"]) for r in found.collect())
+    assert got == [(2000, 1, 0), (2000, 2, 1), (2000, 3, 2), (2001, 1, 602), (2001, 2, 604), (2001, 3, 606)]
