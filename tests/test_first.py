@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tests.test_tiles import SCHEMA
+from tests.test_tiles import SCHEMA, sides  # noqa: F401  the same odd rows, in strips of 7 and of 8192
 from weft.operators import match, tiles
 
 
@@ -86,6 +86,15 @@ def test_heads_hold_the_least_ids(spark, monkeypatch):
     assert 0 < head.count() < 1000 and head.count() + rest.count() == 6003
 
 
+@pytest.mark.parametrize("threshold", [0.55, 2.0])
+def test_classes_are_those_of_the_best(sides, threshold):  # noqa: F811
+    _, frame = sides
+    for others in (True, False):
+        want = match.best_match(frame, frame, ["b"], threshold, others=others)
+        found = match.classes(frame, frame, ["b"], threshold, others=others)
+        assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.select("target", "class").collect()))
+
+
 def test_first_matches_of_an_id_in_two_blocks(spark, monkeypatch):
     """The least partners of both, though one block's come late in it."""
     monkeypatch.setattr(tiles, "STRIP", 16)
