@@ -103,3 +103,18 @@ def test_first_matches_of_an_id_in_two_blocks(spark, monkeypatch):
     found = match.first_matches(spark.createDataFrame(targets, SCHEMA), spark.createDataFrame(population, SCHEMA), ["b"], 0.9, 3)
     got = sorted((r["target"], r["rank"], r["partner"]) for r in found.collect())
     assert got == [(2000, 1, 0), (2000, 2, 1), (2000, 3, 2), (2001, 1, 602), (2001, 2, 604), (2001, 3, 606)]
+
+
+@pytest.mark.parametrize("kind", ["int", "bigint", "string"])
+def test_a_population_in_order_by_lists_of_bytes(spark, monkeypatch, kind):
+    """Ids of any type; ties by the least partner. Numbers are moved as bytes."""
+    monkeypatch.setattr(tiles, "STRIP", 16)
+    rng = np.random.default_rng(9)
+    rows = [(i, "ab"[i % 2], [float(x) for x in rng.integers(0, 3, 3)]) for i in range(80)]
+    frame = spark.createDataFrame(rows, SCHEMA).withColumn("id", F.col("id").cast(kind))
+    found = match.below(frame, frame, 0.7, ["b"], others=True)
+    name = str if kind == "string" else int
+    pairs = [(name(t), name(p), 1 / (1 + sum(abs(x - y) for x, y in zip(u, v, strict=True)) / 3)) for t, b, u in rows for p, c, v in rows if b == c and t != p]
+    assert [tuple(r) for r in found.collect()] == sorted((x for x in pairs if x[2] < 0.7), key=lambda x: (x[0], -x[2], x[1]))
+    plan = found._jdf.queryExecution().analyzed().treeString()
+    assert "octet_length(scores" in plan and "size(scores" not in plan
