@@ -112,3 +112,22 @@ def test_best_sets(spark, monkeypatch, strip):
     found = match.top_sets(frame, frame, ["b"], 3, others=True)
     assert {(r["target"], r["rank"]): (r["partner"], r["score"]) for r in found.collect()} == want
     assert "target_fp" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize(("common", "matrix", "long"), [(1, 1 << 24, 64), (4, 1 << 24, 2), (1 << 20, 1 << 24, 64), (1 << 20, 100, 3)])
+def test_shared_members_by_products_and_lists(spark, monkeypatch, common, matrix, long):
+    """Members that are in the matrix (none, some, all, as many as fit), in short lists and in long ones: the same best sets; words of texts as SQL parts them."""
+    for name, value in (("COMMON", common), ("MATRIX", matrix), ("LONG", long), ("SET_SLAB", 7)):
+        assert hasattr(tiles, name)
+        monkeypatch.setattr(tiles, name, value)
+    rng = np.random.default_rng(9)
+    rows = [(i, " ".join(f"w{int(x)}" for x in rng.zipf(1.3, 1 + i % 23) % 300) + " " * (i % 3)) for i in range(80)] + [(90, ""), (91, None), (92, " ")]
+    texts = spark.createDataFrame(rows, "id int, text string").repartition(2)
+    frame = vectors.word_sets(texts, "text", "fp").withColumn("b", F.lit("b"))
+    sets = {i: set(t.split(" ")) for i, t in rows if t is not None}
+    assert {r["id"]: r["fp"] and (len(r["fp"]), set(r["fp"])) for r in frame.collect()} == {i: (len(sets[i]), sets[i]) if i in sets else None for i, _ in rows}
+    want = {}
+    for t, u in sets.items():
+        scored = sorted((-len(u & v) / len(u | v), p) for p, v in sets.items() if t != p)
+        want |= {(t, n + 1): (p, -s) for n, (s, p) in enumerate(scored[:3])}
+    assert {(r["target"], r["rank"]): (r["partner"], r["score"]) for r in match.top_sets(frame, frame, ["b"], 3, others=True).collect()} == want
