@@ -131,3 +131,16 @@ def test_shared_members_by_products_and_lists(spark, monkeypatch, common, matrix
         scored = sorted((-len(u & v) / len(u | v), p) for p, v in sets.items() if t != p)
         want |= {(t, n + 1): (p, -s) for n, (s, p) in enumerate(scored[:3])}
     assert {(r["target"], r["rank"]): (r["partner"], r["score"]) for r in match.top_sets(frame, frame, ["b"], 3, others=True).collect()} == want
+
+
+def test_a_long_block_is_folded_in_few_strips(spark, monkeypatch):
+    """A row isn't moved more often the more rows there are, until strips are as long as a task can hold; pairs are the same in either case."""
+    monkeypatch.setattr(tiles, "STRIP", 10)
+    rng = np.random.default_rng(4)
+    points = rng.uniform(0, 1, (300, 2))
+    rows = spark.createDataFrame([(i, "b", p.tolist()) for i, p in enumerate(points)], "id int, b string, fp array<double>").repartition(3)
+    want = sorted((i, j) for i in range(300) for j in range(i + 1, 300) if 1 / (1 + sum(abs(points[i] - points[j])) / 2) >= 0.9)
+    for values, copies in ((1 << 22, 6), (60, 10)):
+        monkeypatch.setattr(tiles, "STRIP_VALUES", values)
+        assert tiles.folded(rows, ["b"], "id").count() == 300 * copies
+        assert sorted((r["i"], r["j"]) for r in match.close_pairs(rows, ["b"], "id", 0.9).collect()) == want
