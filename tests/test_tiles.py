@@ -144,3 +144,18 @@ def test_a_long_block_is_folded_in_few_strips(spark, monkeypatch):
         monkeypatch.setattr(tiles, "STRIP_VALUES", values)
         assert tiles.folded(rows, ["b"], "id").count() == 300 * copies
         assert sorted((r["i"], r["j"]) for r in match.close_pairs(rows, ["b"], "id", 0.9).collect()) == want
+
+
+@pytest.mark.parametrize("held", [1, 200, 1 << 24])
+def test_lists_below_are_not_moved(spark, monkeypatch, held):
+    """A task sorts its own targets' partners, few at a time: no list of pairs is shuffled; ids in two blocks, ties, NULLs and odd lengths as in plain."""
+    monkeypatch.setattr(tiles, "STRIP", 9)
+    monkeypatch.setattr(tiles, "HELD", held, raising=False)
+    rng = np.random.default_rng(6)
+    rows = [(i % 70, ("x", "y", None)[i % 3], [float(x) for x in rng.integers(0, 3, 3 + (i % 7 == 0))]) for i in range(90)] + [(91, "x", []), (92, "x", None), (93, "x", [1.0, None, 2.0])]
+    frame = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    for block in (["b"], []):
+        found = match.below(frame, frame, 0.7, block, others=True)
+        met = [(t, p, likeness(u, v)) for t, b, u in rows for p, c, v in rows if u and v and t != p and (not block or b is not None and b == c)]
+        assert [tuple(r) for r in found.collect()] == sorted((x for x in met if x[2] is not None and x[2] < 0.7), key=lambda x: (x[0], -x[2], x[1]))
+        assert found._jdf.queryExecution().analyzed().toString().count("MapInArrow") == 1
